@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodemill.llm import bpe
+from lodemill.llm import bpe, fingerprint
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_roundtrip": bpe.op1_bpe_roundtrip,
+    "op2_merkle_fingerprints": fingerprint.op2_merkle_fingerprints,
 }
 ORACLES: dict[str, str] = {}
