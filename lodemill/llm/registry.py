@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodemill.llm import bpe, fingerprint
+from lodemill.llm import bpe, fingerprint, mixing, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_roundtrip": bpe.op1_bpe_roundtrip,
     "op2_merkle_fingerprints": fingerprint.op2_merkle_fingerprints,
+    "op4_secret_scan": secrets.op4_secret_scan,
+    "op10_mix_sources": mixing.op10_mix_sources,
+}
+ORACLES: dict[str, str] = {
+    "op4_secret_scan": secrets.OP4_SQL,
+    "op10_mix_sources": mixing.OP10_SQL,
 }
-ORACLES: dict[str, str] = {}
