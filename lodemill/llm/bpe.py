@@ -18,6 +18,7 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
+from array import array
 from functools import lru_cache
 from itertools import chain
 
@@ -30,9 +31,9 @@ from pyspark.sql import functions as F
 from lodemill.llm.common import text_of
 
 #: Words kept by a Python worker, and the longest word (in characters) that is kept.
-CACHE_WORDS, CACHE_CHARS = 600_000, 64
+CACHE_WORDS, CACHE_CHARS = 500_000, 64
 #: Characters of text that are encoded at a time.
-CHUNK_CHARS = 8_000_000
+CHUNK_CHARS = 1_000_000
 NEVER = np.int64(2**62)
 
 
@@ -76,7 +77,18 @@ class WordBpe:
         self.strings = [""] * size
         for text, i in [*self.vocab.items(), *self.special.items()]:
             self.strings[i] = text
-        self.longest = max((len(t.removesuffix(self.end)) for t in self.vocab), default=1)
+        self.strings_array = np.array(self.strings, dtype=object)
+        end = self.end
+        #: Tokens by their characters, within a word and at its end (the same where words have no mark at the end)
+        self.ended = {t.removesuffix(end): i for t, i in self.vocab.items() if t.endswith(end)}
+        self.inner = {t: i for t, i in self.vocab.items() if not end or not t.endswith(end)}
+        #: Lengths that tokens within words have, longest first, by their first three characters
+        by_start: dict[str, set[int]] = {}
+        for t in self.inner:
+            if len(t) > 2:
+                by_start.setdefault(t[:3], set()).add(len(t))
+        self.short = (2, 1)
+        self.lengths = {k: (*sorted(v, reverse=True), 2, 1) for k, v in by_start.items()}
         self.size = size
         self.rank = np.full(size, -1, dtype=np.int64)
         self.left = np.arange(size, dtype=np.int64)
@@ -96,7 +108,8 @@ class WordBpe:
         order = np.argsort(keys)
         self.keys, self.key_ranks = keys[order], np.fromiter(self.pair_ranks.values(), dtype=np.int64)[order]
         self.sound = self._sound(twice)
-        self.cache: dict[str | int, tuple[int, ...]] = {}
+        self.plain = regex.compile("[!-~]*")
+        self.cache: dict[str | int, bytes] = {}
 
     def _pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of the merge of each pair, NEVER where there is none."""
@@ -156,13 +169,17 @@ class WordBpe:
 
     def propose(self, chars: str) -> list[int]:
         """Greedy longest match over the byte alphabet; only the last token has the word's end."""
-        out, i, n, vocab, end = [], 0, len(chars), self.vocab, self.end
+        out, i, n, vocab, ended, lengths = [], 0, len(chars), self.inner, self.ended, self.lengths
         while i < n:
-            for j in range(min(n, i + self.longest), i, -1):
-                t = vocab.get(chars[i:j] + end if j == n else chars[i:j])
-                if t is not None:
+            t = ended.get(chars[i:])
+            if t is not None:
+                out.append(t)
+                return out
+            for size in lengths.get(chars[i : i + 3], self.short):
+                t = vocab.get(chars[i : i + size])
+                if t is not None and i + size < n:
                     out.append(t)
-                    i = j
+                    i += size
                     break
             else:
                 return []
@@ -171,7 +188,7 @@ class WordBpe:
     def exact(self, chars: str) -> list[int]:
         """Merging rank by rank, leftmost first: for words whose proposal has an incompatible pair."""
         last = len(chars) - 1
-        ids = [t for i, c in enumerate(chars) if (t := self.vocab.get(c + self.end if i == last else c)) is not None]
+        ids = [t for i, c in enumerate(chars) if (t := (self.ended if i == last else self.inner).get(c)) is not None]
         return self._exact_short(ids) if len(ids) <= 64 else self._exact_long(ids)
 
     def _exact_short(self, ids: list[int]) -> list[int]:
@@ -206,10 +223,10 @@ class WordBpe:
                 before[after[i]] = i
         return [t for t, on in zip(ids, alive, strict=True) if on]
 
-    def resolve(self, words: list[str]) -> dict[str, tuple[int, ...]]:
-        """Ids of each of these distinct words."""
+    def resolve(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of each of these distinct words, as bytes of 32-bit integers."""
         table = self.alphabet
-        chars = ["".join([table[b] for b in w.encode("utf-8", "surrogatepass")]) for w in words]
+        chars = [w if self.plain.fullmatch(w) else "".join([table[b] for b in w.encode("utf-8", "surrogatepass")]) for w in words]
         proposed = [self.propose(c) for c in chars]
         sizes = np.fromiter(map(len, proposed), dtype=np.int64, count=len(words))
         flat = np.fromiter(chain.from_iterable(proposed), dtype=np.int64, count=int(sizes.sum()))
@@ -222,7 +239,7 @@ class WordBpe:
         failed[of[inner[~good[back]]]] = True
         for k in np.flatnonzero(failed):
             proposed[k] = self.exact(chars[k])
-        return {w: tuple(p) for w, p in zip(words, proposed, strict=True)}
+        return {w: array("i", p).tobytes() for w, p in zip(words, proposed, strict=True)}
 
     def pieces(self, text: str) -> list[str | int]:
         """The words of a text, with the ids of special tokens that stand in it in their places."""
@@ -240,24 +257,30 @@ class WordBpe:
         text = text if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no final sigma
         return self.words.findall(text.lower())
 
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.pieces(t) for t in texts]
         cache = self.cache
         if len(cache) > CACHE_WORDS:
             cache.clear()
-        new = list({w for words in split for w in words if w not in cache})
+        new = [w for w in set(chain.from_iterable(split)) if w not in cache]
         cache.update(self.resolve([w for w in new if isinstance(w, str)]))
-        cache.update({i: (i,) for i in new if isinstance(i, int)})
-        out = [list(chain.from_iterable([cache[w] for w in words])) for words in split]
+        cache.update({i: array("i", [i]).tobytes() for i in new if isinstance(i, int)})
+        out = [np.frombuffer(b"".join([cache[w] for w in words]), dtype=np.int32) for words in split]
         for w in new:
             if isinstance(w, str) and len(w) > CACHE_CHARS:
                 del cache[w]
         return out
 
-    def decode(self, ids: list[int]) -> str:
+    def decode_batch(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
         """A file without a decoder joins its tokens with spaces; unknown ids are left out."""
-        strings, size = self.strings, self.size
-        return " ".join([strings[i] for i in ids if 0 <= i < size])
+        inside = (ids >= 0) & (ids < self.size)
+        strings = self.strings_array[np.where(inside, ids, 0)]
+        known = inside.all()
+        out = []
+        for a, b in zip(offsets, offsets[1:]):  # noqa: B905
+            part = strings[a:b] if known else strings[a:b][inside[a:b]]
+            out.append(" ".join(part.tolist()))
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -292,7 +315,7 @@ def encode(text: str | Column, path: str | None = None) -> Column:
         for part in _chunks(column.to_pylist()):
             rows = bpe.encode_batch(part)
             sizes += [len(r) for r in rows]
-            values.append(np.fromiter(chain.from_iterable(rows), dtype=np.int32))
+            values += rows
         flat = np.concatenate(values) if values else np.array([], dtype=np.int32)
         return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), type=pa.int32()), pa.array(flat, type=pa.int32()))
 
@@ -304,8 +327,15 @@ def decode(ids: str | Column, path: str | None = None) -> Column:
     path = path or default_path()
 
     def texts(column: pa.Array) -> pa.Array:
-        bpe = loaded(path)
-        return pa.array([bpe.decode(x or ()) for x in column.to_pylist()], type=pa.string())
+        bpe, out = loaded(path), []
+        if column.null_count:
+            column = pa.array([x or [] for x in column.to_pylist()], type=column.type)
+        for at in range(0, len(column), 256):
+            part = column.slice(at, 256)
+            flat = part.flatten().to_numpy(zero_copy_only=False)
+            offsets = part.offsets.to_numpy()
+            out.append(pa.array(bpe.decode_batch(flat, offsets - offsets[0]), type=pa.string()))
+        return pa.concat_arrays(out) if out else pa.array([], type=pa.string())
 
     return F.arrow_udf(texts, "string")(F.col(ids) if isinstance(ids, str) else ids)
 

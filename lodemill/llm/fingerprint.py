@@ -183,9 +183,11 @@ def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id", tie: str
 def op2_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document, its edited text and the next document by their fingerprints."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text_of("text").alias("text"))
-    near = with_next(docs.withColumn("fingerprint", fingerprint("text")), ["text", "fingerprint"])
+    # fingerprints are made after the shuffle: a second tree of each text costs less than moving the trees
+    near = with_next(docs, ["text"])
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    edited = near.select("doc_id", n.cast("long").alias("n_chars"), "fingerprint", F.coalesce("next_fingerprint", "fingerprint").alias("next_fingerprint"), F.concat(F.substring("text", F.lit(1), n - half), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), half)).alias("edited"))
+    after = F.coalesce("next_text", F.lit(""))
+    edited = near.select("doc_id", n.cast("long").alias("n_chars"), fingerprint("text").alias("fingerprint"), fingerprint(after).alias("next_fingerprint"), F.concat(F.substring("text", F.lit(1), n - half), F.substring(after, F.lit(1), half)).alias("edited"))
     both = edited.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "next_fingerprint", fingerprint("edited").alias("edited_fingerprint"))
     return both.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "next_fingerprint").alias("near_next"))

@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodemill.llm import bpe, fingerprint, mixing, secrets
+from lodemill.llm import bpe, fingerprint, mixing, neardup, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_roundtrip": bpe.op1_bpe_roundtrip,
     "op2_merkle_fingerprints": fingerprint.op2_merkle_fingerprints,
+    "op3_minhash_neardup": neardup.op3_minhash_neardup,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 ORACLES: dict[str, str] = {
+    "op3_minhash_neardup": neardup.OP3_SQL,
     "op4_secret_scan": secrets.OP4_SQL,
     "op10_mix_sources": mixing.OP10_SQL,
 }
