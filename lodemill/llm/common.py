@@ -5,12 +5,43 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run without ASCII white space, in Python's, Java's and RE2's syntax alike.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: For bytes.translate(): A-Z in lower case.
+FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
+#: Words whose hashes a Python worker keeps.
+CACHE_WORDS = 400_000
+_word_hashes: dict[bytes, int] = {}
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit integers that spreads all bits (splitmix64's finaliser)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words."""
+    if len(_word_hashes) > CACHE_WORDS:
+        _word_hashes.clear()
+    for w in set(words).difference(_word_hashes):
+        _word_hashes[w] = xxhash.xxh3_64_intdigest(w)
+    return np.fromiter(map(_word_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
+def bounded_sample(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """About `rows` rows of df, all if it has no more, picked by a hash of the keys; never more than twice as many."""
+    n = df.count()
+    if n <= rows:
+        return df
+    return df.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) < int((1 << 30) * rows / n)).limit(2 * rows)
 
 
 def text_of(column: str | Column) -> Column:

@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodemill.llm import bpe, fingerprint, mixing, neardup, secrets
+from lodemill.llm import bpe, fingerprint, mixing, neardup, quality_model, quality_rules, secrets, substring_dedup, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_roundtrip": bpe.op1_bpe_roundtrip,
     "op2_merkle_fingerprints": fingerprint.op2_merkle_fingerprints,
     "op3_minhash_neardup": neardup.op3_minhash_neardup,
     "op4_secret_scan": secrets.op4_secret_scan,
+    "op5_substring_dedup": substring_dedup.op5_substring_dedup,
+    "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op7_url_filter": url_filter.op7_url_filter,
+    "op8_quality_grades": quality_model.op8_quality_grades,
+    "op9_token_counts": token_counts.op9_token_counts,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 ORACLES: dict[str, str] = {
