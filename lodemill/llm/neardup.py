@@ -7,11 +7,12 @@ the bucket keys of candidate generation; of each minimum only the lowest B bits
 2^-B chance agreement. Pairs that may reach the threshold are confirmed on the full sets.
 
 Hot groups. Equal sets are one node from the start (a partial aggregation), however many documents have
-them. In a bucket, each node first meets only the bucket's star (its least node), so a large group of near
-copies costs a pair a member and is one component after the first round. The second round pairs only nodes of
-different components, within buckets that still hold several; buckets of many nodes are dealt into tiles so
-that no task holds one. Only nodes of such pairs are ever compared; no link between components is skipped,
-and links within a component change nothing.
+them. In a bucket, each node first meets only the bucket's star: the node whose buckets hold most, which in a
+group of near copies is what they are copies of. So a large group costs a few pairs a member, and most of it
+is one component after the first round. The second round pairs only nodes of different components, within
+buckets that still hold several, once each (in their first common bucket) and by a finer signature of
+FINE one-bit minima made for these nodes alone; buckets of many nodes are dealt into tiles so that no task
+holds one. No link between components is skipped, and links within a component change nothing.
 
 A pair at the threshold itself is missed by all bands with probability (1 - 0.75^ROWS)^BANDS, 5e-6, and by
 the estimate's margin of over four standard errors with about 1e-5.
@@ -27,75 +28,77 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodemill.llm.common import LOWER, UPPER, WORD, text_of, written
+from lodemill.llm.common import FOLD, LOWER, UPPER, WORD, mix, text_of, word_hashes, written
 
 SHINGLE, THRESHOLD = 5, 0.75
 BANDS, ROWS, B = 32, 4, 4
 K = BANDS * ROWS
 #: How far below the threshold an estimate may be for its pair to be confirmed: over four standard errors.
 MARGIN = 0.18
+#: One-bit minima of the second round's signatures, and their margin: over four standard errors as well.
+FINE, FINE_MARGIN = 2048, 0.065
 #: Nodes of a tile of a large bucket.
 TILE = 128
 SEED = 20240229
 
-_FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
-_CACHE_WORDS = 400_000
-_cache: dict[bytes, int] = {}
 _rng = np.random.default_rng(SEED)
 _PLACE = _rng.integers(1, 2**63, SHINGLE, dtype=np.uint64) | np.uint64(1)
 _A = _rng.integers(1, 2**32, K, dtype=np.uint32) | np.uint32(1)
 _C = _rng.integers(0, 2**32, K, dtype=np.uint32)
+_FINE_A = _rng.integers(1, 2**32, FINE, dtype=np.uint32) | np.uint32(1)
+_FINE_C = _rng.integers(0, 2**32, FINE, dtype=np.uint32)
 _BAND = _rng.integers(1, 2**63, (ROWS,), dtype=np.uint64) | np.uint64(1)
 _BAND_OWN = _rng.integers(1, 2**63, BANDS, dtype=np.uint64)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit integers that spreads all bits (splitmix64's finaliser)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def shingles(text: str) -> np.ndarray:
     """The distinct shingle hashes of a text, sorted."""
-    words = text.encode("utf-8", "surrogatepass").translate(_FOLD).split()  # splits at ASCII white space
+    words = text.encode("utf-8", "surrogatepass").translate(FOLD).split()  # splits at ASCII white space
     if not words:
         return np.array([], dtype=np.uint64)
-    if len(_cache) > _CACHE_WORDS:
-        _cache.clear()
-    for w in set(words).difference(_cache):
-        _cache[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.fromiter(map(_cache.__getitem__, words), dtype=np.uint64, count=len(words))
+    h = word_hashes(words)
     n = len(h) - SHINGLE + 1
     if n < 1:
-        return _mix(np.array([(h * _PLACE[: len(h)]).sum() + np.uint64(len(h))], dtype=np.uint64))
+        return mix(np.array([(h * _PLACE[: len(h)]).sum() + np.uint64(len(h))], dtype=np.uint64))
     total = h[:n] * _PLACE[0]
     for i in range(1, SHINGLE):
         total += h[i : i + n] * _PLACE[i]
-    return np.unique(_mix(total))
+    return np.unique(mix(total))
 
 
-def minima(s: np.ndarray) -> np.ndarray:
-    """The least value of each of K permutations over a set."""
+def minima(s: np.ndarray, a: np.ndarray = _A, c: np.ndarray = _C) -> np.ndarray:
+    """The least value of each permutation over a set."""
     x = (s >> np.uint64(32)).astype(np.uint32)
-    low = np.full(K, 2**32 - 1, dtype=np.uint32)
-    for at in range(0, len(x), 2048):
-        np.minimum(low, (x[at : at + 2048, None] * _A + _C).min(axis=0), out=low)
+    low = np.full(len(a), 2**32 - 1, dtype=np.uint32)
+    step = 2**18 // len(a)
+    for at in range(0, len(x), step):
+        np.minimum(low, (x[at : at + step, None] * a + c).min(axis=0), out=low)
     return low
 
 
+def fine(s: np.ndarray) -> np.ndarray:
+    """FINE one-bit minima in 64-bit words."""
+    bits = (mix(minima(s, _FINE_A, _FINE_C).astype(np.uint64)) & np.uint64(1)).astype(np.uint8)
+    return np.packbits(bits).view(np.int64)
+
+
+def fine_estimate(a: str, b: str) -> Column:
+    """Similarity of two fine signatures: of one-bit minima, half the unequal ones agree by chance."""
+    differ = sum((F.bit_count(F.get(F.col(a), i).bitwiseXOR(F.get(F.col(b), i))) for i in range(1, FINE // 64)), F.bit_count(F.get(F.col(a), 0).bitwiseXOR(F.get(F.col(b), 0))))
+    return 1 - differ * (2.0 / FINE)
+
+
 def band_keys(low: np.ndarray) -> np.ndarray:
-    return _mix((low.reshape(BANDS, ROWS).astype(np.uint64) * _BAND).sum(axis=1) + _BAND_OWN).view(np.int64)
+    return mix((low.reshape(BANDS, ROWS).astype(np.uint64) * _BAND).sum(axis=1) + _BAND_OWN).view(np.int64)
 
 
 def packed(low: np.ndarray) -> np.ndarray:
     """The lowest B bits of each minimum, after mixing, in 64-bit words."""
-    bits = _mix(low.astype(np.uint64)) & np.uint64(2**B - 1)
+    bits = mix(low.astype(np.uint64)) & np.uint64(2**B - 1)
     per = 64 // B
     return (bits.reshape(-1, per) << (np.arange(per, dtype=np.uint64) * np.uint64(B))).sum(axis=1, dtype=np.uint64).view(np.int64)
 
@@ -124,7 +127,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             s = shingles(text.as_py() or "")
             if len(s):
-                h1, h2 = _mix(s).sum(dtype=np.uint64), _mix(s ^ np.uint64(SEED)).sum(dtype=np.uint64)
+                h1, h2 = mix(s).sum(dtype=np.uint64), mix(s ^ np.uint64(SEED)).sum(dtype=np.uint64)
                 low = minima(s)
                 rows.append((doc_id, len(s), int(h1.view(np.int64)), int(h2.view(np.int64)), band_keys(low), packed(low)))
             else:
@@ -146,12 +149,19 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             nodes, sets = [], []
             for node, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                 s = shingles(text.as_py() or "")
-                if len(s) and int(_mix(s).sum(dtype=np.uint64).view(np.int64)) == node:
+                if len(s) and int(mix(s).sum(dtype=np.uint64).view(np.int64)) == node:
                     nodes.append(node)
                     sets.append(s.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, type=pa.int64()), pa.array(sets, type=pa.list_(pa.int64()))], names=["node", "shingles"])
 
 
+def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        signed = [fine(x.values.to_numpy().view(np.uint64)) for x in batch.column(1)]
+        sizes = pa.array([len(x.values) for x in batch.column(1)], type=pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed, type=pa.list_(pa.int64())), sizes], names=["node", "fine", "n"])
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
     a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
@@ -200,17 +210,19 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         "nodes",
     )
     named = nodes.where(F.col("doc_id").isNotNull())
-    keyed = named.select(F.explode("bands").alias("key"), "node")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("star")).where("members > 1")
-    members = written(keyed.join(shared, "key").select("key", "node", "star", "members"), "members")
+    keyed = named.select("node", F.posexplode("bands").alias("band", "key"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    shared = written(keyed.join(sizes, "key").select("key", "band", "node", "members"), "shared")
+    weights = shared.groupBy("node").agg(F.sum("members").alias("weight"))
+    stars = shared.join(weights, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("star"))
+    members = written(shared.join(stars, "key").select("key", "band", "node", "star", "members"), "members")
 
     bits = named.select("node", "bits", "n")
     bits_a, bits_b = (bits.select(F.col("node").alias(x), F.col("bits").alias(f"bits_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
     likely = (estimate("bits_a", "bits_b") >= threshold - MARGIN) & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
-    # first round: each node with the star that it shares most buckets with
-    met = members.where("node != star").groupBy(F.col("node").alias("a"), F.col("star").alias("b")).agg(F.count("*").alias("times"))
-    best = met.groupBy("a").agg(F.max_by("b", F.struct("times", "b")).alias("b"))
-    first = written(best.join(bits_a, "a").join(bits_b, "b").where(likely).select("a", "b"), "pairs")
+    # first round: each node with the stars of its buckets
+    met = members.where("node != star").select(F.col("node").alias("a"), F.col("star").alias("b")).distinct()
+    first = written(met.join(bits_a, "a").join(bits_b, "b").where(likely).select("a", "b"), "pairs")
     touched = members.select("node").distinct().join(named.select("node", "doc_id"), "node")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
     sets = written(texts.join(touched, "doc_id").select("node", "text").mapInArrow(_sets, "node long, shingles array<long>"), "sets")
@@ -218,15 +230,23 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     labels = components(edges)
 
     # second round: pairs of different components in buckets that hold several, large buckets by tiles
-    placed = members.join(labels, "node", "left").select("key", "node", "members", F.coalesce("label", "node").alias("label"))
+    placed = members.join(labels, "node", "left").select("key", "band", "node", "members", F.coalesce("label", "node").alias("label"))
     mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
     tiles = F.ceil(F.col("members") / TILE).cast("int")
-    inside = placed.join(mixed, "key", "left_semi").withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int")).join(bits, "node")
+    inside = written(placed.join(mixed, "key", "left_semi").withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int")), "inside")
+    finer = sets.join(inside.select("node").distinct(), "node").mapInArrow(_fine, "node long, fine array<long>, n long").join(named.select("node", "bands"), "node")
+    inside = written(inside.join(finer, "node"), "inside")
     # a pair of tiles (i, j), i <= j, meets once: the left rows of i go to all j from i on, the right rows of j to all i up to j
-    left = inside.withColumn("other", F.explode(F.sequence("tile", F.col("tiles") - 1))).select("key", F.col("tile").alias("i"), F.col("other").alias("j"), F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("bits").alias("bits_a"), F.col("n").alias("n_a"))
-    right = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tile")))).select("key", F.col("other").alias("i"), F.col("tile").alias("j"), F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("bits").alias("bits_b"), F.col("n").alias("n_b"))
-    apart = (F.col("label_a") != F.col("label_b")) & ((F.col("i") != F.col("j")) | (F.col("a") < F.col("b"))) & likely
-    met2 = left.join(right, ["key", "i", "j"]).where(apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = lambda x, i, j: [F.col("key"), F.col("band"), i.alias("i"), j.alias("j"), *[F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "fine", "n", "bands")]]
+    tile, other = F.col("tile"), F.col("other")
+    left = inside.withColumn("other", F.explode(F.sequence("tile", F.col("tiles") - 1))).select(side("a", tile, other))
+    right = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tile")))).select(side("b", other, tile))
+    close = (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")) & (fine_estimate("fine_a", "fine_b") >= threshold - FINE_MARGIN)
+    apart = (F.col("label_a") != F.col("label_b")) & ((F.col("i") != F.col("j")) | (F.col("node_a") < F.col("node_b")))
+    # of their common buckets the first one makes the pair
+    earliest = F.array_position(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), True) == left["band"] + 1
+    met2 = left.join(right.drop("band"), ["key", "i", "j"]).where(apart & close & earliest).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+    met2 = written(met2, "pairs")
     tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     second = confirmed(met2.join(tested, ["a", "b"], "left_anti"), sets, threshold)
     joined = second.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
