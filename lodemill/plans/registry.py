@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodemill.operators import overlap
+from lodemill.functions import packages, scalars, sequences
+from lodemill.operators import audit, closure, compare, coverage, merge, overlap, rank, validate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,10 +26,14 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-def orders_as_records(spark: SparkSession, sf_dir: str, before: str = "1996-01-01") -> DataFrame:
-    """Orders in the roles of package records: name, ecosystem, version."""
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where(F.col("o_orderdate") < F.to_timestamp(F.lit(before)))
-    return o.select(F.col("o_custkey").alias("name"), F.col("o_orderpriority").alias("ecosystem"), F.col("o_orderstatus").alias("version"))
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def orders_as_records(spark: SparkSession, sf_dir: str, before: str = "1996-01-01", since: str = "1900-01-01") -> DataFrame:
+    """Orders in the roles of package records: name, ecosystem, version, ord."""
+    o = table(spark, sf_dir, "orders").where((F.col("o_orderdate") < F.to_timestamp(F.lit(before))) & (F.col("o_orderdate") >= F.to_timestamp(F.lit(since))))
+    return o.select(F.col("o_custkey").alias("name"), F.col("o_orderpriority").alias("ecosystem"), F.col("o_orderstatus").alias("version"), F.col("o_orderkey").alias("ord"))
 
 
 RECORDS_SQL = "SELECT o_custkey AS name, o_orderpriority AS ecosystem, o_orderstatus AS version FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01'"
@@ -46,3 +51,333 @@ SELECT count(*) AS packages_total, count(*) FILTER (bucket = 'overlap') AS overl
        count(*) FILTER (bucket = 'only_b') AS only_b, count(*) FILTER (version_skew) AS version_skew, count(*) FILTER (bucket = 'other') AS other FROM c""")
 def overlap_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.summary(overlap.classify(orders_as_records(spark, sf_dir), "1-URGENT", "5-LOW"))
+
+
+@query("overlap_detail", CLASSED_SQL + "SELECT * FROM c")
+def overlap_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.classify(orders_as_records(spark, sf_dir), "1-URGENT", "5-LOW")
+
+
+@query("candidate_rank", """
+WITH l AS (SELECT l_orderkey, count(*) AS deps, count(*) FILTER (l_returnflag = 'R') AS patches FROM lineitem GROUP BY 1),
+r AS (SELECT o_custkey AS name, o_orderpriority AS ecosystem, o_orderstatus AS version, o_orderstatus = 'F' AS tests, coalesce(patches, 0) AS patches,
+  (50 + o_orderkey % 50) + 30 * (o_orderstatus = 'F')::INT + 2 * greatest(0, 20 - coalesce(deps, 0)) - 4 * coalesce(patches, 0) AS score FROM orders LEFT JOIN l ON l_orderkey = o_orderkey)
+SELECT name, count(*) AS n_records, sum(score)::BIGINT AS total_score, bool_or(ecosystem = '1-URGENT') AND bool_or(ecosystem = '5-LOW') AS dual, bool_or(tests) AS has_any_tests,
+  sum(patches)::BIGINT AS total_patch_count, string_agg(DISTINCT ecosystem, ',' ORDER BY ecosystem) AS ecosystems, string_agg(DISTINCT version, ',' ORDER BY version) AS versions FROM r GROUP BY name""")
+def candidate_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores doubled and confidence in percent, so that all sums are whole numbers."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("deps"), F.count_if(F.col("l_returnflag") == "R").alias("n_patches"))
+    o = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").fillna(0, ["deps", "n_patches"])
+    percent, tests = 50 + F.col("o_orderkey") % 50, F.col("o_orderstatus") == "F"
+    doubled = 2 * rank.record_score(F.lit(0), tests, F.col("deps"), F.col("n_patches")) + percent
+    records = o.select(F.col("o_custkey").alias("name"), F.col("o_orderpriority").alias("ecosystem"), F.col("o_orderstatus").alias("version"), doubled.alias("score"), percent.alias("confidence"), tests.alias("has_tests"), "n_patches")
+    return rank.candidates(records, "1-URGENT", "5-LOW").select("name", "n_records", "total_score", "dual", "has_any_tests", "total_patch_count", "ecosystems", "versions")
+
+
+@query("fanin_rank", """
+WITH e AS (SELECT DISTINCT l_orderkey, l_partkey, min(l_linestatus) OVER (PARTITION BY l_orderkey) AS eco FROM lineitem), b AS (SELECT l_partkey AS dep, eco, count(*) AS refs FROM e GROUP BY ALL)
+SELECT dep, sum(refs)::BIGINT AS ref_count, string_agg(eco, ',' ORDER BY eco) AS ecosystems, string_agg(eco || '=' || refs, ',' ORDER BY eco || '=' || refs) AS refs_by_ecosystem,
+  dep IN (SELECT p_partkey FROM part WHERE p_size > 25) AS in_snapshot FROM b GROUP BY dep HAVING sum(refs) >= 3""")
+def fanin_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order is a record, its ecosystem the least of its line states; its parts are its dependencies."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linestatus")
+    eco = lines.groupBy("l_orderkey").agg(F.min("l_linestatus").alias("ecosystem"))
+    edges = lines.join(eco, "l_orderkey").select(F.col("l_orderkey").alias("record"), "ecosystem", F.col("l_partkey").alias("dep"))
+    known = table(spark, sf_dir, "part").where("p_size > 25").select(F.col("p_partkey").alias("name"))
+    return rank.fan_in(edges, known, 3)
+
+
+HALVES_SQL = """
+WITH r AS (SELECT o_custkey AS name, o_orderpriority AS eco, max_by(o_orderstatus, o_orderkey) AS v, o_orderdate < TIMESTAMP '1995-07-01' AS old FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01' GROUP BY ALL),
+s AS (SELECT name, old, string_agg(eco, ',' ORDER BY eco) AS ecos FROM r GROUP BY ALL),
+m AS (SELECT a.name, bool_or(a.v IS DISTINCT FROM b.v) AS moved FROM r a JOIN r b ON a.name = b.name AND a.eco = b.eco AND a.old AND NOT b.old GROUP BY 1),
+d AS (SELECT coalesce(a.name, b.name) AS name, CASE WHEN a.name IS NULL THEN 'added' WHEN b.name IS NULL THEN 'removed' WHEN m.moved THEN 'version_changed' WHEN a.ecos <> b.ecos THEN 'ecosystem_changed' ELSE 'unchanged' END AS change
+  FROM (SELECT * FROM s WHERE old) a FULL JOIN (SELECT * FROM s WHERE NOT old) b ON a.name = b.name LEFT JOIN m ON m.name = a.name)
+"""
+
+
+def _halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.snapshot_diff(orders_as_records(spark, sf_dir, "1995-07-01"), orders_as_records(spark, sf_dir, "1996-01-01", "1995-07-01"))
+
+
+@query("snapshot_diff", HALVES_SQL + "SELECT * FROM d")
+def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _halves(spark, sf_dir)
+
+
+@query("snapshot_counts", HALVES_SQL + "SELECT " + ", ".join(f"count(*) FILTER (change = '{c}') AS {c}" for c in ("added", "removed", "version_changed", "ecosystem_changed", "unchanged")) + " FROM d")
+def snapshot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.change_counts(_halves(spark, sf_dir))
+
+
+@query("baseline_diff", """
+WITH h AS (SELECT user_id, event_type, day(ts) <= 15 AS old, max(value) >= 50 AS passed FROM events GROUP BY ALL)
+SELECT * FROM (SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.event_type, b.event_type) AS event_type, CASE WHEN a.user_id IS NULL THEN 'added' WHEN b.user_id IS NULL THEN 'removed' WHEN a.passed AND NOT b.passed THEN 'regression'
+  WHEN NOT a.passed AND b.passed THEN 'fix' END AS change FROM (SELECT * FROM h WHERE old) a FULL JOIN (SELECT * FROM h WHERE NOT old) b ON a.user_id = b.user_id AND a.event_type = b.event_type) WHERE change IS NOT NULL""")
+def baseline_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    half = lambda old: e.where((F.dayofmonth("ts") <= 15) == old).groupBy("user_id", "event_type").agg((F.max("value") >= 50).alias("passed"))
+    return compare.baseline_diff(half(True), half(False), ["user_id", "event_type"])
+
+
+@query("compare_sets", """
+SELECT coalesce(a.p_partkey, b.p_partkey) AS p_partkey, CASE WHEN b.p_partkey IS NULL THEN 'only_a' WHEN a.p_partkey IS NULL THEN 'only_b' WHEN a.v <> b.v THEN 'mismatch' ELSE 'both' END AS side
+FROM (SELECT p_partkey, p_brand AS v FROM part WHERE p_size <= 30) a FULL JOIN (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE p_brand END AS v FROM part WHERE p_size >= 20) b ON a.p_partkey = b.p_partkey""")
+def compare_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    b = p.where("p_size >= 20").select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.col("p_type")).otherwise(F.col("p_brand")).alias("v"))
+    return compare.compare_sets(p.where("p_size <= 30").select("p_partkey", F.col("p_brand").alias("v")), b, "p_partkey", "v")
+
+
+@query("multiset_difference", """
+SELECT o_custkey, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE -1 END)::BIGINT AS n FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1 HAVING sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE -1 END) > 0""")
+def multiset_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return compare.multiset(o.where("o_orderstatus = 'F'"), o.where("o_orderstatus = 'O'"), "o_custkey", "difference")
+
+
+@query("merge_best", """
+SELECT o_custkey, o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) WHERE rn = 1""")
+def merge_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.best_of(table(spark, sf_dir, "orders"), "o_custkey", "o_totalprice", "o_orderkey", ["o_orderkey", "o_orderstatus"])
+
+
+@query("dep_union", """
+SELECT l_orderkey, l_returnflag, string_agg(p::VARCHAR, ',' ORDER BY p) AS values, count(*) AS n_values FROM (SELECT DISTINCT l_orderkey, l_returnflag, l_partkey AS p FROM lineitem) GROUP BY ALL""")
+def dep_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.union_of(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_returnflag"], "l_partkey")
+
+
+@query("version_agreement", """
+SELECT name, count(DISTINCT v) AS n_values, count(DISTINCT v) <= 1 AS agree FROM (SELECT o_custkey AS name, o_orderpriority, max_by(o_orderstatus, o_orderkey) AS v FROM orders GROUP BY ALL) GROUP BY name""")
+def version_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.agreement(orders_as_records(spark, sf_dir, "9999-01-01"), "name", "ecosystem", "version", "ord")
+
+
+@query("coverage", "SELECT doc_id, lang, doc_id IN (SELECT doc_id FROM labels) AS covered FROM documents")
+def spec_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.covered(table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("coverage_gap", "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def coverage_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.orphans(table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("vector_coverage", """
+SELECT coalesce(spec::VARCHAR, 'all') AS spec, coalesce(category, 'all') AS category, total, n_described, level, (n_described * 2000 + total) // (2 * total) AS tenths FROM (
+  SELECT user_id AS spec, event_type AS category, count(*) AS total, count(*) FILTER (value >= 100) AS n_described, GROUPING(user_id, event_type)::BIGINT AS level FROM events GROUP BY ROLLUP (user_id, event_type))""")
+def vector_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = coverage.vector_coverage(table(spark, sf_dir, "events"), F.col("value") >= 100, "user_id", "event_type")
+    return found.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("all")) for c in ("spec", "category")})
+
+
+@query("spec_search", "SELECT doc_id, source FROM documents WHERE (contains(lower(text), 'apache license') OR contains(lower(source), 'apache license')) AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def spec_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.search(table(spark, sf_dir, "documents"), "Apache License", ["text", "source"], verified=table(spark, sf_dir, "labels").where("quality = 1"), key="doc_id").select("doc_id", "source")
+
+
+RESULTS_SQL = "SELECT user_id AS spec, event_type <> 'error' AS passed, event_type = 'signup' AS skipped FROM events"
+SUMMARY_SQL = f"SELECT spec, count(*) AS total, count(*) FILTER (passed AND NOT skipped) AS passed, count(*) FILTER (NOT passed AND NOT skipped) AS failed, count(*) FILTER (skipped) AS skipped FROM ({RESULTS_SQL}) GROUP BY spec"
+
+
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("spec"), (F.col("event_type") != "error").alias("passed"), (F.col("event_type") == "signup").alias("skipped"))
+
+
+@query("verify_summary", SUMMARY_SQL)
+def verify_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.verify_summary(_results(spark, sf_dir))
+
+
+@query("verify_totals", f"""SELECT count(*) AS specs, count(*) FILTER (failed = 0 AND passed > 0) AS specs_ok, count(*) FILTER (failed > 0) AS specs_failed, count(*) FILTER (skipped = total) AS specs_skipped,
+  sum(total)::BIGINT AS total, sum(passed)::BIGINT AS passed, sum(failed)::BIGINT AS failed, sum(skipped)::BIGINT AS skipped FROM ({SUMMARY_SQL})""")
+def verify_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.verify_totals(audit.verify_summary(_results(spark, sf_dir)))
+
+
+@query("status_counts", """
+SELECT s.status, s.rank, count(o.o_orderkey) AS n FROM (VALUES ('F', 0), ('O', 1), ('failed', 2)) s(status, rank)
+LEFT JOIN orders o ON CASE WHEN o_orderstatus IN ('F', 'O') THEN o_orderstatus ELSE 'failed' END = s.status GROUP BY ALL""")
+def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.status_counts(table(spark, sf_dir, "orders"), ["F", "O", "failed"], "failed", "o_orderstatus")
+
+
+@query("audit_summary", "SELECT count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS success, ((count(*) FILTER (o_orderstatus = 'F')) * 20000 + count(*)) // (2 * count(*)) AS rate_e4 FROM orders")
+def audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "orders"), "F", "o_orderstatus")
+
+
+@query("wave_status", """
+WITH u AS (SELECT user_id AS spec, count(*) AS n, bool_or(event_type = 'purchase') AS done, count(*) FILTER (value >= 50) AS n_pass, count(*) FILTER (value < 50) AS n_fail FROM events GROUP BY 1)
+SELECT wave, count(*) AS total, count(*) FILTER (done) AS done, sum(n_pass)::BIGINT AS n_pass, sum(n_fail)::BIGINT AS n_fail, CASE WHEN count(*) FILTER (done) = 0 THEN 'pending' WHEN count(*) FILTER (done) < count(*) THEN 'partial' ELSE 'complete' END AS status
+FROM u JOIN (VALUES ('w1', 0, 60), ('w2', 60, 70), ('w3', 65, 100000)) w(wave, low, high) ON u.n >= low AND u.n < high GROUP BY wave""")
+def wave_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("spec")).agg(F.count("*").alias("n"), F.bool_or(F.col("event_type") == "purchase").alias("done"), F.count_if(F.col("value") >= 50).alias("n_pass"), F.count_if(F.col("value") < 50).alias("n_fail"))
+    waves = spark.createDataFrame([("w1", 0, 60), ("w2", 60, 70), ("w3", 65, 100000)], "wave string, low long, high long")
+    matched = audit.in_waves(users.select("spec", "n"), waves, (F.col("n") >= F.col("low")) & (F.col("n") < F.col("high")))
+    return audit.wave_status(matched, users.select("spec", "done", "n_pass", "n_fail"))
+
+
+@query("last_attempt", """
+SELECT o_custkey, n_attempts, CASE WHEN k % 2 = 0 AND k % 3 > 0 THEN 'success' WHEN k % 3 > 0 THEN 'partial' ELSE 'failed' END AS status FROM (SELECT o_custkey, count(*) AS n_attempts, max(o_orderkey) AS k FROM orders GROUP BY 1)""")
+def last_attempt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return audit.last_attempt(table(spark, sf_dir, "orders").select("o_custkey", k, (k % 3).alias("n_pass"), (k % 2).alias("n_fail")), "o_custkey", "o_orderkey")
+
+
+@query("pending_specs", "SELECT c_custkey FROM customer LEFT JOIN (SELECT o_custkey, max_by(o_orderstatus, o_orderkey) AS s FROM orders GROUP BY 1) ON c_custkey = o_custkey WHERE s IS NULL OR s IN ('P', 'O')")
+def pending_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max_by("o_orderstatus", "o_orderkey").alias("status"))
+    return audit.pending(table(spark, sf_dir, "customer").select("c_custkey"), state, "c_custkey", ("P", "O"))
+
+
+@query("dup_ids", "SELECT l_orderkey, l_linenumber, count(*) - 1 AS extra FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def dup_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.repeated_ids(table(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_linenumber")
+
+
+@query("numbered_copies", "SELECT p_partkey, CASE WHEN rn = 0 THEN p_name ELSE p_name || '_' || rn END AS file_name FROM (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) - 1 AS rn FROM part)")
+def numbered_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.numbered_copies(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", ["p_partkey"]).select("p_partkey", "file_name")
+
+
+@query("validate_issues", """
+SELECT c_custkey, 'c_acctbal' AS field, 'ERROR' AS level, 'must not be negative' AS message FROM customer WHERE c_acctbal < 0 UNION ALL
+SELECT c_custkey, 'c_mktsegment', 'WARN', 'unknown segment' FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY') UNION ALL
+SELECT c_custkey, 'c_name', 'ERROR', 'required field is missing' FROM customer WHERE coalesce(c_name, '') = ''""")
+def validate_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [validate.Rule("c_acctbal", "ERROR", "must not be negative", F.col("c_acctbal") < 0), validate.Rule("c_mktsegment", "WARN", "unknown segment", ~F.col("c_mktsegment").isin("BUILDING", "MACHINERY")), validate.Rule("c_name", "ERROR", "required field is missing", F.coalesce("c_name", F.lit("")) == "")]
+    return validate.issues(table(spark, sf_dir, "customer"), ["c_custkey"], rules)
+
+
+TURNS_SQL = "SELECT conv_id * 1000 + turn AS src, conv_id * 1000 + turn + 1 AS dst FROM conversations"
+
+
+@query("closure_reach", f"""
+WITH RECURSIVE e AS (SELECT DISTINCT * FROM ({TURNS_SQL})), r AS (SELECT src AS root, dst AS node, 1 AS depth FROM e UNION SELECT root, dst, depth + 1 FROM r JOIN e ON src = node WHERE depth < 10)
+SELECT root, node, min(depth) AS depth FROM r GROUP BY ALL""")
+def closure_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.col("conv_id") * 1000 + F.col("turn")
+    edges = table(spark, sf_dir, "conversations").select(at.alias("src"), (at + 1).alias("dst"))
+    return closure.reach(edges, edges.select(F.col("src").alias("root")))
+
+
+@query("closure_taint", f"""
+WITH RECURSIVE e AS (SELECT DISTINCT * FROM ({TURNS_SQL})), r AS (SELECT src AS root, dst AS node, 1 AS depth FROM e UNION SELECT root, dst, depth + 1 FROM r JOIN e ON src = node WHERE depth < 10 AND node % 7 <> 3)
+SELECT root, bool_or(node % 7 = 3) AS is_tainted, count(DISTINCT node) AS n_reached FROM r GROUP BY root""")
+def closure_taint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.col("conv_id") * 1000 + F.col("turn")
+    edges = table(spark, sf_dir, "conversations").select(at.alias("src"), (at + 1).alias("dst"))
+    bad = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).where("node % 7 = 3").distinct()
+    return closure.tainted(edges, edges.select(F.col("src").alias("root")), bad)
+
+
+@query("license_class", """
+SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'permissive' WHEN 1 THEN 'copyleft' WHEN 2 THEN 'permissive' WHEN 3 THEN 'copyleft' ELSE 'unknown' END AS class FROM part""")
+def license_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array(*map(F.lit, ("MIT", "LGPL-2.1", "GPL-3.0 OR Apache-2.0", "MIT AND GPL-2.0", "Custom AND MIT", "Proprietary")))
+    verdict = packages.permissive(F.get(names, (F.col("p_partkey") % 6).cast("int")))
+    return table(spark, sf_dir, "part").select("p_partkey", F.when(verdict, "permissive").when(~verdict, "copyleft").otherwise("unknown").alias("class"))
+
+
+@query("version_range", "SELECT p_partkey, (p_size, p_partkey % 10) >= (10, 5) AND (p_size, p_partkey % 10) < (30, 0) AS fits FROM part")
+def version_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    version = F.concat_ws(".", F.col("p_size").cast("string"), (F.col("p_partkey") % 10).cast("string"))
+    return table(spark, sf_dir, "part").select("p_partkey", packages.satisfies(version, ">=10.5, <30").alias("fits"))
+
+
+@query("url_normalize", r"""
+SELECT page_id, regexp_extract(url, '^[^/]*//') || lower(regexp_extract(url, '^[^/]*//([^/?#]*)', 1)) || regexp_extract(url, '^[^/]*//[^/?#]*([^?#]*)', 1)
+  || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS url FROM (SELECT page_id, url, list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref)(=|$)')) AS q FROM pages)""")
+def url_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", scalars.without_tracking(F.col("url")).alias("url"))
+
+
+@query("url_paths", r"""
+SELECT page_id, lower(regexp_extract(url, '//([^/?#]*)', 1)) AS host, regexp_extract(p, '([^/]*)$', 1) AS basename, CASE WHEN regexp_extract(p, '^(.*)/', 1) = '' AND p LIKE '/%' THEN '/' ELSE regexp_extract(p, '^(.*)/', 1) END AS dirname,
+  regexp_extract(regexp_extract(p, '([^/]*)$', 1), '(\.[^.]*)$', 1) AS extension FROM (SELECT page_id, url, regexp_extract(url, '//[^/?#]*([^?#]*)', 1) AS p FROM pages)""")
+def url_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract("url", "//[^/?#]*([^?#]*)", 1).alias("p"))
+    return p.select("page_id", scalars.url_host(F.col("url")).alias("host"), scalars.basename(F.col("p")).alias("basename"), scalars.dirname(F.col("p")).alias("dirname"), scalars.extension(F.col("p")).alias("extension"))
+
+
+@query("json_props", "SELECT event_id, (props::JSON ->> '$.k')::BIGINT AS k FROM events")
+def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"))
+
+
+@query("consecutive_runs", """
+WITH m AS (SELECT *, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER w AND row_number() OVER w > 1 THEN 1 ELSE 0 END AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+p AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM m) SELECT user_id, run, event_type, count(*) AS n FROM p GROUP BY ALL""")
+def consecutive_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.runs(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "event_type")
+
+
+@query("pairwise", "SELECT event_id, event_type, next_value FROM (SELECT *, lead(event_type) OVER w AS next_value, lead(1) OVER w AS m FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE m = 1")
+def pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.pairs(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "event_type").select("event_id", "event_type", "next_value")
+
+
+@query("batched", "SELECT event_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 5 AS batch FROM events")
+def batched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.batches(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], 5).select("event_id", "batch")
+
+
+@query("accumulate", """
+SELECT o_orderkey, sum(o_orderkey) OVER w::BIGINT AS running_sum, max(o_orderkey) OVER w AS running_max, min(o_orderkey) OVER w AS running_min FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING)""")
+def accumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.accumulated(table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_orderkey").select("o_orderkey", "running_sum", "running_max", "running_min")
+
+
+@query("most_common", "SELECT p_name, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, p_name LIMIT 10")
+def most_common(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.most_common(table(spark, sf_dir, "part"), "p_name", 10)
+
+
+@query("stats_quantity", """
+SELECT l_returnflag, round(avg(l_quantity)::DECIMAL(18,6), 3)::VARCHAR AS mean, round(median(l_quantity)::DECIMAL(18,6), 3)::VARCHAR AS median, round(stddev_samp(l_quantity)::DECIMAL(18,6), 3)::VARCHAR AS stdev FROM lineitem GROUP BY 1""")
+def stats_quantity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(*sequences.statistics("l_quantity"))
+    return found.select("l_returnflag", *[F.round(F.col(c).cast("decimal(18,6)"), 3).cast("string").alias(c) for c in ("mean", "median", "stdev")])
+
+
+@query("first_mode", """
+SELECT o_custkey, s AS mode FROM (SELECT o_custkey, o_orderstatus AS s, row_number() OVER (PARTITION BY o_custkey ORDER BY count(*) DESC, min(o_orderkey)) AS rn FROM orders GROUP BY 1, 2) WHERE rn = 1""")
+def first_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.first_mode(table(spark, sf_dir, "orders"), ["o_custkey"], "o_orderstatus", "o_orderkey").select("o_custkey", "mode")
+
+
+@query("bucketize", "SELECT p_partkey, (p_size >= 10)::INT + (p_size >= 20)::INT + (p_size >= 35)::INT AS bucket FROM part")
+def bucketize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", sequences.bucket(F.col("p_size"), [10, 20, 35]).alias("bucket"))
+
+
+@query("encodings", "SELECT c_custkey, sha256(c_name) AS sha256, md5(c_name) AS md5, hex(c_name::BLOB) AS hex, translate(base64(c_name::BLOB), '+/', '-_') AS base64 FROM customer")
+def encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("c_name")
+    return table(spark, sf_dir, "customer").select("c_custkey", F.sha2(n, 256).alias("sha256"), F.md5(n).alias("md5"), F.hex(n).alias("hex"), scalars.urlsafe_base64(n).alias("base64"))
+
+
+@query("calendar", "SELECT o_orderkey, (isodow(o_orderdate) - 1)::INT AS weekday, day(last_day(o_orderdate))::INT AS month_days, (year(o_orderdate) % 4 = 0 AND (year(o_orderdate) % 100 <> 0 OR year(o_orderdate) % 400 = 0)) AS leap FROM orders")
+def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("o_orderdate")
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.weekday(d).alias("weekday"), F.dayofmonth(F.last_day(d)).alias("month_days"), scalars.is_leap(F.year(d)).alias("leap"))
+
+
+@query("gcd_comb", "SELECT p_partkey, gcd(p_partkey, p_size)::BIGINT AS g FROM part")
+def gcd_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", scalars.gcd(F.col("p_partkey"), F.col("p_size")).alias("g"))
+
+
+@query("private_addresses", "SELECT c_custkey, c_custkey % 3 = 0 AS private FROM customer")
+def private_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses made of keys: every third in 172.16.0.0/12, the others outside all private networks."""
+    k = F.col("c_custkey")
+    address = F.concat_ws(".", F.lit("172"), F.when(k % 3 == 0, 16 + k % 16).otherwise(32 + k % 64).cast("string"), (k % 256).cast("string"), (k % 251).cast("string"))
+    return table(spark, sf_dir, "customer").select("c_custkey", scalars.is_private_ipv4(address).alias("private"))
+
+
+@query("glob_names", "SELECT p_partkey, regexp_matches(p_name, '^[a-m].*e.$') AS hit FROM part")
+def glob_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", scalars.matches_glob(F.col("p_name"), "[a-m]*e?").alias("hit"))
