@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodemill.functions import packages, scalars, sequences
-from lodemill.operators import audit, closure, compare, coverage, merge, overlap, rank, validate
+from lodemill.operators import audit, closure, compare, coverage, invariants, merge, overlap, rank, validate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -287,6 +287,35 @@ def version_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", packages.satisfies(version, ">=10.5, <30").alias("fits"))
 
 
+@query("invariant_expand", """
+SELECT r_name AS spec, n_nationkey % 2 = 0 AS even, r_name || '.n.' || n_nationkey AS id, 'nation ' || n_name || ' of {' || n_nationkey || '}' AS description,
+  CASE WHEN n_nationkey % 2 = 0 THEN 'even' ELSE 'general' END AS category, n_name AS name, CASE WHEN n_nationkey % 3 = 0 THEN 'own' ELSE 'all' END AS scope
+FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def invariant_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions as tables of cases, nations as their rows."""
+    key = F.col("n_nationkey").cast("string")
+    cells = F.array(key, "n_name", F.when(F.col("n_nationkey") % 2 == 0, "even"))
+    own = F.when(F.col("n_nationkey") % 3 == 0, F.create_map(F.lit("scope"), F.lit("own")))
+    rows = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.collect_list(F.struct(cells.alias("cells"), own.alias("overrides"))).alias("rows"))
+    text = lambda v: F.lit(v).cast("string")
+    tables = rows.join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(
+        F.col("r_name").alias("spec"), text("nations").alias("label"), text("call_eq").alias("kind"), text(None).alias("category"), text("n").alias("id_prefix"), text(None).alias("id_from"),
+        text("nation {name} of {{{id}}}").alias("describe"), text(None).alias("rfc"), text(None).alias("skip_if"),
+        F.create_map(text("scope"), text("all")).alias("shared"), F.array(*map(F.lit, ["id", "name", "category"])).alias("columns"), "rows",
+    )
+    made = invariants.expand(tables)
+    return made.select("spec", (F.col("category") == "even").alias("even"), "id", "description", "category", F.col("fields")["name"].alias("name"), F.col("fields")["scope"].alias("scope"))
+
+
+@query("skip_conditions", """
+SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_size >= 30 WHEN 1 THEN p_partkey % 3 = 0 WHEN 2 THEN p_size < 10 AND p_partkey % 3 <> 0 ELSE FALSE END AS skipped FROM part""")
+def skip_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = ['semver_satisfies(lib_version, ">=30")', 'platform == "darwin"', 'semver_satisfies(lib_version, "<10") and not platform == "darwin"', "no such(thing"]
+    key, version = F.col("p_partkey"), F.concat(F.col("p_size").cast("string"), F.lit(".0"))
+    skip_if = F.get(F.array(*map(F.lit, texts)), (key % 4).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", invariants.skipped(skip_if, texts, version, F.when(key % 3 == 0, "darwin").otherwise("linux")).alias("skipped"))
+
+
 @query("url_normalize", r"""
 SELECT page_id, regexp_extract(url, '^[^/]*//') || lower(regexp_extract(url, '^[^/]*//([^/?#]*)', 1)) || regexp_extract(url, '^[^/]*//[^/?#]*([^?#]*)', 1)
   || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS url FROM (SELECT page_id, url, list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref)(=|$)')) AS q FROM pages)""")

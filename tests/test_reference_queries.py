@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodemill.functions import packages, scalars
-from lodemill.operators import closure
+from lodemill.operators import closure, invariants
 from lodemill.plans import registry
 from lodemill.sources import recipes, records
 from lodemill.streaming import incremental
@@ -82,3 +82,32 @@ def test_stream_state(spark, tmp_path):
     q = incremental.watched(spark, str(tmp_path / "in"), "k string, n long", incremental.keeping_state(spark, str(tmp_path / "state"), "k", "n"), str(tmp_path / "cp"), once=True)
     q.awaitTermination(60)
     assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "state" / "0")).collect()} == {("a", 2), ("b", 1)}
+
+
+def test_tables_become_invariants(spark):
+    head = ("z", "t", "call_eq", None, None, "name", "{name} is {v}, {{x}}, {none}", "RFC 1", None, {"fn": "f", "v": "0"})
+    tables = [
+        (*head, ["name", "v", "kwargs", "skip_if", "v"], [(["{v}", "1", None, "never", "2"], None), (["b", "1", "k", None, "3"], {"fn": "g", "extra": "e"}), (["b"], None)]),
+        ("y", "u", "k", "c", "p", None, None, None, "s", None, ["x"], [(["1"], None)]),
+        ("y", "w", "k", "c", "p", None, None, None, "s", None, ["id", "description"], [(["1", "own"], None), ([None, None], None)]),
+        ("y", "e", "k", "c", "p", None, None, None, "s", None, ["id"], []),
+        ("y", "n", "k", "c", "p", None, None, None, "s", None, None, None),
+    ]
+    got = {(r.label, r.row): r for r in invariants.expand(spark.createDataFrame(tables, invariants.TABLE_SCHEMA)).collect()}
+    a, b = got["t", 0], got["t", 1]
+    assert (a.id, a.description, a.category, a.rfc_reference, a.skip_if, a.fields) == ("z.{v}", "{v} is 2, {x}, None", "general", "RFC 1", "never", {"fn": "f", "name": "{v}", "v": "2"})
+    assert (b.id, b.skip_if, b.fields) == ("z.b", None, {"fn": "g", "name": "b", "v": "3", "kwargs": "k", "extra": "e"})
+    assert {k: r.problem for k, r in got.items() if r.problem} == {("t", 2): "cells and columns differ in number", ("u", 0): "no id", ("w", 1): "no id"}
+    c = got["w", 0]
+    assert (c.id, c.description, c.category, c.skip_if, c.fields) == ("y.p.1", "own", "c", "s", {}) and len(got) == 6
+    assert invariants.expand(spark.createDataFrame([], invariants.TABLE_SCHEMA)).count() == 0
+
+
+def test_typed_bytes_and_conditions(spark):
+    values = [("bytes_b64", "aGk=", b"hi"), ("bytes_hex", "68 69", b"hi"), ("bytes_ascii", "hi", b"hi"), ("bytes_ascii", "ü", None), ("bytes_hex", "zz", None), ("str", "hi", None), ("bytes_hex", None, b"")]
+    found = spark.createDataFrame(values, "k string, v string, want binary").select("want", invariants.typed_bytes(F.col("k"), F.col("v")).alias("got")).collect()
+    assert all(r.got == r.want for r in found), found
+    cases = [("1.2.12", 'semver_satisfies(lib_version, "<1.3")', True), ("1.3", 'not semver_satisfies(lib_version, "<1.3")', True), ("", 'semver_satisfies(lib_version, "<1.3")', False), ("1", 'platform == "linux" or lib_version == "2"', True), ("1", "__import__('os')", False), ("1", "lib_version <", False), ("1", None, False)]
+    texts = [t for _, t, _ in cases if t]
+    found = spark.createDataFrame(cases, "version string, skip_if string, want boolean").select("want", invariants.skipped(F.col("skip_if"), texts, F.col("version"), F.lit("linux")).alias("got")).collect()
+    assert [r.got for r in found] == [r.want for r in found], found
