@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodemill.functions import packages, scalars, sequences
 from lodemill.operators import audit, closure, compare, coverage, invariants, merge, overlap, rank, validate
+from lodemill.sources import seeds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -316,6 +317,17 @@ def skip_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", invariants.skipped(skip_if, texts, version, F.when(key % 3 == 0, "darwin").otherwise("linux")).alias("skipped"))
 
 
+@query("python_seeds", """
+SELECT DISTINCT replace(lower(p_brand), '#', '-') || '-' || p_size AS name FROM part WHERE p_partkey % 3 <> 0 AND p_partkey % 2 = 0 AND p_partkey % 7 <> 0""")
+def python_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as ports: two in three are named py-*, half come from the index, one in seven has an unexpanded name."""
+    key = F.col("p_partkey")
+    name = F.when(key % 7 == 0, "${NAME}").otherwise(F.concat_ws("_", F.translate("p_brand", "#", "-"), F.col("p_size").cast("string")))
+    path = F.concat(F.when(key % 3 == 0, "devel/").when(key % 3 == 1, "devel/py-").otherwise("py-"), name)
+    source = F.struct(F.when(key % 2 == 0, "pypi").otherwise("https://example.org").alias("url"))
+    return seeds.python_names(table(spark, sf_dir, "part").select(F.struct(name.alias("canonical_name"), path.alias("ecosystem_id")).alias("identity"), F.array(source).alias("sources")))
+
+
 @query("url_normalize", r"""
 SELECT page_id, regexp_extract(url, '^[^/]*//') || lower(regexp_extract(url, '^[^/]*//([^/?#]*)', 1)) || regexp_extract(url, '^[^/]*//[^/?#]*([^?#]*)', 1)
   || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS url FROM (SELECT page_id, url, list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref)(=|$)')) AS q FROM pages)""")

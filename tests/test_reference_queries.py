@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodemill.functions import packages, scalars
 from lodemill.operators import closure, invariants
 from lodemill.plans import registry
-from lodemill.sources import recipes, records
+from lodemill.sources import recipes, records, seeds
 from lodemill.streaming import incremental
 
 DATA = Path("/root/testdata/sf0.001")
@@ -111,3 +111,24 @@ def test_typed_bytes_and_conditions(spark):
     texts = [t for _, t, _ in cases if t]
     found = spark.createDataFrame(cases, "version string, skip_if string, want boolean").select("want", invariants.skipped(F.col("skip_if"), texts, F.col("version"), F.lit("linux")).alias("got")).collect()
     assert [r.got for r in found] == [r.want for r in found], found
+
+
+def test_seeds(spark, tmp_path):
+    ports = [(("Foo_Bar", "devel/py-foo"), [("PyPI",)]), (("foo-bar", "py-foo"), [("x",), ("PYPI",)]), (("a", "devel/py-a"), [("x",)]), (("b", "devel/b"), [("PYPI",)]), (("${X:tl}", "py-x"), [("PYPI",)]), ((None, "py-x"), [("PYPI",)]), (("n", None), None)]
+    schema = "identity struct<canonical_name:string,ecosystem_id:string>, sources array<struct<url:string>>"
+    names = seeds.python_names(spark.createDataFrame(ports, schema))
+    assert [r.name for r in names.collect()] == ["foo-bar"]
+    (tmp_path / "more.txt").write_text("# all\nfoo-bar # again\n\n zed \n")
+    more = seeds.listed_names(spark.read.text(str(tmp_path / "more.txt")))
+    seeds.write_names(seeds.with_more(names, more), str(tmp_path / "out"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect()) == ["foo-bar", "zed"]
+    assert seeds.python_names(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_npm_files(spark):
+    schema = "identity struct<canonical_name:string,ecosystem_id:string,version:string>, descriptive struct<license:array<string>,homepage:string>"
+    rows = [(("s__p_q", "@s/p_q", "1.2"), (["MIT", "ISC"], 'https://x/"a"')), (("c", "", ""), ([], "")), ((None, None, None), None)]
+    got = seeds.npm_files(spark.createDataFrame(rows, schema)).collect()
+    made = [json.loads(r.content) for r in got if r.filename == "package.json"]
+    assert [(m["name"], m["dependencies"], m["license"], m.get("homepage")) for m in made] == [("install-s-p-q", {"@s/p_q": "1.2"}, "MIT", 'https://x/"a"'), ("install-c", {"c": "*"}, "UNLICENSED", None), ("install-unknown", {"unknown": "*"}, "UNLICENSED", None)]
+    assert {r.content for r in got if r.filename == ".npmrc"} == {"\n".join(seeds.NPM_SETTINGS) + "\n"}
