@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodemill.functions import packages, scalars, sequences
-from lodemill.operators import audit, closure, compare, coverage, invariants, merge, overlap, rank, validate
+from lodemill.operators import audit, closure, compare, coverage, evaluate, invariants, merge, overlap, rank, validate
 from lodemill.sources import seeds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -422,3 +422,34 @@ def private_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("glob_names", "SELECT p_partkey, regexp_matches(p_name, '^[a-m].*e.$') AS hit FROM part")
 def glob_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", scalars.matches_glob(F.col("p_name"), "[a-m]*e?").alias("hit"))
+
+
+@query("constants_hold", """
+SELECT c_custkey AS id, n_name IS NOT NULL AS passed, CASE WHEN n_name IS NOT NULL THEN 'equal' WHEN known THEN 'another value' ELSE 'unknown constant' END AS message
+FROM (SELECT c_custkey, c_custkey % 30 AS wanted, c_custkey % 25 AS value, c_custkey % 30 < 25 AS known FROM customer) LEFT JOIN nation ON n_nationkey = wanted AND n_nationkey = value""")
+def constants_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations' keys as constants; customers expect values of them, some of constants that do not exist."""
+    constants = table(spark, sf_dir, "nation").select(F.lit("s").alias("spec"), F.col("n_nationkey").cast("long").alias("name"), F.col("n_nationkey").cast("long").alias("value"))
+    wanted = table(spark, sf_dir, "customer").select(F.lit("s").alias("spec"), F.col("c_custkey").alias("id"), (F.col("c_custkey") % 30).alias("name"), (F.col("c_custkey") % 25).alias("expected_value"))
+    return evaluate.constants_hold(wanted, constants).select("id", "passed", "message")
+
+
+@query("known_digests", "SELECT p_partkey, p_partkey % 3 <> 2 AS passed FROM part")
+def known_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two of three parts expect the digest of their name, the others that of another text."""
+    key, name = F.col("p_partkey"), F.col("p_name").cast("binary")
+    algorithm = F.when(key % 2 == 0, "sha256").otherwise("md5")
+    other = F.when(key % 3 == 2, F.concat(name, F.lit(b"x"))).otherwise(name)
+    wanted = F.when(key % 2 == 0, F.sha2(other, 256)).otherwise(F.md5(other))
+    return table(spark, sf_dir, "part").select("p_partkey", evaluate.known_digest(algorithm, name, wanted).alias("passed"))
+
+
+@query("outputs_hold", """
+SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_orderpriority = '1-URGENT' WHEN 1 THEN contains(o_orderpriority, 'LOW') WHEN 2 THEN regexp_matches(o_orderpriority, '^[1-3]-') ELSE contains(o_orderstatus, 'O') END AS passed FROM orders""")
+def outputs_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as commands that wrote their priority and, as errors, their status."""
+    pick = lambda *xs: F.get(F.array(*map(F.lit, xs)), (F.col("o_orderkey") % 4).cast("int"))
+    kind = pick("cli_stdout_eq", "cli_stdout_contains", "cli_stdout_matches", "cli_stderr_contains")
+    expected = pick("1-URGENT", "LOW", "^[1-3]-", "O")
+    held = evaluate.output_holds(kind, F.lit(0), F.concat("o_orderpriority", F.lit("\n")), F.col("o_orderstatus"), expected)
+    return table(spark, sf_dir, "orders").select("o_orderkey", held.alias("passed"))

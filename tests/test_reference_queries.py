@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodemill.functions import packages, scalars
-from lodemill.operators import closure, invariants
+from lodemill.operators import closure, evaluate, invariants
 from lodemill.plans import registry
-from lodemill.sources import recipes, records, seeds
+from lodemill.sources import recipes, records, seeds, specs
 from lodemill.streaming import incremental
 
 DATA = Path("/root/testdata/sf0.001")
@@ -132,3 +132,73 @@ def test_npm_files(spark):
     made = [json.loads(r.content) for r in got if r.filename == "package.json"]
     assert [(m["name"], m["dependencies"], m["license"], m.get("homepage")) for m in made] == [("install-s-p-q", {"@s/p_q": "1.2"}, "MIT", 'https://x/"a"'), ("install-c", {"c": "*"}, "UNLICENSED", None), ("install-unknown", {"unknown": "*"}, "UNLICENSED", None)]
     assert {r.content for r in got if r.filename == ".npmrc"} == {"\n".join(seeds.NPM_SETTINGS) + "\n"}
+
+
+SPEC = """
+spec: z
+version: ">=1"
+invariant z.one:
+  kind: constant_eq
+  category: c
+  name: MAX
+  expected_value: 3
+invariant z.call:
+  call: a.f(1, [-2, "x"], k=(1, None)).g("y").h
+  eq: !b64 aGk=
+  rfc: R
+invariant z.raises:
+  call: f()
+  raises: ValueError
+invariant z.bare: {call: f()}
+invariant z.deep: {call: f().a.b.c, eq: 1}
+invariant z.run: {call: "f(open('x'))", eq: 1}
+invariant z.kindless: {name: q}
+invariant z.text: no mapping
+table z.rows:
+  kind: call_eq
+  id_prefix: p
+  function: f
+  describe: "{id} gives {v}"
+  columns: [id, v]
+  rows:
+    - [a, 1]
+    - [b, !tuple [x, y], {function: g, skip_if: s}]
+    - [c]
+"""
+
+
+def test_specifications(spark, tmp_path):
+    (tmp_path / "z.yaml").write_text(SPEC)
+    (tmp_path / "bad.yaml").write_text("a: [")
+    (tmp_path / "list.yaml").write_text("- a")
+    (tmp_path / "noname.yaml").write_text("version: 1")
+    docs = specs.documents(spark, [str(tmp_path)])
+    assert sorted((r._path.split("/")[-1], r.spec, (r.problem or "").split(":")[0]) for r in docs.collect()) == [("bad.yaml", None, "no YAML"), ("list.yaml", None, "no mapping"), ("noname.yaml", None, "no spec"), ("z.yaml", "z", "")]
+    got = {r.id: r for r in specs.all_invariants(docs).withColumn("fields", F.to_json("fields")).collect()}
+    fields = {k: json.loads(r.fields) for k, r in got.items() if r.fields}
+    assert {k: r.problem for k, r in got.items() if r.problem} == {"z.bare": "call without eq or raises", "z.deep": "call can't be read", "z.run": "call can't be read", "z.kindless": "no kind", "z.text": "no mapping", None: "cells and columns differ in number"}
+    assert fields["z.one"] == {"name": "MAX", "expected_value": 3} and (got["z.one"].category, got["z.one"].description) == ("c", "constant_eq: z.one")
+    assert fields["z.call"] == {"function": "a.f", "args": [1, [-2, "x"]], "kwargs": {"k": {"type": "tuple", "value": [1, None]}}, "method": "g", "method_args": ["y"], "method_chain": "h", "expected": {"type": "bytes_b64", "value": "aGk="}}
+    assert (got["z.call"].kind, got["z.call"].rfc_reference) == ("python_call_eq", "R")
+    assert got["z.raises"].kind == "python_call_raises" and fields["z.raises"] == {"function": "f", "args": [], "expected_exception": "ValueError"}
+    assert fields["z.p.a"] == {"function": "f", "v": "1"} and got["z.p.a"].description == "a gives 1"
+    assert fields["z.p.b"]["function"] == "g" and json.loads(fields["z.p.b"]["v"]) == {"type": "tuple", "value": ["x", "y"]}
+    assert specs.all_invariants(docs.limit(0)).count() == 0
+
+
+def test_evaluation(spark):
+    cases = [
+        ("cli_exits_with", 2, "", "", "2", False, True), ("cli_exits_with", None, "", "", "2", False, False), ("cli_stdout_eq", 0, "a b \n", None, "a b", False, True), ("cli_stdout_eq", 0, " a", None, "a", False, False),
+        ("cli_stdout_contains", 0, "abc", "", "b", False, True), ("cli_stdout_matches", 0, "x\ny", "", "^y", False, False), ("cli_stdout_matches", 0, "x\ny", "", "^y", True, True), ("cli_stderr_contains", 1, "b", "a", "b", False, False),
+        ("cli_stdout_contains", 0, "abc", "", None, False, False), ("call_eq", 0, "", "", "", False, None),
+    ]
+    found = spark.createDataFrame(cases, "k string, x int, o string, e string, w string, m boolean, want boolean").select("want", evaluate.output_holds(*map(F.col, "kxoewm")).alias("got")).collect()
+    assert [r.got for r in found] == [r.want for r in found], found
+    digests = [("sha256", b"", "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855", True), ("md5", None, "d41d8cd98f00b204e9800998ecf8427e", True), ("md5", b"a", "d41d8cd98f00b204e9800998ecf8427e", False), ("none", b"", "", False)]
+    frame = spark.createDataFrame(digests, "a string, d binary, w string, want boolean")
+    assert all(r.got == r.want for r in frame.select("want", evaluate.known_digest(F.col("a"), F.col("d"), F.col("w")).alias("got")).collect())
+    parts = frame.where("a = 'sha256'").select(evaluate.same_in_parts(F.col("a"), F.array(F.lit(b""), F.col("d")), F.col("w")).alias("got")).first()
+    assert parts.got
+    wanted = spark.createDataFrame([("s", "1", "A", 3), ("s", "2", "A", 4), ("s", "3", "B", 3), ("t", "4", "A", 3), ("s", "5", "A", None)], "spec string, id string, name string, expected_value int")
+    constants = spark.createDataFrame([("s", "A", 3), ("s", "A", 3), ("s", "B", None)], "spec string, name string, value int")
+    assert {r.id: r.passed for r in evaluate.constants_hold(wanted, constants).collect()} == {"1": True, "2": False, "3": False, "4": False, "5": False}
