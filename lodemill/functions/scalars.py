@@ -147,3 +147,83 @@ def uuid5(namespace: str, name: Column) -> Column:
     part = lambda at, n: F.substring(digest, at, n)
     variant = F.translate(F.substring(digest, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
     return F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("5"), part(14, 3)), F.concat(variant, part(18, 3)), part(21, 12))
+
+
+def _byte_pairs(x: Column) -> Column:
+    """A binary value's bytes as two hexadecimal digits each."""
+    return F.regexp_extract_all(F.hex(x), F.lit("(..)"), 1)
+
+
+def base32(x: Column) -> Column:
+    """Base32 of a binary value, padded."""
+    bits = F.array_join(F.transform(_byte_pairs(x), lambda h: F.lpad(F.conv(h, 16, 2), 8, "0")), "")
+    groups = F.regexp_extract_all(F.concat(bits, F.lit("0000")), F.lit("(.{5})"), 1)
+    letters = F.array_join(F.transform(groups, lambda b: F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), F.conv(b, 2, 10).cast("int") + 1, F.lit(1))), "")
+    return F.concat(letters, F.repeat(F.lit("="), F.pmod(-F.length(letters), F.lit(8))))
+
+
+def hmac(key: Column, message: Column, bits: int = 256) -> Column:
+    """Keyed digest of a binary message by SHA-2 of 224, 256, 384 or 512 bits, in hexadecimal."""
+    block = 64 if bits <= 256 else 128
+    short = F.when(F.length(key) > block, F.unhex(F.sha2(key, bits))).otherwise(key)
+    padded = F.rpad(F.hex(short), 2 * block, "0")
+
+    def masked(with_byte: int) -> Column:
+        pairs = F.regexp_extract_all(padded, F.lit("(..)"), 1)
+        return F.unhex(F.array_join(F.transform(pairs, lambda h: F.lpad(F.hex(F.conv(h, 16, 10).cast("int").bitwiseXOR(F.lit(with_byte))), 2, "0")), ""))
+
+    return F.sha2(F.concat(masked(0x5C), F.unhex(F.sha2(F.concat(masked(0x36), message), bits))), bits)
+
+
+def quoted(x: Column) -> Column:
+    """Percent-encoded for a URL's path: letters, digits, _ . - ~ and / stay."""
+    out = F.url_encode(x)
+    for raw, wanted in (("+", "%20"), ("*", "%2A"), ("%2F", "/"), ("%7E", "~")):
+        out = F.replace(out, F.lit(raw), F.lit(wanted))
+    return out
+
+
+def unquoted(x: Column) -> Column:
+    """Percent-encoding undone, a plus sign left as it is; null if it is malformed."""
+    return F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B")))
+
+
+def normal_path(x: Column) -> Column:
+    """A path without empty parts, . and what .. undoes; of leading slashes one stays, or two if there are just two; a dot for nothing."""
+    root = F.when(x.rlike("^//(?!/)"), "//").when(F.startswith(x, F.lit("/")), "/").otherwise("")
+
+    def step(done: Column, part: Column) -> Column:
+        undone = (part == "..") & (F.size(done) > 0) & (F.coalesce(F.element_at(done, -1), F.lit("")) != "..")
+        kept = F.when((part == "..") & (F.size(done) == 0) & (root != ""), done).otherwise(F.concat(done, F.array(part)))
+        return F.when(part.isin("", "."), done).when(undone, F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(kept)
+
+    parts = F.aggregate(F.split(x, "/"), F.array().cast("array<string>"), step)
+    whole = F.concat(root, F.array_join(parts, "/"))
+    return F.when(x.isNotNull(), F.when(whole == "", ".").otherwise(whole))
+
+
+def dedented(x: Column) -> Column:
+    """Lines without the blanks and tabs that begin all lines that hold more; lines of nothing else become empty."""
+    lines = F.transform(F.split(x, "\n", -1), lambda s: F.when(s.rlike(r"^[ \t]+$"), "").otherwise(s))
+    starts = F.transform(F.filter(lines, lambda s: s != ""), lambda s: F.regexp_extract(s, r"^[ \t]*", 0))
+    low, high = F.coalesce(F.array_min(starts), F.lit("")), F.coalesce(F.array_max(starts), F.lit(""))
+    margin = F.array_max(F.filter(F.sequence(F.lit(0), F.length(low)), lambda n: F.substring(low, F.lit(1), n) == F.substring(high, F.lit(1), n)))
+    return F.array_join(F.transform(lines, lambda s: F.substring(s, margin + 1, F.greatest(F.length(s) - margin, F.lit(0)))), "\n")
+
+
+def lcm(a: Column, b: Column) -> Column:
+    """Least common multiple; 0 if one is 0."""
+    return F.when((a == 0) | (b == 0), F.lit(0).cast("long")).otherwise(F.abs(F.try_divide(a.cast("decimal(38,0)") * b.cast("long"), gcd(a, b).cast("decimal(20,0)"))).cast("long"))
+
+
+def normal_density(x: Column, mean: float, deviation: float) -> Column:
+    """Density of a normal distribution."""
+    z = (x - F.lit(mean)) / F.lit(deviation)
+    return F.exp(-z * z / 2) / (F.lit(deviation) * F.sqrt(2 * F.pi()))
+
+
+def is_close(a: Column, b: Column, relative: float = 1e-9, absolute: float = 0.0) -> Column:
+    """Whether two numbers differ by at most the relative part of the larger, or the absolute bound; infinities are close to themselves alone."""
+    infinite = F.abs(a).isin(float("inf")) | F.abs(b).isin(float("inf"))
+    near = F.abs(a - b) <= F.greatest(F.greatest(F.abs(a), F.abs(b)) * relative, F.lit(absolute))
+    return (a == b) & ~F.isnan(a) | (near & ~infinite & ~F.isnan(a) & ~F.isnan(b))

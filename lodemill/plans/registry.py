@@ -453,3 +453,14 @@ def outputs_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
     expected = pick("1-URGENT", "LOW", "^[1-3]-", "O")
     held = evaluate.output_holds(kind, F.lit(0), F.concat("o_orderpriority", F.lit("\n")), F.col("o_orderstatus"), expected)
     return table(spark, sf_dir, "orders").select("o_orderkey", held.alias("passed"))
+
+
+@query("lcm_numbers", "SELECT p_partkey, lcm(p_partkey, p_size)::BIGINT AS l FROM part")
+def lcm_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", scalars.lcm(F.col("p_partkey"), F.col("p_size")).alias("l"))
+
+
+@query("quoted_urls", "SELECT page_id, replace(url_encode(url), '%2F', '/') AS quoted, url AS back FROM pages")
+def quoted_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quoted = scalars.quoted(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", quoted.alias("quoted"), scalars.unquoted(quoted).alias("back"))

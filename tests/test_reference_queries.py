@@ -1,6 +1,14 @@
 """Every query against its SQL over the smallest tables, and the parsers over small literal inputs."""
 
+import base64
+import hashlib
+import hmac
 import json
+import math
+import posixpath
+import statistics
+import textwrap
+import urllib.parse
 from pathlib import Path
 
 import duckdb
@@ -10,7 +18,7 @@ from pyspark.sql import functions as F
 from lodemill.functions import packages, scalars
 from lodemill.operators import closure, evaluate, invariants
 from lodemill.plans import registry
-from lodemill.sources import recipes, records, seeds, specs
+from lodemill.sources import imports, recipes, records, seeds, specs
 from lodemill.streaming import incremental
 
 DATA = Path("/root/testdata/sf0.001")
@@ -202,3 +210,38 @@ def test_evaluation(spark):
     wanted = spark.createDataFrame([("s", "1", "A", 3), ("s", "2", "A", 4), ("s", "3", "B", 3), ("t", "4", "A", 3), ("s", "5", "A", None)], "spec string, id string, name string, expected_value int")
     constants = spark.createDataFrame([("s", "A", 3), ("s", "A", 3), ("s", "B", None)], "spec string, name string, value int")
     assert {r.id: r.passed for r in evaluate.constants_hold(wanted, constants).collect()} == {"1": True, "2": False, "3": False, "4": False, "5": False}
+
+
+TEXTS = ["", "a", "fo", "foo bar", "  x\n    y\n\n \n  z", "\tx\n  y", "a/b/../c", "/../a//b/.", "//x/..", "///x", "../..", "../a/../..", "ü~*+ %", "a/./b/", "x" * 200]
+
+
+def test_text_functions_equal_pythons(spark):
+    x, raw = F.col("x"), F.col("x").cast("binary")
+    found = spark.createDataFrame([(t,) for t in TEXTS], "x string").select(
+        "x", scalars.base32(raw).alias("b32"), scalars.hmac(raw, F.lit(b"message")).alias("h256"), scalars.hmac(F.lit(b"key"), raw, 512).alias("h512"),
+        scalars.quoted(x).alias("q"), scalars.unquoted(scalars.quoted(x)).alias("u"), scalars.normal_path(x).alias("path"), scalars.dedented(x).alias("d"),
+    ).collect()
+    for r in found:
+        b = r.x.encode()
+        assert r.b32 == base64.b32encode(b).decode(), r.x
+        assert r.h256 == hmac.new(b, b"message", hashlib.sha256).hexdigest() and r.h512 == hmac.new(b"key", b, hashlib.sha512).hexdigest(), r.x
+        assert (r.q, r.u) == (urllib.parse.quote(r.x), r.x), r.x
+        assert (r.path, r.d) == (posixpath.normpath(r.x), textwrap.dedent(r.x)), r.x
+    assert list(spark.createDataFrame([(None,)], "x string").select(scalars.normal_path(x), scalars.dedented(x), scalars.base32(raw), scalars.quoted(x)).first()) == [None] * 4
+
+
+def test_numbers_equal_pythons(spark):
+    cases = [(4, 6), (0, 3), (-4, 6), (7, 7), (2**31, 3)]
+    for r in spark.createDataFrame(cases, "a long, b long").select("a", "b", scalars.lcm(F.col("a"), F.col("b")).alias("l"), scalars.normal_density(F.col("b").cast("double"), 5.0, 2.0).alias("p")).collect():
+        assert r.l == math.lcm(r.a, r.b) and math.isclose(r.p, statistics.NormalDist(5, 2).pdf(r.b))
+    close = [(1.0, 1.0 + 1e-10), (1.0, 1.1), (math.inf, math.inf), (math.inf, 1.0), (math.nan, math.nan), (0.0, 1e-300), (0.0, 0.0)]
+    for r in spark.createDataFrame(close, "a double, b double").select("a", "b", scalars.is_close(F.col("a"), F.col("b")).alias("c")).collect():
+        assert r.c == math.isclose(r.a, r.b), r
+
+
+def test_imports(spark):
+    python = [("import a.b, c\nfrom __future__ import x\nfrom . import y\nfrom d.e import f\ndef g():\n    import c", ["a", "c", "d"]), ("import (", None), (None, []), ("", [])]
+    assert all(r.got == r.want for r in spark.createDataFrame(python, "t string, want array<string>").select("want", imports.python_roots(F.col("t")).alias("got")).collect())
+    node = "const a = require('a/b'); import x from \"node:fs\"; import 'c'; await import( './d' ); require(e)"
+    got = spark.createDataFrame([(node,)], "t string").select(imports.node_requests(F.col("t")).alias("r")).select("r", F.transform("r", imports.node_root).alias("roots")).first()
+    assert (got.r, got.roots) == (["./d", "a/b", "c", "node:fs"], [".", "a", "c", "fs"])
