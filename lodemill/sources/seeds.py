@@ -61,3 +61,37 @@ def npm_files(records: DataFrame, prefix: str = "install-") -> DataFrame:
     file = lambda n, c: F.struct(F.lit(n).alias("filename"), c.alias("content"))
     files = F.array(file("package.json", F.concat(manifest, F.lit("\n"))), file(".npmrc", F.lit("\n".join(NPM_SETTINGS) + "\n")))
     return records.select(name.alias("name"), F.inline(files))
+
+
+#: Fixed value: the head of a Python project's settings that builds with setuptools.
+PYTHON_BUILD = ("[build-system]", 'requires = ["setuptools>=61", "wheel"]', 'build-backend = "setuptools.backends.legacy:build"', "", "[project]")
+
+
+def pypi_files(records: DataFrame) -> DataFrame:
+    """(name, filename, content) of requirements.txt and pyproject.toml for each package.
+
+    records has identity, descriptive<summary, homepage, license>, dependencies<runtime>, sources<url> and
+    requires_python. Lines of what is null or empty are left out; no licence is UNKNOWN; quotes in the summary
+    and the homepage are escaped; the first source with a URL is named in a comment.
+    """
+    text = lambda path: F.nullif(F.col(path), F.lit(""))
+    quote = lambda x: F.replace(x, F.lit('"'), F.lit('\\"'))
+    line = lambda before, x, after='"': F.concat(F.lit(before), x, F.lit(after))
+    name = F.coalesce(_first(F.col("identity.ecosystem_id"), F.col("identity.canonical_name")), F.lit("unknown"))
+    version, none = text("identity.version"), F.array().cast("array<string>")
+    needed = F.coalesce("dependencies.runtime", none)
+    some = lambda x, *lines: F.when(x.isNotNull(), F.array(*lines)).otherwise(none)
+    home, source = text("descriptive.homepage"), F.get(F.filter("sources.url", lambda u: u != ""), F.lit(0))
+    project = F.concat(
+        F.array(*map(F.lit, PYTHON_BUILD), line('name = "', name)),
+        some(version, line('version = "', version)),
+        some(text("descriptive.summary"), line('description = "', quote(F.col("descriptive.summary")))),
+        some(text("requires_python"), line('requires-python = "', F.col("requires_python"))),
+        F.array(line('license = {text = "', F.coalesce(F.get("descriptive.license", F.lit(0)), F.lit("UNKNOWN")), '"}')),
+        F.when(F.size(needed) > 0, F.concat(F.array(F.lit("dependencies = [")), F.transform(needed, lambda d: line('    "', d, '",')), F.array(F.lit("]")))).otherwise(none),
+        some(home, F.lit(""), F.lit("[project.urls]"), line('Homepage = "', quote(home))),
+        some(source, F.lit(""), line("# Source: ", source, "")),
+    )
+    pinned = F.concat(F.array(F.concat(name, F.coalesce(F.concat(F.lit("=="), version), F.lit("")))), needed)
+    file = lambda n, lines: F.struct(F.lit(n).alias("filename"), F.concat(F.array_join(lines, "\n"), F.lit("\n")).alias("content"))
+    return records.select(name.alias("name"), F.inline(F.array(file("requirements.txt", pinned), file("pyproject.toml", project))))

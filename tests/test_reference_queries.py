@@ -245,3 +245,16 @@ def test_imports(spark):
     node = "const a = require('a/b'); import x from \"node:fs\"; import 'c'; await import( './d' ); require(e)"
     got = spark.createDataFrame([(node,)], "t string").select(imports.node_requests(F.col("t")).alias("r")).select("r", F.transform("r", imports.node_root).alias("roots")).first()
     assert (got.r, got.roots) == (["./d", "a/b", "c", "node:fs"], [".", "a", "c", "fs"])
+
+
+def test_pypi_files(spark):
+    schema = "identity struct<canonical_name:string,ecosystem_id:string,version:string>, descriptive struct<summary:string,homepage:string,license:array<string>>, dependencies struct<runtime:array<string>>, sources array<struct<url:string>>, requires_python string"
+    full = (("z", "Z", "1.2"), ('a "b"', "https://h", ["MIT"]), (["x>=1", "y"],), [("",), ("https://s",)], ">=3.9")
+    got = {(r["name"], r.filename): r.content for r in seeds.pypi_files(spark.createDataFrame([full, (("c", "", ""), None, None, None, None)], schema)).collect()}
+    assert got["Z", "requirements.txt"] == "Z==1.2\nx>=1\ny\n" and got["c", "requirements.txt"] == "c\n"
+    head = "\n".join(seeds.PYTHON_BUILD)
+    assert got["c", "pyproject.toml"] == head + '\nname = "c"\nlicense = {text = "UNKNOWN"}\n'
+    assert got["Z", "pyproject.toml"] == head + (
+        '\nname = "Z"\nversion = "1.2"\ndescription = "a \\"b\\""\nrequires-python = ">=3.9"\nlicense = {text = "MIT"}\ndependencies = [\n    "x>=1",\n    "y",\n]\n'
+        '\n[project.urls]\nHomepage = "https://h"\n\n# Source: https://s\n'
+    )
