@@ -1,7 +1,9 @@
 """Substring deduplication by sliding sentence spans.
 
 A text is cut into sentences (a run of .?! before white space ends one, and so does a line's end; sentences
-of more than LONG words are cut every CUT words, so passages without full stops have spans too). From each
+of more than LONG words are cut after words that are the least by hash of some CUT words in a row, so passages
+without full stops have spans too, and what stands before a passage moves none of its cuts: two copies of CUT
+words have a cut in common). From each
 sentence the shortest run of at least RUN sentences and WORDS words is a span; its 128-bit hash covers its
 words, ASCII-lower-cased, so passages agree wherever their lines break. All spans are grouped by hash: a
 span at two places is repeated, the place of least (doc_id, position) stays, and the sentences under every
@@ -33,25 +35,60 @@ RUN, WORDS = 2, 25
 LONG, CUT = 25, 12
 
 _SENTENCE = re.compile(r"(?s)[^\n]*?[.?!]+(?=[\x20\x09-\x0D]|\Z)[\x20\x09-\x0D]*|[^\n]*\n[\x20\x09-\x0D]*|[^\n]+\Z")
-_WORD = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*|[\x20\x09-\x0D]+")
+_WORD = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 _RNG = np.random.default_rng(11)
 _BASES = [int(x) for x in _RNG.integers(1, 2**62, 2) * 2 + 1]
 _BACK = [pow(b, -1, 2**64) for b in _BASES]
 
 
+def _folded(text: str) -> list[bytes]:
+    """The words of a text as they are hashed."""
+    return text.encode("utf-8", "surrogatepass").translate(FOLD).split()
+
+
+def _cuts(long: list[str]) -> list[np.ndarray]:
+    """For each sentence the numbers of words (from its start) after which it is cut, without its end."""
+    words = [_folded(s) for s in long]
+    n = np.array([len(w) for w in words], dtype=np.int64)
+    if n.sum() < CUT:
+        return [np.zeros(0, dtype=np.int64) for _ in long]
+    low = np.uint64(0xFFFFFFFF)
+    # the least of a window's hashes, the last one of equals, with its place in the low half
+    least = (word_hashes([x for w in words for x in w]) | low) - np.arange(n.sum(), dtype=np.uint64)
+    width = 1
+    while width < CUT:
+        step = min(width, CUT - width)
+        least = np.minimum(least[: len(least) - step], least[step:])
+        width += step
+    of = np.repeat(np.arange(len(n)), n)
+    place = np.unique(low - (least & low)[of[: len(least)] == of[CUT - 1 :]]).astype(np.int64)
+    ends = np.cumsum(n)
+    place = place[place + 1 < ends[of[place]]]
+    return np.split(place + 1 - (ends - n)[of[place]], np.searchsorted(of[place], np.arange(1, len(n))))
+
+
 def sentences(text: str) -> list[str]:
     """The sentences of a text; joined they are the text. Without words they go with the one before."""
     out: list[str] = []
+    long: list[int] = []
     for s in _SENTENCE.findall(text):
-        words = s.split()
-        if not words and out:
+        n = len(s.split())
+        if not n and out:
             out[-1] += s
-        elif len(words) <= LONG:
-            out.append(s)
         else:
-            pieces = _WORD.findall(s)
-            out += ["".join(pieces[i : i + CUT]) for i in range(0, len(pieces), CUT)]
-    return out
+            if n > LONG:
+                long.append(len(out))
+            out.append(s)
+    if not long:
+        return out
+    cut: list[str] = []
+    done = 0
+    for at, ends in zip(long, _cuts([out[i] for i in long]), strict=True):
+        pieces, ends = _WORD.findall(out[at]), [0, *ends.tolist(), None]
+        cut += out[done:at]
+        cut += ["".join(pieces[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+        done = at + 1
+    return cut + out[done:]
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -63,7 +100,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 def spans(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
     """(start, end, hash, hash) of the spans of a text, in sentences, and the number of sentences."""
     parts = sentences(text)
-    split = [p.encode("utf-8", "surrogatepass").translate(FOLD).split() for p in parts]
+    split = [_folded(p) for p in parts]
     n = np.concatenate(([0], np.cumsum([len(w) for w in split], dtype=np.int64)))
     k = len(parts)
     start = np.arange(k)

@@ -95,6 +95,19 @@ def test_substring_dedup(spark, docs, texts):
     assert got[0].text == texts[0] and got[33].text == "" and substring_dedup.deduplicate(empty(spark)).count() == 0
 
 
+def test_substring_dedup_of_passages_without_full_stops(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choices("abcdeinost", k=6))
+    passages = [[word() for _ in range(51)] for _ in range(12)]
+    # each passage in the middle of a line, at another offset in each document
+    texts = [" ".join(" ".join([*[word() for _ in range(30 + 7 * d + i)], *p, *[word() for _ in range(30)]]) + "\n" for i, p in enumerate(passages)) for d in range(2)]
+    got = {x.doc_id: x.text for x in substring_dedup.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0] == texts[0]
+    for p in passages:  # what stays are fewer than CUT words at each end
+        assert len(set(p) & set(got[1].split())) < 2 * substring_dedup.CUT
+    assert len(set(texts[1].split()) - set(got[1].split()) - {w for p in passages for w in p}) == 0
+
+
 def test_quality_rules(spark, docs):
     clean, junk = "These words make a plain line of text.\n" * 3, "A## B%% C$$ | D** | E&&\n" * 3
     crf = quality_rules.train([quality_rules.described([t])[0] for t in [clean, junk] * 10], [True, False] * 10)
