@@ -4,8 +4,9 @@ A text is cut into sentences (a run of .?! before white space ends one, and so d
 of more than LONG words are cut after words that are the least by hash of some CUT words in a row, so passages
 without full stops have spans too, and what stands before a passage moves none of its cuts: two copies of CUT
 words have a cut in common). From each
-sentence the shortest run of at least RUN sentences and WORDS words is a span; its 128-bit hash covers its
-words, ASCII-lower-cased, so passages agree wherever their lines break. All spans are grouped by hash: a
+sentence the shortest run of at least RUN sentences and WORDS words is a span, and so is the shortest that ends
+at each sentence: whatever longer run is repeated, each of its sentences is in one of them. A span's 128-bit hash
+covers its words, ASCII-lower-cased, so passages agree wherever their lines break. All spans are grouped by hash: a
 span at two places is repeated, the place of least (doc_id, position) stays, and the sentences under every
 other place are removed.
 
@@ -105,6 +106,11 @@ def spans(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, in
     k = len(parts)
     start = np.arange(k)
     end = np.maximum(np.searchsorted(n, n[:-1] + WORDS), start + RUN)
+    # ends of no such run: the last start whose run is over by then begins the shortest that ends there
+    over = np.zeros(k + 1, dtype=bool)
+    over[end[end <= k]] = True
+    late = np.flatnonzero(~over & (np.arange(k + 1) > end[0])) if k else end
+    start, end = np.concatenate((start, np.searchsorted(end, late, side="right") - 1)), np.concatenate((end, late))
     on = end <= k
     start, end = start[on], end[on]
     words = word_hashes([w for s in split for w in s])
@@ -142,7 +148,7 @@ def removals(docs: DataFrame) -> DataFrame:
     grouped = every.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("final"))
     repeated = written(grouped.where(F.col("first") != F.col("final")).select("h1", "h2", "first"), "repeated")
     again = every.join(repeated, ["h1", "h2"]).where(place != F.col("first"))
-    return again.groupBy("doc_id", "content").agg(F.array_sort(F.collect_set(F.struct("pos", "stop"))).alias("cut"))
+    return written(again.groupBy("doc_id", "content").agg(F.array_sort(F.collect_set(F.struct("pos", "stop"))).alias("cut")), "cuts")
 
 
 def without(text: str, cut: list[tuple[int, int]]) -> tuple[str, int, int]:

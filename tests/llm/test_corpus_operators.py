@@ -108,6 +108,19 @@ def test_substring_dedup_of_passages_without_full_stops(spark):
     assert len(set(texts[1].split()) - set(got[1].split()) - {w for p in passages for w in p}) == 0
 
 
+def test_substring_dedup_reaches_the_end_of_passages(spark):
+    r = random.Random(6)
+    sentence = lambda n: " ".join("".join(r.choices("abcdeinost", k=6)) for _ in range(n)) + ".\n"
+    lengths = [(24, 10, 10), (10, 24, 3, 2), (24, 24, 1, 1, 1), (13, 13, 12), (5,) * 9]
+    passages = ["".join(map(sentence, x)) for x in lengths]
+    texts = ["".join(sentence(20) + p for p in passages) + sentence(20) for _ in range(2)]
+    got = {x.doc_id: x.text for x in substring_dedup.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0] == texts[0]
+    for p in passages:
+        texts[1] = texts[1].replace(p, "")
+    assert got[1] == texts[1]
+
+
 def test_quality_rules(spark, docs):
     clean, junk = "These words make a plain line of text.\n" * 3, "A## B%% C$$ | D** | E&&\n" * 3
     crf = quality_rules.train([quality_rules.described([t])[0] for t in [clean, junk] * 10], [True, False] * 10)
