@@ -263,13 +263,20 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without near duplicates: of each component the row with the least id (one row, if the id repeats)
-    stays, and so do rows without an id, for which no other stands."""
-    found = near_duplicates(docs, threshold)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    joined = docs.join(kept, docs["doc_id"].cast("long") == kept["_kept"])
-    one = joined.withColumn("_row", F.row_number().over(Window.partitionBy("_kept").orderBy("text"))).where("_row = 1")
-    return one.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    """docs without near duplicates: of each component one row stays, the least by (doc_id, nulls last, content).
+
+    Rows are told apart by their text's hash, so different texts under one id, or without an id, are judged apart
+    and equal ones as one. Texts without shingles are like no other; one row of each id and text stays.
+    """
+    content = F.xxhash64(text_of("text"))
+    texts = written(docs.select(content.alias("doc_id"), text_of("text").alias("text")).groupBy("doc_id").agg(F.first("text").alias("text")), "texts")
+    found = near_duplicates(texts, threshold).select(F.col("doc_id").alias("_content"), F.col("component_id").alias("_component"), (F.col("n_shingles") == 0).alias("_bare"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), content.alias("_content")).join(found, "_content")
+    alone = F.when(F.col("_bare"), F.col("_id")).alias("_alone")
+    kept = rows.groupBy("_component", alone).agg(F.min(F.struct(F.col("_id").isNull().alias("last"), "_id", "_content")).alias("k")).select("k._id", "k._content")
+    joined = docs.withColumns({"_id_": F.col("doc_id").cast("long"), "_content_": content}).join(kept, F.col("_id_").eqNullSafe(F.col("_id")) & (F.col("_content_") == F.col("_content")))
+    one = joined.withColumn("_row", F.row_number().over(Window.partitionBy("_id", "_content").orderBy("_content"))).where("_row = 1")
+    return one.select(docs.columns)
 
 
 def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

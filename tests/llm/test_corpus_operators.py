@@ -75,6 +75,13 @@ def test_neardup_equals_brute_force(spark, docs):
     assert neardup.one_of_each(docs).columns == docs.columns
 
 
+def test_one_of_each_judges_texts_not_ids(spark):
+    x, y, z = ("alpha beta gamma delta epsilon zeta", "one two three four five six seven", "red green blue cyan black white grey")
+    rows = [(1, x), (1, y), (2, y), (3, x), (None, z), (None, z), (None, x), (4, ""), (5, ""), (5, "")]
+    got = neardup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id or 0), r.text) for r in got) == sorted([(1, x), (1, y), (0, z), (4, ""), (5, "")])
+
+
 def test_secrets(spark, docs):
     found, new = secrets.scan(docs)
     kinds = {r.doc_id: [s.kind for s in r.spans] for r in found.collect()}
