@@ -53,6 +53,13 @@ RULES = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 )
+#: A private key from its first line to its last or, where that is missing, over the lines of headers and base64 that follow.
+KEY_BLOCK = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:(?!-----BEGIN )[\s\S])*?-----END [A-Z ]*PRIVATE KEY-----"
+    r"|[ \t]*[A-Za-z0-9+/=]*(?:[ \t\r]*\n[ \t]*(?:(?:Proc-Type|DEK-Info):[^\n]*|[A-Za-z0-9+/=]*)(?=[ \t\r]*(?:\n|\z)))*+)"
+)
+#: What is masked: RULES (whose pem, as in the SQL of the scan, finds a key's first line), with keys as a whole.
+MASKED = (*[r for r in RULES if r.kind != "pem"], Rule("pem", KEY_BLOCK, version=2))
 LEDGER = "blob string, rules array<string>, spans array<struct<kind:string,start:int,end:int>>"
 SPAN = "array<struct<kind:string,start:int,end:int>>"
 
@@ -115,7 +122,7 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, mask: str = "[secret]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def redact(docs: DataFrame, mask: str = "[secret]", rules: tuple[Rule, ...] = MASKED) -> DataFrame:
     """docs with every found span's text replaced by mask (overlapping spans by one) and n_chars, if there, set anew.
 
     The findings are joined to the rows by content, so rows with null or repeated ids are treated alike."""

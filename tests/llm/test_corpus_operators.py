@@ -93,6 +93,15 @@ def test_secrets(spark, docs):
     assert secrets.scan(empty(spark))[0].count() == 0
 
 
+def test_redact_masks_whole_private_keys(spark):
+    begin, end, line = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", "MIIEpAIBAAKCAQEA+/x" * 3
+    body = f"{begin}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0\n\n" + f"{line}\n" * 5000
+    cases = {f"a\n{body}{end}\nAfter it.": "a\n[secret]\nAfter it.", f"a\n{body}After it.": "a\n[secret]\nAfter it.", f"{begin}\\n{line}\\n{end} b": "[secret] b",
+             f"a {begin}\n{line}\nNo end.\n{begin}\r\n{line}\r\n{end}\r\nz": "a [secret]\nNo end.\n[secret]\r\nz", f"{begin}\n{line}": "[secret]"}
+    got = secrets.redact(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.text for r in got] == list(cases.values())
+
+
 def test_substring_dedup(spark, docs, texts):
     got = {r.doc_id: r for r in substring_dedup.deduplicate(docs.where("doc_id IS NOT NULL")).collect()}
     passage = texts[-len(ODD) - 2].split("\n")[1]
