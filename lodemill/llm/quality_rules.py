@@ -36,6 +36,8 @@ SYMBOLS, SPACES = "#*$%&|<>", " \t\n\x0b\x0c\r"
 #: Characters of texts whose lines are described at a time.
 CHUNK = 1_000_000
 N_FEATURES = 9
+#: Lines of documents, padded to the longest of their batch, that the fit holds marginals of at a time.
+CELLS = 500_000
 
 _PLACES = np.random.default_rng(8).integers(1, 2**63, WINDOW, dtype=np.uint64) | np.uint64(1)
 
@@ -145,22 +147,29 @@ def _marginals(e: np.ndarray, change: np.ndarray, lengths: np.ndarray) -> tuple[
 def _fitted(sequences: list[np.ndarray], labels: list[np.ndarray]) -> Crf:
     """Maximum likelihood with a small L2 penalty, by Adam over all sequences."""
     order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
-    lengths = np.array([len(sequences[i]) for i in order])
-    most, d = int(lengths[0]), sequences[0].shape[1]
-    x, y = np.zeros((len(order), most, d)), np.zeros((len(order), most))
-    inside = np.arange(most) < lengths[:, None]
-    for row, i in enumerate(order):
-        x[row, : lengths[row]], y[row, : lengths[row]] = sequences[i], labels[i]
-    seen = np.zeros((2, 2))
-    for a in (0, 1):
-        for b in (0, 1):
-            seen[a, b] = ((y[:, :-1] == a) & (y[:, 1:] == b) & inside[:, 1:]).sum()
-    flat = x[inside]
+    d, n_lines = sequences[0].shape[1], sum(map(len, sequences))
+    seen, batches, at = np.zeros((2, 2)), [], 0
+    while at < len(order):
+        own = order[at : at + max(1, CELLS // len(sequences[order[at]]))]
+        at += len(own)
+        lengths = np.array([len(sequences[i]) for i in own])
+        inside = np.arange(lengths[0]) < lengths[:, None]
+        y = np.zeros(inside.shape)
+        y[inside] = held = np.concatenate([labels[i] for i in own])
+        for a in (0, 1):
+            for b in (0, 1):
+                seen[a, b] += ((y[:, :-1] == a) & (y[:, 1:] == b) & inside[:, 1:]).sum()
+        batches.append((np.concatenate([sequences[i] for i in own]), held, inside, lengths))
     theta, m, v = np.zeros(d + 4), np.zeros(d + 4), np.zeros(d + 4)
     for step in range(1, STEPS + 1):
         change = theta[d:].reshape(2, 2)
-        p, pairs = _marginals(np.where(inside, x @ theta[:d], 0.0), change, lengths)
-        grad = np.concatenate([flat.T @ (y - p)[inside], (seen - pairs).ravel()]) / inside.sum() - L2 * theta
+        grad = np.concatenate([np.zeros(d), seen.ravel()])
+        for flat, y, inside, lengths in batches:
+            e = np.zeros(inside.shape)
+            e[inside] = flat @ theta[:d]
+            p, pairs = _marginals(e, change, lengths)
+            grad += np.concatenate([flat.T @ (y - p[inside]), -pairs.ravel()])
+        grad = grad / n_lines - L2 * theta
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta = theta + RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return Crf(theta[:d], theta[d:].reshape(2, 2))
@@ -176,17 +185,17 @@ def train(sequences: list[np.ndarray], kept: list[bool]) -> Crf:
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(k, f.ravel()) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if len(f := described([t])[0])]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], type=pa.bool_()), pa.array([f for _, f in rows], type=pa.list_(pa.float64()))], names=["kept", "features"])
+        rows = [(k, f.tobytes()) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if len(f := described([t])[0])]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], type=pa.bool_()), pa.array([f for _, f in rows], type=pa.binary())], names=["kept", "features"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Crf:
     """A CRF from labels(doc_id, quality); only line features of the sampled documents come to the driver."""
     picked = F.broadcast(bounded_sample(labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", (F.col("quality") > 0).alias("kept")), ["doc_id"], train_docs))
     rows = docs.select("doc_id", text_of("text").alias("text")).join(picked, "doc_id").select("doc_id", "kept", "text")
-    found = rows.select("kept", "text").mapInArrow(_described, "kept boolean, features array<double>").collect()
-    found.sort(key=lambda r: (r["kept"], r["features"]))
-    return train([np.array(r["features"]).reshape(-1, N_FEATURES) for r in found], [r["kept"] for r in found])
+    found = rows.select("kept", "text").mapInArrow(_described, "kept boolean, features binary").collect()
+    found.sort(key=lambda r: (r["kept"], bytes(r["features"])))
+    return train([np.frombuffer(r["features"]).reshape(-1, N_FEATURES) for r in found], [r["kept"] for r in found])
 
 
 KINDS = [("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("content_words", pa.int64())]

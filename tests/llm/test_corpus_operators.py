@@ -153,6 +153,26 @@ def test_quality_rules(spark, docs):
     assert quality_rules.keep(docs, labels).columns == docs.columns and quality_rules.keep(empty(spark), labels).count() == 0
 
 
+def test_crf_fit_does_not_pad_all_documents_to_the_longest(monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+
+    monkeypatch.setattr(quality_rules, "STEPS", 2)
+    r = np.random.default_rng(2)
+    lines = [r.normal(size=(n, quality_rules.N_FEATURES)) for n in [4000] + [3] * 1000]
+    tracemalloc.start()
+    small = quality_rules.train(lines, [i % 2 == 0 for i in range(1001)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6
+    monkeypatch.setattr(quality_rules, "CELLS", 1, raising=False)
+    alone = quality_rules.train(lines[1:40], [i % 2 == 0 for i in range(39)])
+    monkeypatch.setattr(quality_rules, "CELLS", 10**9)
+    whole = quality_rules.train(lines[1:40], [i % 2 == 0 for i in range(39)])
+    assert np.allclose(alone.weights, whole.weights) and np.allclose(alone.change, whole.change) and np.isfinite(small.weights).all()
+
+
 def test_viterbi_is_the_best_path():
     import itertools
 
