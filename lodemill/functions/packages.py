@@ -65,10 +65,15 @@ def repository_url(url: Column) -> Column:
     return F.regexp_replace(u, r"\.git(?=$|#)", "")
 
 
-def version_key(version: Column, parts: int = 6) -> Column:
-    """A version's leading numbers, padded with zeros, as an array that compares as versions do."""
-    numbers = F.transform(F.split(F.regexp_extract(F.trim(version), r"^v?([0-9]+(?:\.[0-9]+)*)", 1), r"\."), lambda x: F.coalesce(x.try_cast("bigint"), F.lit(0)))
-    return F.slice(F.concat(numbers, F.array_repeat(F.lit(0).cast("bigint"), parts)), 1, parts)
+def _numbers(version: Column) -> Column:
+    return F.transform(F.split(F.regexp_extract(F.trim(version), r"^v?([0-9]+(?:\.[0-9]+)*)", 1), r"\."), lambda x: F.coalesce(x.try_cast("bigint"), F.lit(0)))
+
+
+def version_key(version: Column, parts: int | Column = 6) -> Column:
+    """A version's leading numbers, padded with zeros to `parts`, as an array that compares as versions do to others of its length."""
+    numbers = _numbers(version)
+    n = F.lit(parts) if isinstance(parts, int) else parts
+    return F.concat(numbers, F.array_repeat(F.lit(0).cast("bigint"), F.greatest(n - F.size(numbers), F.lit(0))))
 
 
 def satisfies(version: Column, constraint: str) -> Column:
@@ -85,7 +90,8 @@ def satisfies(version: Column, constraint: str) -> Column:
         m = re.fullmatch(r"(<=|>=|==|!=|<|>)\s*v?([0-9]+(?:\.[0-9]+)*)", clause.strip().rstrip(","))
         if m is None:
             return F.lit(None).cast("boolean")
-        out = out & getattr(version_key(version), tests[m[1]])(version_key(F.lit(m[2])))
+        longer = F.greatest(F.size(_numbers(version)), F.lit(m[2].count(".") + 1))
+        out = out & getattr(version_key(version, longer), tests[m[1]])(version_key(F.lit(m[2]), longer))
     return F.when(version.isNull() | (version == ""), True).otherwise(out)
 
 

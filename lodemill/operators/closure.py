@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,17 +57,24 @@ def tainted(edges: DataFrame, roots: DataFrame, copyleft: DataFrame, depth: int
     return roots.select("root").distinct().join(per, "root", "left").select("root", F.coalesce("is_tainted", F.lit(False)).alias("is_tainted"), F.coalesce("n_reached", F.lit(0)).alias("n_reached"))
 
 
-def layers(edges: DataFrame, most: int = 1000) -> DataFrame:
-    """node, layer of edges(src depends on dst): 0 without dependencies, else after all of them; null on or behind a cycle."""
+def layers(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """node, layer of edges(src depends on dst): 0 without dependencies, else after all of them; null on or behind a cycle.
+
+    Runs until no node is ready; an error if `most` is given and more layers than that are there.
+    """
     steps = _written(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
     left = _written(steps.select(F.col("src").alias("node")).union(steps.select(F.col("dst").alias("node"))).distinct())
     done = None
-    for at in range(most):
+    for at in count():
         ready = _written(left.join(steps.select(F.col("src").alias("node")).distinct(), "node", "left_anti"))
         if ready.isEmpty():
             break
+        if most is not None and at >= most:
+            raise ValueError(f"more than {most} layers")
         found = ready.withColumn("layer", F.lit(at))
         done = found if done is None else done.unionByName(found)
+        if at % 50 == 49:
+            done = _written(done)
         left = _written(left.join(ready, "node", "left_anti"))
         steps = _written(steps.join(ready.select(F.col("node").alias("dst")), "dst", "left_anti"))
     cyclic = left.withColumn("layer", F.lit(None).cast("int"))

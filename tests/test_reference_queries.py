@@ -258,3 +258,16 @@ def test_pypi_files(spark):
         '\nname = "Z"\nversion = "1.2"\ndescription = "a \\"b\\""\nrequires-python = ">=3.9"\nlicense = {text = "MIT"}\ndependencies = [\n    "x>=1",\n    "y",\n]\n'
         '\n[project.urls]\nHomepage = "https://h"\n\n# Source: https://s\n'
     )
+
+
+def test_layers_do_not_stop_early(spark):
+    edges = spark.createDataFrame([(i + 1, i) for i in range(4)], "src int, dst int")
+    with pytest.raises(ValueError):
+        closure.layers(edges, most=2)
+    assert {r.node: r.layer for r in closure.layers(edges).collect()} == {i: i for i in range(5)}
+
+
+def test_versions_of_many_numbers(spark):
+    cases = [("1.2.3.4.5.6.7", "<1.2.3.4.5.6.8", True), ("1.2.3.4.5.6.7", "==1.2.3.4.5.6.8", False), ("1.2", "==1.2.0.0.0.0.0.0", True), ("1.2.0.0.0.0.0.1", ">1.2", True), (None, ">1.2", True)]
+    got = spark.range(1).select(*[packages.satisfies(F.lit(v).cast("string"), c).alias(f"c{i}") for i, (v, c, _) in enumerate(cases)]).first()
+    assert list(got) == [want for *_, want in cases]
