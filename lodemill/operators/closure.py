@@ -6,48 +6,41 @@ stay short and a lost executor costs one round. Nothing is collected but whether
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _written(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = "file://" + tempfile.mkdtemp(prefix="lodemill-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    path = f"{shared}/lodemill/round-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from lodemill.shared import new_path, written
 
 
 def reach(edges: DataFrame, roots: DataFrame, depth: int = 10, stop: DataFrame | None = None) -> DataFrame:
     """root, node, depth (least number of steps, up to `depth`) of edges(src, dst) from roots(root).
 
     stop(node): nodes that are reached but not passed. The root itself is not reached by 0 steps; a cycle may
-    reach it again. Keys of edges may be skewed: each round is an equi-join with a distinct, both of which
-    aggregate or split by Spark's own means.
+    reach it again. Each round writes its own front beside the earlier ones and reads the folder for what has
+    been seen, so nothing is written twice. Keys of edges may be skewed: each round is an equi-join with a
+    distinct, both of which aggregate or split by Spark's own means.
     """
-    steps = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
-    front = _written(roots.select("root", F.col("root").alias("node")).distinct())
-    seen = None
+    spark = edges.sparkSession
+    steps = written(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct(), "steps")
+    stops = None if stop is None else written(stop.select("node").distinct(), "stops")
+    front = written(roots.select("root", F.col("root").alias("node")).distinct(), "front")
+    folder, kinds = new_path(spark, "reached"), None
     for at in range(1, depth + 1):
-        passing = front if stop is None or at == 1 else front.join(stop.select("node").distinct(), "node", "left_anti")
+        passing = front if stops is None or at == 1 else front.join(stops, "node", "left_anti")
         new = passing.join(steps, passing["node"] == steps["src"]).select("root", F.col("dst").alias("node")).distinct()
-        if seen is not None:
-            new = new.join(seen, ["root", "node"], "left_anti")
-        front = _written(new)
+        if kinds is not None:
+            new = new.join(spark.read.schema(kinds).parquet(folder), ["root", "node"], "left_anti")
+        found = new.withColumn("depth", F.lit(at))
+        kinds = found.schema
+        found.write.parquet(f"{folder}/round={at}")
+        front = spark.read.schema(kinds).parquet(f"{folder}/round={at}").select("root", "node")
         if front.isEmpty():
             break
-        found = front.withColumn("depth", F.lit(at))
-        seen = found if seen is None else _written(seen.unionByName(found))
-    return seen if seen is not None else front.withColumn("depth", F.lit(0)).limit(0)
+    if kinds is None:
+        return front.withColumn("depth", F.lit(0)).limit(0)
+    return spark.read.schema(kinds).parquet(folder).select("root", "node", "depth")
 
 
 def tainted(edges: DataFrame, roots: DataFrame, copyleft: DataFrame, depth: int = 10) -> DataFrame:
@@ -57,25 +50,52 @@ def tainted(edges: DataFrame, roots: DataFrame, copyleft: DataFrame, depth: int
     return roots.select("root").distinct().join(per, "root", "left").select("root", F.coalesce("is_tainted", F.lit(False)).alias("is_tainted"), F.coalesce("n_reached", F.lit(0)).alias("n_reached"))
 
 
+def _chained(single: DataFrame) -> DataFrame:
+    """node, top, steps: of nodes with one dependency (node, up), the first node down their chain that has none or several,
+    by doubling; null where the chain runs in a circle."""
+    at = written(single.select("node", F.col("up").alias("top"), F.lit(1).cast("long").alias("steps"), F.lit(True).alias("moved")), "chains")
+    for _ in range(single.count().bit_length() + 1):
+        above = at.select(F.col("node").alias("top"), F.col("top").alias("higher"), F.col("steps").alias("more"))
+        further = F.col("higher").isNotNull()
+        at = written(at.join(above, "top", "left").select("node", F.coalesce("higher", "top").alias("top"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), further.alias("moved")), "chains")
+        if at.where("moved").isEmpty():
+            break
+    return at.select("node", F.when(~F.col("moved"), F.col("top")).alias("top"), "steps")
+
+
 def layers(edges: DataFrame, most: int | None = None) -> DataFrame:
-    """node, layer of edges(src depends on dst): 0 without dependencies, else after all of them; null on or behind a cycle.
+    """node, layer of edges(src depends on dst): 0 without dependencies, else one more than the highest of them; null on or behind a cycle.
 
-    Runs until no node is ready; an error if `most` is given and more layers than that are there.
+    Chains of nodes with one dependency are cut short by doubling, so the rounds that follow are as many as nodes with
+    several dependencies lie on one path. A round writes its nodes beside the earlier rounds' and, of what still waits,
+    how many dependencies are open. Runs until nothing is ready; an error if `most` is given and there are more layers.
     """
-    steps = _written(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
-    left = _written(steps.select(F.col("src").alias("node")).union(steps.select(F.col("dst").alias("node"))).distinct())
-    done = None
+    spark = edges.sparkSession
+    steps = written(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct(), "steps")
+    open_ = written(steps.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"), F.first("dst").alias("up")), "open")
+    chains = written(_chained(open_.where("n = 1").select("node", "up")), "chains")
+    to = chains.select(F.col("node").alias("dst"), "top", F.col("steps").alias("more"))
+    several = steps.join(open_.where("n > 1").select(F.col("node").alias("src")), "src", "left_semi").join(to, "dst", "left")
+    several = written(several.select("src", F.when(F.col("more").isNull(), F.col("dst")).otherwise(F.col("top")).alias("dst"), (F.coalesce("more", F.lit(0)) + 1).alias("steps")), "branches")
+    waiting = written(open_.where("n > 1").select("node", "n", F.lit(0).cast("long").alias("layer")), "waiting")
+    every = steps.select(F.col("src").alias("node")).union(steps.select(F.col("dst").alias("node"))).distinct()
+    folder = new_path(spark, "layers")
+    ready = every.join(open_.select("node"), "node", "left_anti").withColumn("layer", F.lit(0).cast("long"))
+    kinds = ready.schema
     for at in count():
-        ready = _written(left.join(steps.select(F.col("src").alias("node")).distinct(), "node", "left_anti"))
-        if ready.isEmpty():
+        ready.write.parquet(f"{folder}/round={at}")
+        front = spark.read.schema(kinds).parquet(f"{folder}/round={at}").select("node", "layer")
+        if front.isEmpty() or (at and waiting.isEmpty()):
             break
-        if most is not None and at >= most:
-            raise ValueError(f"more than {most} layers")
-        found = ready.withColumn("layer", F.lit(at))
-        done = found if done is None else done.unionByName(found)
-        if at % 50 == 49:
-            done = _written(done)
-        left = _written(left.join(ready, "node", "left_anti"))
-        steps = _written(steps.join(ready.select(F.col("node").alias("dst")), "dst", "left_anti"))
-    cyclic = left.withColumn("layer", F.lit(None).cast("int"))
-    return cyclic if done is None else done.unionByName(cyclic)
+        met = several.join(front.select(F.col("node").alias("dst"), "layer"), "dst").groupBy(F.col("src").alias("node")).agg(F.count("*").alias("met"), F.max(F.col("layer") + F.col("steps")).alias("above"))
+        left = waiting.join(met, "node", "left").select("node", (F.col("n") - F.coalesce("met", F.lit(0))).alias("n"), F.greatest("layer", "above").alias("layer"))
+        left = written(left, "waiting")
+        ready, waiting = left.where("n = 0").select("node", "layer"), left.where("n > 0")
+    done = spark.read.schema(kinds).parquet(folder).select("node", "layer")
+    tops = done.select(F.col("node").alias("top"), "layer")
+    chained = chains.join(tops, "top", "left").select("node", (F.col("layer") + F.col("steps")).alias("layer"))
+    cyclic = waiting.select("node", F.lit(None).cast("long").alias("layer"))
+    out = written(done.unionByName(chained).unionByName(cyclic), "layered")
+    if most is not None and (out.agg(F.max("layer")).first()[0] or 0) >= most:
+        raise ValueError(f"more than {most} layers")
+    return out

@@ -31,13 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def orders_as_records(spark: SparkSession, sf_dir: str, before: str = "1996-01-01", since: str = "1900-01-01") -> DataFrame:
-    """Orders in the roles of package records: name, ecosystem, version, ord."""
-    o = table(spark, sf_dir, "orders").where((F.col("o_orderdate") < F.to_timestamp(F.lit(before))) & (F.col("o_orderdate") >= F.to_timestamp(F.lit(since))))
+def orders_as_records(spark: SparkSession, sf_dir: str, snapshot: str = "true") -> DataFrame:
+    """Orders (all, or those of a snapshot's condition) in the roles of package records: name, ecosystem, version, ord."""
+    o = table(spark, sf_dir, "orders").where(snapshot)
     return o.select(F.col("o_custkey").alias("name"), F.col("o_orderpriority").alias("ecosystem"), F.col("o_orderstatus").alias("version"), F.col("o_orderkey").alias("ord"))
 
 
-RECORDS_SQL = "SELECT o_custkey AS name, o_orderpriority AS ecosystem, o_orderstatus AS version FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01'"
+RECORDS_SQL = "SELECT o_custkey AS name, o_orderpriority AS ecosystem, o_orderstatus AS version FROM orders"
 CLASSED_SQL = f"""
 WITH rec AS ({RECORDS_SQL}),
 n AS (SELECT name, bool_or(ecosystem = '1-URGENT') AS has_a, bool_or(ecosystem = '5-LOW') AS has_b,
@@ -89,7 +89,7 @@ def fanin_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 HALVES_SQL = """
-WITH r AS (SELECT o_custkey AS name, o_orderpriority AS eco, max_by(o_orderstatus, o_orderkey) AS v, o_orderdate < TIMESTAMP '1995-07-01' AS old FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01' GROUP BY ALL),
+WITH r AS (SELECT o_custkey AS name, o_orderpriority AS eco, max_by(o_orderstatus, o_orderkey) AS v, o_orderdate < TIMESTAMP '1995-10-01' AS old FROM orders GROUP BY ALL),
 s AS (SELECT name, old, string_agg(eco, ',' ORDER BY eco) AS ecos FROM r GROUP BY ALL),
 m AS (SELECT a.name, bool_or(a.v IS DISTINCT FROM b.v) AS moved FROM r a JOIN r b ON a.name = b.name AND a.eco = b.eco AND a.old AND NOT b.old GROUP BY 1),
 d AS (SELECT coalesce(a.name, b.name) AS name, CASE WHEN a.name IS NULL THEN 'added' WHEN b.name IS NULL THEN 'removed' WHEN m.moved THEN 'version_changed' WHEN a.ecos <> b.ecos THEN 'ecosystem_changed' ELSE 'unchanged' END AS change
@@ -98,7 +98,9 @@ d AS (SELECT coalesce(a.name, b.name) AS name, CASE WHEN a.name IS NULL THEN 'ad
 
 
 def _halves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare.snapshot_diff(orders_as_records(spark, sf_dir, "1995-07-01"), orders_as_records(spark, sf_dir, "1996-01-01", "1995-07-01"))
+    """Two snapshots that hold every order between them: those before a date and those from it on."""
+    date = "TIMESTAMP '1995-10-01'"
+    return compare.snapshot_diff(orders_as_records(spark, sf_dir, f"o_orderdate < {date}"), orders_as_records(spark, sf_dir, f"o_orderdate >= {date}"))
 
 
 @query("snapshot_diff", HALVES_SQL + "SELECT * FROM d")
@@ -152,7 +154,7 @@ def dep_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("version_agreement", """
 SELECT name, count(DISTINCT v) AS n_values, count(DISTINCT v) <= 1 AS agree FROM (SELECT o_custkey AS name, o_orderpriority, max_by(o_orderstatus, o_orderkey) AS v FROM orders GROUP BY ALL) GROUP BY name""")
 def version_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge.agreement(orders_as_records(spark, sf_dir, "9999-01-01"), "name", "ecosystem", "version", "ord")
+    return merge.agreement(orders_as_records(spark, sf_dir), "name", "ecosystem", "version", "ord")
 
 
 @query("coverage", "SELECT doc_id, lang, doc_id IN (SELECT doc_id FROM labels) AS covered FROM documents")
@@ -274,6 +276,14 @@ def closure_taint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return closure.tainted(edges, edges.select(F.col("src").alias("root")), bad)
 
 
+@query("dependency_layers", "SELECT p_partkey AS node, p_partkey - (SELECT min(p_partkey) FROM part) AS layer FROM part")
+def dependency_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part needs the one before it, and one in a thousand also the one of half its key: one chain as long as the table."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("src"))
+    needs = p.select("src", F.explode(F.array(F.col("src") - 1, F.when(F.col("src") % 1000 == 500, F.floor(F.col("src") / 2)))).alias("dst"))
+    return closure.layers(needs.join(p.select(F.col("src").alias("dst")), "dst", "left_semi"))
+
+
 @query("license_class", """
 SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'permissive' WHEN 1 THEN 'copyleft' WHEN 2 THEN 'permissive' WHEN 3 THEN 'copyleft' ELSE 'unknown' END AS class FROM part""")
 def license_class(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -271,3 +271,29 @@ def test_versions_of_many_numbers(spark):
     cases = [("1.2.3.4.5.6.7", "<1.2.3.4.5.6.8", True), ("1.2.3.4.5.6.7", "==1.2.3.4.5.6.8", False), ("1.2", "==1.2.0.0.0.0.0.0", True), ("1.2.0.0.0.0.0.1", ">1.2", True), (None, ">1.2", True)]
     got = spark.range(1).select(*[packages.satisfies(F.lit(v).cast("string"), c).alias(f"c{i}") for i, (v, c, _) in enumerate(cases)]).first()
     assert list(got) == [want for *_, want in cases]
+
+
+def test_layers_of_chains_branches_and_circles(spark):
+    import random
+
+    r = random.Random(4)
+    edges = [(i + 1, i) for i in range(60)] + [(r.randint(1, 60), 0) for _ in range(5)] + [(b, a) for a, b in (sorted(r.sample(range(100, 140), 2)) for _ in range(70))]
+    edges += [(200, 201), (201, 202), (202, 200), (203, 200), (204, 203), (204, 5), (205, 205), (206, 60)]
+    want, deps = {}, {}
+    for a, b in edges:
+        deps.setdefault(a, set()).add(b)
+        deps.setdefault(b, set())
+    for _ in deps:
+        want |= {k: 1 + max((want[d] for d in v), default=-1) for k, v in deps.items() if v <= want.keys()}
+    got = {x.node: x.layer for x in closure.layers(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == {k: want.get(k) for k in deps} and closure.layers(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_scratch_drops_what_is_written_inside(spark):
+    from lodemill import shared
+
+    with shared.scratch(spark):
+        kept = shared.written(closure.layers(spark.createDataFrame([(1, 2)], "src long, dst long")), "kept")
+        path = kept.inputFiles()[0].split("/kept-")[0].removeprefix("file:")
+        assert len(kept.collect()) == 2 and any(Path(path).glob("layered-*"))
+    assert not any(Path(path).glob("kept-*"))
