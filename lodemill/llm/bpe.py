@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
 from array import array
 from functools import lru_cache
@@ -36,6 +37,34 @@ CACHE_WORDS, CACHE_CHARS = 500_000, 64
 CHUNK_CHARS = 1_000_000
 NEVER = np.int64(2**62)
 
+#: First and last code points of letters and of numbers that Unicode has since version 17. The tokenizer's
+#: pattern has the classes of version 16, in which these are neither; the pattern module here may have newer ones.
+LATER_LETTERS = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2),
+    (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7),
+    (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DF1, 0x11DF1), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF3),
+    (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128),
+    (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE),
+    (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E),
+    (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
+LATER_NUMBERS = ((0x11DE0, 0x11DE9), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16FF4, 0x16FF6))
+#: Capitals that the tokenizer lower-cases and Python's Unicode 15.1 does not know: first, last, what the first becomes.
+LATER_CAPITALS = (
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5),
+    (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+)
+_LOWER_LATER = {c: low + c - first for first, last, low in LATER_CAPITALS for c in range(first, last + 1)}
+
+
+def _ranges(*pairs: tuple[int, int]) -> str:
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in pairs)
+
+
+#: What needs the careful pattern: any of these in the basic plane, and everything above it.
+_LATER = re.compile("[" + _ranges(*[(a, b) for a, b, *_ in (*LATER_LETTERS, *LATER_NUMBERS, *LATER_CAPITALS) if b < 0x10000]) + "]")
+_ABOVE = re.compile("[\U00010000-\U0010ffff]")
+
 
 def byte_alphabet() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies: itself where it is
@@ -53,8 +82,8 @@ def byte_alphabet() -> list[str]:
 class WordBpe:
     """Encoder and decoder of a tokenizers JSON file: a BPE model with word ends, byte alphabet and one Split pattern.
 
-    Letters, numbers and lower case are those of the installed Unicode tables; characters that these and the
-    tokenizer's own tables class differently (assigned in Unicode 16 or later) may be split differently.
+    Texts with characters that the tokenizer's tables and those here may class differently go by a second form of
+    the pattern, without the letters and numbers that only newer tables know.
     """
 
     def __init__(self, path: str):
@@ -71,7 +100,10 @@ class WordBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.by_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         # \s in the file's pattern is Unicode's White_Space
-        self.words = regex.compile(steps[0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"), regex.V0)
+        pattern = steps[0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")
+        self.words = regex.compile(pattern, regex.V0)
+        letters, numbers = rf"[\p{{L}}--[{_ranges(*LATER_LETTERS)}]]", rf"[\p{{N}}--[{_ranges(*LATER_NUMBERS)}]]"
+        self.careful = regex.compile(pattern.replace(r"\p{L}", letters).replace(r"\p{N}", numbers), regex.V1)
         self.alphabet = byte_alphabet()
         size = 1 + max([*self.vocab.values(), *self.special.values()])
         self.strings = [""] * size
@@ -254,8 +286,12 @@ class WordBpe:
         return out
 
     def _words(self, text: str) -> list[str]:
-        text = text if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no final sigma
-        return self.words.findall(text.lower())
+        if text.isascii():
+            return self.words.findall(text.lower())
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # no final sigma
+        if _LATER.search(text) or _ABOVE.search(text):
+            return self.careful.findall(text.translate(_LOWER_LATER))
+        return self.words.findall(text)
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.pieces(t) for t in texts]
