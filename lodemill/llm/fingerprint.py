@@ -7,8 +7,10 @@ are, and a comparison descends only into branches whose hashes differ.
 
 A fingerprint is a string that holds the tree:
     root=section|section, section: hash:paragraph;paragraph, paragraph: hash~leaf,leaf, leaf: hash.length
-The root is SHA-256, inner hashes are cut to 10 hex digits and leaves to 8. Likeness is the Dice share of
-code points in leaves that both trees have (as multisets).
+The root is SHA-256, inner hashes are cut to 10 hex digits and leaves to 8. Two trees are compared from the root
+down: equal sections are matched (each once), then equal paragraphs of the sections that are left, then equal leaves
+of the paragraphs that are left. Likeness is the Dice share of code points in what is matched; leaves of the one that
+are not matched are where it was edited.
 
 Null counts as the empty text; its tree has no section, two empty texts are alike (1.0), an empty and any
 other text are not (0.0). Texts of any length are read whole. Equal rows get equal fingerprints.
@@ -27,16 +29,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodemill.llm.common import text_of
+from lodemill.llm.common import beside, text_of
 
 #: Code points that a leaf has at least before its sentence's end, and from which on it is cut further; one word in so many ends such a cut; one paragraph in so many ends a section.
 SHORT_LEAF, LONG_LEAF, CUT_EVERY, SECTION_EVERY = 40, 160, 8, 4
 #: Rows of a block of neighbours by id, and the most blocks: the bound on what the driver holds (one id each).
-BLOCK_ROWS, MOST_BLOCKS = 1_000, 10_000
+BLOCK_ROWS, MOST_BLOCKS = 1_000, 50_000
 
 _LEAF = re.compile(rf"(?s).{{{SHORT_LEAF},}}?[.!?|]+\s*|.+")
 _WORD = re.compile(r"\S+\s*|\s+")
-_LEAF_TOKEN = re.compile(r"[0-9a-f]+\.[0-9]+")
 
 
 def _hash(data: bytes) -> bytes:
@@ -88,42 +89,82 @@ def tree(text: str) -> str:
     return f"{hashlib.sha256(b'r' + b''.join(section_hashes)).hexdigest()}={'|'.join(sections)}"
 
 
-def alike(a: str, b: str) -> float:
-    """Dice share of code points in shared leaves."""
+Tree = list[tuple[str, list[tuple[str, list[str]]]]]
+
+
+def _parsed(fingerprint: str) -> Tree:
+    """(hash, paragraphs) of each section; a paragraph is (hash, leaves)."""
+    return [(x[:10], [(p[:10], p[11:].split(",")) for p in x[11:].split(";")]) for x in fingerprint[65:].split("|") if x]
+
+
+def _size(leaf: str) -> int:
+    return int(leaf[9:])
+
+
+def _unmatched(a: Tree, b: Tree) -> list[tuple[int, int]]:
+    """(start, end) in code points of a's leaves that find no match in b, descending only into branches that differ."""
+    sections = Counter(h for h, _ in b)
+    left_a, at = [], 0
+    for h, paragraphs in a:
+        if sections[h] > 0:
+            sections[h] -= 1
+            at += sum(_size(x) for _, leaves in paragraphs for x in leaves)
+            continue
+        for p in paragraphs:
+            left_a.append((at, p))
+            at += sum(map(_size, p[1]))
+    # b's sections that are still there, from the first on
+    left_b = []
+    for h, paragraphs in b:
+        if sections[h] > 0:
+            sections[h] -= 1
+            left_b += paragraphs
+    held = Counter(h for h, _ in left_b)
+    leaves_a = []
+    for at, (h, leaves) in left_a:
+        if held[h] > 0:
+            held[h] -= 1
+            continue
+        for x in leaves:
+            leaves_a.append((at, x))
+            at += _size(x)
+    spare: Counter[str] = Counter()
+    for h, leaves in left_b:
+        if held[h] > 0:
+            held[h] -= 1
+            spare.update(leaves)
+    out: list[tuple[int, int]] = []
+    for at, x in leaves_a:
+        if spare[x] > 0:
+            spare[x] -= 1
+        elif out and out[-1][1] == at:
+            out[-1] = (out[-1][0], at + _size(x))
+        else:
+            out.append((at, at + _size(x)))
+    return out
+
+
+def _length(tree: Tree) -> int:
+    return sum(_size(x) for _, paragraphs in tree for _, leaves in paragraphs for x in leaves)
+
+
+def compared(a: str, b: str) -> tuple[float, list[tuple[int, int]]]:
+    """(likeness, spans of a that b lacks) of two fingerprints."""
     if a[:64] == b[:64]:
-        return 1.0
-    x, y = Counter(_LEAF_TOKEN.findall(a, 65)), Counter(_LEAF_TOKEN.findall(b, 65))
-    length = lambda c: sum(int(t.rpartition(".")[2]) * n for t, n in c.items())
-    total = length(x) + length(y)
-    return 2.0 * length(x & y) / total if total else 1.0
+        return 1.0, []
+    x, y = _parsed(a), _parsed(b)
+    spans, n, m = _unmatched(x, y), _length(x), _length(y)
+    return 2.0 * (n - sum(e - s for s, e in spans)) / (n + m), spans
+
+
+def alike(a: str, b: str) -> float:
+    """Dice share of code points in matched branches."""
+    return compared(a, b)[0]
 
 
 def edits(a: str, b: str) -> list[dict[str, int]]:
-    """Spans (code points) of a's leaves that b lacks; branches with equal hashes are not descended into."""
-    parse = lambda s: [(x[:10], [(p[:10], p[11:].split(",")) for p in x[11:].split(";")]) for x in s[65:].split("|") if x]
-    if a[:64] == b[:64]:
-        return []
-    other = parse(b)
-    have = Counter(h for h, _ in other), Counter(h for _, ps in other for h, _ in ps), Counter(x for _, ps in other for _, ls in ps for x in ls)
-    spans: list[dict[str, int]] = []
-    at = 0
-    for section, paragraphs in parse(a):
-        same_s = have[0][section] > 0
-        have[0][section] -= same_s
-        for paragraph, leaves in paragraphs:
-            same_p = same_s or have[1][paragraph] > 0
-            have[1][paragraph] -= same_p
-            for leaf in leaves:
-                n = int(leaf.rpartition(".")[2])
-                same = same_p or have[2][leaf] > 0
-                have[2][leaf] -= same
-                if not same:
-                    if spans and spans[-1]["end"] == at:
-                        spans[-1]["end"] = at + n
-                    else:
-                        spans.append({"start": at, "end": at + n})
-                at += n
-    return spans
+    """Spans (code points) of a's leaves that b lacks."""
+    return [{"start": s, "end": e} for s, e in compared(a, b)[1]]
 
 
 def fingerprint(text: str | Column) -> Column:
@@ -135,23 +176,18 @@ def fingerprint(text: str | Column) -> Column:
     return F.arrow_udf(trees, "string")(text_of(text))
 
 
-def likeness(a: str | Column, b: str | Column) -> Column:
-    """Likeness (0 to 1) of two columns of fingerprints; null with a null."""
+def comparison(a: str | Column, b: str | Column) -> Column:
+    """struct<likeness: double, edits: array<struct<start:int,end:int>>> of two columns of fingerprints: how alike they are, and
+    where the first text has leaves that the second lacks; null with a null."""
+    spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def scores(x: pa.Array, y: pa.Array) -> pa.Array:
-        return pa.array([None if p is None or q is None else alike(p, q) for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True)], type=pa.float64())
-
-    return F.arrow_udf(scores, "double")(a, b)
-
-
-def edited_spans(a: str | Column, b: str | Column) -> Column:
-    """Where the first text has leaves that the second lacks: array<struct<start:int,end:int>>."""
-
-    def spans(x: pa.Array, y: pa.Array) -> pa.Array:
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        return pa.array([None if p is None or q is None else edits(p, q) for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True)], type=kind)
+        rows = [None if p is None or q is None else compared(p, q) for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True)]
+        likeness = pa.array([r and r[0] for r in rows], type=pa.float64())
+        where = pa.array([r and [{"start": s, "end": e} for s, e in r[1]] for r in rows], type=spans)
+        return pa.StructArray.from_arrays([likeness, where], names=["likeness", "edits"], mask=pa.array([r is None for r in rows]))
 
-    return F.arrow_udf(spans, "array<struct<start:int,end:int>>")(a, b)
+    return F.arrow_udf(scores, "struct<likeness:double,edits:array<struct<start:int,end:int>>>")(a, b)
 
 
 def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id", tie: str = "text", block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -160,24 +196,26 @@ def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id", tie: str
     Rows are dealt into blocks of neighbours whose borders are quantiles of the key (at most MOST_BLOCKS of
     them: all that the driver sees), and each block's highest row also stands, as a ghost, at the end of the
     block above, so each block finds its neighbours alone. Equal keys stand by the tie column; null keys come
-    last; if no row has a key the last row's next is null.
+    last; if no row has a key the last row's next is null. A column of docs that has such a name is replaced.
     """
     n = docs.select(F.count(key)).first()[0]
     blocks = max(1, min(MOST_BLOCKS, ceil(n / block_rows)))
     share = [(i + 1) / blocks for i in range(blocks)]
-    row = docs.agg(F.percentile_approx(key, share, 10 * blocks + 1000).alias("q"), F.max(key).alias("top")).first()
+    row = docs.agg(F.percentile_approx(key, share, 10 * min(blocks, 10_000) + 1000).alias("q"), F.max(key).alias("top")).first()
     tops = sorted({*(row["q"] or []), *([] if row["top"] is None else [row["top"]])})
     tops = [x for x in tops if x is not None]
     bounds = F.lit(tops) if tops else F.array().cast("array<bigint>")
     steps = [2**i for i in reversed(range(max(1, len(tops).bit_length())))]
     # the number of tops below the key, by binary search
-    below = F.aggregate(F.lit(steps), F.lit(0), lambda acc, s: F.when(F.get(bounds, acc + s - 1) < F.col(key), acc + s).otherwise(acc))
+    below = F.aggregate(F.lit(steps), F.lit(0), lambda acc, s: F.when(F.get(bounds, acc + s - 1) < F.col("key"), acc + s).otherwise(acc))
     block = F.coalesce(below, F.lit(0))
-    places = F.when(F.get(bounds, block) == F.col(key), F.array(F.struct(block.alias("block"), F.lit(False).alias("ghost")), F.struct(((block + 1) % max(1, len(tops))).alias("block"), F.lit(True).alias("ghost"))))
+    places = F.when(F.get(bounds, block) == F.col("key"), F.array(F.struct(block.alias("block"), F.lit(False).alias("ghost")), F.struct(((block + 1) % max(1, len(tops))).alias("block"), F.lit(True).alias("ghost"))))
     places = F.coalesce(places, F.array(F.struct(block.alias("block"), F.lit(False).alias("ghost"))))
-    placed = docs.withColumn("_place", F.explode(places))
-    order = Window.partitionBy("_place.block").orderBy(F.col("_place.ghost"), F.col(key).desc_nulls_last(), F.col(tie))
-    return placed.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns}).where(~F.col("_place.ghost")).drop("_place")
+    placed = beside(docs, key=F.col(key)).select("row", "key", F.explode(places).alias("place"))
+    order = Window.partitionBy("place.block").orderBy(F.col("place.ghost"), F.col("key").desc_nulls_last(), F.col("row").getField(tie))
+    near = placed.select("row", F.col("place.ghost").alias("ghost"), *[F.lead(F.col("row").getField(c)).over(order).alias(f"next_{c}") for c in columns]).where(~F.col("ghost"))
+    kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in {f"next_{x}" for x in columns}]
+    return near.select(*kept, *[f"next_{c}" for c in columns])
 
 
 def op2_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,4 +228,6 @@ def op2_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     after = F.coalesce("next_text", F.lit(""))
     edited = near.select("doc_id", n.cast("long").alias("n_chars"), fingerprint("text").alias("fingerprint"), fingerprint(after).alias("next_fingerprint"), F.concat(F.substring("text", F.lit(1), n - half), F.substring(after, F.lit(1), half)).alias("edited"))
     both = edited.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "next_fingerprint", fingerprint("edited").alias("edited_fingerprint"))
-    return both.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "next_fingerprint").alias("near_next"))
+    scored = both.select("*", comparison("fingerprint", "edited_fingerprint").alias("e"), comparison("fingerprint", "next_fingerprint").alias("n"))
+    spans = F.array_join(F.transform("e.edits", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return scored.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", F.col("e.likeness").alias("near_edited"), F.col("n.likeness").alias("near_next"), spans.alias("edited_spans"))

@@ -13,7 +13,8 @@ its share, whatever its large documents did, and a hot source is many cells. Onl
 
 Main path: DataFrame expressions only.
 
-Rows that agree in source, id and size count as copies of one document and are sampled together. A null or empty text has
+Rows that agree in source, id and size count as copies of one document and are sampled together (so what has no id is an
+item for each source and size, however many rows there are). A null or empty text has
 size 0 and nothing is taken of it; a null source is a source, the last one; an empty table gives an empty
 table; a source of size 0 has target 0. Results depend on rows and seed only, not on their order or partition.
 """
@@ -24,9 +25,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodemill.llm.common import WORD, text_of, written
+from lodemill.llm.common import WORD, beside, text_of, whole
+from lodemill.shared import written
 
 WEIGHTS, MAX_EPOCHS, SEED, CELL_ROWS = (5, 2, 1), 3, 17, 1000
+#: Parts, by a hash of the text, in which copies of one document are numbered.
+PARTS = 256
 
 
 def n_words(text: str | Column) -> Column:
@@ -97,18 +101,27 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
 
 
 def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """docs with every row as often as the mix takes it (none: the row goes); columns as in docs."""
+    """docs with every row as often as the mix takes it (none: the row goes); columns as in docs, whatever their names.
+
+    Of rows that count as copies the first ones by their text's hash are taken once more; they are numbered in parts, and
+    the parts' sizes are summed up, so that no task holds all copies."""
     sizes = measured(docs)
-    chosen = sample(sizes, targets(sizes, weights, max_epochs), seed).where(F.col("size") > 0).select("doc_id", "source", "size", "copies", "whole", "extra")
-    chosen = chosen.select([F.col(c).alias(f"_mix_{c}") for c in chosen.columns])
-    sized = docs.withColumn("_mix_n", n_words("text"))
-    same = sized["doc_id"].eqNullSafe(chosen["_mix_doc_id"]) & sized["source"].cast("string").eqNullSafe(chosen["_mix_source"]) & (sized["_mix_n"] == chosen["_mix_size"])
-    joined = sized.join(chosen, same)
-    single = joined.where(F.col("_mix_copies") == 1).withColumn("_mix_copy", F.lit(1))
-    copies = joined.where(F.col("_mix_copies") > 1).withColumn("_mix_copy", F.row_number().over(Window.partitionBy("_mix_source", "_mix_doc_id", "_mix_size").orderBy("text")))
-    times = (F.col("_mix_whole") + (F.col("_mix_copy") <= F.col("_mix_extra")).cast("long")).cast("int")
-    taken = single.unionByName(copies).where(times > 0).withColumn("_mix_time", F.explode(F.array_repeat(F.lit(0), times)))
-    return taken.select(docs.columns)
+    chosen = written(sample(sizes, targets(sizes, weights, max_epochs), seed).where(F.col("size") > 0).select("doc_id", "source", "size", "copies", "whole", "extra"), "chosen")
+    keys = ["doc_id", "source", "size"]
+    sized = beside(docs, doc_id=F.col("doc_id"), source=F.col("source").cast("string"), size=n_words("text"), text_hash=F.xxhash64(text_of("text")))
+    same = [sized[k].eqNullSafe(chosen[k]) for k in keys]
+    joined = sized.join(chosen, same[0] & same[1] & same[2]).select("row", *[sized[k] for k in keys], "text_hash", "copies", "whole", "extra")
+    single = joined.where("copies = 1").select("row", "whole", "extra", F.lit(1).cast("long").alias("copy"))
+    part = F.pmod(F.col("text_hash"), F.lit(PARTS)).alias("part")
+    several = joined.where("copies > 1").select("*", part)
+    parts = several.groupBy(*keys, "part").agg(F.count("*").alias("n"))
+    before = parts.select(*keys, "part", F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    numbered = several.withColumn("at", F.row_number().over(Window.partitionBy(*keys, "part").orderBy("text_hash")))
+    match = [numbered[k].eqNullSafe(before[k]) for k in [*keys, "part"]]
+    copies = numbered.join(before, match[0] & match[1] & match[2] & match[3]).select("row", "whole", "extra", (F.col("at") + F.col("before")).alias("copy"))
+    times = (F.col("whole") + (F.col("copy") <= F.col("extra")).cast("long")).cast("int")
+    taken = single.unionByName(copies).where(times > 0).select("row", F.explode(F.array_repeat(F.lit(0), times)))
+    return whole(taken.select("row"))
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,16 +10,22 @@ Hot groups. Equal sets are one node from the start (a partial aggregation), howe
 them. In a bucket, each node first meets only the bucket's star: the node whose buckets hold most, which in a
 group of near copies is what they are copies of. So a large group costs a few pairs a member, and most of it
 is one component after the first round. The second round pairs only nodes of different components, within
-buckets that still hold several, once each (in their first common bucket) and by a finer signature of
-FINE one-bit minima made for these nodes alone; buckets of many nodes are dealt into tiles so that no task
-holds one. No link between components is skipped, and links within a component change nothing.
+buckets that still hold several, and estimates these pairs by a finer signature of FINE one-bit minima made for
+these nodes alone. In buckets of up to SMALL nodes all pairs are made, once each (in their first common bucket).
+Larger ones hold texts with much in common, such as pages of one template, of which few are alike enough; their
+nodes are put together, each with its rarest shingles, so many of them that two sets that reach the threshold
+cannot lack a common one (an exact filter, whatever the order; the order is by counts in a table of SLOTS
+counters). What a template gives to all pages is frequent, so it makes no pair unless it is most of the page.
+Shingles of many nodes are dealt into tiles so that no task holds one. No link between components is skipped,
+and links within a component change nothing.
 
 A pair at the threshold itself is missed by all bands with probability (1 - 0.75^ROWS)^BANDS, 5e-6, and by
 the estimate's margin of over four standard errors with about 1e-5.
 
 Defined cases: null, empty and blank texts have the empty set (n_shingles 0) and are linked with nothing;
 rows that repeat an id are each returned, rows without an id have the component of their equals (null if none
-has an id) and never link different texts; an empty table gives an empty table; texts are read whole.
+has an id) and never link different texts; an empty table gives an empty table; texts are read whole. Columns
+other than doc_id and text are not read, and one_of_each() passes them on, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,9 +36,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from lodemill.llm.common import FOLD, LOWER, UPPER, WORD, mix, text_of, word_hashes, written
+from lodemill.llm.common import FOLD, LOWER, UPPER, WORD, beside, hot_keys, mix, spread_join, text_of, whole, word_hashes
+from lodemill.shared import written
 
 SHINGLE, THRESHOLD = 5, 0.75
 BANDS, ROWS, B = 32, 4, 4
@@ -41,8 +47,10 @@ K = BANDS * ROWS
 MARGIN = 0.18
 #: One-bit minima of the second round's signatures, and their margin: over four standard errors as well.
 FINE, FINE_MARGIN = 2048, 0.065
-#: Nodes of a tile of a large bucket.
-TILE = 128
+#: Nodes of a bucket in which all pairs are made; nodes of a tile of a frequent shingle.
+SMALL, TILE = 64, 128
+#: Counters of shingles by hash, which give the order from rare to frequent: the bound on what the driver and each task hold.
+SLOTS = 1 << 20
 SEED = 20240229
 
 _rng = np.random.default_rng(SEED)
@@ -143,13 +151,20 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets of (node, text, doc_id) whose text is the node's; rows of one id stand together, and of these each node's first is enough."""
+    last, seen = None, set()
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
             nodes, sets = [], []
-            for node, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+            for node, text, doc_id in zip(part.column(0).to_pylist(), part.column(1), part.column(2).to_pylist(), strict=True):
+                if doc_id != last:
+                    last, seen = doc_id, set()
+                if node in seen:
+                    continue
                 s = shingles(text.as_py() or "")
                 if len(s) and int(mix(s).sum(dtype=np.uint64).view(np.int64)) == node:
+                    seen.add(node)
                     nodes.append(node)
                     sets.append(s.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, type=pa.int64()), pa.array(sets, type=pa.list_(pa.int64()))], names=["node", "shingles"])
@@ -201,12 +216,93 @@ def components(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else left.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
+def _slots(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(SLOTS, dtype=np.int64)
+    for batch in batches:
+        total += np.bincount(_slots(batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)), minlength=SLOTS)
+    held = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(total[held])], names=["slot", "n"])
+
+
+def frequencies(sets: DataFrame) -> np.ndarray:
+    """How often shingles of each slot are in sets(shingles): one bounded array."""
+    found = sets.select("shingles").mapInArrow(_counted, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(SLOTS, dtype=np.int32)
+    counts[found.column("slot").to_numpy()] = np.minimum(found.column("n").to_numpy(), 2**31 - 1)
+    return counts
+
+
+def prefixes(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
+    """shingle, node, label, n, at, short of sets(node, label, shingles): the rarest shingles by counts, `at` from 0.
+
+    A set of n with a partner at the threshold has at least percent n / 100 shingles in common with it, so one of
+    the first n + 1 less that many; with a partner not smaller than itself, 2 percent n / (100 + percent): `short`."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                rows: list[list[np.ndarray]] = []
+                for node, label, held in zip(batch.column(0).slice(at, 512).to_pylist(), batch.column(1).slice(at, 512).to_pylist(), batch.column(2).slice(at, 512), strict=True):
+                    s = held.values.to_numpy().view(np.uint64)
+                    n = len(s)
+                    first = np.lexsort((s, counts[_slots(s)]))[: n + 1 - -(-percent * n // 100)]
+                    k, short = len(first), n + 1 - -(-2 * percent * n // (100 + percent))
+                    rows.append([s[first].view(np.int64), np.full(k, node), np.full(k, label), np.full(k, n, dtype=np.int32), np.arange(k, dtype=np.int32), np.arange(k) < short])
+                columns = [np.concatenate(c) for c in zip(*rows, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shingle", "node", "label", "n", "at", "short"])
+
+    return sets.select("node", "label", "shingles").mapInArrow(cut, "shingle long, node long, label long, n int, at int, short boolean")
+
+
+def prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b, of prefixes() rows: nodes of different labels that share a shingle and may reach the threshold from there on."""
+    several = rows.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members")).where("low != high").select("shingle", "members")
+    rows = written(rows.join(several, "shingle").withColumn("tiles", F.ceil(F.col("members") / TILE).cast("int")).withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int")), "rare")
+    side = lambda x, own, other: [F.col("shingle"), F.col(own).alias("i"), F.col(other).alias("j"), *[F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "n", "at")]]
+    every = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    a, b = every.where("short").select(side("a", "tile", "other")), every.select(side("b", "other", "tile"))
+    smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))
+    rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    reach = (100 + percent) * rest >= percent * (F.col("n_a") + F.col("n_b"))
+    fits = (F.col("label_a") != F.col("label_b")) & smaller & (100 * F.col("n_a") >= percent * F.col("n_b")) & reach
+    return a.join(b, ["shingle", "i", "j"]).where(fits).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
+def between(members: DataFrame, labels: DataFrame, sets: DataFrame, bands: DataFrame, threshold: float, margin: float = FINE_MARGIN) -> DataFrame:
+    """(a, b), a < b, nodes of different components that share a bucket, whose finer estimate is at most `margin` below the threshold."""
+    percent = round(100 * threshold)
+    placed = members.join(labels, "node", "left").select("key", "band", "node", "members", F.coalesce("label", "node").alias("label"))
+    mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
+    inside = written(placed.join(mixed, "key", "left_semi"), "inside")
+    finer = written(sets.join(inside.select("node").distinct(), "node").mapInArrow(_fine, "node long, fine array<long>, n long"), "finer")
+    a, b = (finer.select(*[F.col(c).alias(f"{c}_{x}") for c in ("node", "fine", "n")]) for x in "ab")
+    close = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (fine_estimate("fine_a", "fine_b") >= threshold - margin)
+
+    small = written(inside.where(F.col("members") <= SMALL).join(finer, "node").join(bands, "node"), "inside")
+    side = lambda x: [F.col("key"), F.col("band").alias(f"band_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "fine", "n", "bands")]]
+    # of their common buckets the first one makes the pair; if it is a large one, the pair is made below
+    earliest = F.array_position(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), True) == F.col("band_a") + 1
+    apart = (F.col("label_a") != F.col("label_b")) & (F.col("node_a") < F.col("node_b"))
+    near = small.select(side("a")).join(small.select(side("b")), "key").where(apart & close & earliest).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+    large = written(sets.join(inside.where(F.col("members") > SMALL).select("node", "label").distinct(), "node"), "large")
+    if large.isEmpty():
+        return near
+    found = prefix_pairs(prefixes(large, frequencies(large), percent), percent)
+    far = found.join(a.withColumnRenamed("node_a", "a"), "a").join(b.withColumnRenamed("node_b", "b"), "b").where(close).select("a", "b")
+    return near.unionByName(far).distinct()
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs(doc_id, text)."""
     signed = written(signatures(docs), "signatures")
     nodes = written(
         signed.where("n_shingles > 0").groupBy(F.col("h1").alias("node"), "h2")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.first("n_shingles").alias("n")),
+        .agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.first("n_shingles").alias("n"), F.count("*").alias("rows")),
         "nodes",
     )
     named = nodes.where(F.col("doc_id").isNotNull())
@@ -225,58 +321,50 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     first = written(met.join(bits_a, "a").join(bits_b, "b").where(likely).select("a", "b"), "pairs")
     touched = members.select("node").distinct().join(named.select("node", "doc_id"), "node")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
-    sets = written(texts.join(touched, "doc_id").select("node", "text").mapInArrow(_sets, "node long, shingles array<long>"), "sets")
-    edges = written(confirmed(first, sets, threshold), "links")
-    labels = components(edges)
+    sets = written(texts.join(touched, "doc_id").select("node", "text", "doc_id").mapInArrow(_sets, "node long, shingles array<long>"), "sets")
+    labels = components(written(confirmed(first, sets, threshold), "links"))
 
-    # second round: pairs of different components in buckets that hold several, large buckets by tiles
-    placed = members.join(labels, "node", "left").select("key", "band", "node", "members", F.coalesce("label", "node").alias("label"))
-    mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
-    tiles = F.ceil(F.col("members") / TILE).cast("int")
-    inside = written(placed.join(mixed, "key", "left_semi").withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int")), "inside")
-    finer = sets.join(inside.select("node").distinct(), "node").mapInArrow(_fine, "node long, fine array<long>, n long").join(named.select("node", "bands"), "node")
-    inside = written(inside.join(finer, "node"), "inside")
-    # a pair of tiles (i, j), i <= j, meets once: the left rows of i go to all j from i on, the right rows of j to all i up to j
-    side = lambda x, i, j: [F.col("key"), F.col("band"), i.alias("i"), j.alias("j"), *[F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "fine", "n", "bands")]]
-    tile, other = F.col("tile"), F.col("other")
-    left = inside.withColumn("other", F.explode(F.sequence("tile", F.col("tiles") - 1))).select(side("a", tile, other))
-    right = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tile")))).select(side("b", other, tile))
-    close = (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")) & (fine_estimate("fine_a", "fine_b") >= threshold - FINE_MARGIN)
-    apart = (F.col("label_a") != F.col("label_b")) & ((F.col("i") != F.col("j")) | (F.col("node_a") < F.col("node_b")))
-    # of their common buckets the first one makes the pair
-    earliest = F.array_position(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), True) == left["band"] + 1
-    met2 = left.join(right.drop("band"), ["key", "i", "j"]).where(apart & close & earliest).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
-    met2 = written(met2, "pairs")
+    # second round: pairs of different components
     tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = confirmed(met2.join(tested, ["a", "b"], "left_anti"), sets, threshold)
-    joined = second.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
+    met = written(between(members, labels, sets, named.select("node", "bands"), threshold).join(tested, ["a", "b"], "left_anti"), "pairs")
+    la, lb = (labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
+    joined = confirmed(met, sets, threshold).join(la, "a", "left").join(lb, "b", "left")
     merged = components(joined.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))
     # labels of the first round, then what the second made of them (or of nodes that had none)
     up = merged.select(F.col("node").alias("old"), F.col("label").alias("new"))
-    every = members.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("old"))
-    final = written(every.join(up, "old", "left").select("node", F.coalesce("new", "old").alias("label")), "labels")
+    old = labels.unionByName(merged.select("node", F.col("node").alias("label")).join(labels.select("node"), "node", "left_anti")).select("node", F.col("label").alias("old"))
+    final = written(old.join(up, "old", "left").select("node", F.coalesce("new", "old").alias("label")).join(named.select("node", "doc_id"), "node"), "labels")
 
-    rows = signed.select("doc_id", "n_shingles", F.col("h1").alias("node"))
-    rows = rows.join(final, "node", "left").select("doc_id", "n_shingles", F.coalesce("label", "node").alias("label"))
-    least = rows.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(least, "label", "left").select("doc_id", "n_shingles", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    # the least id of a component, and so of each node, and so of each row; the rows of hot nodes and the nodes of hot components are dealt out
+    each = written(final.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")), "least")
+    total = each.agg(F.sum("n")).first()[0] or 0
+    linked = written(spread_join(final.select("node", "label"), each.select("label", "component_id"), "label", hot_keys(each, "label", total)).select("node", "component_id"), "linked")
+    of = written(nodes.select("node", "doc_id", "rows").join(linked, "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"), F.col("rows").alias("n")), "of")
+    total = of.agg(F.sum("n")).first()[0] or 0
+    bare = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    rows = spread_join(signed.where("n_shingles > 0").select("doc_id", "n_shingles", F.col("h1").alias("node")), of.select("node", "component_id"), "node", hot_keys(of, "node", total))
+    return rows.select("doc_id", "n_shingles", "component_id").unionByName(bare)
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without near duplicates: of each component one row stays, the least by (doc_id, nulls last, content).
 
     Rows are told apart by their text's hash, so different texts under one id, or without an id, are judged apart
-    and equal ones as one. Texts without shingles are like no other; one row of each id and text stays.
+    and equal ones as one. Texts without shingles are like no other; one row of each id and text stays (of rows that
+    differ in other columns only, the least by a hash of these).
     """
-    content = F.xxhash64(text_of("text"))
-    texts = written(docs.select(content.alias("doc_id"), text_of("text").alias("text")).groupBy("doc_id").agg(F.first("text").alias("text")), "texts")
-    found = near_duplicates(texts, threshold).select(F.col("doc_id").alias("_content"), F.col("component_id").alias("_component"), (F.col("n_shingles") == 0).alias("_bare"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), content.alias("_content")).join(found, "_content")
-    alone = F.when(F.col("_bare"), F.col("_id")).alias("_alone")
-    kept = rows.groupBy("_component", alone).agg(F.min(F.struct(F.col("_id").isNull().alias("last"), "_id", "_content")).alias("k")).select("k._id", "k._content")
-    joined = docs.withColumns({"_id_": F.col("doc_id").cast("long"), "_content_": content}).join(kept, F.col("_id_").eqNullSafe(F.col("_id")) & (F.col("_content_") == F.col("_content")))
-    one = joined.withColumn("_row", F.row_number().over(Window.partitionBy("_id", "_content").orderBy("_content"))).where("_row = 1")
-    return one.select(docs.columns)
+    content, doc_id = F.xxhash64(text_of("text")), F.col("doc_id").cast("long")
+    texts = written(docs.select(content.alias("doc_id"), text_of("text").alias("text")).groupBy("doc_id").agg(F.first("text").alias("text"), F.count("*").alias("n")), "texts")
+    found = near_duplicates(texts, threshold).select(F.col("doc_id").alias("content"), "component_id", (F.col("n_shingles") == 0).alias("bare"))
+    total = texts.agg(F.sum("n")).first()[0] or 0
+    hot = hot_keys(texts.select(F.col("doc_id").alias("content"), "n"), "content", total)
+    rows = spread_join(docs.select(doc_id.alias("id"), content.alias("content")), found, "content", hot)
+    kept = rows.groupBy("component_id", F.when(F.col("bare"), F.col("id")).alias("alone")).agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "content")).alias("k"))
+    kept = kept.select(F.col("k.id").alias("kept_id"), F.col("k.content").alias("kept_content"))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    packed = beside(docs, id=doc_id, content=content).withColumn("order", F.xxhash64(F.to_json(F.struct(*[F.col("row").getField(c).alias(f"c{i}") for i, c in enumerate(others)]))) if others else F.lit(0))
+    joined = packed.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("content") == F.col("kept_content")), "left_semi")
+    return whole(joined.groupBy("id", "content").agg(F.min_by("row", "order").alias("row")))
 
 
 def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,9 @@ the weights, so ratings of every grade inform the order. A text gets its expecte
 tail probabilities, and the last one, P(grade = G), which selects.
 
 Tokens: runs of letters and digits in lower case, runs of other characters as they stand, and a mark for
-words in capitals. Weights are learned with an L1 penalty on a sample of about TRAIN_DOCS rated documents
-(picked by a hash of the id), so chance tokens weigh nothing. Only their bucket counts come to the driver.
+words in capitals. Weights are learned with an L1 penalty on a sample of at most TRAIN_DOCS rated documents
+(picked by a hash of the id) with at most TRAIN_CELLS bucket counts between them, so chance tokens weigh nothing.
+Only these counts come to the driver, 8 bytes each.
 Scoring is a scan without a shuffle; a text is read whole.
 
 In the query, grades come from labels: 0 low quality, 1 fair but toxic, 2 good.
@@ -20,7 +21,6 @@ and text are not read.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,11 +29,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodemill.llm.common import bounded_sample, text_of
+from lodemill.llm.common import bounded_sample, text_of, training_set
 
 BUCKETS = 1 << 16
-#: Rated documents that the model is fitted on, about and at most (twice this).
-TRAIN_DOCS = 4_000
+#: Rated documents that the model is fitted on, at most, and their bucket counts in all.
+TRAIN_DOCS, TRAIN_CELLS = 4_000, 4_000_000
 STEPS, RATE, L1, LEAST_DOCS = 300, 0.05, 4e-4, 3
 SELECT = 0.5
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
@@ -81,7 +81,7 @@ class Ordinal:
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], grades: list[int], n_grades: int) -> Ordinal:
     """Proximal Adam on the mean log-likelihood, classes weighted by the root of their rarity."""
-    y = np.array(grades)
+    y = np.array(grades, dtype=np.int64)
     counts = np.bincount(y, minlength=n_grades)
     if not len(y) or (counts > 0).sum() < 2:
         return Ordinal(np.zeros(BUCKETS), np.full(n_grades - 1, -700.0))
@@ -121,20 +121,17 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], grades: list[int], n_grades
     return Ordinal(w, np.concatenate(([t[0]], t[0] + np.cumsum(np.exp(t[1:])))))
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.int32())
-    for batch in batches:
-        rows = [bucket_counts(x.as_py()) for x in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b for b, _ in rows], type=kind), pa.array([n for _, n in rows], type=kind)], names=["grade", "buckets", "counts"])
+def _counted(text: str) -> tuple[int, bytes]:
+    buckets, counts = bucket_counts(text)
+    return len(buckets), buckets.astype(np.int32).tobytes() + counts.astype(np.int32).tobytes()
 
 
-def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, train_docs: int = TRAIN_DOCS) -> Ordinal:
+def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, train_docs: int = TRAIN_DOCS, train_cells: int = TRAIN_CELLS) -> Ordinal:
     """A model from ratings(doc_id, grade)."""
-    picked = F.broadcast(bounded_sample(ratings.where("doc_id IS NOT NULL AND grade IS NOT NULL").select("doc_id", F.col("grade").cast("int").alias("grade")), ["doc_id"], train_docs))
-    rows = docs.select("doc_id", text_of("text").alias("text")).join(picked, "doc_id").select("grade", "text")
-    found = rows.mapInArrow(_counted, "grade int, buckets array<int>, counts array<int>").collect()
-    found.sort(key=lambda r: (r["grade"], r["buckets"], r["counts"]))
-    return train([(np.array(r["buckets"], dtype=np.int64), np.array(r["counts"], dtype=np.int64)) for r in found], [r["grade"] for r in found], n_grades)
+    known = ratings.where("doc_id IS NOT NULL AND grade IS NOT NULL").select("doc_id", F.col("grade").cast("int").alias("label"))
+    found = training_set(docs, bounded_sample(known, ["doc_id"], train_docs), _counted, train_cells)
+    both = [np.frombuffer(f, dtype=np.int32).astype(np.int64).reshape(2, -1) for _, f in found]
+    return train([(b[0], b[1]) for b in both], [g for g, _ in found], n_grades)
 
 
 def grade(text: str | Column, model: Ordinal) -> Column:

@@ -5,19 +5,19 @@ ends, whether an earlier line equals it). A two-state conditional random field s
 changes of state; Viterbi decoding gives the best labelling of the whole sequence, and a document is kept if
 lines labelled content hold at least MIN_CONTENT of its words and no base rule rejects it.
 
-The CRF is trained on a sample of at most TRAIN_DOCS labelled documents (what documents do it is picked by a
-hash of the id, so reruns agree): first every line has its document's label, then lines of rejected documents
+The CRF is trained on a sample of at most TRAIN_DOCS labelled documents with at most TRAIN_LINES lines between them
+(what documents do it is picked by a hash of the id, so reruns agree; 72 bytes a line come to the driver): first every line has its document's label, then lines of rejected documents
 that look like content by themselves are content, and the changes of state are learned anew. Applying it
 needs no shuffle; a text is read whole, by one task, in time proportional to its length.
 
 Defined cases: a null or empty text has no words, all counts 0, and fails (too few words); ties of the two
 states are content; repeated rows are judged alike; an empty table gives an empty table; without labels of
-both kinds every line is content; columns other than doc_id and text are not read, and keep() passes them on.
+both kinds every line is content; a labelled document of more than TRAIN_LINES lines trains nothing (it is judged as any
+other); columns other than doc_id and text are not read, and keep() passes them on, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodemill.llm.common import bounded_sample, text_of, word_hashes
+from lodemill.llm.common import beside, bounded_sample, text_of, training_set, whole, word_hashes
 
 LEAST_WORDS, REPEATED_PERCENT, WINDOW = 20, 30, 8
 MIN_CONTENT = 0.5
-#: Labelled documents that the CRF is trained on, about and at most (twice this).
-TRAIN_DOCS = 2_000
+#: Labelled documents that the CRF is trained on, at most, and their lines in all.
+TRAIN_DOCS, TRAIN_LINES = 2_000, 400_000
 STEPS, RATE, L2 = 120, 0.15, 1e-3
 SYMBOLS, SPACES = "#*$%&|<>", " \t\n\x0b\x0c\r"
 #: Characters of texts whose lines are described at a time.
@@ -183,19 +183,16 @@ def train(sequences: list[np.ndarray], kept: list[bool]) -> Crf:
     return _fitted(sequences, [np.ones(len(s)) if k else (s @ first.weights > 0).astype(float) for s, k in zip(sequences, kept, strict=True)])
 
 
-def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [(k, f.tobytes()) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if len(f := described([t])[0])]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], type=pa.bool_()), pa.array([f for _, f in rows], type=pa.binary())], names=["kept", "features"])
+def _described(text: str) -> tuple[int, bytes]:
+    features, _, _ = described([text])
+    return len(features), features.tobytes()
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Crf:
+def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_lines: int = TRAIN_LINES) -> Crf:
     """A CRF from labels(doc_id, quality); only line features of the sampled documents come to the driver."""
-    picked = F.broadcast(bounded_sample(labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", (F.col("quality") > 0).alias("kept")), ["doc_id"], train_docs))
-    rows = docs.select("doc_id", text_of("text").alias("text")).join(picked, "doc_id").select("doc_id", "kept", "text")
-    found = rows.select("kept", "text").mapInArrow(_described, "kept boolean, features binary").collect()
-    found.sort(key=lambda r: (r["kept"], bytes(r["features"])))
-    return train([np.frombuffer(r["features"]).reshape(-1, N_FEATURES) for r in found], [r["kept"] for r in found])
+    known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", (F.col("quality") > 0).cast("int").alias("label"))
+    found = training_set(docs, bounded_sample(known, ["doc_id"], train_docs), _described, train_lines)
+    return train([np.frombuffer(f).reshape(-1, N_FEATURES) for _, f in found], [bool(k) for k, _ in found])
 
 
 KINDS = [("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("content_words", pa.int64())]
@@ -269,7 +266,7 @@ def kept(j: str) -> Column:
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rejected rows; columns as in docs."""
-    return docs.withColumn("_judged", judge("text", fit(docs, labels))).where(kept("_judged")).select(docs.columns)
+    return whole(beside(docs, judged=judge("text", fit(docs, labels))).where(kept("judged")))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

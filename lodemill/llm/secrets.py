@@ -7,23 +7,27 @@ blobs that it has not seen, appends to the ledger and joins the findings back to
 
 Rules are regular expressions. A rule's matches are leftmost and do not overlap; matches that are too short
 are dropped after matching. Positions come from the texts between matches: splitting by the same pattern gives
-one piece more than there are matches, and running sums of lengths give offsets in code points.
+one piece more than there are matches, and running sums of lengths give offsets in code points (and in bytes, for
+cutting). The running sums are taken by doubling, so a text of n matches costs n log n.
 
 Main path: DataFrame expressions only. Copies are dropped before anything is scanned, and by a partial
-aggregation before the shuffle, so a blob with very many paths moves once for each task at most.
+aggregation before the shuffle, so a blob with very many paths moves once for each task at most; on the way back
+the paths of such blobs are dealt to many tasks.
 
 A null text counts as empty; empty texts and empty tables have no findings; repeated paths each get the
-findings of their text; other columns of the input are not read.
+findings of their text; other columns of the input are not read, and redact() passes them on, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodemill.llm.common import text_of, written
+from lodemill.llm.common import beside, hot_keys, spread_join, text_of, whole
+from lodemill.shared import written
 
 
 @dataclass(frozen=True)
@@ -60,22 +64,38 @@ KEY_BLOCK = (
 )
 #: What is masked: RULES (whose pem, as in the SQL of the scan, finds a key's first line), with keys as a whole.
 MASKED = (*[r for r in RULES if r.kind != "pem"], Rule("pem", KEY_BLOCK, version=2))
-LEDGER = "blob string, rules array<string>, spans array<struct<kind:string,start:int,end:int>>"
-SPAN = "array<struct<kind:string,start:int,end:int>>"
+LEDGER = "blob string, rules array<string>, spans array<struct<kind:string,start:int,end:int,from:int,to:int>>"
+#: start and end in code points, from and to in bytes of UTF-8.
+SPAN = "array<struct<kind:string,start:int,end:int,from:int,to:int>>"
+
+
+def running(values: Column, start: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """Each element of an array combined with all before it, by doubling: n log n steps. start: what adds nothing."""
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)).cast("double"))).cast("int"))
+    return F.aggregate(rounds, values, lambda acc, k: F.transform(acc, lambda v, i: add(v, F.coalesce(F.get(acc, i - F.pow(F.lit(2), k).cast("int")), start))))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once for a row, however often the body's lambdas name it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _spans(rule: Rule, text: Column, matches: Column) -> Column:
     """Spans of a rule's matches that are long enough."""
     pieces = F.split(text, rule.pattern, -1)
-    parts = F.arrays_zip(pieces.alias("piece"), matches.alias("match"), (F.regexp_extract_all(text, F.lit(rule.pattern), rule.group) if rule.group else matches).alias("held"))
+    held = F.regexp_extract_all(text, F.lit(rule.pattern), rule.group) if rule.group else matches
+    none = F.lit(0)
+    size = lambda x, f: F.coalesce(f(x), none)
+    steps = F.zip_with(pieces, matches, lambda p, m: F.struct((F.length(p) + size(m, F.length)).alias("n"), (F.octet_length(p) + size(m, F.octet_length)).alias("b")))
+    nothing = F.struct(none.alias("n"), none.alias("b"))
+    ends = running(steps, nothing, lambda x, y: F.struct((x["n"] + y["n"]).alias("n"), (x["b"] + y["b"]).alias("b")))
+    parts = F.filter(F.arrays_zip(ends.alias("end"), matches.alias("match"), held.alias("held")), lambda x: F.length(x["held"]) >= rule.least)
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["piece"])
-        end = start + F.coalesce(F.length(x["match"]), F.lit(0))
-        span = F.struct(F.lit(rule.kind).alias("kind"), start.alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(F.coalesce(F.length(x["held"]) >= rule.least, F.lit(False)), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+    def span(x: Column) -> Column:
+        n, b = x["end"]["n"], x["end"]["b"]
+        return F.struct(F.lit(rule.kind).alias("kind"), (n - F.length(x["match"])).alias("start"), n.alias("end"), (b - F.octet_length(x["match"])).alias("from"), b.alias("to"))
 
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans")), step, lambda acc: acc["spans"])
+    return F.transform(parts, span)
 
 
 def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -92,28 +112,37 @@ def content(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text_of("text").alias("text")).withColumn("blob", F.sha2("text", 256))
 
 
-def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
-    """(findings, new): doc_id, blob, spans of every row of docs, and the rows to append to the ledger.
+def hot_blobs(paths: DataFrame) -> DataFrame:
+    """Blobs with more than a thousandth of all paths(blob): fewer than a thousand."""
+    counts = written(paths.groupBy("blob").agg(F.count("*").alias("n")), "counts")
+    return written(hot_keys(counts, "blob", counts.agg(F.sum("n")).first()[0] or 0), "hot")
+
 
-    ledger: rows of earlier scans (columns of LEDGER; a blob may have several); None: nothing has been scanned.
-    """
-    paths = content(docs)
-    blobs = paths.groupBy("blob").agg(F.first("text").alias("text"))
+def update(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows to append to a ledger (columns of LEDGER; a blob may have several; None: nothing has been scanned) after scanning docs."""
+    blobs = content(docs).groupBy("blob").agg(F.first("text").alias("text"))
     every = F.array(*[F.lit(r.key) for r in rules])
     if ledger is None:
         unseen = blobs.withColumn("unseen", every)
     else:
         seen = ledger.select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
         unseen = blobs.join(seen, "blob", "left").withColumn("unseen", F.array_except(every, F.coalesce("seen", F.array().cast("array<string>")))).drop("seen").where(F.size("unseen") > 0)
-    new = written(scan_blobs(unseen, rules), "ledger")
+    return written(scan_blobs(unseen, rules), "ledger")
+
+
+def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
+    """(findings, new): doc_id, blob, spans of every row of docs, and the rows to append to the ledger."""
+    new = update(docs, ledger, rules)
     known = new if ledger is None else ledger.unionByName(new)
     kinds = [r.kind for r in rules]
     order = F.array(*map(F.lit, kinds))
     hits = known.where(F.size("spans") > 0).select("blob", F.explode("spans").alias("span"), "rules").where(F.col("span.kind").isin(kinds))
     # findings of a rule's older version do not count
     current = F.exists("rules", lambda k: (F.substring_index(k, "@", 1) == F.col("span.kind")) & k.isin([r.key for r in rules]))
-    hits = hits.where(current).groupBy("blob").agg(F.array_sort(F.collect_set(F.struct(F.col("span.start").alias("start"), F.array_position(order, F.col("span.kind")).alias("rank"), F.col("span.kind").alias("kind"), F.col("span.end").alias("end")))).alias("spans"))
-    found = paths.select("doc_id", "blob").join(hits, "blob", "left")
+    one = F.struct(F.col("span.start").alias("start"), F.array_position(order, F.col("span.kind")).alias("rank"), F.col("span.kind").alias("kind"), F.col("span.end").alias("end"))
+    hits = written(hits.where(current).groupBy("blob").agg(F.array_sort(F.collect_set(one)).alias("spans")), "hits")
+    paths = written(docs.select("doc_id", F.sha2(text_of("text"), 256).alias("blob")), "paths")
+    found = spread_join(paths, hits, "blob", hot_blobs(paths))
     empty = F.array().cast("array<struct<start:int,rank:bigint,kind:string,end:int>>")
     return found.select("doc_id", "blob", F.coalesce("spans", empty).alias("spans")), new
 
@@ -122,25 +151,35 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _masked(text: Column, spans: Column, mask: str) -> Column:
+    """A text with its spans (sorted by where they start, in bytes) replaced; overlapping ones by one mask."""
+    none = F.lit(0)
+    until = lambda x: running(F.transform(x, lambda s: s["to"]), none, F.greatest)
+
+    def pieces(held: Column) -> Column:
+        spans_, ends, data = held["spans"], held["ends"], held["data"]
+        before = F.transform(spans_, lambda s, i: F.struct(F.when(i > 0, F.coalesce(F.get(ends, i - 1), none)).otherwise(none).alias("from"), s["from"].alias("to")))
+        gaps = F.concat(F.filter(before, lambda g: g["to"] >= g["from"]), F.array(F.struct(F.array_max(ends).alias("from"), F.length(data).alias("to"))))
+        return F.array_join(F.transform(gaps, lambda g: F.substring(data, g["from"] + 1, g["to"] - g["from"]).cast("string")), mask)
+
+    return _let(F.struct(spans.alias("spans"), until(spans).alias("ends"), text.cast("binary").alias("data")), pieces)
+
+
 def redact(docs: DataFrame, mask: str = "[secret]", rules: tuple[Rule, ...] = MASKED) -> DataFrame:
     """docs with every found span's text replaced by mask (overlapping spans by one) and n_chars, if there, set anew.
 
     The findings are joined to the rows by content, so rows with null or repeated ids are treated alike."""
-    found, new = scan(docs, None, rules)
-    hits = new.where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))).alias("_spans"))
-    joined = docs.withColumn("_blob", F.sha2(text_of("text"), 256)).join(hits, "_blob", "left")
-
-    def step(acc: Column, s: Column) -> Column:
-        inside = s["start"] < acc["at"]
-        kept = F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), kept.alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text") - acc["at"])))
-    out = joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(clean))
+    new = update(docs, None, rules)
+    masks = F.array_sort(F.transform("spans", lambda s: F.struct(s["from"].alias("from"), s["to"].alias("to"))))
+    hits = written(new.where(F.size("spans") > 0).select("blob", masks.alias("masks")), "hits")
+    blob = F.sha2(text_of("text"), 256)
+    joined = spread_join(beside(docs, blob=blob, text=text_of("text")), hits, "blob", hot_blobs(docs.select(blob.alias("blob"))))
+    clean = joined.withColumn("text", F.when(F.col("masks").isNotNull(), _masked(F.col("text"), F.col("masks"), mask)))
+    put = F.when(F.col("text").isNull(), F.col("row"))
+    new_row = F.col("row").withField("text", F.col("text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(docs.columns)
+        new_row = new_row.withField("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return whole(clean.select(put.otherwise(new_row).alias("row")))
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodemill.llm.common import FOLD, mix, text_of, word_hashes, written
+from lodemill.llm.common import FOLD, mix, text_of, word_hashes
+from lodemill.shared import written
 
 RUN, WORDS = 2, 25
 LONG, CUT = 25, 12
 
-_SENTENCE = re.compile(r"(?s)[^\n]*?[.?!]+(?=[\x20\x09-\x0D]|\Z)[\x20\x09-\x0D]*|[^\n]*\n[\x20\x09-\x0D]*|[^\n]+\Z")
+#: A run of stops, with the white space or the text's end that makes it a sentence's end; or a line's end. Runs are taken whole, so the search is linear.
+_STOP = re.compile(r"[.?!]++([\x20\x09-\x0D]++|\Z)?|\n[\x20\x09-\x0D]*+")
 _WORD = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 _RNG = np.random.default_rng(11)
 _BASES = [int(x) for x in _RNG.integers(1, 2**62, 2) * 2 + 1]
@@ -68,11 +70,18 @@ def _cuts(long: list[str]) -> list[np.ndarray]:
     return np.split(place + 1 - (ends - n)[of[place]], np.searchsorted(of[place], np.arange(1, len(n))))
 
 
+def _sentences(text: str) -> list[str]:
+    ends = [m.end() for m in _STOP.finditer(text) if m[1] is not None or m[0][0] == "\n"]
+    if text and (not ends or ends[-1] < len(text)):
+        ends.append(len(text))
+    return [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
 def sentences(text: str) -> list[str]:
     """The sentences of a text; joined they are the text. Without words they go with the one before."""
     out: list[str] = []
     long: list[int] = []
-    for s in _SENTENCE.findall(text):
+    for s in _sentences(text):
         n = len(s.split())
         if not n and out:
             out[-1] += s

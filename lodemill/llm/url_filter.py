@@ -3,10 +3,11 @@
 A rule (host, path) fits its host and all subdomains where the URL's path starts with the rule's; the longest
 wins. URLs without a rule are judged by boosted trees (pyspark.ml) over length, depth, digit ratio, entropy of
 the host, numbers of parameters, labels and hyphens, and statistics of the host's last label (how often
-labelled URLs with it are blocked, and how many there are). The trees are trained on labelled URLs: in the
+labelled URLs with it are blocked, and how many there are; for a labelled URL itself, among those of the other
+FOLDS - 1 parts of the sample only, so its own label is no part of what the trees see of it). The trees are trained on labelled URLs: in the
 query those that a rule fits, by its verdict; elsewhere any table of (url, blocked).
 
-Main path: DataFrame expressions and pyspark.ml only. Training sees a sample of at most about TRAIN_ROWS rows,
+Main path: DataFrame expressions and pyspark.ml only. Training sees a sample of at most TRAIN_ROWS rows,
 picked by a hash, so the table of suffix statistics, which is broadcast, has no more rows than that either.
 Judging is one scan without a shuffle.
 
@@ -24,10 +25,11 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodemill.llm.common import LOWER, UPPER, bounded_sample, text_of, written
+from lodemill.llm.common import LOWER, UPPER, bounded_sample, text_of
+from lodemill.shared import written
 
-#: Labelled URLs that the trees are trained on, about and at most (twice this).
-TRAIN_ROWS = 20_000
+#: Labelled URLs that the trees are trained on, at most, and the parts in which they learn from the others' suffixes.
+TRAIN_ROWS, FOLDS = 20_000, 5
 TREES, DEPTH, SEED = 15, 4, 7
 #: Labelled URLs that a suffix's block rate counts besides its own, at the overall rate.
 PRIOR = 10.0
@@ -97,20 +99,28 @@ class UrlModel:
         if not 0 < blocked < n:
             return
         self.rate = blocked / n
-        rate = (F.count_if("blocked") + PRIOR * self.rate) / (F.count("*") + PRIOR)
-        self.suffixes = written(sample.groupBy("suffix").agg(rate.alias("suffix_blocked"), F.log1p(F.count("*")).alias("suffix_count")), "suffixes")
-        rows = self._vectors(sample).select("features", F.col("blocked").cast("double").alias("label"), "url", "page_id")
+        fold = F.pmod(F.xxhash64("url"), F.lit(FOLDS)).alias("fold")
+        counts = written(sample.groupBy("suffix", fold).agg(F.count_if("blocked").alias("bad"), F.count("*").alias("n")), "suffixes")
+        every = counts.groupBy("suffix").agg(F.sum("bad").alias("all_bad"), F.sum("n").alias("all"))
+        others = counts.join(every, "suffix").select("suffix", "fold", (F.col("all_bad") - F.col("bad")).alias("bad"), (F.col("all") - F.col("n")).alias("n"))
+        self.suffixes = written(self._statistics(every.select("suffix", F.col("all_bad").alias("bad"), F.col("all").alias("n")), "suffix"), "suffixes")
+        apart = self._vectors(sample.withColumn("fold", fold), self._statistics(others, "suffix", "fold"), ["suffix", "fold"])
+        rows = apart.select("features", F.col("blocked").cast("double").alias("label"), "url", "page_id")
         rows = rows.coalesce(1).sortWithinPartitions("page_id", "url").select("features", "label")  # a bounded sample; in one order, so that reruns agree
         self.model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, featuresCol="features", labelCol="label").fit(rows)
 
-    def _vectors(self, rows: DataFrame) -> DataFrame:
-        near = rows.join(F.broadcast(self.suffixes), "suffix", "left").fillna({"suffix_blocked": self.rate, "suffix_count": 0.0})
+    def _statistics(self, counts: DataFrame, *keys: str) -> DataFrame:
+        rate = (F.col("bad") + PRIOR * self.rate) / (F.col("n") + PRIOR)
+        return counts.select(*keys, rate.alias("suffix_blocked"), F.log1p("n").alias("suffix_count"))
+
+    def _vectors(self, rows: DataFrame, suffixes: DataFrame, keys: list[str]) -> DataFrame:
+        near = rows.join(F.broadcast(suffixes), keys, "left").fillna({"suffix_blocked": self.rate, "suffix_count": 0.0})
         return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(near)
 
     def classify(self, rows: DataFrame) -> DataFrame:
         if self.model is None:
             return rows.withColumn("blocked", F.lit(False))
-        out = self.model.transform(self._vectors(rows))
+        out = self.model.transform(self._vectors(rows, self.suffixes, ["suffix"]))
         return out.withColumn("blocked", F.col("prediction") > 0.5).drop("features", "rawPrediction", "probability", "prediction", "suffix_blocked", "suffix_count")
 
 
