@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -220,6 +222,9 @@ def test_mixing(spark, docs):
         assert 0 <= r.repeats <= 3
         got = by.setdefault(r.source, [0, r.target, r.source_size])
         got[0] += r.size * r.repeats
+    for source, (taken, target, _) in by.items():
+        largest = max(r.size for r in rows if r.source == source)
+        assert abs(taken - target) <= largest, source
     assert abs(sum(t for _, t, _ in by.values()) - sum(s for _, _, s in by.values())) < 1e-6 * sum(s for _, _, s in by.values()) or all(t == 3 * s for _, t, s in by.values())
     assert sorted(map(tuple, rows), key=repr) == sorted(map(tuple, mixing.mix(docs.select("doc_id", "source", "text")).collect()), key=repr)
     assert mixing.repeated(docs).columns == docs.columns and mixing.mix(empty(spark)).count() == 0
@@ -241,10 +246,200 @@ def test_pipeline_equals_its_parts(spark):
                 if a and b and min(len(a), len(b)) >= 0.75 * max(len(a), len(b)) and 100 * len(a & b) >= 75 * len(a | b):
                     label[i] = label[j] = min(label[i], label[j])
     alone = {i for i, root in label.items() if i == root}
-    assert {r.doc_id for r in out} <= alone
-    clean = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    masked = secrets.redact(docs)
+    clean = {r.doc_id: r.text for r in masked.collect()}
+    taken = {r.doc_id: r.repeats for r in mixing.mix(masked.where(F.col("doc_id").isin(sorted(alone))).select("doc_id", "source", "text")).collect() if r["size"]}
+    assert Counter(r.doc_id for r in out) == Counter(taken) and set(taken) <= alone
     model = bpe.loaded(bpe.default_path())
     for r in out:
         ids = model.encode_batch([clean[r.doc_id]])[0]
         assert r.ids == ids.tolist()
         assert r.decoded_sha256 == hashlib.sha256(model.decode_batch(ids, [0, len(ids)])[0].encode()).hexdigest()
+
+
+CLASHING = ["row", "judged", "id", "content", "order", "kept_id", "blob", "masks", "hot", "salt", "text_hash", "size", "copies", "extra", "whole", "part", "before", "key", "place", "n", "label", "_kept", "_blob", "a.b", "c`d"]
+PASSING = {
+    "quality_rules": lambda d: quality_rules.keep(d, d.sparkSession.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int")), "minhash_neardup": neardup.one_of_each, "secret_scan": secrets.redact,
+    "mix_sources": mixing.repeated, "with_next": lambda d: fingerprint.with_next(d, ["text"]).drop("next_text"),
+}
+
+
+@pytest.fixture(scope="module")
+def wide(spark, docs, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("wide") / "docs")
+    docs.withColumns({c: F.concat(F.lit(c), F.coalesce(F.col("doc_id"), F.lit(-1)).cast("string")) for c in CLASHING}).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@pytest.mark.parametrize("name", PASSING)
+def test_columns_of_clashing_names_pass_unchanged(spark, wide, name):
+    got = PASSING[name](wide)
+    rows = got.collect()
+    assert got.columns == wide.columns and rows
+    assert all(r[c] == f"{c}{-1 if r.doc_id is None else r.doc_id}" for r in rows for c in CLASHING)
+    assert PASSING[name](wide.limit(0)).count() == 0
+
+
+def test_bpe_splits_all_of_unicode_as_the_library():
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(bpe.default_path()), bpe.loaded(bpe.default_path())
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 5000):
+        text = " ".join(f"a{chr(c)}1" for c in points[at : at + 5000]) + "'s"
+        want = [p for p, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(text))]
+        assert ["".join(own.alphabet[b] for b in w.encode()) for w in own._words(text)] == want, hex(points[at])
+
+
+def test_long_and_odd_texts_take_time_in_proportion(spark):
+    began = time.perf_counter()
+    dots = "." * 1_000_000 + "x"
+    assert substring_dedup.sentences(dots) == [dots] and "".join(substring_dedup.sentences("a.b. " * 200_000)) == "a.b. " * 200_000
+    n, lines = 20_000, "some words make a line\n" * 200_000
+    text = " ".join(f"password = 'abcdefghijkl{i:05d}' \u00fc" for i in range(n))
+    docs = spark.createDataFrame([(1, text, 1), (2, lines, 1), (3, "short | line ##", 1)], "doc_id long, text string, n_chars long")
+    found = {r.doc_id: r.spans for r in secrets.scan(docs)[0].collect()}
+    assert [text[s.start : s.end] for s in found[1]] == [f"password = 'abcdefghijkl{i:05d}" for i in range(n)] and not found[2]
+    masked = {r.doc_id: r for r in secrets.redact(docs).collect()}
+    assert masked[1].text == " ".join(["[secret]' \u00fc"] * n) and masked[1].n_chars == len(masked[1].text) and masked[2].text == lines
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 0)], "doc_id long, quality int")
+    few = quality_rules.fit(docs, labels, train_lines=1000)
+    assert few.weights.any() and quality_rules.judged([lines], few)[0][0] == 5 * 200_000
+    assert time.perf_counter() - began < 120
+
+
+def test_template_pages_make_few_pairs(spark, monkeypatch):
+    """Pages of one template, alike to about 0.69, and copies of some: pairs a page do not grow with the pages."""
+    r = random.Random(2)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=5))
+    between, pairs = neardup.between, []
+
+    def counting(*given):
+        pairs.append(between(*given, margin=9.0).count())
+        return between(*given)
+
+    monkeypatch.setattr(neardup, "between", counting)
+    for own, n in ((66, 300), (66, 1200)):
+        template = [word() for _ in range(300)]
+        pages = [" ".join([*template, *[word() for _ in range(own)]]) for _ in range(n)]
+        rows = [*enumerate(pages), *[(n + i, f"{pages[i]} x{i}") for i in range(20)]]
+        got = {x.doc_id: x.component_id for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == {i: i - n if i >= n else i for i, _ in rows}
+        assert pairs[-1] <= 40 * n, (own, n, pairs)
+    assert pairs[1] <= 4 * max(pairs[0], 1000)
+
+
+def test_prefixes_lose_no_pair(spark):
+    import numpy as np
+
+    r = np.random.default_rng(7)
+    sets = []
+    for _ in range(30):
+        base = r.integers(0, 2**63, int(r.integers(1, 60)), dtype=np.uint64)
+        for _ in range(4):
+            keep = base[r.random(len(base)) < r.choice([0.8, 0.9, 1.0])]
+            more = r.integers(0, 2**63, int(r.integers(0, 1 + len(base) // 5)), dtype=np.uint64)
+            if len(keep) + len(more):
+                sets.append(np.unique(np.concatenate((keep, more))))
+    held = spark.createDataFrame([(i, i, s.view(np.int64).tolist()) for i, s in enumerate(sets)], "node long, label long, shingles array<long>")
+    found = {(x.a, x.b) for x in neardup.prefix_pairs(neardup.prefixes(held, neardup.frequencies(held), 75), 75).collect()}
+    both = [(i, j, len(np.intersect1d(a, b))) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j]
+    want = {(i, j) for i, j, n in both if 100 * n >= 75 * (len(sets[i]) + len(sets[j]) - n)}
+    assert want and want <= found and len(found) < len(sets) * 20
+
+
+def test_substring_dedup_equals_all_runs(spark):
+    """Brute force: every run of sentences of enough words, at all its places."""
+    r = random.Random(9)
+    sentence = lambda: " ".join(r.choices("abcdefghij", k=r.randint(1, 14))) + r.choice([". ", ".\n", "! ", "\n"])
+    pool = ["".join(sentence() for _ in range(r.randint(2, 7))) for _ in range(8)]
+    texts = ["".join(r.choice([r.choice(pool), sentence()]) for _ in range(r.randint(0, 6))) for _ in range(40)]
+    parts = {i: substring_dedup.sentences(t) for i, t in enumerate(texts)}
+    first: dict[tuple, tuple] = {}
+    runs = []
+    for i, own in parts.items():
+        words = [s.lower().split() for s in own]
+        for a in range(len(own)):
+            for b in range(a + substring_dedup.RUN, len(own) + 1):
+                key = tuple(w for s in words[a:b] for w in s)
+                if len(key) >= substring_dedup.WORDS:
+                    runs.append((key, i, a, b))
+                    first.setdefault(key, (i, a))
+    gone = {(i, at) for key, i, a, b in runs if first[key] != (i, a) for at in range(a, b)}
+    got = substring_dedup.deduplicate(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()
+    assert gone and {x.doc_id: x.text for x in got} == {i: "".join(s for k, s in enumerate(own) if (i, k) not in gone) for i, own in parts.items()}
+    assert sum(x.n_removed for x in got) == len(gone)
+
+
+def test_fingerprint_query_equals_brute_force(spark, tmp_path):
+    r = random.Random(4)
+    texts = [None, "", "x", *["\n".join(" ".join(r.choices(["one", "two.", "three", "f\u00fcnf!"], k=r.randint(1, 30))) for _ in range(r.randint(1, 12))) for _ in range(60)]]
+    texts += texts[10:13]
+    spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    held = [t or "" for t in texts]
+    for x in fingerprint.op2_merkle_fingerprints(spark, str(tmp_path)).collect():
+        own, after = held[x.doc_id], held[x.doc_id - 1]
+        half = len(own) // 2
+        edited = own[: len(own) - half] + after[:half]
+        assert (x.n_chars, x.edited_sha256) == (len(own), hashlib.sha256(edited.encode()).hexdigest())
+        assert (x.fingerprint, x.edited_fingerprint) == (fingerprint.tree(own), fingerprint.tree(edited))
+        spans = [tuple(map(int, s.split("-"))) for s in x.edited_spans.split(",") if s]
+        leaves = lambda t: Counter(leaf for p in re.findall(r"[^\n]*\n|[^\n]+", t) for leaf in fingerprint._leaves(p))
+        lacking = sum(b - a for a, b in spans)
+        assert x.near_edited == (1.0 if own == edited else pytest.approx(2 * (len(own) - lacking) / (len(own) + len(edited))))
+        # what is outside the spans is in the edited text; no leaf that it lacks is outside them
+        assert lacking >= sum(len(s) * k for s, k in (leaves(own) - leaves(edited)).items()) and (own != edited or not spans)
+        assert 0 <= x.near_next <= 1 and (x.near_next == 1) == (own == after)
+
+
+def test_url_filter_rules_equal_sql_and_trees_agree_held_out(spark):
+    import duckdb
+
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    rules = " UNION ALL ".join(f"SELECT '{r.verdict}' AS verdict, '{r.host}' AS host, '{r.path}' AS path" for r in url_filter.RULES)
+    sql = f"""WITH p AS (SELECT page_id, coalesce(url, '') AS url FROM '/root/testdata/sf0.1/pages.parquet'),
+    rest AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM p),
+    parts AS (SELECT page_id, lower(regexp_extract(r, '^[^/?#]*')) AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest)
+    SELECT page_id, any_value(a.host) AS host, any_value(a.path) AS path, max_by(b.host || b.path, length(b.host || b.path)) AS rule, max_by(b.verdict, length(b.host || b.path)) AS verdict
+    FROM parts a LEFT JOIN ({rules}) b ON (a.host = b.host OR ends_with(a.host, '.' || b.host)) AND starts_with(a.path, b.path) GROUP BY page_id"""
+    want = {r[0]: r[1:] for r in duckdb.sql(sql).fetchall()}
+    got = url_filter.judge(pages).collect()
+    assert {r.page_id: (r.host, r.path, r.rule) for r in got} == {k: v[:3] for k, v in want.items()} and all(want[r.page_id][3] in (None, r.verdict) for r in got)
+    # trees trained on the rules' verdicts over one half of the URLs, held against them over the other half
+    known = spark.createDataFrame([(k, v[3] == "block") for k, v in want.items() if v[3]], "page_id long, blocked boolean").join(pages, "page_id")
+    half = F.xxhash64("url", F.lit(1)) % 2 == 0
+    judged = url_filter.judge(known.where(~half).select("page_id", "url"), (), known.where(half)).join(known.select("page_id", "blocked"), "page_id")
+    agree = judged.agg(F.avg(((F.col("verdict") == "block") == F.col("blocked")).cast("int"))).first()[0]
+    print("held-out agreement", agree)
+    assert agree >= 0.8
+
+
+def test_quality_grades_in_spark(spark, docs, tmp_path):
+    r = random.Random(6)
+    good = [" ".join(r.choices(["calm", "plain", "river", "stone"], k=30)) for _ in range(80)]
+    bad = [" ".join(r.choices(["BUY", "$$", "now", "stone"], k=30)) for _ in range(80)]
+    rows = [*enumerate([*good, *bad, None, "", good[0]])]
+    both = spark.createDataFrame(rows, "doc_id long, text string")
+    ratings = spark.createDataFrame([(i, 1) for i in range(0, 70)] + [(80 + i, 0) for i in range(0, 70)] + [(None, 1), (3, None), (5, 1)], "doc_id long, grade int")
+    model = quality_model.fit(both, ratings, 2)
+    got = {x.doc_id: x.g for x in both.select("doc_id", quality_model.grade("text", model).alias("g")).collect()}
+    assert all(got[i].tail > 0.5 for i in range(70, 80)) and all(got[i].tail < 0.5 for i in range(150, 160))
+    assert got[160] == got[161] and got[162] == got[0] and all(x.expected == pytest.approx(x.tail) for x in got.values())
+    assert quality_model.fit(both, ratings, 2, train_cells=1).score("x") == 0.0
+    empty(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert quality_model.op8_quality_grades(spark, str(tmp_path)).count() == 0
+
+
+def test_token_counts_with_the_querys_vocabulary(spark, texts):
+    import sentencepiece
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    piece = sentencepiece.SentencePieceProcessor(model_file=token_counts.default_path())
+    vocabulary = [(piece.id_to_piece(i), piece.get_score(i)) for i in range(piece.vocab_size())]
+    library = Tokenizer(models.Unigram(vocabulary, unk_id=piece.unk_id(), byte_fallback=True))
+    library.pre_tokenizer = pre_tokenizers.Metaspace(replacement="\u2581", prepend_scheme="always", split=True)
+    some = [*texts, *[r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]]
+    rows = spark.createDataFrame([*enumerate(some)], "doc_id long, text string").select("doc_id", token_counts.counts("text").alias("c"))
+    assert all(r.c.n_tokens == len(library.encode(some[r.doc_id] or "", add_special_tokens=False).ids) for r in rows.collect())
+    assert empty(spark).select(token_counts.counts("text")).count() == 0
