@@ -65,34 +65,101 @@ def repository_url(url: Column) -> Column:
     return F.regexp_replace(u, r"\.git(?=$|#)", "")
 
 
-def _numbers(version: Column) -> Column:
-    return F.transform(F.split(F.regexp_extract(F.trim(version), r"^v?([0-9]+(?:\.[0-9]+)*)", 1), r"\."), lambda x: F.coalesce(x.try_cast("bigint"), F.lit(0)))
+#: A version after the common scheme: epoch, release numbers, and marks before, after or in development of a release.
+_VERSION = (
+    r"(?i)^\s*v?(?:([0-9]+)!)?([0-9]+(?:\.[0-9]+)*)(?:[-_.]?(alpha|beta|preview|pre|rc|a|b|c)[-_.]?([0-9]*))?"
+    r"(?:-([0-9]+)|[-_.]?(post|rev|r)[-_.]?([0-9]*))?(?:[-_.]?(dev)[-_.]?([0-9]*))?(?:\+[a-z0-9]+(?:[-_.][a-z0-9]+)*)?\s*$"
+)
+_LAST = 2**62
+
+
+def is_version(version: Column) -> Column:
+    return F.coalesce(version.rlike(_VERSION), F.lit(False))
+
+
+def _part(version: Column, group: int) -> Column:
+    return F.regexp_extract(version, _VERSION, group)
+
+
+def _number(version: Column, group: int, default: int = 0) -> Column:
+    return F.coalesce(F.nullif(_part(version, group), F.lit("")).try_cast("bigint"), F.lit(default).cast("bigint"))
+
+
+def release(version: Column) -> Column:
+    """A version's release numbers as an array."""
+    return F.transform(F.split(_part(version, 2), r"\."), lambda x: F.coalesce(x.try_cast("bigint"), F.lit(0)))
+
+
+def _padded(numbers: Column, n: Column) -> Column:
+    return F.concat(numbers, F.array_repeat(F.lit(0).cast("bigint"), F.greatest(n - F.size(numbers), F.lit(0))))
+
+
+def _marks(version: Column) -> list[Column]:
+    """(phase, number, post, development) so that versions of one release compare as numbers do: alpha 0, beta 1, candidate 2, release 3."""
+    pre, dev = F.lower(_part(version, 3)), _part(version, 8) != ""
+    has_post = (_part(version, 5) != "") | (_part(version, 6) != "")
+    phase = F.when(pre.isin("a", "alpha"), 0).when(pre.isin("b", "beta"), 1).when(pre != "", 2).when(dev & ~has_post, -1).otherwise(3)
+    post = F.when(_part(version, 5) != "", _number(version, 5)).when(has_post, _number(version, 7)).otherwise(F.lit(-1))
+    return [phase.cast("bigint"), _number(version, 4), post.cast("bigint"), F.when(dev, _number(version, 9)).otherwise(F.lit(_LAST))]
+
+
+def is_prerelease(version: Column) -> Column:
+    return is_version(version) & ((_part(version, 3) != "") | (_part(version, 8) != ""))
 
 
 def version_key(version: Column, parts: int | Column = 6) -> Column:
-    """A version's leading numbers, padded with zeros to `parts`, as an array that compares as versions do to others of its length."""
-    numbers = _numbers(version)
+    """A version as an array that compares as versions do to others of as many release numbers: epoch, release padded with zeros to `parts`, marks."""
     n = F.lit(parts) if isinstance(parts, int) else parts
-    return F.concat(numbers, F.array_repeat(F.lit(0).cast("bigint"), F.greatest(n - F.size(numbers), F.lit(0))))
+    return F.concat(F.array(_number(version, 1)), _padded(release(version), n), F.array(*_marks(version)))
+
+
+def _clause(version: Column, operator: str, wanted: str) -> Column | None:
+    """One comparison, or None if it can't be read."""
+    if wanted.endswith(".*"):
+        if operator not in ("==", "!=") or not re.fullmatch(r"v?[0-9]+(\.[0-9]+)*", wanted[:-2]):
+            return None
+        numbers = [int(x) for x in wanted[:-2].lstrip("v").split(".")]
+        same = F.slice(_padded(release(version), F.lit(len(numbers))), 1, len(numbers)) == F.array(*[F.lit(x).cast("bigint") for x in numbers])
+        same = same & (_number(version, 1) == 0)
+        return same if operator == "==" else ~same
+    m = re.match(_VERSION, wanted)
+    if m is None:
+        return None
+    n = m[2].count(".") + 1
+    longer = F.greatest(F.size(release(version)), F.lit(n))
+    own, other = version_key(version, longer), version_key(F.lit(wanted), longer)
+    same_release = F.slice(own, 1, longer + 1) == F.slice(other, 1, longer + 1)
+    marks = lambda k: F.get(own, longer + 1 + k)
+    if operator == "~=":
+        if n < 2:
+            return None
+        upper = F.lit(".".join(m[2].split(".")[:-1]))
+        return (own >= other) & (F.slice(_padded(release(version), F.lit(n)), 1, n - 1) == release(upper)) & (_number(version, 1) == _number(F.lit(wanted), 1))
+    if operator == "<":  # what precedes a release is no earlier version of it, unless the bound itself precedes one
+        return (own < other) & (F.lit(bool(m[3] or m[8])) | ~(same_release & is_prerelease(version)))
+    if operator == ">":  # nor what follows a release a later one, unless the bound does
+        local = F.contains(version, F.lit("+")) & same_release
+        return (own > other) & (F.lit(bool(m[5] or m[6])) | ~(same_release & (marks(2) >= 0))) & ~local
+    return {"<=": own <= other, ">=": own >= other, "==": own == other, "!=": own != other}[operator]
 
 
 def satisfies(version: Column, constraint: str) -> Column:
-    """Whether a version meets all clauses (<=, >=, ==, !=, <, >; by comma or space); null with an unknown clause.
+    """Whether a version meets all clauses (~=, <=, >=, ==, !=, <, >, by comma or space; == and != with .* too); null with an unreadable one.
 
-    An empty constraint or one that starts with N/A holds always, and so does any for a null or empty version.
+    An empty constraint or one that starts with N/A holds always, and so does any for a version that is null, empty or
+    can't be read. Candidates and other versions before a release precede it and meet what their place in the order meets.
     """
     text = constraint.strip()
     if not text or text.upper().startswith("N/A"):
         return F.lit(True)
     out = F.lit(True)
-    tests = {"<=": "__le__", ">=": "__ge__", "==": "__eq__", "!=": "__ne__", "<": "__lt__", ">": "__gt__"}
     for clause in filter(None, re.split(r"[,\s]+(?=[<>=!~^])", text)):
-        m = re.fullmatch(r"(<=|>=|==|!=|<|>)\s*v?([0-9]+(?:\.[0-9]+)*)", clause.strip().rstrip(","))
-        if m is None:
+        m = re.fullmatch(r"(~=|<=|>=|==|!=|<|>)\s*(\S+)", clause.strip().rstrip(",").strip())
+        one = _clause(version, m[1], m[2]) if m else None
+        if one is None:
             return F.lit(None).cast("boolean")
-        longer = F.greatest(F.size(_numbers(version)), F.lit(m[2].count(".") + 1))
-        out = out & getattr(version_key(version, longer), tests[m[1]])(version_key(F.lit(m[2]), longer))
-    return F.when(version.isNull() | (version == ""), True).otherwise(out)
+        out = out & one
+    return F.when(is_version(version), out).otherwise(True)
 
 
 def confidence(n_found: Column, base: float, span: float, warned: Column, factor: float = 0.95, of: int = 6) -> Column:
@@ -101,10 +168,36 @@ def confidence(n_found: Column, base: float, span: float, warned: Column, factor
     return F.when(warned, F.round(raw * F.lit(factor).cast("decimal(6,4)"), 2)).otherwise(raw).cast("double")
 
 
-def backend_language(backend: Column) -> Column:
-    """Language of a specification's backend; none given: c, unknown ones: python."""
-    known = {"ctypes": "c", "cli": "c", "node": "javascript", "node_cleanroom": "javascript", "rust_module": "rust", "python_module": "python", "python_cleanroom": "python"}
+#: The language that a specification of each backend is written in; none given counts as ctypes, others as Python.
+BACKEND_LANGUAGES = {
+    "python_module": "python", "rust_module": "rust", "python_cleanroom": "python_cleanroom", "node_cleanroom": "node_cleanroom", "ctypes": "c", "node": "javascript",
+}
+
+
+def backend_language(backend: Column, command: Column | None = None) -> Column:
+    """Language of a specification's backend; of a command line's it is JavaScript where the command is node."""
     out = F.lit("python")
-    for k, v in known.items():
+    for k, v in BACKEND_LANGUAGES.items():
         out = F.when(backend == k, v).otherwise(out)
-    return F.when(backend.isNull() | (backend == ""), "c").otherwise(out)
+    node = F.lit(False) if command is None else F.coalesce(command == "node", F.lit(False))
+    return F.when(backend.isNull(), "c").when((backend == "cli") & node, "javascript").otherwise(out)
+
+
+def licences_allowed(licences: Column) -> Column:
+    """struct(allowed, reason) of a list of licences: any copyleft one denies, then all known permissive allow, and unknown ones too, by another reason."""
+    verdicts = F.transform(F.coalesce(licences, F.array().cast("array<string>")), permissive)
+    denied = F.exists(verdicts, lambda v: v.eqNullSafe(F.lit(False)))
+    known = F.forall(verdicts, lambda v: v.eqNullSafe(F.lit(True)))
+    reason = F.when(denied, "copyleft").when(F.size(verdicts) == 0, "no licence given").when(known, "permissive").otherwise("unknown licence")
+    return F.struct((~denied).alias("allowed"), reason.alias("reason"))
+
+
+def source_repository(urls: Column, homepage: Column) -> Column:
+    """Where a Python package's source is: of its named addresses (a map) the first by SOURCE_KEYS on GitHub, then the first of them at all, then a homepage on GitHub."""
+    given = [F.nullif(F.trim(F.try_element_at(urls, F.lit(k))), F.lit("")) for k in SOURCE_KEYS]
+    on_host = lambda x: F.when(F.contains(x, F.lit("github.com")), x)
+    return F.coalesce(*map(on_host, given), *given, on_host(F.nullif(F.trim(homepage), F.lit(""))), F.lit(""))
+
+
+#: Names of addresses that lead to a source, in the order in which they decide.
+SOURCE_KEYS = ("Source", "Repository", "Code", "Source Code")

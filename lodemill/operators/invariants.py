@@ -100,7 +100,7 @@ def _holds(node: ast.AST, names: dict[str, Column]) -> Column:
             return _COMPARE[type(op)](_holds(a, names), _holds(b, names))
         case ast.Call(func=ast.Name(id="semver_satisfies"), args=[version, ast.Constant(value=str() as wanted)], keywords=[]):
             found = _holds(version, names)
-            known = packages.version_key(found).isNotNull() & found.rlike(r"^\s*v?[0-9]") & F.lit(bool(wanted.strip()))
+            known = packages.is_version(found) & F.lit(bool(wanted.strip()))
             return F.coalesce(known & packages.satisfies(found, wanted), F.lit(False))
     raise ValueError(f"not allowed in a condition: {ast.dump(node)}")
 

@@ -52,14 +52,57 @@ def test_names_urls_versions(spark):
     assert list(got) == ["a__b", "foo-bar", "https://github.com/a/b", "https://github.com/a/b", True, None, 6, 120]
 
 
-def test_recipes(spark):
-    nix = 'stdenv.mkDerivation { pname = "z"; version = "1.2"; nativeBuildInputs = [ cmake pkgs.ninja ]; meta = { license = licenses.mit; }; }'
-    got = recipes.nix_recipes(spark.createDataFrame([("a", nix), ("b", "{ }")], "_path string, value string")).collect()
-    assert [(r["name"], r.version, r.licenses, r.build_system, r.build_deps) for r in got] == [("z", "1.2", ["MIT"], "cmake", ["cmake", "ninja"])]
-    make = "PORTNAME=\tz\nPORTVERSION=1\nUSES= cmake:run \\\n pkgconfig\nLIB_DEPENDS=libx.so:devel/libx\n"
-    ports = spark.createDataFrame([("devel/z", make, None), ("devel/z-slave", "PORTNAME=zs\n", "devel/z")], "dir string, t string, master string").select("dir", "master", recipes.make_variables(F.col("t")).alias("vars"))
-    got = recipes.port_recipes(recipes.inherited(ports)).orderBy("name").collect()
-    assert [(r["name"], r.version, r.build_system, r.host_deps) for r in got] == [("z", "1", "cmake", ["libx"]), ("zs", "1", "cmake", ["libx"])]
+def test_nix_recipes(spark, tmp_path):
+    nix = """stdenv.mkDerivation { pname = "z"; version = "1.2"; nativeBuildInputs = [ cmake pkgs.ninja ]; nativeCheckInputs = [ py ];
+      patches = [ ./fix.patch ]; doCheck = true; src = fetchurl { url = "https://s/z.tgz"; }; meta = { license = with lib; [ licenses.mit licenses.x ]; description = "d"; }; }"""
+    bare = 'buildGoModule { name = "w-2.0.1"; }'
+    for path, text in (("pkgs/z", nix), ("pkgs/w", bare), ("lib/a", nix), ("pkgs/top-level/b", nix), ("pkgs/none", "{ }")):
+        (tmp_path / path).mkdir(parents=True)
+        (tmp_path / path / "default.nix").write_text(text)
+    got = {r["name"]: r for r in recipes.nix_recipes(recipes.nix_tree(spark, str(tmp_path))).collect()}
+    z, w = got["z"], got["w"]
+    assert sorted(got) == ["w", "z"] and (z.version, z.licenses, z.build_system, z.build_deps, z.test_deps, z.patches, z.has_tests) == ("1.2", ["MIT", "x"], "cmake", ["cmake", "ninja"], ["py"], ["./fix.patch"], True)
+    assert (z.unmapped, z.warnings, z.confidence, [s.url for s in z.sources]) == (["homepage"], ["patch reasons not parsed from source"], round(round(0.5 + 5 / 6 * 0.45, 2) * 0.95, 2), ["https://s/z.tgz"])
+    assert (w.version, w.build_system, w.unmapped, w.confidence, w.phases) == ("2.0.1", "go", ["description", "homepage", "license", "src.url"], 0.65, ["configure", "build", "check", "install"])
+
+
+def test_ports(spark, tmp_path):
+    make = "PORTNAME=\tz\nPORTVERSION=1\nUSES= cmake:run \\\n pkgconfig\nLIB_DEPENDS=libx.so:devel/libx\nWWW= https://z\nOPTIONS_DEFINE=A B\n"
+    texts = {"devel/z": make, "devel/z-slave": "PORTNAME=zs\nMASTERDIR=${.CURDIR}/../z\n", "lang/p": "PORTNAME=p\nUSES=perl5\nTEST_TARGET=check\nMASTERDIR= ${.CURDIR:H:H}/devel/z\nMAINTAINER=a@b c\n", "lang/q": "PORTNAME=q\nMASTERDIR=${X}/y\nUSES=qmake\n",
+             "lang/up": "PORTNAME=up\nPORTVERSION=2\nMASTERDIR=${.CURDIR}/../../../etc\n", "lang/none": "MASTERDIR=${.CURDIR}/../q2\n"}
+    for path, text in texts.items():
+        (tmp_path / path / "files").mkdir(parents=True)
+        (tmp_path / path / "Makefile").write_text(text)
+    (tmp_path / "Makefile").write_text("PORTNAME=top\n")
+    (tmp_path / "devel/z/files/patch-a").write_text("x")
+    (tmp_path / "devel/z/files/other").write_text("x")
+    ports = recipes.ports_tree(spark, str(tmp_path)).withColumn("vars", recipes.make_variables(F.col("value")))
+    got = {r["name"]: r for r in recipes.port_recipes(recipes.inherited(ports)).collect()}
+    assert sorted(got) == ["p", "q", "up", "z", "zs"]
+    z, zs, p, q, up = (got[k] for k in ("z", "zs", "p", "q", "up"))
+    assert (z.version, z.build_system, z.host_deps, z.options, z.patches, z.warnings, z.unmapped) == ("1", "cmake", ["libx"], ["A", "B"], ["files/patch-a"], ["patch reasons not parsed from source"], ["COMMENT", "LICENSE"])
+    assert z.confidence == round(round(0.55 + 4 / 6 * 0.40, 2) * 0.95, 2) and z.sources[0].url == "https://z" and not z.has_tests
+    assert (zs.version, zs.build_system, zs.host_deps, zs.warnings) == ("1", "cmake", ["libx"], ["slave port; merged from devel/z"])
+    assert (p.build_system, p.has_tests, p.maintainers, p.version, p.warnings) == ("perl", True, ["a@b c"], "1", ["slave port; merged from devel/z"])
+    assert (q.build_system, q.version, q.warnings) == ("freebsd_ports_make", "unknown", ["slave port; MASTERDIR not resolvable: '${X}/y'", "version not found; set to 'unknown'"])
+    assert up.warnings == ["slave port; MASTERDIR not resolvable: '${.CURDIR}/../../../etc'"]
+
+
+def test_registry_records(spark):
+    npm = ['{"name": "@s/a", "dist-tags": {"latest": "9.0.0"}, "versions": {"9.0.0": {"dependencies": {"x": "1"}, "devDependencies": {"t": "1"}, "peerDependencies": {"h": "1"}, "license": {"type": "MIT"}, "dist": {"tarball": "u"}}, "10.0.0": {}}, "repository": "git+https://github.com/s/a.git", "keywords": ["k"]}',
+           '{"name": "b", "versions": {"9.0.0": {"license": "ISC"}, "10.0.0": {"license": "X"}}}', '{"name": "c", "dist-tags": {"latest": "3"}, "versions": {"1": {"homepage": "h"}}, "license": "L"}', '{"name": "d"}', "no json", None]
+    got = {r.ecosystem_id: r for r in recipes.npm_documents(spark.createDataFrame([(t,) for t in npm], "value string")).collect()}
+    a, b, c, d = (got[k] for k in ("@s/a", "b", "c", "d"))
+    assert len(got) == 4 and (a["name"], a.version, a.licenses, a.runtime_deps, a.build_deps, a.host_deps, a.repository, a.homepage, a.source_url, a.keywords) == ("s__a", "9.0.0", ["MIT"], ["x"], ["t"], ["h"], "https://github.com/s/a", "git+https://github.com/s/a.git", "u", ["k"])
+    assert (b.version, b.licenses, c.version, c.homepage, c.licenses, d.version, d.licenses) == ("10.0.0", ["X"], "1", "h", ["L"], "", [])
+    info = {"name": "A_b", "version": "1", "license": " MIT ", "home_page": "", "project_urls": {"Homepage": "https://h", "Code": "https://x/y", "Source Code": "https://github.com/a/b"}, "requires_dist": ["C_d>=1; python_version<'3'", "e; extra == 'x'", "c-d"], "classifiers": ["k"] * 12}
+    doc = {"info": info, "urls": [{"packagetype": "wheel", "url": "w"}, {"packagetype": "sdist", "url": "s", "digests": {"sha256": "00"}}]}
+    r = recipes.pypi_documents(spark.createDataFrame([(json.dumps(doc),)], "j string").select(F.parse_json("j").alias("v"))).first()
+    assert (r["name"], r.licenses, r.homepage, r.source_repository, r.runtime_deps, r.build_deps, r.source_url, r.source_sha256, len(r.classifiers)) == ("a-b", ["MIT"], "https://h", "https://github.com/a/b", ["c-d"], ["setuptools", "wheel"], "s", "00", 10)
+    raw = [("a", '{"pname": "A", "version": "1", "description": "d", "homepage": "h", "license": ["MIT", ""], "position": "/r/pkgs/a.nix:3"}'), ("b", "{}"), ("c", "null")]
+    got = {r.attr: r for r in recipes.nix_evaluated(spark.createDataFrame(raw, "attr string, raw string"), "/r").collect()}
+    assert sorted(got) == ["a", "b"] and (got["a"]["name"], got["a"].licenses, got["a"].source_path, got["a"].confidence) == ("A", ["MIT"], "pkgs/a.nix", round(round(0.98, 2) * 0.97, 2))
+    assert (got["b"].version, got["b"].source_path, len(got["b"].warnings), got["b"].unmapped) == ("unknown", "b", 2, ["meta.description", "meta.homepage", "meta.license"])
 
 
 def test_registry_documents(spark):
@@ -268,7 +311,7 @@ def test_layers_do_not_stop_early(spark):
 
 
 def test_versions_of_many_numbers(spark):
-    cases = [("1.2.3.4.5.6.7", "<1.2.3.4.5.6.8", True), ("1.2.3.4.5.6.7", "==1.2.3.4.5.6.8", False), ("1.2", "==1.2.0.0.0.0.0.0", True), ("1.2.0.0.0.0.0.1", ">1.2", True), (None, ">1.2", True)]
+    cases = [("1.2.3.4.5.6.7", "<1.2.3.4.5.6.8", True), ("1.2.3.4.5.6.7", "==1.2.3.4.5.6.8", False), ("1.2", "==1.2.0.0.0.0.0.0", True), ("1.2.0.0.0.0.0.1", ">1.2", True), (None, ">1.2", True), ("2.0rc1", ">=2.0", False), ("x", "==1", True)]
     got = spark.range(1).select(*[packages.satisfies(F.lit(v).cast("string"), c).alias(f"c{i}") for i, (v, c, _) in enumerate(cases)]).first()
     assert list(got) == [want for *_, want in cases]
 
@@ -297,3 +340,27 @@ def test_scratch_drops_what_is_written_inside(spark):
         path = kept.inputFiles()[0].split("/kept-")[0].removeprefix("file:")
         assert len(kept.collect()) == 2 and any(Path(path).glob("layered-*"))
     assert not any(Path(path).glob("kept-*"))
+
+
+def test_versions_equal_the_packaging_library(spark):
+    import re
+
+    specifiers, version = pytest.importorskip("packaging.specifiers"), pytest.importorskip("packaging.version")
+    versions = ["1", "1.0.1", "1.10", "2.0rc1", "2.0", "2.0.post1", "2.0.dev3", "2.0a1", "1!1.0", "2.0+local", "v3.1", "2.0.0.0.0.0.1", "abc", "3.0-1", "2.0rc1.post2"]
+    constraints = [">=2.0", ">=2.0rc1", "<2.0", "<2.0rc2", "<=2.0", "==2.0", "!=2.0", "==2.*", "!=2.*", "~=1.2", "~=1.2.0", ">1.0 <3", ">=1.0,<2", ">2.0", ">2.0.post0", "==2.0rc1", ">=1!0", "==1.0.0.0.0.0.0"]
+    frame = spark.createDataFrame([(v,) for v in versions], "v string")
+    for r in frame.select("v", *[packages.satisfies(F.col("v"), c).alias(f"c{i}") for i, c in enumerate(constraints)]).collect():
+        for i, c in enumerate(constraints):
+            try:
+                want = version.Version(r.v) in specifiers.SpecifierSet(re.sub(r"\s+(?=[<>=!])", ",", c))
+            except version.InvalidVersion:
+                want = True
+            assert r[f"c{i}"] == want, (r.v, c)
+
+
+def test_backends_licences(spark):
+    backends = [("ctypes", None, "c"), (None, None, "c"), ("cli", "node", "javascript"), ("cli", "x", "python"), ("node", None, "javascript"), ("node_cleanroom", None, "node_cleanroom"), ("python_cleanroom", None, "python_cleanroom"), ("rust_module", None, "rust"), ("other", None, "python")]
+    assert all(r.got == r.want for r in spark.createDataFrame(backends, "b string, c string, want string").select("want", packages.backend_language(F.col("b"), F.col("c")).alias("got")).collect())
+    licences = [(["MIT"], True, "permissive"), (["MIT", "GPL-2.0"], False, "copyleft"), (["X"], True, "unknown licence"), ([], True, "no licence given"), (None, True, "no licence given")]
+    found = spark.createDataFrame(licences, "l array<string>, allowed boolean, reason string").select("allowed", "reason", packages.licences_allowed(F.col("l")).alias("g")).collect()
+    assert all((r.g.allowed, r.g.reason) == (r.allowed, r.reason) for r in found)
