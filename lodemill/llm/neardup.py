@@ -48,7 +48,7 @@ MARGIN = 0.18
 #: One-bit minima of the second round's signatures, and their margin: over four standard errors as well.
 FINE, FINE_MARGIN = 2048, 0.065
 #: Nodes of a bucket in which all pairs are made; nodes of a tile of a frequent shingle.
-SMALL, TILE = 64, 128
+SMALL, TILE = 64, 256
 #: Counters of shingles by hash, which give the order from rare to frequent: the bound on what the driver and each task hold.
 SLOTS = 1 << 20
 SEED = 20240229
@@ -260,16 +260,25 @@ def prefixes(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
 
 def prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """(a, b), a < b, of prefixes() rows: nodes of different labels that share a shingle and may reach the threshold from there on."""
-    several = rows.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members")).where("low != high").select("shingle", "members")
-    rows = written(rows.join(several, "shingle").withColumn("tiles", F.ceil(F.col("members") / TILE).cast("int")).withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int")), "rare")
-    side = lambda x, own, other: [F.col("shingle"), F.col(own).alias("i"), F.col(other).alias("j"), *[F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "n", "at")]]
-    every = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    a, b = every.where("short").select(side("a", "tile", "other")), every.select(side("b", "other", "tile"))
+    # of each shingle, the label that most of its nodes have, and how many nodes, and short ones, have it and have others
+    each = rows.groupBy("shingle", "label").agg(F.count("*").alias("n"), F.count_if("short").alias("s"))
+    largest = F.struct("n", "label")
+    per = each.groupBy("shingle").agg(F.max_by("label", largest).alias("main"), F.max("n").alias("n_main"), F.max_by("s", largest).alias("s_main"), F.sum("n").alias("n"), F.sum("s").alias("s")).where("n > n_main AND s > 0")
+    tiles = lambda c: F.ceil(c / TILE).cast("int")
+    per = per.select("shingle", "main", tiles(F.col("n_main")).alias("t_main"), tiles(F.col("s_main")).alias("st_main"), tiles(F.col("n") - F.col("n_main")).alias("t_rest"), tiles(F.col("s") - F.col("s_main")).alias("st_rest"))
+    rows = written(rows.join(written(per, "shingles"), "shingle").withColumn("in_main", F.col("label") == F.col("main")), "rare")
+    dealt = lambda over: F.pmod(F.xxhash64("node"), F.greatest(F.col(over), F.lit(1))).cast("int")
+    cells = lambda kind, own, other, first: F.transform(F.filter(F.sequence(F.lit(-1), F.col(other) - 1), lambda k: k >= 0), lambda k: F.struct(F.lit(kind).alias("kind"), (own if first else k).alias("i"), (k if first else own).alias("j")))
+    # nodes of the main label meet the rest (kind 0 and, the other way, 1), and the rest meets itself (kind 2); short rows of a tile i meet all of a tile j
+    of_a = F.when(F.col("in_main"), cells(0, dealt("st_main"), "t_rest", True)).otherwise(F.concat(cells(1, dealt("st_rest"), "t_main", True), cells(2, dealt("st_rest"), "t_rest", True)))
+    of_b = F.when(F.col("in_main"), cells(1, dealt("t_main"), "st_rest", False)).otherwise(F.concat(cells(0, dealt("t_rest"), "st_main", False), cells(2, dealt("t_rest"), "st_rest", False)))
+    side = lambda x: [F.col("shingle"), F.col("c.kind").alias("kind"), F.col("c.i").alias("i"), F.col("c.j").alias("j"), *[F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "n", "at")]]
+    a, b = rows.where("short").withColumn("c", F.explode(of_a)).select(side("a")), rows.withColumn("c", F.explode(of_b)).select(side("b"))
     smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))
     rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
     reach = (100 + percent) * rest >= percent * (F.col("n_a") + F.col("n_b"))
     fits = (F.col("label_a") != F.col("label_b")) & smaller & (100 * F.col("n_a") >= percent * F.col("n_b")) & reach
-    return a.join(b, ["shingle", "i", "j"]).where(fits).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    return a.join(b, ["shingle", "kind", "i", "j"]).where(fits).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
 def between(members: DataFrame, labels: DataFrame, sets: DataFrame, bands: DataFrame, threshold: float, margin: float = FINE_MARGIN) -> DataFrame:

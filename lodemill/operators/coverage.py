@@ -16,10 +16,34 @@ def spec_names(name: Column, aliases: dict[str, str] | None = None) -> Column:
 
 
 def covered(items: DataFrame, specs: DataFrame, key: str, aliases: dict[str, str] | None = None) -> DataFrame:
-    """items with covered: whether specs(key) has any of the names an item may have."""
-    tried = items.select(F.col(key).alias("_item"), F.explode(spec_names(F.col(key).cast("string"), aliases)).alias("_name")).distinct()
-    found = tried.join(specs.select(F.col(key).cast("string").alias("_name")), "_name", "left_semi").select("_item").distinct().withColumn("covered", F.lit(True))
-    return items.join(found, items[key] == found["_item"], "left").drop("_item").withColumn("covered", F.coalesce("covered", F.lit(False)))
+    """items with covered: whether specs(key) has any of the names an item may have.
+
+    Items that are their own only name join directly; only those with other names too are tried by each of them."""
+    names = specs.select(F.col(key).cast("string").alias("_name")).distinct().withColumn("_there", F.lit(True))
+    tried = items.withColumn("_names", spec_names(F.col(key).cast("string"), aliases))
+    plain = tried.where(F.size("_names") <= 1).withColumn("_name", F.get("_names", 0)).join(names, "_name", "left")
+    others = tried.where(F.size("_names") > 1)
+    found = others.select(F.col(key).alias("_item"), F.explode("_names").alias("_name")).distinct().join(names, "_name").groupBy("_item").agg(F.lit(True).alias("_there"))
+    several = others.join(found, F.col(key) == F.col("_item"), "left")
+    held = lambda d: d.select(*items.columns, F.coalesce("_there", F.lit(False)).alias("covered"))
+    return held(plain).unionByName(held(several))
+
+
+def coverage_totals(found: DataFrame) -> DataFrame:
+    """One row over covered()'s rows: total, covered, gap and the covered share in tenths of a percent (half up; 0 of none)."""
+    n, good = F.count("*"), F.count_if("covered")
+    return found.agg(n.alias("total"), good.alias("covered"), (n - good).alias("gap"), F.when(n > 0, F.floor((good * 2000 + n) / (2 * n))).otherwise(0).cast("long").alias("tenths"))
+
+
+def by_score(extractions: DataFrame, top: int = 0, score: str = "score", file: str = "file") -> DataFrame:
+    """Extractions from the highest score down (none counts as 0), files breaking ties; the first `top` of them, or all (0)."""
+    out = extractions.orderBy(F.coalesce(F.col(score), F.lit(0)).desc(), F.col(file).asc())
+    return out.limit(top) if top else out
+
+
+def below_score(coverage: DataFrame, min_score: float) -> DataFrame:
+    """Specifications of vector_coverage() whose share of described vectors is below a percentage; the totals are left out."""
+    return coverage.where((F.col("level") == 1) & (F.col("tenths") < F.lit(min_score) * 10))
 
 
 def orphans(specs: DataFrame, items: DataFrame, key: str) -> DataFrame:

@@ -29,27 +29,145 @@ def agreement(rows: DataFrame, name: str, ecosystem: str, value: str, order: str
     return last.groupBy(name).agg(F.countDistinct("value").alias("n_values")).withColumn("agree", F.col("n_values") <= 1)
 
 
-def merge_records(records: DataFrame, name: Column | None = None) -> DataFrame:
-    """Nested records with _ord to one row a name: base fields of the most trusted record, ordered unions of the rest.
+BUCKETS = ("build", "host", "runtime", "test")
+_TEXTS = "array<string>"
 
-    Sources are distinct by url, lists keep the order in which records (by _ord) bring elements, merged_from has
-    the sorted ecosystems. A name's records meet in one row, as the result does.
-    """
+
+def _lists() -> dict[str, Column]:
+    """The list fields of nested records, none as empty."""
+    paths = {"license": "descriptive.license", "maintainers": "descriptive.maintainers", "conflicts": "conflicts", "platforms_include": "platforms.include", "platforms_exclude": "platforms.exclude"}
+    paths |= {f"{b}_deps": f"dependencies.{b}" for b in BUCKETS}
+    return {k: F.coalesce(F.col(p), F.array().cast(_TEXTS)) for k, p in paths.items()}
+
+
+def keyed(records: DataFrame, name: Column | None = None) -> DataFrame:
+    """Nested records with name, eco, confidence (0 where there is none); those without a name go."""
     name = F.col("identity.canonical_name") if name is None else name
-    keyed = records.withColumn("name", name).where("name <> ''")
-    per = keyed.groupBy("name").agg(
-        F.max_by(F.struct("identity", "descriptive", "provenance"), F.struct(F.coalesce("provenance.confidence", F.lit(0.0)), -F.col("_ord"))).alias("base"),
-        F.array_sort(F.collect_list(F.struct("_ord", "sources", "dependencies", "descriptive", "conflicts", "platforms"))).alias("all"),
-        F.array_sort(F.array_compact(F.collect_set(F.nullif(F.col("identity.ecosystem"), F.lit(""))))).alias("merged_from"),
-        F.coalesce(F.bool_or("descriptive.deprecated"), F.lit(False)).alias("any_deprecated"),
-        F.avg("provenance.confidence").alias("avg_confidence"), F.count("*").alias("n_records"),
+    return records.select("*", name.alias("name"), F.coalesce("identity.ecosystem", F.lit("")).alias("eco"), F.coalesce(F.col("provenance.confidence").cast("double"), F.lit(0.0)).alias("trust")).where("name <> ''")
+
+
+def unions(records: DataFrame, rank: Column | None = None) -> DataFrame:
+    """name and, of each list field, its distinct elements over all records of the name: by the least rank (then place in the
+    list) at which they are met, or sorted and without empty ones where no rank is given.
+
+    Elements are aggregated one by one, partially first, so a name with very many records costs what its result holds."""
+    kinds = _lists()
+    place = F.struct(*([rank] if rank is not None else []))
+    of = lambda k: lambda v, i: F.struct(F.lit(k).alias("kind"), v.alias("value"), i.alias("at"))
+    entries = F.concat(*[F.transform(c, of(k)) for k, c in kinds.items()])
+    every = records.select("name", (place if rank is not None else F.lit(0)).alias("place"), F.inline(entries))
+    if rank is None:
+        every = every.where("value <> ''").withColumn("at", F.lit(0))
+    met = every.groupBy("name", "kind", "value").agg(F.min(F.struct("place", "at")).alias("first"))
+    held = met.groupBy("name", "kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "value"))), lambda x: x["value"]).alias("held"))
+    per = held.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("kind", "held"))).alias("m"))
+    return per.select("name", *[F.coalesce(F.try_element_at("m", F.lit(k)), F.array().cast(_TEXTS)).alias(k) for k in kinds])
+
+
+def source_union(records: DataFrame, rank: Column) -> DataFrame:
+    """name, sources: distinct by url, each as it is first met by rank."""
+    every = records.select("name", rank.alias("rank"), F.posexplode("sources").alias("at", "source"))
+    met = every.groupBy("name", F.col("source.url").alias("url")).agg(F.min_by("source", F.struct("rank", "at")).alias("source"), F.min(F.struct("rank", "at")).alias("first"))
+    return met.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "url", "source")), lambda x, y: F.when(x["first"] < y["first"], -1).otherwise(1)), lambda x: x["source"]).alias("sources"))
+
+
+def _with_lists(base: DataFrame, lists: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """base(name, row: a nested record) with its list fields replaced by a union's."""
+    both = base.join(lists, "name", "left")
+    get = lambda k: F.coalesce(F.col(k), F.array().cast(_TEXTS))
+    row = lambda c: F.col(f"row.{c}")
+    changed = {
+        "conflicts": get("conflicts"), "descriptive": row("descriptive").withField("maintainers", get("maintainers")),
+        "dependencies": F.struct(*[get(f"{b}_deps").alias(b) for b in BUCKETS]), "platforms": F.struct(get("platforms_include").alias("include"), get("platforms_exclude").alias("exclude")),
+    }
+    if sources is not None:
+        both = both.join(sources.withColumnRenamed("sources", "_sources"), "name", "left")
+        changed["sources"] = F.coalesce("_sources", row("sources"))
+    return both, changed
+
+
+def bulk_merged(records: DataFrame, name: Column | None = None) -> DataFrame:
+    """One record a name in the records' own columns, and merged_from: the most trusted one (the first by _ord of equals), with what
+    the others have in addition, in their order: sources (by url), dependencies, maintainers, conflicts."""
+    rows = keyed(records, name)
+    columns = records.columns
+    best = rows.groupBy("name").agg(F.max_by(F.struct(*columns), F.struct("trust", -F.col("_ord"))).alias("row"), F.array_sort(F.array_compact(F.collect_set(F.nullif("eco", F.lit(""))))).alias("merged_from"))
+    marked = rows.join(best.select("name", F.col("row._ord").alias("base")), "name").withColumn("later", F.col("_ord") != F.col("base"))
+    rank = F.struct("later", "_ord")
+    both, changed = _with_lists(best, unions(marked, rank), source_union(marked, rank))
+    changed["platforms"], changed["descriptive"] = F.col("row.platforms"), F.col("row.descriptive").withField("maintainers", F.coalesce("maintainers", F.array().cast(_TEXTS)))
+    return both.select("name", "merged_from", *[changed.get(c, F.col(f"row.{c}")).alias(c) for c in columns])
+
+
+#: What a stub says of itself, and the version of the record format.
+STUB_WARNING, SCHEMA_VERSION = "generated stub — verify sources, checksums, and dependencies before use", "0.2"
+
+
+def stubs(records: DataFrame, name: Column | None = None) -> DataFrame:
+    """One stub a name: the most trusted record with maintainers, conflicts and platforms of all, the more trusted first."""
+    rows = keyed(records, name)
+    columns = records.columns
+    best = rows.groupBy("name").agg(F.max_by(F.struct(*columns), F.struct("trust", -F.col("_ord"))).alias("row"))
+    both, changed = _with_lists(best, unions(rows, F.struct((-F.col("trust")).alias("trust"), "_ord")))
+    warnings = F.coalesce("row.provenance.warnings", F.array().cast(_TEXTS))
+    noted = F.when(F.array_contains(warnings, STUB_WARNING), warnings).otherwise(F.array_append(warnings, F.lit(STUB_WARNING)))
+    changed |= {"dependencies": F.col("row.dependencies"), "stub": F.lit(True), "schema_version": F.lit(SCHEMA_VERSION), "provenance": F.col("row.provenance").withField("warnings", noted)}
+    return both.select("name", *[changed.get(c, F.col(f"row.{c}")).alias(c) for c in columns])
+
+
+def difference_notes(versions: Column, deps: Column, deprecated: Column) -> Column:
+    """Notes on a name's ecosystems: whether versions agree, of each pair which has more dependencies, where it is deprecated.
+
+    versions and deps: sorted arrays of struct(eco, value); deprecated: a sorted array of ecosystems."""
+    text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    agree = F.size(F.array_distinct(F.transform(versions, lambda x: x["value"]))) <= 1
+    first = F.when(agree, text("version agreement: all ecosystems at '", F.coalesce(F.get(versions, 0)["value"], F.lit("unknown")), "'")).otherwise(
+        text("version skew: ", F.array_join(F.transform(versions, lambda x: F.concat_ws("=", x["eco"], x["value"])), ", "))
+    )
+
+    def against(a: Column, i: Column) -> Column:
+        def note(b: Column) -> Column:
+            more = b["value"] - a["value"]
+            return F.when(more > 0, text(b["eco"], " has ", more.cast("string"), " more dep(s) than ", a["eco"])).when(more < 0, text(a["eco"], " has ", (-more).cast("string"), " more dep(s) than ", b["eco"]))
+
+        return F.transform(F.slice(deps, i + 2, F.greatest(F.size(deps), F.lit(1))), note)
+
+    pairs = F.array_compact(F.flatten(F.transform(deps, against)))
+    last = F.when(F.size(deprecated) > 0, F.array(text("deprecated in: ", F.array_join(deprecated, ", ")))).otherwise(F.array().cast(_TEXTS))
+    return F.concat(F.array(first), pairs, last)
+
+
+def extracted(records: DataFrame, candidates: DataFrame | None = None, top: int = 0, specs: DataFrame | None = None) -> DataFrame:
+    """One row a name: the most trusted record's summary and homepage, sorted unions of all lists, and what its ecosystems agree on.
+
+    Of several records of one ecosystem the last by _ord stands for it. candidates(name, score): only these, in
+    order of their score, the first `top` of them (0: all) before anything is merged; specs(name, path) adds the
+    path of a name's specification."""
+    rows = keyed(records, F.coalesce("identity.canonical_name", F.lit("unknown")))
+    if candidates is not None:
+        wanted = candidates.orderBy(F.col("score").desc_nulls_last(), "name")
+        rows = rows.join((wanted.limit(top) if top else wanted).select("name", "score"), "name")
+    score = [] if candidates is None else ["score"]
+    n_deps = sum((F.size(F.coalesce(F.col(f"dependencies.{b}"), F.array().cast(_TEXTS))) for b in BUCKETS), F.lit(0)).cast("long")
+    licences = F.array_join(F.array_sort(F.coalesce("descriptive.license", F.array().cast(_TEXTS))), "\x1f")
+    confidence = F.round(F.col("trust").cast("decimal(12,8)"), 3)
+    last = F.struct(F.coalesce("identity.version", F.lit("")).alias("version"), licences.alias("licences"), confidence.alias("confidence"), n_deps.alias("deps"))
+    deprecated = F.coalesce("descriptive.deprecated", F.lit(False))
+    best = F.struct("trust", -F.col("_ord"))
+    scalars = F.struct(F.coalesce("descriptive.summary", F.lit("")).alias("summary"), F.coalesce("descriptive.homepage", F.lit("")).alias("homepage"))
+    by_eco = rows.groupBy("name", "eco", *score).agg(F.max_by(last, "_ord").alias("last"), F.max_by(F.struct(best.alias("rank"), scalars.alias("of")), best).alias("best"), F.bool_or(deprecated).alias("deprecated"))
+    held = lambda c: F.array_sort(F.collect_list(F.struct("eco", F.col(f"last.{c}").alias("value"))))
+    per = by_eco.groupBy("name", *score).agg(
+        F.max_by("best.of", "best.rank").alias("best"), held("version").alias("versions"), held("deps").alias("deps"), F.array_sort(F.collect_list(F.when(F.col("deprecated"), F.col("eco")))).alias("deprecated_in"),
+        (F.count_distinct("last.licences") <= 1).alias("license_agreement"), (F.count_distinct("last.version") <= 1).alias("version_agreement"), F.round(F.avg("last.confidence"), 3).alias("confidence_avg"),
     )
-    joined = lambda get: F.filter(encounter_union(F.transform("all", lambda r: F.coalesce(get(r), F.array().cast("array<string>")))), lambda x: x != "")
-    sources = F.flatten(F.transform("all", lambda r: F.coalesce(r["sources"], F.array().cast("array<struct<type:string,url:string,sha256:string,integrity:string,filename:string,size:bigint>>"))))
-    by_url = F.aggregate(sources, F.slice(sources, 1, 0), lambda acc, s: F.when(F.exists(acc, lambda x: x["url"].eqNullSafe(s["url"])), acc).otherwise(F.concat(acc, F.array(s))))
-    return per.select(
-        "name", "base.identity", "base.descriptive.summary", "base.descriptive.homepage", "base.provenance.confidence", "avg_confidence", "n_records", "any_deprecated", "merged_from",
-        by_url.alias("sources"), *[joined(lambda r, b=b: r["dependencies"][b]).alias(f"{b}_deps") for b in ("build", "host", "runtime", "test")],
-        joined(lambda r: r["descriptive"]["license"]).alias("licenses"), joined(lambda r: r["descriptive"]["maintainers"]).alias("maintainers"),
-        joined(lambda r: r["conflicts"]).alias("conflicts"), joined(lambda r: r["platforms"]["include"]).alias("platforms"),
+    lists = unions(rows)
+    urls = rows.select("name", F.explode("sources.url").alias("url")).where("url <> ''").groupBy("name").agg(F.array_sort(F.collect_set("url")).alias("sources"))
+    out = per.join(lists, "name", "left").join(urls, "name", "left")
+    get = lambda c: F.coalesce(c, F.array().cast(_TEXTS)).alias(c)
+    found = out.select(
+        "name", *score, F.transform("versions", lambda x: x["eco"]).alias("ecosystems"), "best.summary", "best.homepage", *map(get, ["license", "maintainers", "conflicts", "platforms_include", *[f"{b}_deps" for b in BUCKETS], "sources"]),
+        (F.size("deprecated_in") > 0).alias("deprecated"), "deprecated_in", "version_agreement", "license_agreement", "confidence_avg", F.map_from_entries("versions").alias("versions_by_ecosystem"), F.map_from_entries("deps").alias("dep_count_by_ecosystem"),
+        difference_notes(F.col("versions"), F.col("deps"), F.col("deprecated_in")).alias("notes"),
     )
+    return found if specs is None else found.join(specs.groupBy("name").agg(F.min("path").alias("behavioral_spec")), "name", "left")

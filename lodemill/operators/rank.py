@@ -11,10 +11,10 @@ def record_score(confidence: Column, has_tests: Column, n_deps: Column, n_patche
     return confidence * 50 + F.when(has_tests, 15).otherwise(0) + F.greatest(F.lit(0), 20 - n_deps) - 2 * n_patches
 
 
-def candidates(records: DataFrame, a: str, b: str) -> DataFrame:
+def candidates(records: DataFrame, a: str, b: str, bonus: int = 25) -> DataFrame:
     """One row a name of records(name, ecosystem, version, score, confidence, has_tests, n_patches).
 
-    The mean score, 25 more where ecosystems a and b both have the name; mean confidence, whether any record
+    The mean score, `bonus` more where ecosystems a and b both have the name; mean confidence, whether any record
     has tests, all patches, and the sorted distinct ecosystems and versions. One shuffle on the name.
     """
     dual = F.coalesce(F.bool_or(F.col("ecosystem") == a), F.lit(False)) & F.coalesce(F.bool_or(F.col("ecosystem") == b), F.lit(False))
@@ -23,7 +23,7 @@ def candidates(records: DataFrame, a: str, b: str) -> DataFrame:
         F.count("*").alias("n_records"), F.sum("score").alias("total_score"), F.avg("score").alias("mean_score"), dual.alias("dual"), F.avg("confidence").alias("avg_confidence"),
         F.coalesce(F.bool_or("has_tests"), F.lit(False)).alias("has_any_tests"), F.sum("n_patches").alias("total_patch_count"), listed("ecosystem"), listed("version"),
     )
-    return per.withColumn("score", F.col("mean_score") + F.when(F.col("dual"), 25).otherwise(0))
+    return per.withColumn("score", F.col("mean_score") + F.when(F.col("dual"), bonus).otherwise(0))
 
 
 def ranked(rows: DataFrame, by: str = "score", name: str = "name", top: int = 0) -> DataFrame:
@@ -36,7 +36,8 @@ def fan_in(edges: DataFrame, known: DataFrame | None = None, min_refs: int = 0)
     """How many records need each dependency.
 
     edges(record, ecosystem, dep): a record counts once for a dependency however many buckets name it. Returns
-    dep, ref_count, ecosystems, refs_by_ecosystem ("eco=n", sorted) and, with known(name), in_snapshot. Two
+    dep, ref_count, ecosystems, refs_by_ecosystem ("eco=n", sorted) and, with known(name), in_snapshot, with
+    known(name, ecosystem) also known_ecosystems. Two
     partial aggregations; a dependency that very many records share is a row a task.
     """
     once = edges.where(F.col("dep").isNotNull() & (F.col("dep") != F.lit("").cast(edges.schema["dep"].dataType) if edges.schema["dep"].dataType.simpleString() == "string" else F.col("dep").isNotNull())).dropDuplicates(["record", "dep"])
@@ -48,14 +49,21 @@ def fan_in(edges: DataFrame, known: DataFrame | None = None, min_refs: int = 0)
     out = per.where(F.col("ref_count") >= min_refs)
     if known is None:
         return out
-    names = known.select(F.col("name").alias("dep")).distinct().withColumn("in_snapshot", F.lit(True))
+    by_name = known_ecosystems(known) if "ecosystem" in known.columns else known.select("name").distinct()
+    names = by_name.withColumnRenamed("name", "dep").withColumn("in_snapshot", F.lit(True))
     return out.join(names, "dep", "left").withColumn("in_snapshot", F.coalesce("in_snapshot", F.lit(False)))
 
 
+def known_ecosystems(known: DataFrame) -> DataFrame:
+    """name, known_ecosystems (sorted, comma-joined) of known(name, ecosystem)."""
+    return known.groupBy("name").agg(F.array_join(F.array_sort(F.collect_set("ecosystem")), ",").alias("known_ecosystems"))
+
+
 def dependency_edges(records: DataFrame, buckets: tuple[str, ...] = ("build", "host", "runtime", "test")) -> DataFrame:
     """(record, ecosystem, bucket, dep) of nested records: one row a distinct dependency of a bucket."""
     of = F.col("dependencies")
-    entries = F.concat(*[F.transform(F.coalesce(of[b], F.array().cast("array<string>")), lambda d, b=b: F.struct(F.lit(b).alias("bucket"), d.alias("dep"))) for b in buckets])
+    named = lambda b: lambda d: F.struct(F.lit(b).alias("bucket"), d.alias("dep"))
+    entries = F.concat(*[F.transform(F.coalesce(of[b], F.array().cast("array<string>")), named(b)) for b in buckets])
     return records.select(F.col("_path").alias("record"), F.col("identity.ecosystem").alias("ecosystem"), F.inline(F.array_distinct(entries)))
 
 

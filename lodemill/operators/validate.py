@@ -33,31 +33,199 @@ def validity(rows: DataFrame, key: list[str], rules: list[Rule]) -> DataFrame:
 
 
 #: Fixed values of the record format.
-REQUIRED = ("schema_version", "identity", "descriptive", "sources", "dependencies", "build", "features", "platforms", "patches", "tests", "provenance", "conflicts", "extensions")
+REQUIRED = ("schema_version", "identity", "descriptive", "sources", "dependencies", "build", "features", "platforms", "conflicts", "patches", "tests", "provenance", "extensions")
 IDENTITY = ("canonical_name", "canonical_id", "version", "ecosystem", "ecosystem_id")
-ARRAYS = ("sources", "patches", "conflicts", "descriptive.license", "descriptive.categories", "descriptive.maintainers", "dependencies.build", "dependencies.host", "dependencies.runtime", "dependencies.test", "platforms.include", "platforms.exclude")
+BUCKETS = ("build", "host", "runtime", "test")
 KNOWN_ECOSYSTEMS = ("nixpkgs", "freebsd_ports")
-
-
-def record_rules(document: str = "v") -> list[Rule]:
-    """Rules over a record as a VARIANT column: presence, types, elements, range of confidence, known ecosystems."""
-    get = lambda path, kind: F.try_variant_get(F.col(document), f"$.{path}", kind)
-    there = lambda path: get(path, "variant").isNotNull()
-    kind = lambda path: F.schema_of_variant(get(path, "variant"))
-    rules = [Rule(f, "ERROR", "required field is missing", ~there(f)) for f in REQUIRED]
-    rules += [Rule(f"identity.{f}", "ERROR", "must not be empty", there("identity") & (F.coalesce(get(f"identity.{f}", "string"), F.lit("")) == "")) for f in IDENTITY]
-    rules += [Rule(f, "ERROR", "must be an array", there(f) & ~F.startswith(kind(f), F.lit("ARRAY"))) for f in ARRAYS]
-    rules += [Rule("descriptive.deprecated", "ERROR", "must be a boolean", there("descriptive.deprecated") & (kind("descriptive.deprecated") != "BOOLEAN"))]
-    texts = F.filter(F.coalesce(get("descriptive.license", "array<variant>"), F.array().cast("array<variant>")), lambda x: F.schema_of_variant(x) != "STRING")
-    rules += [Rule("descriptive.license", "ERROR", "elements must be strings", F.size(texts) > 0)]
-    objects = F.coalesce(get("sources", "array<variant>"), F.array().cast("array<variant>"))
-    rules += [Rule("sources", "ERROR", "each needs a type", F.exists(objects, lambda x: F.try_variant_get(x, "$.type", "string").isNull()))]
-    patches = F.coalesce(get("patches", "array<variant>"), F.array().cast("array<variant>"))
-    rules += [Rule("patches", "ERROR", "each needs a path", F.exists(patches, lambda x: F.try_variant_get(x, "$.path", "string").isNull()))]
-    confidence = get("provenance.confidence", "double")
-    rules += [Rule("provenance.confidence", "ERROR", "must be a number from 0 to 1", there("provenance.confidence") & (confidence.isNull() | (confidence < 0) | (confidence > 1)))]
-    rules += [Rule("identity.ecosystem", "WARN", "unknown ecosystem", get("identity.ecosystem", "string").isNotNull() & ~get("identity.ecosystem", "string").isin(*KNOWN_ECOSYSTEMS))]
-    return rules
+KNOWN_BUILD_SYSTEMS = ("autotools", "cmake", "meson", "waf", "perl", "python", "go", "cargo", "freebsd_ports_make", "nix_derivation", "unknown")
+ISSUE = "array<struct<field:string,level:string,message:string>>"
+
+
+class Document:
+    """Questions about a JSON document in a VARIANT column."""
+
+    def __init__(self, column: str | Column):
+        self.v = F.col(column) if isinstance(column, str) else column
+
+    def get(self, path: str, kind: str = "variant") -> Column:
+        return F.try_variant_get(self.v, f"$.{path}" if path else "$", kind)
+
+    def there(self, path: str) -> Column:
+        """Whether the field is in the document, null or not."""
+        return self.get(path).isNotNull()
+
+    def kind(self, path: str) -> Column:
+        """string, boolean, number, array, object or null; SQL's null where the field is not in the document."""
+        return kind_of(self.get(path))
+
+    def items(self, path: str) -> Column:
+        return F.coalesce(self.get(path, "array<variant>"), F.array().cast("array<variant>"))
+
+    def is_no(self, path: str, kind: str) -> Column:
+        return self.there(path) & (self.kind(path) != kind)
+
+
+def kind_of(v: Column) -> Column:
+    t = F.schema_of_variant(v)
+    number = t.isin("BIGINT", "DOUBLE", "FLOAT") | t.startswith("DECIMAL")
+    return F.when(t == "STRING", "string").when(t == "BOOLEAN", "boolean").when(number, "number").when(t.startswith("ARRAY"), "array").when(t.startswith("OBJECT"), "object").when(v.isNotNull(), "null")
+
+
+def _truthy(v: Column) -> Column:
+    """Whether a value is neither missing, null, false, 0 nor empty."""
+    text = F.to_json(v)
+    return F.coalesce(v.isNotNull() & ~text.isin("null", "false", '""', "[]", "{}") & ~text.rlike(r"^-?0(\.0*)?$"), F.lit(False))
+
+
+def _issue(field: str | Column, level: str, message: str | Column) -> Column:
+    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return F.struct(lit(field).alias("field"), F.lit(level).alias("level"), lit(message).alias("message"))
+
+
+def _type_name(v: Column) -> Column:
+    """The name under which a value's type is reported."""
+    k = kind_of(v)
+    whole = F.schema_of_variant(v) == "BIGINT"
+    return F.when(k == "null", "NoneType").when(k == "boolean", "bool").when(whole, "int").when(k == "number", "float").when(k == "array", "list").when(k == "object", "dict").otherwise("str")
+
+
+def _each(d: Document, path: str, kind: str, message: Column | str, *more: tuple[str, str]) -> Column:
+    """Issues of an array's elements that are of another kind, or objects without a field."""
+
+    def of(x: Column, i: Column) -> Column:
+        at = F.concat(F.lit(f"{path}["), i.cast("string"), F.lit("]"))
+        said = F.concat(F.lit("must be a string, got "), _type_name(x)) if message == "text" else message
+        wrong = F.when(F.coalesce(kind_of(x), F.lit("null")) != kind, _issue(at, "ERROR", said))
+        for field, lacking in more:
+            wrong = wrong.when(F.try_variant_get(x, f"$.{field}", "variant").isNull(), _issue(at, "ERROR", lacking))
+        return wrong
+
+    return F.array_compact(F.transform(d.items(path), of))
+
+
+def record_issues(document: str | Column, strict: bool = False) -> Column:
+    """Issues of a record in a VARIANT column: missing fields, wrong types, bad elements by index, unknown values; strict: also what is poor.
+
+    An array<struct<field, level, message>> in one expression; a field that is missing is not of a wrong type besides."""
+    d = Document(document)
+    one: list[tuple[Column, Column]] = []
+    lists: list[Column] = []
+    error = lambda field, message, broken: one.append((broken, _issue(field, "ERROR", message)))
+    warn = lambda field, message, broken: one.append((broken, _issue(field, "WARN", message)))
+    is_object = lambda f: ~d.there(f) | (d.kind(f) == "object")
+    text = lambda path: F.coalesce(d.get(path, "string"), F.lit(""))
+    for f in REQUIRED:
+        error(f, "required field missing", ~d.there(f))
+    error("schema_version", "must be a non-empty string", F.coalesce((d.kind("schema_version") != "string") | (text("schema_version") == ""), F.lit(True)))
+    for f in ("identity", "descriptive", "dependencies", "build", "provenance", "platforms"):
+        error(f, "must be an object", d.is_no(f, "object"))
+    for f in ("features", "extensions", "tests"):
+        error(f, "must be an object", d.is_no(f, "object") & (d.kind(f) != "null"))
+    for f in IDENTITY:
+        error(f"identity.{f}", "required and must be non-empty", is_object("identity") & ~_truthy(d.get(f"identity.{f}")))
+    for path, known in (("identity.ecosystem", KNOWN_ECOSYSTEMS), ("build.system_kind", KNOWN_BUILD_SYSTEMS)):
+        warn(path, F.concat(F.lit("unknown value '"), text(path), F.lit("'")), _truthy(d.get(path)) & ~text(path).isin(*known))
+    for f in ("descriptive.license", "descriptive.categories", "descriptive.maintainers", "provenance.unmapped", "provenance.warnings", "platforms.include", "platforms.exclude", "conflicts", "sources", "patches"):
+        error(f, "must be an array", d.is_no(f, "array"))
+    error("descriptive.deprecated", "must be a boolean", d.is_no("descriptive.deprecated", "boolean"))
+    error("descriptive.expiration_date", "must be a string", d.is_no("descriptive.expiration_date", "string"))
+    for b in BUCKETS:
+        error(f"dependencies.{b}", "required field missing", is_object("dependencies") & ~d.there(f"dependencies.{b}"))
+        error(f"dependencies.{b}", "must be an array", d.is_no(f"dependencies.{b}", "array"))
+        lists.append(_each(d, f"dependencies.{b}", "string", "text"))
+    lists.append(_each(d, "conflicts", "string", "text"))
+    lists.append(_each(d, "sources", "object", "must be an object", ("type", "missing required field 'type'")))
+    lists.append(_each(d, "patches", "object", "must be an object", ("path", "missing required field 'path'")))
+    confidence, kind = d.get("provenance.confidence", "double"), d.kind("provenance.confidence")
+    numeric = kind.isin("number", "boolean")
+    error("provenance.confidence", "must be a number", ~numeric & (kind != "null"))
+    error("provenance.confidence", "out of range [0, 1]", numeric & ~confidence.between(0, 1))
+    error("behavioral_spec", "must be a string path", d.is_no("behavioral_spec", "string") & (d.kind("behavioral_spec") != "null"))
+    if strict:
+        for f, what in (("summary", "a description"), ("homepage", "a homepage URL")):
+            warn(f"descriptive.{f}", f"empty — consider adding {what}", is_object("descriptive") & ~_truthy(d.get(f"descriptive.{f}")))
+        for f, what in (("unmapped", "unmapped field(s)"), ("warnings", "warning(s)")):
+            n = F.size(d.items(f"provenance.{f}"))
+            warn(f"provenance.{f}", F.concat(n.cast("string"), F.lit(f" {what}")), n > 0)
+    found = F.array_compact(F.array(*[F.when(F.coalesce(broken, F.lit(False)), issue) for broken, issue in one]))
+    return F.concat(found, *lists)
+
+
+#: Fixed values of compiled specifications: required fields by scope, and kinds of invariants.
+SPEC_FIELDS = {
+    "": ("schema_version", "identity", "provenance", "library", "constants", "types", "functions", "invariants", "wire_formats", "error_model"), "identity": ("canonical_name", "spec_for_versions"),
+    "provenance": ("derived_from", "not_derived_from"), "library": ("soname_patterns",), "error_model": ("error_codes", "return_code_semantics"),
+}
+INVARIANT_FIELDS = ("category", "description", "id", "kind", "spec")
+KNOWN_KINDS = (
+    "constant_eq", "call_eq", "call_returns", "version_prefix", "roundtrip", "wire_bytes", "error_on_bad_input", "incremental_eq_oneshot", "call_ge", "hash_known_vector", "hash_incremental", "hash_object_attr",
+    "python_set_contains", "hash_digest_consistency", "hash_copy_independence", "hash_api_equivalence", "python_call_eq", "python_call_raises", "python_encode_decode_roundtrip", "python_struct_roundtrip",
+    "python_sqlite_roundtrip", "cli_exits_with", "cli_stdout_eq", "cli_stdout_contains", "cli_stdout_matches", "cli_stderr_contains", "node_module_call_eq", "node_constructor_call_eq", "node_factory_call_eq",
+    "node_chain_eq", "node_property_eq", "node_sandbox_chain_eq", "ctypes_chain_eq", "ctypes_sandbox_chain_eq", "lz4_roundtrip", "pcre2_match",
+)
+
+
+def spec_issues(document: str | Column) -> Column:
+    """Errors of a compiled specification in a VARIANT column, as record_issues(): required fields, arrays, repeated ids, unknown kinds, as many arg_types as args."""
+    d = Document(document)
+    one = [(~d.there(f) if not scope else (d.kind(scope) == "object") & ~d.there(f"{scope}.{f}"), _issue(scope or f, "ERROR", f"missing required field '{f}'")) for scope, fields in SPEC_FIELDS.items() for f in fields]
+    one += [(d.is_no(f"provenance.{f}", "array") & (d.kind(f"provenance.{f}") != "null"), _issue(f"provenance.{f}", "ERROR", "must be an array")) for f in SPEC_FIELDS["provenance"]]
+    one += [(d.is_no("invariants", "array") & (d.kind("invariants") != "null"), _issue("invariants", "ERROR", "must be an array"))]
+    items = d.items("invariants")
+    ids = F.transform(items, lambda x, i: F.coalesce(F.try_variant_get(x, "$.id", "string"), F.concat(F.lit("<index "), i.cast("string"), F.lit(">"))))
+
+    def of(p: Column, i: Column) -> Column:
+        x, own = p["x"], p["id"]
+        at = F.concat(F.lit("invariants["), i.cast("string"), F.lit("]"))
+        get = lambda path, kind="variant": F.try_variant_get(x, f"$.{path}", kind)
+        lacking = [F.when(get(f).isNull(), _issue(at, "ERROR", f"missing required field '{f}'")) for f in INVARIANT_FIELDS]
+        size = lambda f: F.size(get(f"spec.{f}", "array<variant>"))
+        is_list = lambda f: kind_of(get(f"spec.{f}")) == "array"
+        lengths = F.concat(F.lit("arg_types length ("), size("arg_types").cast("string"), F.lit(") does not match args length ("), size("args").cast("string"), F.lit(")"))
+        found = [
+            *lacking, F.when(p["again"], _issue(at, "ERROR", F.concat(F.lit("duplicate id '"), own, F.lit("'")))),
+            F.when((kind_of(get("kind")) != "null") & ~F.coalesce(get("kind", "string"), F.lit("")).isin(*KNOWN_KINDS), _issue(at, "ERROR", F.concat(F.lit("unknown kind '"), get("kind", "string"), F.lit("'")))),
+            F.when(is_list("args") & is_list("arg_types") & (size("args") != size("arg_types")), _issue(at, "ERROR", lengths)),
+        ]
+        return F.when(kind_of(x) == "object", F.array_compact(F.array(*found))).otherwise(F.array(_issue(at, "ERROR", "must be an object")))
+
+    # whether an id stands earlier too, by a sort of (id, place)
+    places = F.array_sort(F.transform(ids, lambda k, i: F.struct(k.alias("id"), (i + 1).alias("at"))))
+    above = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("id"), F.lit(0).alias("at"))), places)
+    marked = F.transform(F.arrays_zip(places.alias("own"), above.alias("above")), lambda z: F.struct(z["own"]["at"].alias("at"), z["own"]["id"].alias("id"), z["own"]["id"].eqNullSafe(z["above"]["id"]).alias("again")))
+    order = F.array_sort(F.filter(marked, lambda m: m["at"].isNotNull()))
+    rows = F.zip_with(items, order, lambda x, m: F.struct(x.alias("x"), m["id"].alias("id"), m["again"].alias("again")))
+    top = F.array_compact(F.array(*[F.when(F.coalesce(broken, F.lit(False)), issue) for broken, issue in one]))
+    return F.concat(top, F.flatten(F.transform(rows, of)))
+
+
+def issue_rows(rows: DataFrame, key: list[str], found: Column) -> DataFrame:
+    """key, field, level, message of every issue."""
+    return rows.select(*key, F.inline(found))
+
+
+def file_validity(texts: DataFrame, found: Column | None = None, strict: bool = False) -> DataFrame:
+    """_path, n_issues, n_errors, valid of documents as texts(_path, value): what is no JSON object is one error; any issue, a warning too, makes a file invalid."""
+    read = texts.select("_path", F.try_parse_json("value").alias("v"))
+    whole = kind_of(F.col("v")) == "object"
+    bad = F.array(_issue("", "ERROR", "no JSON object"))
+    of = F.when(F.coalesce(whole, F.lit(False)), record_issues("v", strict) if found is None else found).otherwise(bad)
+    judged = read.select("_path", of.alias("found"))
+    return judged.select("_path", F.size("found").cast("long").alias("n_issues"), F.size(F.filter("found", lambda x: x["level"] == "ERROR")).cast("long").alias("n_errors"), (F.size("found") == 0).alias("valid"))
+
+
+#: Fixed value: a note that says a specification exposes another module's name.
+EXPOSES = r'"Expose\s+\w+.*?:\s*\w+\.\w+'
+
+
+def lint(specs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """spec, level, message of specification sources (value) by their text: a rust_module backend in one that is not among known(spec) is
+    forbidden; a clean-room one with a note that it exposes another module's name is suspect. Texts without a name are left out."""
+    named = specs.select(F.regexp_extract("value", r"(?m)^spec:\s+(\S+)", 1).alias("spec"), "value").where("spec <> ''")
+    new = named if known is None else named.join(known.select("spec").distinct(), "spec", "left_anti")
+    bad = new.where(F.col("value").rlike(r"(?m)^backend:\s+rust_module\s*\(")).select("spec", F.lit("ERROR").alias("level"), F.lit("new specification with a rust_module backend").alias("message"))
+    shown = named.where(F.col("value").rlike(r"(?m)^backend:\s+(python|node)_cleanroom") & F.col("value").rlike(EXPOSES))
+    return bad.unionByName(shown.select("spec", F.lit("WARN").alias("level"), F.lit("notes say that it exposes another module's name").alias("message")))
 
 
 def repeated_ids(rows: DataFrame, scope: list[str], key: str) -> DataFrame:

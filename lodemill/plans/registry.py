@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodemill.functions import packages, scalars, sequences
-from lodemill.operators import audit, closure, compare, coverage, evaluate, invariants, merge, overlap, rank, validate
-from lodemill.sources import seeds
+from lodemill.operators import audit, closure, compare, coverage, evaluate, fill, invariants, merge, overlap, rank, validate
+from lodemill.sources import recipes, seeds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,7 +63,7 @@ def overlap_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH l AS (SELECT l_orderkey, count(*) AS deps, count(*) FILTER (l_returnflag = 'R') AS patches FROM lineitem GROUP BY 1),
 r AS (SELECT o_custkey AS name, o_orderpriority AS ecosystem, o_orderstatus AS version, o_orderstatus = 'F' AS tests, coalesce(patches, 0) AS patches,
   (50 + o_orderkey % 50) + 30 * (o_orderstatus = 'F')::INT + 2 * greatest(0, 20 - coalesce(deps, 0)) - 4 * coalesce(patches, 0) AS score FROM orders LEFT JOIN l ON l_orderkey = o_orderkey)
-SELECT name, count(*) AS n_records, sum(score)::BIGINT AS total_score, bool_or(ecosystem = '1-URGENT') AND bool_or(ecosystem = '5-LOW') AS dual, bool_or(tests) AS has_any_tests,
+SELECT name, count(*) AS n_records, sum(score)::BIGINT AS total_score, (sum(score)::DOUBLE / count(*) + CASE WHEN bool_or(ecosystem = '1-URGENT') AND bool_or(ecosystem = '5-LOW') THEN 50 ELSE 0 END)::DECIMAL(18,6)::VARCHAR AS score, bool_or(ecosystem = '1-URGENT') AND bool_or(ecosystem = '5-LOW') AS dual, bool_or(tests) AS has_any_tests,
   sum(patches)::BIGINT AS total_patch_count, string_agg(DISTINCT ecosystem, ',' ORDER BY ecosystem) AS ecosystems, string_agg(DISTINCT version, ',' ORDER BY version) AS versions FROM r GROUP BY name""")
 def candidate_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores doubled and confidence in percent, so that all sums are whole numbers."""
@@ -72,7 +72,8 @@ def candidate_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     percent, tests = 50 + F.col("o_orderkey") % 50, F.col("o_orderstatus") == "F"
     doubled = 2 * rank.record_score(F.lit(0), tests, F.col("deps"), F.col("n_patches")) + percent
     records = o.select(F.col("o_custkey").alias("name"), F.col("o_orderpriority").alias("ecosystem"), F.col("o_orderstatus").alias("version"), doubled.alias("score"), percent.alias("confidence"), tests.alias("has_tests"), "n_patches")
-    return rank.candidates(records, "1-URGENT", "5-LOW").select("name", "n_records", "total_score", "dual", "has_any_tests", "total_patch_count", "ecosystems", "versions")
+    found = rank.candidates(records, "1-URGENT", "5-LOW", bonus=50)
+    return found.select("name", "n_records", "total_score", F.col("score").cast("decimal(18,6)").cast("string").alias("score"), "dual", "has_any_tests", "total_patch_count", "ecosystems", "versions")
 
 
 @query("fanin_rank", """
@@ -474,3 +475,255 @@ def lcm_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quoted_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     quoted = scalars.quoted(F.col("url"))
     return table(spark, sf_dir, "pages").select("page_id", quoted.alias("quoted"), scalars.unquoted(quoted).alias("back"))
+
+
+#: Orders as nested records: a customer is a name, a priority an ecosystem, a status a version, the parts on its lines are dependencies.
+NESTED_SQL = """
+WITH d AS (SELECT DISTINCT l_orderkey, CASE l_returnflag WHEN 'A' THEN 'build' WHEN 'N' THEN 'host' ELSE 'runtime' END AS bucket, (l_partkey % 40)::VARCHAR AS dep FROM lineitem),
+n AS (SELECT l_orderkey, count(*) AS deps FROM d GROUP BY 1),
+r AS (SELECT o_custkey AS name, o_orderkey AS ord, o_orderpriority AS eco, o_orderstatus AS version, 50 + o_orderkey % 50 AS pct, 's' || o_orderkey AS summary, o_orderkey % 11 = 0 AS deprecated, coalesce(deps, 0) AS deps,
+  'L' || (o_orderkey % 3) AS lic, ['m' || (o_orderkey % 7), 'm' || (o_orderkey % 5)] AS maint, CASE WHEN o_orderkey % 4 = 0 THEN ['c' || (o_orderkey % 13)] ELSE [] END AS confl, ['p' || (o_orderkey % 3)] AS plat, 'u' || (o_orderkey % 17) AS url
+  FROM orders LEFT JOIN n ON l_orderkey = o_orderkey),
+best AS (SELECT name, arg_max(ord, pct * 1000000000000 - ord) AS ord FROM r GROUP BY 1)
+"""
+
+
+def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
+    bucket = F.when(F.col("l_returnflag") == "A", "build").when(F.col("l_returnflag") == "N", "host").otherwise("runtime")
+    dep = lambda b: F.array_sort(F.collect_set(F.when(bucket == b, (F.col("l_partkey") % 40).cast("string")))).alias(b)
+    deps = lines.groupBy("l_orderkey").agg(*map(dep, ("build", "host", "runtime")))
+    none = F.array().cast("array<string>")
+    k = F.col("o_orderkey")
+    text = lambda prefix, n: F.concat(F.lit(prefix), (k % n).cast("string"))
+    held = lambda c: F.coalesce(c, none)
+    source = F.struct(F.lit("archive").alias("type"), text("u", 17).alias("url"))
+    return table(spark, sf_dir, "orders").join(deps, k == F.col("l_orderkey"), "left").select(
+        F.struct(F.col("o_custkey").cast("string").alias("canonical_name"), F.col("o_orderpriority").alias("ecosystem"), F.col("o_orderstatus").alias("version")).alias("identity"),
+        F.struct(F.concat(F.lit("s"), k.cast("string")).alias("summary"), F.lit("").alias("homepage"), F.array(text("L", 3)).alias("license"), F.array(text("m", 7), text("m", 5)).alias("maintainers"), (k % 11 == 0).alias("deprecated")).alias("descriptive"),
+        F.array(source).alias("sources"), F.struct(held("build").alias("build"), held("host").alias("host"), held("runtime").alias("runtime"), none.alias("test")).alias("dependencies"),
+        F.when(k % 4 == 0, F.array(text("c", 13))).otherwise(none).alias("conflicts"), F.struct(F.array(text("p", 3)).alias("include"), none.alias("exclude")).alias("platforms"),
+        F.struct(((50 + k % 50) / 100).alias("confidence"), none.alias("warnings")).alias("provenance"), F.lit(False).alias("stub"), F.lit("0.1").alias("schema_version"), k.alias("_ord"),
+    )
+
+
+def _joined(*columns: str) -> list:
+    return [F.array_join(c, ",").alias(c) for c in columns]
+
+
+@query("extraction", NESTED_SQL + """,
+e AS (SELECT name, eco, arg_max(version, ord) AS version, arg_max(lic, ord) AS lic, arg_max(pct, ord) AS pct, arg_max(deps, ord) AS deps, bool_or(deprecated) AS deprecated FROM r GROUP BY ALL),
+pairs AS (SELECT a.name, string_agg(CASE WHEN b.deps > a.deps THEN b.eco || ' has ' || (b.deps - a.deps) || ' more dep(s) than ' || a.eco ELSE a.eco || ' has ' || (a.deps - b.deps) || ' more dep(s) than ' || b.eco END, '; ' ORDER BY a.eco, b.eco) AS said
+  FROM e a JOIN e b ON a.name = b.name AND a.eco < b.eco AND a.deps <> b.deps GROUP BY 1),
+per AS (SELECT name, string_agg(eco, ',' ORDER BY eco) AS ecosystems, count(DISTINCT version) <= 1 AS version_agreement, count(DISTINCT lic) <= 1 AS license_agreement, bool_or(deprecated) AS deprecated,
+  (20 * sum(pct) + count(*)) // (2 * count(*)) AS confidence_e3, string_agg(eco || '=' || version, ', ' ORDER BY eco) AS skew, max(version) AS one, string_agg(eco, ', ' ORDER BY eco) FILTER (deprecated) AS dep_in FROM e GROUP BY 1),
+lists AS (SELECT name, string_agg(DISTINCT lic, ',' ORDER BY lic) AS license, string_agg(DISTINCT plat[1], ',' ORDER BY plat[1]) AS platforms_include, string_agg(DISTINCT url, ',' ORDER BY url) AS sources FROM r GROUP BY 1),
+m AS (SELECT name, string_agg(DISTINCT x, ',' ORDER BY x) AS maintainers FROM (SELECT name, unnest(maint) AS x FROM r) GROUP BY 1), c AS (SELECT name, string_agg(DISTINCT x, ',' ORDER BY x) AS conflicts FROM (SELECT name, unnest(confl) AS x FROM r) GROUP BY 1),
+b AS (SELECT name, string_agg(DISTINCT dep, ',' ORDER BY dep) FILTER (bucket = 'build') AS build_deps, string_agg(DISTINCT dep, ',' ORDER BY dep) FILTER (bucket = 'runtime') AS runtime_deps FROM r JOIN d ON l_orderkey = ord GROUP BY 1)
+SELECT p.name::VARCHAR AS name, ecosystems, 's' || best.ord AS summary, license, maintainers, coalesce(conflicts, '') AS conflicts, platforms_include, sources, coalesce(build_deps, '') AS build_deps, coalesce(runtime_deps, '') AS runtime_deps, deprecated, version_agreement, license_agreement, confidence_e3::BIGINT AS confidence_e3,
+  CASE WHEN version_agreement THEN 'version agreement: all ecosystems at ''' || one || '''' ELSE 'version skew: ' || skew END || coalesce('; ' || said, '') || coalesce('; deprecated in: ' || dep_in, '') AS notes
+FROM per p JOIN best USING (name) JOIN lists USING (name) LEFT JOIN m USING (name) LEFT JOIN c USING (name) LEFT JOIN b USING (name) LEFT JOIN pairs USING (name)""")
+def extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merge.extracted(_nested(spark, sf_dir))
+    lists = ("ecosystems", "license", "maintainers", "conflicts", "platforms_include", "sources", "build_deps", "runtime_deps")
+    return found.select("name", "summary", *_joined(*lists), "deprecated", "version_agreement", "license_agreement", (F.col("confidence_avg") * 1000).cast("long").alias("confidence_e3"), F.array_join("notes", "; ").alias("notes"))
+
+
+@query("bulk_merge", NESTED_SQL + """,
+k AS (SELECT r.*, r.ord <> best.ord AS later FROM r JOIN best USING (name)),
+m AS (SELECT name, string_agg(x, ',' ORDER BY later, ord, i) AS maintainers FROM (SELECT *, row_number() OVER (PARTITION BY name, x ORDER BY later, ord, i) AS rn FROM (SELECT name, later, ord, unnest(maint) AS x, unnest([1, 2]) AS i FROM k)) WHERE rn = 1 GROUP BY 1),
+s AS (SELECT name, string_agg(url, ',' ORDER BY later, ord) AS sources FROM (SELECT *, row_number() OVER (PARTITION BY name, url ORDER BY later, ord) AS rn FROM k) WHERE rn = 1 GROUP BY 1),
+h AS (SELECT name, string_agg(dep, ',' ORDER BY later, ord, dep) AS host_deps FROM (SELECT *, row_number() OVER (PARTITION BY name, dep ORDER BY later, ord) AS rn FROM k JOIN d ON l_orderkey = ord WHERE bucket = 'host') WHERE rn = 1 GROUP BY 1)
+SELECT name::VARCHAR AS name, best.ord AS base, merged_from, maintainers, sources, coalesce(host_deps, '') AS host_deps FROM best JOIN (SELECT name, string_agg(DISTINCT eco, ',' ORDER BY eco) AS merged_from FROM r GROUP BY 1) USING (name)
+JOIN m USING (name) JOIN s USING (name) LEFT JOIN h USING (name)""")
+def bulk_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merge.bulk_merged(_nested(spark, sf_dir))
+    host = F.array_join("dependencies.host", ",").alias("host_deps")
+    return found.select("name", F.col("_ord").alias("base"), *_joined("merged_from"), F.array_join("descriptive.maintainers", ",").alias("maintainers"), F.array_join("sources.url", ",").alias("sources"), host)
+
+
+@query("stub_merge", NESTED_SQL + """,
+m AS (SELECT name, string_agg(x, ',' ORDER BY pct DESC, ord, i) AS maintainers FROM (SELECT *, row_number() OVER (PARTITION BY name, x ORDER BY pct DESC, ord, i) AS rn FROM (SELECT name, pct, ord, unnest(maint) AS x, unnest([1, 2]) AS i FROM r)) WHERE rn = 1 GROUP BY 1),
+p AS (SELECT name, string_agg(x, ',' ORDER BY pct DESC, ord) AS platforms FROM (SELECT *, row_number() OVER (PARTITION BY name, x ORDER BY pct DESC, ord) AS rn FROM (SELECT name, pct, ord, unnest(plat) AS x FROM r)) WHERE rn = 1 GROUP BY 1)
+SELECT name::VARCHAR AS name, best.ord AS base, maintainers, platforms, TRUE AS stub, 1::BIGINT AS n_warnings FROM best JOIN m USING (name) JOIN p USING (name)""")
+def stub_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merge.stubs(_nested(spark, sf_dir))
+    return found.select("name", F.col("_ord").alias("base"), F.array_join("descriptive.maintainers", ",").alias("maintainers"), F.array_join("platforms.include", ",").alias("platforms"), "stub", F.size("provenance.warnings").cast("long").alias("n_warnings"))
+
+
+@query("record_issues", """
+WITH c AS (SELECT c_custkey AS k, c_acctbal, c_mktsegment AS seg, c_nationkey AS n FROM customer)
+SELECT k, 'provenance.confidence' AS field, 'ERROR' AS level, 'out of range [0, 1]' AS message FROM c WHERE c_acctbal < 0 OR c_acctbal > 8000 UNION ALL
+SELECT k, 'identity.ecosystem', 'WARN', 'unknown value ''' || seg || '''' FROM c WHERE n % 5 <> 0 UNION ALL
+SELECT k, 'identity.ecosystem', 'ERROR', 'required and must be non-empty' FROM c WHERE n % 5 = 0 UNION ALL
+SELECT k, 'sources[' || i || ']', 'ERROR', 'missing required field ''type''' FROM (SELECT k, unnest(range(n % 4)) AS i, n FROM c) WHERE (i + n) % 2 = 0 UNION ALL
+SELECT k, 'conflicts[' || i || ']', 'ERROR', 'must be a string, got ' || CASE WHEN i = 0 THEN 'int' ELSE 'NoneType' END FROM (SELECT k, unnest([0, 2]) AS i FROM c WHERE n % 3 = 1) UNION ALL
+SELECT k, 'dependencies.test', 'ERROR', CASE WHEN n % 2 = 0 THEN 'required field missing' ELSE 'must be an array' END FROM c UNION ALL
+SELECT k, 'tests', 'ERROR', 'required field missing' FROM c WHERE n % 7 = 0""")
+def record_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as JSON records with a balance for a confidence, a segment for an ecosystem, and lists with bad elements."""
+    n = F.col("c_nationkey")
+    texts = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    kinds = F.transform(F.filter(F.sequence(F.lit(0), F.lit(3)), lambda i: i < n % 4), lambda i: F.when((i + n) % 2 == 0, '{"url": "u"}').otherwise('{"type": "t"}'))
+    eco = F.when(n % 5 == 0, "").otherwise(F.col("c_mktsegment"))
+    value = texts(
+        '{"schema_version": "0.2", "identity": {"canonical_name": "n", "canonical_id": "i", "version": 1, "ecosystem_id": "e", "ecosystem": "', eco, '"}, "descriptive": {"license": [], "deprecated": false}, "sources": [', F.array_join(kinds, ", "),
+        '], "dependencies": {"build": ["a"], "host": [], "runtime": []', F.when(n % 2 == 0, "").otherwise(', "test": {}'), '}, "build": {}, "features": {}, "platforms": {}, "conflicts": ', F.when(n % 3 == 1, '[1, "x", null]').otherwise("[]"),
+        ', "patches": [], "extensions": null, ', F.when(n % 7 == 0, "").otherwise('"tests": {}, '), '"provenance": {"confidence": ', (F.col("c_acctbal") / 8000).cast("decimal(18,8)").cast("string"), "}}",
+    )
+    return validate.issue_rows(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.parse_json(value).alias("v")), ["k"], validate.record_issues("v"))
+
+
+@query("spec_issues", """
+WITH f AS (SELECT o_custkey AS k, o_orderkey % 5 AS id, o_orderstatus AS st, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM orders)
+SELECT k, 'invariants[' || i || ']' AS field, 'ERROR' AS level, 'duplicate id ''' || id || '''' AS message FROM (SELECT *, row_number() OVER (PARTITION BY k, id ORDER BY i) AS rn FROM f) WHERE rn > 1 UNION ALL
+SELECT k, 'invariants[' || i || ']', 'ERROR', 'unknown kind ''' || st || '''' FROM f WHERE st <> 'F' UNION ALL
+SELECT k, 'invariants[' || i || ']', 'ERROR', 'arg_types length (1) does not match args length (' || id || ')' FROM f WHERE id <> 1 UNION ALL
+SELECT DISTINCT k, 'wire_formats', 'ERROR', 'missing required field ''wire_formats''' FROM f UNION ALL SELECT DISTINCT k, 'error_model', 'ERROR', 'missing required field ''error_codes''' FROM f""")
+def spec_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as compiled specifications, their orders as invariants."""
+    number = (F.col("o_orderkey") % 5).cast("string")
+    args = F.array_join(F.array_repeat(F.lit("1"), (F.col("o_orderkey") % 5).cast("int")), ", ")
+    one = F.concat(F.lit('{"id": "'), number, F.lit('", "category": "c", "description": "d", "kind": "'), F.when(F.col("o_orderstatus") == "F", "call_eq").otherwise(F.col("o_orderstatus")), F.lit('", "spec": {"arg_types": ["c_int"], "args": ['), args, F.lit("]}}"))
+    per = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", one.alias("one")))).alias("all"))
+    head = '{"schema_version": "1", "identity": {"canonical_name": "n", "spec_for_versions": ""}, "provenance": {"derived_from": [], "not_derived_from": null}, "library": {"soname_patterns": []}, "constants": {}, "types": {}, "functions": {}, "error_model": {"return_code_semantics": ""}, "invariants": ['
+    value = F.concat(F.lit(head), F.array_join(F.transform("all", lambda x: x["one"]), ", "), F.lit("]}"))
+    return validate.issue_rows(per.select("k", F.parse_json(value).alias("v")), ["k"], validate.spec_issues("v"))
+
+
+@query("coverage_totals", "SELECT count(*) AS total, count(l.doc_id) AS covered, count(*) - count(l.doc_id) AS gap, (count(l.doc_id) * 2000 + count(*)) // (2 * count(*)) AS tenths FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)")
+def coverage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.coverage_totals(spec_coverage(spark, sf_dir))
+
+
+@query("coverage_by_names", """
+WITH i AS (SELECT c_custkey, CASE WHEN c_custkey % 9 = 0 THEN 'old' ELSE 'c-' || (c_custkey % 500) END AS name FROM customer),
+s AS (SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN 'c_' || p_partkey ELSE 'c-' || p_partkey END AS name FROM part WHERE p_partkey % 3 = 0 UNION SELECT 'new_name')
+SELECT c_custkey, name, name IN (SELECT name FROM s) OR replace(name, '-', '_') IN (SELECT name FROM s) OR name = 'old' AS covered FROM i""")
+def coverage_by_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers share names; parts are specifications under names with - or _, and one under another name of a customer's."""
+    k, p = F.col("c_custkey"), F.col("p_partkey")
+    text = lambda *parts: F.concat(*parts)
+    items = table(spark, sf_dir, "customer").select(k, F.when(k % 9 == 0, "old").otherwise(text(F.lit("c-"), (k % 500).cast("string"))).alias("name"))
+    specs = table(spark, sf_dir, "part").where(p % 3 == 0).select(text(F.when(p % 2 == 0, "c_").otherwise("c-"), p.cast("string")).alias("name"))
+    return coverage.covered(items, specs.union(spark.createDataFrame([("new_name",)], "name string")), "name", {"old": "new-name"})
+
+
+@query("low_coverage", "SELECT user_id::VARCHAR AS spec, count(*) AS total, count(*) FILTER (value >= 100) AS n_described FROM events GROUP BY 1 HAVING (count(*) FILTER (value >= 100) * 2000 + count(*)) // (2 * count(*)) < 125")
+def low_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = coverage.vector_coverage(table(spark, sf_dir, "events"), F.col("value") >= 100, "user_id", "event_type")
+    return coverage.below_score(found, 12.5).select(F.col("spec").cast("string").alias("spec"), "total", "n_described")
+
+
+@query("top_by_score", "SELECT o_orderkey, o_custkey FROM orders ORDER BY CASE WHEN o_orderkey % 10 = 0 THEN 0 ELSE o_custkey % 100 END DESC, lpad(o_orderkey::VARCHAR, 12, '0') LIMIT 50")
+def top_by_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.when(k % 10 != 0, F.col("o_custkey") % 100).alias("score"), F.lpad(k.cast("string"), 12, "0").alias("file"))
+    return coverage.by_score(o, 50).select("o_orderkey", "o_custkey")
+
+
+@query("verify_totals_errors", f"""SELECT count(*) AS specs, count(*) FILTER (failed = 0 AND passed > 0 AND error = '') AS specs_ok, count(*) FILTER ((failed > 0 OR error <> '') AND error NOT LIKE '%LibraryNotFoundError%') AS specs_failed,
+  count(*) FILTER (error LIKE '%LibraryNotFoundError%' OR (skipped = total AND error = '')) AS specs_skipped, sum(total)::BIGINT AS total, sum(passed)::BIGINT AS passed, sum(failed)::BIGINT AS failed, sum(skipped)::BIGINT AS skipped
+  FROM (SELECT *, CASE spec % 5 WHEN 0 THEN 'LibraryNotFoundError: z' WHEN 1 THEN 'boom' ELSE '' END AS error FROM ({SUMMARY_SQL}))""")
+def verify_totals_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = audit.verify_summary(_results(spark, sf_dir))
+    error = F.when(F.col("spec") % 5 == 0, f"{audit.NO_LIBRARY}: z").when(F.col("spec") % 5 == 1, "boom")
+    return audit.verify_totals(found.withColumn("error", error))
+
+
+@query("names_by_status", """
+SELECT CASE WHEN o_orderstatus IN ('F', 'O') THEN o_orderstatus ELSE 'failed' END AS status, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS rank, string_agg(DISTINCT (o_custkey % 50)::VARCHAR, ',' ORDER BY (o_custkey % 50)::VARCHAR) AS names FROM orders GROUP BY 1, 2""")
+def names_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_orderstatus", (F.col("o_custkey") % 50).alias("name"))
+    return audit.names_by_status(o, ["F", "O", "failed"], "failed", status="o_orderstatus").withColumn("rank", F.col("rank").cast("int"))
+
+
+@query("audit_sums", "SELECT count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS success, ((count(*) FILTER (o_orderstatus = 'F')) * 20000 + count(*)) // (2 * count(*)) AS rate_e4, sum(o_orderkey % 7)::BIGINT AS pass_count, sum(o_orderkey % 3)::BIGINT AS fail_count, sum(o_orderkey % 7 + o_orderkey % 3)::BIGINT AS total_invariants FROM orders")
+def audit_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return audit.audit(table(spark, sf_dir, "orders").select("o_orderstatus", (k % 7).alias("pass_count"), (k % 3).alias("fail_count"), (k % 7 + k % 3).alias("total_invariants")), "F", "o_orderstatus")
+
+
+@query("wave_summary", "SELECT count(*) AS specs, count(*) FILTER (o_orderstatus = 'F') AS F, count(*) FILTER (o_orderstatus = 'O') AS O, sum(o_orderkey % 7)::BIGINT AS n_pass, sum(o_orderkey % 3)::BIGINT AS n_fail FROM orders")
+def wave_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return audit.wave_summary(table(spark, sf_dir, "orders").select("o_orderstatus", (k % 7).alias("n_pass"), (k % 3).alias("n_fail")), ["F", "O"], "o_orderstatus")
+
+
+@query("first_model", "SELECT o_custkey, arg_min(o_orderpriority, o_orderkey) FILTER (o_orderkey % 4 > 1) AS model FROM orders GROUP BY 1")
+def first_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders").select("o_custkey", k, F.when(k % 4 == 0, "").when(k % 4 > 1, F.col("o_orderpriority")).alias("model"))
+    return audit.first_given(o, ["o_custkey"], "model", "o_orderkey")
+
+
+@query("build_summary", "SELECT count(DISTINCT user_id) AS specs, count(*) FILTER (event_type <> 'error') AS ok, count(*) FILTER (event_type = 'error') AS errors, min(user_id) FILTER (event_type = 'error') AS first_failed FROM events")
+def build_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.build_summary(table(spark, sf_dir, "events").select(F.col("user_id").alias("canonical_name"), (F.col("event_type") != "error").alias("success")))
+
+
+@query("first_target", "SELECT s_suppkey, n_nationkey AS driver, t.target FROM supplier JOIN nation ON s_nationkey = n_nationkey LEFT JOIN (SELECT c_nationkey, min(c_custkey) AS target FROM customer WHERE c_acctbal > 5000 GROUP BY 1) t ON t.c_nationkey = n_nationkey")
+def first_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = table(spark, sf_dir, "customer").where("c_acctbal > 5000").select(F.col("c_nationkey").alias("driver"), F.col("c_custkey").alias("target"), F.col("c_custkey").alias("ord"))
+    return audit.with_target(table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("driver")), targets).select("s_suppkey", "driver", "target")
+
+
+@query("wave_members", """
+SELECT w.wave, e.spec FROM (SELECT DISTINCT user_id::VARCHAR AS spec, CASE WHEN user_id % 2 = 0 THEN 'node' ELSE 'ctypes' END AS backend FROM events) e
+JOIN (VALUES ('named', 1), ('node', 2), ('digits', 3)) w(wave, k) ON (k = 1 AND spec IN ('3', '4', '5')) OR (k = 2 AND backend = 'node' AND spec NOT IN ('2', '10')) OR (k = 3 AND regexp_matches(spec, '^1.$') AND backend = 'ctypes')""")
+def wave_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    waves = [("named", ["3", "4", "5"], None, None, None, None), ("node", None, "node", "javascript", ["2", "10"], None), ("digits", None, None, "c", None, "^1.$")]
+    defined = spark.createDataFrame(waves, "wave string, names array<string>, wave_backend string, wave_lang string, exclude array<string>, pattern string")
+    backend = F.when(F.col("user_id") % 2 == 0, "node").otherwise("ctypes")
+    specs = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("spec"), backend.alias("backend"), packages.backend_language(backend).alias("backend_lang")).distinct()
+    return audit.in_waves(specs, defined, audit.wave_match()).select("wave", "spec")
+
+
+@query("dependency_fill", """
+WITH r AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN 'freebsd_ports' ELSE 'nixpkgs' END AS eco, o_orderkey % 7 = 0 AS has, CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE o_custkey::VARCHAR END AS attr FROM orders),
+e AS (SELECT c_custkey::VARCHAR AS attr, c_nationkey AS n FROM customer WHERE c_custkey % 3 <> 0)
+SELECT k, CASE WHEN eco <> 'nixpkgs' OR has THEN 'skipped' WHEN e.attr IS NULL THEN 'failed' ELSE 'filled' END AS outcome, CASE WHEN eco <> 'nixpkgs' OR has THEN CASE WHEN has THEN 'own' ELSE '' END WHEN e.attr IS NULL THEN '' ELSE 'n' || n END AS build,
+  CASE WHEN eco <> 'nixpkgs' OR has OR r.attr = '' THEN 'other;deps not extracted (infinite recursion)' WHEN e.attr IS NULL THEN 'other;dep fill failed (eval timeout or error)' ELSE 'other' END AS warnings FROM r LEFT JOIN e ON e.attr = r.attr""")
+def dependency_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, none = F.col("o_orderkey"), F.array().cast("array<string>")
+    records = table(spark, sf_dir, "orders").select(
+        k.alias("k"), F.when(k % 11 == 0, "").otherwise(F.col("o_custkey").cast("string")).alias("attr"), F.struct(F.when(k % 5 == 0, "freebsd_ports").otherwise("nixpkgs").alias("ecosystem")).alias("identity"),
+        F.struct(F.when(k % 7 == 0, F.array(F.lit("own"))).otherwise(none).alias("build"), none.alias("host"), none.alias("runtime"), none.alias("test")).alias("dependencies"),
+        F.struct(F.array(F.lit("other"), F.lit("deps not extracted (infinite recursion)")).alias("warnings")).alias("provenance"),
+    )
+    results = table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").cast("string").alias("attr"), F.array(F.concat(F.lit("n"), F.col("c_nationkey").cast("string"))).alias("build"), none.alias("host"), none.alias("runtime"))
+    return fill.filled(records, results).select("k", "outcome", F.array_join("dependencies.build", ",").alias("build"), F.array_join("provenance.warnings", ";").alias("warnings"))
+
+
+@query("port_records", """
+WITH p AS (SELECT p_partkey AS k, p_name AS n, p_size AS z FROM part),
+f AS (SELECT k, n || '-' || k AS name, CASE WHEN z % 4 = 0 THEN 'unknown' ELSE z || '.' || (k % 10) END AS version, CASE WHEN k % 6 = 0 THEN 'cmake' WHEN k % 6 = 1 THEN 'perl' WHEN k % 6 = 2 THEN 'meson' ELSE 'freebsd_ports_make' END AS build_system,
+  k % 3 = 0 AS lic, k % 4 = 0 AS www, k % 5 = 0 AS deprecated FROM p),
+g AS (SELECT *, 2 + lic::INT + 2 * www::INT + (version <> 'unknown')::INT AS found FROM f)
+SELECT k, name, version, build_system, deprecated, concat_ws(',', CASE WHEN NOT www THEN 'WWW' END, CASE WHEN NOT lic THEN 'LICENSE' END, CASE WHEN NOT www THEN 'MASTER_SITES' END) AS unmapped,
+  CASE WHEN version = 'unknown' THEN (([0, 0, 68, 75, 82, 88, 95][found + 1] * 95 * 2 + 100) // 200)::BIGINT ELSE [0, 0, 68, 75, 82, 88, 95][found + 1]::BIGINT END AS confidence_pct FROM g""")
+def port_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Makefiles written from parts, read into records."""
+    k, z = F.col("p_partkey"), F.col("p_size")
+    text = lambda *parts: F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in parts])
+    line = lambda when, *parts: F.when(when, text(*parts)).otherwise("")
+    value = text(
+        "PORTNAME=\t", F.col("p_name"), "-", k.cast("string"), "\nCOMMENT=\tA port\n", line(z % 4 != 0, "PORTVERSION=\t0\nPORTVERSION?= ", z.cast("string"), ".", (k % 10).cast("string"), "\n"),
+        line(k % 6 == 0, "USES=\tpkgconfig \\\n\tcmake:insource perl5\n"), line(k % 6 == 1, "USES=\tcargo perl5\n"), line(k % 6 == 2, "USES+=\tmeson\n"), line(k % 6 == 3, "USES=\tqmake\n"), line(k % 3 == 0, "LICENSE=\tMIT BSD\n"), line(k % 4 == 0, "WWW=\thttps://w\n"), line(k % 5 == 0, "DEPRECATED=\tyes\n"),
+    )
+    ports = table(spark, sf_dir, "part").select(k.cast("string").alias("dir"), recipes.make_variables(value).alias("vars"))
+    found = recipes.port_recipes(recipes.inherited(ports))
+    return found.select(F.col("dir").cast("long").alias("k"), "name", "version", "build_system", "deprecated", F.array_join("unmapped", ",").alias("unmapped"), F.round(F.col("confidence") * 100).cast("long").alias("confidence_pct"))
+
+
+@query("npm_records", """
+SELECT c_custkey AS k, '@s/' || c_custkey AS id, 's__' || c_custkey AS name, CASE WHEN c_custkey % 3 = 0 THEN '9.0.' || c_nationkey ELSE '10.0.' || c_nationkey END AS version, CASE WHEN c_custkey % 3 = 0 THEN 'MIT' ELSE 'ISC' END AS licence,
+  CASE WHEN c_custkey % 3 = 0 THEN 'a,b' ELSE '' END AS runtime_deps, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 't' END AS build_deps, 'https://github.com/s/' || c_custkey AS repository FROM customer""")
+def npm_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of customers: every third has its latest version tagged, others tag a version that is not there or none."""
+    k, n = F.col("c_custkey"), F.col("c_nationkey").cast("string")
+    text = lambda *parts: F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in parts])
+    tag = F.when(k % 3 == 0, text('{"latest": "9.0.', n, '"}')).when(k % 3 == 1, '{"latest": "11"}').otherwise("{}")
+    value = text('{"name": "@s/', k.cast("string"), '", "dist-tags": ', tag, ', "versions": {"9.0.', n, '": {"license": {"type": "MIT"}, "dependencies": {"a": "1", "b": "2"}}, "10.0.', n, '": {"license": "ISC", "devDependencies": {"t": "*"}}}, "repository": {"url": "git+https://github.com/s/', k.cast("string"), '.git"}}')
+    found = recipes.npm_documents(table(spark, sf_dir, "customer").select(value.alias("value")))
+    return found.select(F.split_part("ecosystem_id", F.lit("/"), F.lit(2)).cast("long").alias("k"), F.col("ecosystem_id").alias("id"), "name", "version", F.get("licenses", 0).alias("licence"), *_joined("runtime_deps", "build_deps"), "repository")

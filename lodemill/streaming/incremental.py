@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lodemill.operators import compare
+
 
 def watched(spark: SparkSession, folder: str, schema: str, each: Callable[[DataFrame, int], None], checkpoint: str, once: bool = False) -> StreamingQuery:
     """Calls each(rows, batch) on the rows of JSON files that are new in a folder; once: what is there now, then the end."""
@@ -37,3 +39,12 @@ def keeping_state(spark: SparkSession, folder: str, key: str, order: str) -> Cal
         upserted(before, rows, key, order).write.mode("overwrite").parquet(f"{folder}/{batch}")
 
     return each
+
+
+def against_baseline(baseline: DataFrame, keys: list[str], folder: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: each batch of results(keys, passed) against a baseline, what has changed as the table of its number; a repeated batch writes the same table again."""
+
+    def each(rows: DataFrame, batch: int) -> None:
+        compare.baseline_diff(baseline, rows, keys).write.mode("overwrite").parquet(f"{folder}/{batch}")
+
+    return each

@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodemill.functions import packages, scalars
-from lodemill.operators import closure, evaluate, invariants
+from lodemill.operators import closure, evaluate, invariants, rank, validate
 from lodemill.plans import registry
 from lodemill.sources import imports, recipes, records, seeds, specs
 from lodemill.streaming import incremental
@@ -364,3 +364,55 @@ def test_backends_licences(spark):
     licences = [(["MIT"], True, "permissive"), (["MIT", "GPL-2.0"], False, "copyleft"), (["X"], True, "unknown licence"), ([], True, "no licence given"), (None, True, "no licence given")]
     found = spark.createDataFrame(licences, "l array<string>, allowed boolean, reason string").select("allowed", "reason", packages.licences_allowed(F.col("l")).alias("g")).collect()
     assert all((r.g.allowed, r.g.reason) == (r.allowed, r.reason) for r in found)
+
+
+def test_sources_and_sinks(spark, tmp_path):
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "x.json").write_text('{"identity": {"canonical_name": "deep"}}')
+    (tmp_path / "a.json").write_text('{"identity": {"canonical_name": ""}, "name": "a", "pname": "b"}')
+    (tmp_path / "n.json").write_text('{"identity": {}}')
+    (tmp_path / "list.json").write_text("[1]")
+    (tmp_path / "z.zspec.json").write_text('{"identity": {"canonical_name": "zed"}}')
+    (tmp_path / "y.zspec.json").write_text("{}")
+    every = records.snapshot(spark, [str(tmp_path)])
+    assert sorted(r._name for r in every.collect()) == ["a", "deep", "unknown", "zed"]
+    assert sorted(r._name for r in records.snapshot(spark, [str(tmp_path)], nameless=records.LEFT_OUT, names=("identity.canonical_name",)).collect()) == ["deep", "zed"]
+    assert records.flat_documents(spark, str(tmp_path), "[an]*.json").count() == 2 and sorted(r.spec for r in records.compiled_specs(spark, str(tmp_path)).collect()) == ["y", "zed"]
+    records.export_records(every, str(tmp_path / "out"))
+    back = spark.read.json(str(tmp_path / "out"))
+    assert sorted(r["name"] for r in back.collect()) == ["a", "deep", "unknown", "zed"] and json.loads(back.where("name = 'a'").first().value)["pname"] == "b"
+    (tmp_path / "base.json").write_text('[{"id": "1", "passed": true}, {"id": "2", "passed": false, "message": "m"}]')
+    assert [(r.id, r.passed) for r in records.baseline(spark, str(tmp_path / "base.json")).orderBy("id").collect()] == [("1", True), ("2", False)]
+    (tmp_path / "eval").mkdir()
+    (tmp_path / "eval" / "1.json").write_text('{"a": {"pname": "A"}, "b": null}')
+    assert [(r.attr, json.loads(r.raw)) for r in records.evaluated(spark, str(tmp_path / "eval")).collect()] == [("a", {"pname": "A"})]
+    (tmp_path / "c.yaml").write_text("a: {x: 1}\nb: 2\n")
+    assert records.read_settings([str(tmp_path / "c.yaml"), str(tmp_path / "none.yaml")], {"a": {"x": 0, "y": 3}, "b": {"q": 1}}) == {"a": {"x": 1, "y": 3}, "b": 2}
+    things = spark.createDataFrame([("p", b"1"), ("q", b"1"), ("r", b"2")], "name string, content binary")
+    first = {r["name"]: r.url for r in records.stored(things, str(tmp_path / "store")).collect()}
+    assert first["p"] == first["q"] != first["r"] and records.stored(things, str(tmp_path / "store")).count() == 3 and spark.read.parquet(str(tmp_path / "store")).count() == 2
+
+
+def test_streams_against_a_baseline_and_logs(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.json").write_text('{"id":"a","passed":false}\n{"id":"b","passed":true}\n{"id":"d","passed":true}\n')
+    base = spark.createDataFrame([("a", True), ("b", False), ("c", True)], "id string, passed boolean")
+    q = incremental.watched(spark, str(tmp_path / "in"), "id string, passed boolean", incremental.against_baseline(base, ["id"], str(tmp_path / "diff")), str(tmp_path / "cp"), once=True)
+    q.awaitTermination(60)
+    assert {(r.id, r.change) for r in spark.read.parquet(str(tmp_path / "diff" / "0")).collect()} == {("a", "regression"), ("b", "fix"), ("c", "removed"), ("d", "added")}
+    stream = spark.readStream.schema("id string, passed boolean").json(str(tmp_path / "in"))
+    incremental.appended(stream, str(tmp_path / "log"), str(tmp_path / "cp2"), once=True).awaitTermination(60)
+    assert spark.read.json(str(tmp_path / "log")).count() == 3
+
+
+def test_edges_files_and_lint(spark):
+    nested = spark.createDataFrame([("p", ("e",), (["a", "b", "a"], None, ["b"], []))], "_path string, identity struct<ecosystem:string>, dependencies struct<build:array<string>,host:array<string>,runtime:array<string>,test:array<string>>")
+    assert sorted(tuple(r) for r in rank.dependency_edges(nested).collect()) == [("p", "e", "build", "a"), ("p", "e", "build", "b"), ("p", "e", "runtime", "b")]
+    texts = [("bad", "no"), ("list", "[]"), ("rec", "{}"), ("null", None)]
+    got = {r._path: (r.n_issues, r.valid) for r in validate.file_validity(spark.createDataFrame(texts, "_path string, value string")).collect()}
+    assert got["bad"] == got["list"] == got["null"] == (1, False) and got["rec"][0] > 13
+    sources = [('spec: a\nbackend: rust_module(x)\n',), ('spec: b\nbackend: python_cleanroom(x)\nnotes:\n  - "Expose dumps: json.dumps"\n',), ("spec: c\nbackend: rust_module(y)\n",), ("none",)]
+    found = validate.lint(spark.createDataFrame(sources, "value string"), spark.createDataFrame([("c",)], "spec string"))
+    assert sorted((r.spec, r.level) for r in found.collect()) == [("a", "ERROR"), ("b", "WARN")]
+    ranked = rank.take_ranked(spark.createDataFrame([("a", 5, "x,y", True), ("b", 9, "y", True), ("c", 9, "x", True), ("d", 9, "x", False)], "dep string, ref_count long, ecosystems string, in_snapshot boolean"), ["x"], 2, 5)
+    assert [r.dep for r in ranked.collect()] == ["c", "a"]
