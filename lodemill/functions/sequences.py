@@ -63,3 +63,55 @@ def combinations(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """by, a, b: all pairs a < b of the distinct values within `by` (an equi-join; meant for small groups such as a name's ecosystems)."""
     one = rows.select(*by, value).distinct()
     return one.withColumnRenamed(value, "a").join(one.withColumnRenamed(value, "b"), by).where("a < b")
+
+
+def permutations(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by, a, b: all ordered pairs of different distinct values within `by` (an equi-join; for small groups, as combinations())."""
+    one = rows.select(*by, value).distinct()
+    return one.withColumnRenamed(value, "a").join(one.withColumnRenamed(value, "b"), by).where("a <> b")
+
+
+def product(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """All pairs of rows of two tables within `by` (an equi-join; for small groups)."""
+    return left.join(right, by)
+
+
+def numbered(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """rows with at: their place, from 0, in order within `by`."""
+    return rows.withColumn("at", (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("long"))
+
+
+def sliced(rows: DataFrame, by: list[str], order: list[str], start: int, stop: int | None = None, step: int = 1) -> DataFrame:
+    """Of each `by` the rows from place `start` up to `stop`, every step-th."""
+    at = F.col("at")
+    inside = (at >= start) & ((at - start) % step == 0) & (F.lit(True) if stop is None else at < stop)
+    return numbered(rows, by, order).where(inside).drop("at")
+
+
+def zipped(left: DataFrame, right: DataFrame, by: list[str], left_order: list[str], right_order: list[str]) -> DataFrame:
+    """Rows of two tables side by side by their place in order within `by`; nulls where one is shorter."""
+    return numbered(left, by, left_order).join(numbered(right, by, right_order), [*by, "at"], "full_outer")
+
+
+def smallest(rows: DataFrame, n: int, value: str, order: str) -> DataFrame:
+    """The n rows of least value, the earlier one by order first among equals."""
+    return rows.orderBy(F.col(value).asc_nulls_last(), F.col(order).asc()).limit(n)
+
+
+def largest(rows: DataFrame, n: int, value: str, order: str) -> DataFrame:
+    """The n rows of greatest value, the later one by order first among equals."""
+    return rows.orderBy(F.col(value).desc_nulls_last(), F.col(order).desc()).limit(n)
+
+
+def merged(tables: list[DataFrame], key: str) -> DataFrame:
+    """Rows of several tables in one order by the key; of equal keys the earlier table's first."""
+    every = None
+    for i, t in enumerate(tables):
+        t = t.withColumn("_table", F.lit(i))
+        every = t if every is None else every.unionByName(t)
+    return every.orderBy(key, "_table").drop("_table")
+
+
+def folded(values: Column, start: Column, step) -> Column:
+    """An array reduced from the left: step(so far, element)."""
+    return F.aggregate(values, start, step)

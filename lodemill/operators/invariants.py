@@ -41,30 +41,37 @@ def _filled(template: Column, fields: Column) -> Column:
     return F.array_join(F.transform(parts, put), "")
 
 
-def expand(tables: DataFrame) -> DataFrame:
+def _shown(value: Column) -> Column:
+    """A JSON value as it reads in a text."""
+    plain = F.get_json_object(F.concat(F.lit("["), value, F.lit("]")), "$[0]")
+    return F.when(value == "true", "True").when(value == "false", "False").when(value == "null", "None").otherwise(plain)
+
+
+def expand(tables: DataFrame, json: bool = False) -> DataFrame:
     """One invariant per row of each table (TABLE_SCHEMA), in one scan without a shuffle.
 
     id is spec, prefix and row id (the column id_from, else the column id), joined by dots. A row's own
     description, category, rfc and skip_if go before the table's; its overrides before its fields, these
     before the shared ones. A kwargs cell without a value is no field. Of repeated column names the last holds.
     problem says why a row can't be used (null if it can): then id and fields are null. A table without rows
-    gives none; `row` counts from 0.
+    gives none; `row` counts from 0. json: cells, shared fields and overrides are JSON values, and so are the fields.
     """
+    plain = (lambda v: F.get_json_object(F.concat(F.lit("["), v, F.lit("]")), "$[0]")) if json else lambda v: v
     named = tables.select("*", F.posexplode("rows").alias("row", "given"))
     cells, columns = F.col("given.cells"), F.col("columns")
     fits = F.coalesce(F.size(cells) == F.size(columns), F.lit(False))
     last = lambda k, i: ~F.array_contains(F.slice(columns, i + 2, F.greatest(F.size(columns), F.lit(1))), k)
     pairs = F.when(fits, F.filter(F.transform(F.filter(columns, last), lambda k: F.struct(k.alias("key"), F.element_at(cells, F.size(columns) - F.array_position(F.reverse(columns), k).cast("int") + 1).alias("value"))), lambda p: p["key"].isNotNull()))
     named = named.withColumn("own", F.map_from_entries(pairs))
-    own, get = F.col("own"), lambda k: F.try_element_at(F.col("own"), F.lit(k))
+    own, get = F.col("own"), lambda k: plain(F.try_element_at(F.col("own"), F.lit(k)))
     by = _given(F.col("id_from"))
-    row_id = F.when(by.isNotNull(), F.try_element_at(own, by)).otherwise(get("id"))
+    row_id = F.when(by.isNotNull(), plain(F.try_element_at(own, by))).otherwise(get("id"))
     problem = F.when(~F.coalesce(F.size(columns) > 0, F.lit(False)), "no columns").when(~fits, "cells and columns differ in number").when(row_id.isNull(), "no id")
     named = named.select("*", problem.alias("problem"), F.when(problem.isNull(), F.concat_ws(".", "spec", _given(F.col("id_prefix")), row_id)).alias("id"))
-    body = F.map_filter(own, lambda k, v: ~(k.isin(*ABOUT) | ((k == "kwargs") & v.isNull())))
+    body = F.map_filter(own, lambda k, v: ~(k.isin(*ABOUT) | ((k == "kwargs") & (v.isNull() | (F.lit(json) & (v == "null"))))))
     none = F.expr(_NONE).cast("map<string,string>")
     body = _over(_over(F.coalesce("shared", none), body), F.coalesce("given.overrides", none))
-    describe = F.when(_given(F.col("describe")).isNotNull(), _filled(F.col("describe"), own)).otherwise(F.concat_ws(": ", "kind", "id"))
+    describe = F.when(_given(F.col("describe")).isNotNull(), _filled(F.col("describe"), F.transform_values(own, lambda k, v: _shown(v)) if json else own)).otherwise(F.concat_ws(": ", "kind", "id"))
     return named.select(
         "spec", "label", "row", "id", "kind", F.when(F.col("problem").isNull(), F.coalesce(get("description"), describe)).alias("description"),
         F.coalesce(get("category"), _given(F.col("category")), F.lit("general")).alias("category"),
@@ -80,6 +87,26 @@ def typed_bytes(kind: Column, value: Column) -> Column:
     return F.when(kind == "bytes_b64", F.try_to_binary(text, F.lit("base64"))).when(kind == "bytes_hex", F.try_to_binary(F.regexp_replace(text, r"\s", ""), F.lit("hex"))).when(kind == "bytes_ascii", ascii_only)
 
 
+def canonical(value: Column) -> Column:
+    """A typed value (VARIANT) as a JSON text that is equal for equal values: {"type", "value"} is resolved by its type, other values stand for themselves.
+
+    Bytes become {"bytes": hex}, tuples lists, whole floats the integer (1 and 1.0 are equal); null where a value is none of its type."""
+    get = lambda c, kind="variant": F.try_variant_get(value, f"$.{c}", kind)
+    kind, inner, text = get("type", "string"), get("value"), get("value", "string")
+    typed = F.startswith(F.schema_of_variant(value), F.lit("OBJECT")) & kind.isNotNull()
+    as_json = lambda v: F.regexp_replace(F.coalesce(F.to_json(v), F.lit("null")), r"^(-?[0-9]+)\.0+$", "$1")
+    quoted = lambda t: F.regexp_extract(F.to_json(F.array(t)), r"(?s)^\[(.*)\]$", 1)
+    data = typed_bytes(kind, text)
+    number = text.try_cast("double")
+    truth = ~F.coalesce(F.to_json(inner), F.lit("null")).isin("null", "false", "0", '""', "[]", "{}")
+    of = F.when(kind.startswith("bytes_"), F.when(data.isNotNull(), F.concat(F.lit('{"bytes":"'), F.lower(F.hex(data)), F.lit('"}'))))
+    of = of.when(kind == "str", quoted(F.coalesce(text, F.lit("")))).when(kind == "int", text.try_cast("double").cast("bigint").cast("string")).when(kind == "float", F.regexp_replace(number.cast("string"), r"^(-?[0-9]+)\.0$", "$1"))
+    of = of.when(kind == "bool", F.when(truth, "true").otherwise("false")).when(kind == "null", "null").when(kind == "tuple", F.coalesce(F.to_json(inner), F.lit("[]"))).when(kind == "json", as_json(inner))
+    return F.when(value.isNotNull(), F.when(F.coalesce(typed, F.lit(False)) & kind.isin(*TYPES), of).otherwise(as_json(value)))
+
+
+#: Types of typed values.
+TYPES = ("bytes_b64", "bytes_hex", "bytes_ascii", "tuple", "str", "int", "float", "bool", "null", "json")
 _COMPARE = {ast.Eq: operator.eq, ast.NotEq: operator.ne, ast.Lt: operator.lt, ast.LtE: operator.le, ast.Gt: operator.gt, ast.GtE: operator.ge}
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodemill.functions import packages, scalars, sequences
+from lodemill.functions import packages, scalars, sequences, texts
 from lodemill.operators import audit, closure, compare, coverage, evaluate, fill, invariants, merge, overlap, rank, validate
 from lodemill.sources import recipes, seeds
 
@@ -727,3 +727,65 @@ def npm_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = text('{"name": "@s/', k.cast("string"), '", "dist-tags": ', tag, ', "versions": {"9.0.', n, '": {"license": {"type": "MIT"}, "dependencies": {"a": "1", "b": "2"}}, "10.0.', n, '": {"license": "ISC", "devDependencies": {"t": "*"}}}, "repository": {"url": "git+https://github.com/s/', k.cast("string"), '.git"}}')
     found = recipes.npm_documents(table(spark, sf_dir, "customer").select(value.alias("value")))
     return found.select(F.split_part("ecosystem_id", F.lit("/"), F.lit(2)).cast("long").alias("k"), F.col("ecosystem_id").alias("id"), "name", "version", F.get("licenses", 0).alias("licence"), *_joined("runtime_deps", "build_deps"), "repository")
+
+
+@query("quantized", "SELECT l_orderkey, l_linenumber, l_partkey, round_even((l_quantity * l_discount)::DECIMAL(18,4), 1)::DECIMAL(18,1)::VARCHAR AS half_even, round((l_quantity * l_discount)::DECIMAL(18,4), 1)::DECIMAL(18,1)::VARCHAR AS half_up FROM lineitem")
+def quantized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = (F.col("l_quantity") * F.col("l_discount")).cast("decimal(18,4)")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", *[texts.quantized(x, 1, m).cast("decimal(18,1)").cast("string").alias(m) for m in ("half_even", "half_up")])
+
+
+@query("fractions", "SELECT p_partkey, p_size // gcd(p_size, p_partkey + 1) AS num, (p_partkey + 1) // gcd(p_size, p_partkey + 1) AS den, (p_size * 3 + p_partkey + 1) // gcd(p_size * 3 + p_partkey + 1, (p_partkey + 1) * 3) AS sum_num FROM part")
+def fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes over keys in lowest terms, and with a third added."""
+    f = texts.fraction(F.col("p_size"), F.col("p_partkey") + 1)
+    third = F.struct(F.lit(1).cast("bigint").alias("num"), F.lit(3).cast("bigint").alias("den"))
+    return table(spark, sf_dir, "part").select("p_partkey", f.alias("f")).select("p_partkey", "f.num", "f.den", texts.fraction_sum(F.col("f"), third)["num"].alias("sum_num"))
+
+
+@query("csv_lines", """
+SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '"' || c_name || ', ' || repeat('"', 2) || c_mktsegment || repeat('"', 3) ELSE c_name END || ',' || CASE WHEN c_custkey % 2 = 0 THEN '' ELSE c_mktsegment END || ',' || c_nationkey AS line, TRUE AS same FROM customer""")
+def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as lines with quoted fields, and read again."""
+    k = F.col("c_custkey")
+    fields = F.array(F.when(k % 3 == 0, F.concat("c_name", F.lit(', "'), "c_mktsegment", F.lit('"'))).otherwise(F.col("c_name")), F.when(k % 2 == 1, F.col("c_mktsegment")), F.col("c_nationkey").cast("string"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", fields.alias("f"), texts.csv_line(fields).alias("line"))
+    return rows.select("c_custkey", "line", (texts.csv_fields(F.col("line")) == F.transform("f", lambda x: F.coalesce(x, F.lit("")))).alias("same"))
+
+
+@query("query_values", r"""
+SELECT page_id, count(*) AS n_values, string_agg(k || '=' || v, '&' ORDER BY k, i) AS sorted FROM (SELECT page_id, i, split_part(p, '=', 1) AS k, substr(p, strpos(p, '=') + 1) AS v FROM (
+  SELECT page_id, unnest(string_split(q, '&')) AS p, unnest(range(len(string_split(q, '&')))) AS i FROM (SELECT page_id, regexp_extract(url, '\?([^#]*)', 1) AS q FROM pages)) WHERE contains(p, '=') AND NOT ends_with(p, '=')) GROUP BY 1""")
+def query_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of the queries of addresses by name, in order."""
+    found = table(spark, sf_dir, "pages").select("page_id", texts.query_values(scalars.url_query(F.col("url"))).alias("m"))
+    flat = F.flatten(F.transform(F.array_sort(F.map_keys("m")), lambda k: F.transform(F.element_at("m", k), lambda v: F.concat_ws("=", k, v))))
+    return found.select("page_id", F.size(flat).cast("long").alias("n_values"), F.array_join(flat, "&").alias("sorted")).where("n_values > 0")
+
+
+@query("sliced", "SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events) WHERE n >= 2 AND n < 20 AND (n - 2) % 3 = 0")
+def sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.sliced(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], 2, 20, 3).select("event_id")
+
+
+@query("zipped", """
+WITH e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1 AS n FROM events WHERE event_type IN ('click', 'purchase'))
+SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.n, b.n) AS n, coalesce(a.event_id, -1) AS click, coalesce(b.event_id, -1) AS purchase FROM (SELECT * FROM e WHERE event_type = 'click') a FULL JOIN (SELECT * FROM e WHERE event_type = 'purchase') b ON a.user_id = b.user_id AND a.n = b.n""")
+def zipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of = lambda kind: table(spark, sf_dir, "events").where(F.col("event_type") == kind).select("user_id", F.col("ts").alias(f"ts_{kind}"), F.col("event_id").alias(kind))
+    return sequences.zipped(of("click"), of("purchase"), ["user_id"], ["ts_click", "click"], ["ts_purchase", "purchase"]).select("user_id", F.col("at").alias("n"), *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("click", "purchase")])
+
+
+@query("smallest_largest", "SELECT 'low' AS side, p_partkey FROM (SELECT p_partkey FROM part ORDER BY p_size, p_partkey LIMIT 15) UNION ALL SELECT 'high', p_partkey FROM (SELECT p_partkey FROM part ORDER BY p_size DESC, p_partkey DESC LIMIT 15)")
+def smallest_largest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    return sequences.smallest(p, 15, "p_size", "p_partkey").select(F.lit("low").alias("side"), "p_partkey").union(sequences.largest(p, 15, "p_size", "p_partkey").select(F.lit("high"), "p_partkey"))
+
+
+@query("utc_fields", "SELECT event_id, year(ts)::INT AS year, dayofyear(ts)::INT AS yearday, hour(ts)::INT AS hour, second(ts)::INT AS second, (isodow(ts) - 1)::INT AS weekday, epoch(date_trunc('second', ts))::BIGINT AS back FROM events")
+def utc_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times as fields in UTC and back."""
+    seconds = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000)
+    f = lambda c: F.col(f"f.{c}")
+    rows = table(spark, sf_dir, "events").select("event_id", texts.utc_fields(seconds).alias("f"))
+    return rows.select("event_id", "f.year", "f.yearday", "f.hour", "f.second", "f.weekday", texts.from_utc_fields(*map(f, ("year", "month", "day", "hour", "minute", "second"))).cast("bigint").alias("back"))

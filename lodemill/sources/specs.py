@@ -164,22 +164,22 @@ def _block(key: str, block: Any) -> dict | None:
         out["call"] = _text(block.get("call"))
         return out
     columns = [_text(c) for c in block.get("columns") or []]
-    out["shared"], out["columns"], out["rows"] = {k: _text(v) for k, v in rest.items()}, columns, []
+    out["shared"], out["columns"], out["rows"] = {k: json.dumps(v, default=str) for k, v in rest.items()}, columns, []
     for row in block.get("rows") or []:
         cells = list(row) if isinstance(row, list) else [row]
         own = cells.pop() if len(cells) == len(columns) + 1 and isinstance(cells[-1], dict) else None
-        out["rows"].append({"cells": [_text(c) for c in cells], "overrides": own and {str(k): _text(v) for k, v in own.items()}})
+        out["rows"].append({"cells": [json.dumps(c, default=str) for c in cells], "overrides": own and {str(k): json.dumps(v, default=str) for k, v in own.items()}})
     return out
 
 
-def _blocks(doc: str | None) -> list[dict]:
-    return [b for k, v in json.loads(doc or "{}").items() if (b := _block(k, v))]
+def _blocks(docs: pd.Series) -> pd.Series:
+    return docs.map(lambda doc: [b for k, v in json.loads(doc or "{}").items() if (b := _block(k, v))])
 
 
 def blocks(docs: DataFrame) -> DataFrame:
     """_path, spec, ord and the parts of every block "invariant x" and "table x" of documents, in the source's order."""
     good = docs.where(F.col("doc").isNotNull())
-    return good.select("_path", "spec", F.posexplode(F.udf(_blocks, _BLOCKS, useArrow=True)("doc")).alias("ord", "b")).select("_path", "spec", "ord", "b.*")
+    return good.select("_path", "spec", F.posexplode(F.pandas_udf(_blocks, _BLOCKS)("doc")).alias("ord", "b")).select("_path", "spec", "ord", "b.*")
 
 
 def _merged(a: Column, b: Column) -> Column:
@@ -212,10 +212,9 @@ def single_invariants(docs: DataFrame) -> DataFrame:
 
 
 def case_tables(docs: DataFrame) -> DataFrame:
-    """Blocks "table x" in invariants.TABLE_SCHEMA, for invariants.expand(): cells that are no texts are JSON texts.
+    """Blocks "table x" in invariants.TABLE_SCHEMA, for invariants.expand(..., json=True): cells, shared fields and overrides are JSON values.
 
-    A mapping after a row's cells holds fields that replace others. So a text that reads like JSON and the value
-    itself look the same afterwards.
+    A mapping after a row's cells holds fields that replace others.
     """
     head = [F.try_element_at("head", F.lit(k)).alias(k) for k in ("kind", "category", "id_prefix", "id_from", "describe", "rfc", "skip_if")]
     return blocks(docs).where("what = 'table'").select("spec", "label", *head, "shared", "columns", "rows")
@@ -224,5 +223,104 @@ def case_tables(docs: DataFrame) -> DataFrame:
 def all_invariants(docs: DataFrame) -> DataFrame:
     """Single ones and those of tables: spec, id, kind, description, category, rfc_reference, skip_if, fields (VARIANT), problem."""
     names = ["spec", "id", "kind", "description", "category", "rfc_reference", "skip_if", "fields", "problem"]
-    from_tables = invariants.expand(case_tables(docs)).withColumn("fields", F.parse_json(F.to_json("fields")))
+    pairs = F.transform(F.map_entries("fields"), lambda e: F.concat(F.regexp_extract(F.to_json(F.array(e["key"])), r"(?s)^\[(.*)\]$", 1), F.lit(": "), F.coalesce(e["value"], F.lit("null"))))
+    from_tables = invariants.expand(case_tables(docs), json=True).withColumn("fields", F.parse_json(F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}"))))
     return single_invariants(docs).select(names).unionByName(from_tables.select(names))
+
+
+#: Backends by what stands before their parenthesis: the library's backend and command, and the key of its name.
+BACKENDS = {
+    "python_module": ("python_module", None), "rust_module": ("rust_module", None), "python_cleanroom": ("python_cleanroom", None), "node_cleanroom": ("node_cleanroom", None), "cli": ("cli", None), "node": ("cli", "node"),
+}
+
+
+def headers(docs: DataFrame) -> DataFrame:
+    """spec, spec_for_versions, api_header, docs, rfcs, backend, command, module_name, soname_patterns, esm, backend_lang, cleanroom_path,
+    blocks, derived_from, not_derived_from of documents: their header with its defaults, one row each."""
+    get = lambda k: F.get_json_object("doc", f"$.{k}")
+    texts = lambda k: F.coalesce(F.from_json(get(k), "array<string>"), F.array().cast("array<string>"))
+    given = F.coalesce(get("backend"), F.lit(""))
+    kind, name = F.regexp_extract(given, r"(?s)^(\w+)\((.*)\)$", 1), F.regexp_extract(given, r"(?s)^(\w+)\((.*)\)$", 2)
+    backend, command = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for k, (b, c) in BACKENDS.items():
+        backend, command = F.when(kind == k, b).otherwise(backend), F.when(kind == k, F.lit(c).cast("string")).otherwise(command)
+    command = F.when(kind == "cli", name).otherwise(command)
+    clean = kind.isin("python_cleanroom", "node_cleanroom")
+    header = F.when(F.startswith(given, F.lit("python_module")) | F.startswith(given, F.lit("rust_module")), "N/A — Python module").otherwise("")
+    rfc = r"(?i)^(RFC\s*\S+)\s*[—–-]\s*(.*)"
+    named = lambda r, t: F.struct(r.alias("rfc"), t.alias("title"))
+    plain = lambda x: F.when(F.regexp_like(x, F.lit(rfc)), named(F.trim(F.regexp_extract(x, rfc, 1)), F.trim(F.regexp_extract(x, rfc, 2)))).otherwise(named(x, F.lit("")))
+    rfcs = F.transform(texts("rfcs"), lambda x: F.when(F.startswith(x, F.lit("{")), named(F.get_json_object(x, "$.rfc"), F.coalesce(F.get_json_object(x, "$.title"), F.lit("")))).otherwise(plain(x)))
+    return docs.where(F.col("doc").isNotNull()).select(
+        "_path", "spec", F.coalesce(get("version"), F.lit(">=0")).alias("spec_for_versions"), F.coalesce(get("api_header"), header).alias("api_header"), get("docs").alias("docs"), rfcs.alias("rfcs"), backend.alias("backend"), command.alias("command"),
+        F.when(~kind.isin("", "cli", "ctypes"), name).alias("module_name"), F.when(kind == "ctypes", F.array(name)).otherwise(F.array().cast("array<string>")).alias("soname_patterns"), F.coalesce((kind == "node") & (get("esm") == "true"), F.lit(False)).alias("esm"),
+        F.when(clean, kind).alias("backend_lang"), F.when(clean, F.concat(F.lit("cleanroom/"), F.substring_index(kind, "_", 1), F.lit("/"), name)).alias("cleanroom_path"), texts("blocks").alias("blocks"),
+        texts("provenance.derived_from").alias("derived_from"), texts("provenance.not_derived_from").alias("not_derived_from"),
+    )
+
+
+def _members(doc: str | Column, path: str) -> Column:
+    """A JSON object's members as a map of JSON texts (texts without quotes); empty where there is none."""
+    found = F.get_json_object(doc, path)
+    return F.coalesce(F.from_json(F.when(F.startswith(found, F.lit("{")), found), "map<string,string>"), F.expr("map()").cast("map<string,string>"))
+
+
+def constants(docs: DataFrame) -> DataFrame:
+    """spec, group, name, value, description of all constants: groups are lists of {name, value} or mappings of names to a value or to {value, ...};
+    entries without a name or a value are left out. Values that are no texts are JSON texts."""
+    groups = docs.where(F.col("doc").isNotNull()).select("spec", F.explode(_members("doc", "$.constants")).alias("group", "held"))
+    listed = F.from_json(F.when(F.startswith("held", F.lit("[")), F.col("held")), "array<string>")
+    one = F.struct(F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("of"))
+    entries = F.concat(
+        F.coalesce(F.transform(listed, lambda e: F.struct(F.get_json_object(e, "$.name").alias("name"), e.alias("of"))), F.slice(F.array(one), 1, 0)),
+        F.transform(F.map_entries(F.coalesce(F.from_json(F.when(F.startswith("held", F.lit("{")), F.col("held")), "map<string,string>"), F.expr("map()").cast("map<string,string>"))), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("of"))),
+    )
+    rows = groups.select("spec", "group", F.inline(entries))
+    is_object = F.startswith("of", F.lit("{"))
+    value = F.when(is_object, F.get_json_object("of", "$.value")).otherwise(F.col("of"))
+    return rows.select("spec", "group", "name", value.alias("value"), F.when(is_object, F.get_json_object("of", "$.description")).alias("description")).where("name IS NOT NULL AND value IS NOT NULL")
+
+
+def functions(docs: DataFrame) -> DataFrame:
+    """spec, name, parameters (array of struct<name, of>, of: a JSON text), return_type, preconditions, postconditions, description of all functions."""
+    rows = docs.where(F.col("doc").isNotNull()).select("spec", F.explode(_members("doc", "$.functions")).alias("name", "of"))
+    get = lambda k: F.get_json_object("of", f"$.{k}")
+    named = F.transform(F.map_entries(_members("of", "$.params")), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("of")))
+    listed = F.transform(F.from_json(F.when(F.startswith(get("params"), F.lit("[")), get("params")), "array<string>"), lambda e: F.struct(F.get_json_object(e, "$.name").alias("name"), e.alias("of")))
+    return rows.select("spec", "name", F.coalesce(listed, named).alias("parameters"), get("returns").alias("return_type"), get("pre").alias("preconditions"), get("post").alias("postconditions"), get("description").alias("description"))
+
+
+#: What the short form of an error model stands for.
+PYTHON_ERRORS = ("Python exceptions; raises on bad inputs; each call is stateless", "N/A — each call is stateless")
+
+
+def error_models(docs: DataFrame) -> DataFrame:
+    """spec, return_code_semantics, stream_error_field, error_stickiness, error_codes (array of struct<name, of>) of documents, with defaults; short forms are spelled out."""
+    given = F.get_json_object("doc", "$.error_model")
+    whole = F.coalesce(F.startswith(given, F.lit("{")), F.lit(False))
+    short = given == "python_exceptions"
+    get = lambda k, default: F.when(whole, F.coalesce(F.get_json_object(given, f"$.{k}"), F.lit(default))).otherwise(default)
+    semantics = F.when(short, PYTHON_ERRORS[0]).when(whole | given.isNull(), get("semantics", "")).otherwise(given)
+    listed = F.transform(F.from_json(F.when(F.startswith(F.get_json_object(given, "$.codes"), F.lit("[")), F.get_json_object(given, "$.codes")), "array<string>"), lambda e: F.struct(F.get_json_object(e, "$.name").alias("name"), e.alias("of")))
+    named = F.transform(F.map_entries(_members(given, "$.codes")), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("of")))
+    return docs.where(F.col("doc").isNotNull()).select("spec", semantics.alias("return_code_semantics"), get("stderr", "null").alias("stream_error_field"), F.when(short, PYTHON_ERRORS[1]).otherwise(get("stickiness", "N/A")).alias("error_stickiness"), F.coalesce(listed, named).alias("error_codes"))
+
+
+def compiled(docs: DataFrame) -> DataFrame:
+    """spec, v (VARIANT) of each document as a compiled specification: header, constants, functions, error model and all usable invariants in one object.
+
+    A specification's parts meet in one row, as the result does."""
+    h = headers(docs).drop("_path")
+    library = F.struct("backend", "command", "module_name", "soname_patterns", F.when(F.col("esm"), F.lit(True)).alias("esm"))
+    identity = F.struct(F.col("spec").alias("canonical_name"), "spec_for_versions", "api_header", F.col("docs").alias("public_docs_url"), F.when(F.size("rfcs") > 0, F.col("rfcs")).alias("rfc_references"))
+    heads = h.select("spec", identity.alias("identity"), library.alias("library"), F.struct("derived_from", "not_derived_from").alias("provenance"), "backend_lang", "cleanroom_path", F.when(F.size("blocks") > 0, F.col("blocks")).alias("blocks"))
+    errors = error_models(docs).select("spec", F.struct("return_code_semantics", "stream_error_field", "error_stickiness", F.transform("error_codes", lambda c: c["name"]).alias("error_codes")).alias("error_model"))
+    every = all_invariants(docs).where("problem IS NULL")
+    one = F.struct("id", "description", "category", "kind", "rfc_reference", "skip_if", F.col("fields").alias("spec"))
+    held = every.groupBy("spec").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", F.to_json(one).alias("j")))), lambda x: x["j"]).alias("invariants"))
+    grouped = constants(docs).groupBy("spec", "group").agg(F.array_sort(F.collect_list(F.struct("name", "value", "description"))).alias("c")).groupBy("spec").agg(F.map_from_entries(F.collect_list(F.struct("group", "c"))).alias("constants"))
+    called = functions(docs).groupBy("spec").agg(F.map_from_entries(F.collect_list(F.struct("name", F.struct("parameters", "return_type", "preconditions", "postconditions", "description")))).alias("functions"))
+    both = heads.join(errors, "spec").join(held, "spec", "left").join(grouped, "spec", "left").join(called, "spec", "left")
+    rest = F.to_json(F.struct(F.lit("0.2").alias("schema_version"), "identity", "provenance", "library", F.coalesce("constants", F.expr("map()").cast(grouped.schema["constants"].dataType)).alias("constants"), F.coalesce("functions", F.expr("map()").cast(called.schema["functions"].dataType)).alias("functions"), "error_model", "backend_lang", "cleanroom_path", "blocks"))
+    lists = F.concat(F.lit(', "types": {}, "wire_formats": {}, "invariants": ['), F.coalesce(F.array_join("invariants", ", "), F.lit("")), F.lit("]}"))
+    return both.select("spec", F.parse_json(F.concat(F.regexp_replace(rest, r"\}$", ""), lists)).alias("v"))

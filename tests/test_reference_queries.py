@@ -15,7 +15,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from lodemill.functions import packages, scalars
+from lodemill.functions import packages, scalars, sequences, texts
 from lodemill.operators import closure, evaluate, invariants, rank, validate
 from lodemill.plans import registry
 from lodemill.sources import imports, recipes, records, seeds, specs
@@ -232,8 +232,8 @@ def test_specifications(spark, tmp_path):
     assert fields["z.call"] == {"function": "a.f", "args": [1, [-2, "x"]], "kwargs": {"k": {"type": "tuple", "value": [1, None]}}, "method": "g", "method_args": ["y"], "method_chain": "h", "expected": {"type": "bytes_b64", "value": "aGk="}}
     assert (got["z.call"].kind, got["z.call"].rfc_reference) == ("python_call_eq", "R")
     assert got["z.raises"].kind == "python_call_raises" and fields["z.raises"] == {"function": "f", "args": [], "expected_exception": "ValueError"}
-    assert fields["z.p.a"] == {"function": "f", "v": "1"} and got["z.p.a"].description == "a gives 1"
-    assert fields["z.p.b"]["function"] == "g" and json.loads(fields["z.p.b"]["v"]) == {"type": "tuple", "value": ["x", "y"]}
+    assert fields["z.p.a"] == {"function": "f", "v": 1} and got["z.p.a"].description == "a gives 1"
+    assert fields["z.p.b"] == {"function": "g", "v": {"type": "tuple", "value": ["x", "y"]}, "skip_if": "s"}
     assert specs.all_invariants(docs.limit(0)).count() == 0
 
 
@@ -416,3 +416,125 @@ def test_edges_files_and_lint(spark):
     assert sorted((r.spec, r.level) for r in found.collect()) == [("a", "ERROR"), ("b", "WARN")]
     ranked = rank.take_ranked(spark.createDataFrame([("a", 5, "x,y", True), ("b", 9, "y", True), ("c", 9, "x", True), ("d", 9, "x", False)], "dep string, ref_count long, ecosystems string, in_snapshot boolean"), ["x"], 2, 5)
     assert [r.dep for r in ranked.collect()] == ["c", "a"]
+
+
+WHOLE = """
+spec: z
+version: ">=1.2"
+backend: python_cleanroom(z_cr)
+docs: https://d
+rfcs: [RFC 1950 — ZLIB, {rfc: RFC 2, title: t}, other]
+blocks: [z]
+provenance: {derived_from: [a]}
+constants:
+  levels: {BEST: 9, NONE: {value: 0, description: d}}
+  names: [{name: N, value: x}, {value: 1}]
+functions:
+  f: {params: {a: {type: int}, b: {}}, returns: int, pre: p, post: q}
+error_model: {semantics: s, codes: {E1: {value: -1}}}
+invariant z.one: {kind: constant_eq, name: BEST, expected_value: 9}
+"""
+
+
+def test_whole_specifications(spark, tmp_path):
+    (tmp_path / "z.yaml").write_text(WHOLE)
+    (tmp_path / "y.yaml").write_text("spec: y\nbackend: node(left-pad)\nesm: true\nerror_model: python_exceptions\n")
+    (tmp_path / "x.yaml").write_text("spec: x\nbackend: ctypes(libx)\n")
+    docs = specs.documents(spark, [str(tmp_path)])
+    got = {r.spec: r for r in specs.headers(docs).collect()}
+    z, y, x = got["z"], got["y"], got["x"]
+    assert (z.spec_for_versions, z.backend, z.module_name, z.backend_lang, z.cleanroom_path, z.blocks, z.derived_from, z.not_derived_from) == (">=1.2", "python_cleanroom", "z_cr", "python_cleanroom", "cleanroom/python/z_cr", ["z"], ["a"], [])
+    assert [tuple(r) for r in z.rfcs] == [("RFC 1950", "ZLIB"), ("RFC 2", "t"), ("other", "")]
+    assert (y.backend, y.command, y.module_name, y.esm, y.spec_for_versions) == ("cli", "node", "left-pad", True, ">=0") and (x.backend, x.soname_patterns, x.module_name) == (None, ["libx"], None)
+    assert sorted((r.group, r["name"], r.value, r.description) for r in specs.constants(docs).collect()) == [("levels", "BEST", "9", None), ("levels", "NONE", "0", "d"), ("names", "N", "x", None)]
+    f = specs.functions(docs).first()
+    assert (f["name"], [p["name"] for p in f.parameters], f.return_type, f.preconditions, f.postconditions) == ("f", ["a", "b"], "int", "p", "q")
+    errors = {r.spec: r for r in specs.error_models(docs).collect()}
+    assert (errors["z"].return_code_semantics, errors["z"].error_codes[0]["name"], errors["y"].error_stickiness, errors["x"].stream_error_field) == ("s", "E1", "N/A — each call is stateless", "null")
+    whole = specs.compiled(docs)
+    assert {r.spec for r in whole.collect()} == {"x", "y", "z"} and whole.select(F.explode(validate.spec_issues("v")).alias("i")).count() == 0
+    assert json.loads(whole.where("spec = 'z'").select(F.to_json("v").alias("j")).first().j)["invariants"][0]["spec"] == {"name": "BEST", "expected_value": 9}
+
+
+def test_typed_values_and_python_invariants(spark):
+    cases = [('{"type": "bytes_b64", "value": "aGk="}', '{"bytes":"6869"}'), ('{"type": "bytes_hex", "value": "zz"}', None), ('{"type": "tuple", "value": [1, 2]}', "[1,2]"), ('{"type": "str", "value": "a\\"b"}', '"a\\"b"'), ('{"type": "int", "value": "7"}', "7"),
+             ('{"type": "float", "value": 2}', "2"), ('{"type": "bool", "value": 0}', "false"), ('{"type": "bool", "value": "x"}', "true"), ('{"type": "null"}', "null"), ('{"type": "json", "value": {"b": 1, "a": [2.0]}}', '{"a":[2],"b":1}'), ("1.0", "1"), ("[1]", "[1]"), ('{"type": "other"}', '{"type":"other"}'), ("null", "null")]
+    found = spark.createDataFrame(cases, "v string, want string").select("v", "want", invariants.canonical(F.parse_json("v")).alias("got")).collect()
+    assert all(r.got == r.want for r in found), [tuple(r) for r in found if r.got != r.want]
+    calls = [
+        ("math", "python_call_eq", {"function": "gcd", "args": [12, 18], "expected": 6}, True), ("math", "python_call_eq", {"function": "gcd", "args": [12, 18], "expected": 5}, False), ("os", "python_call_eq", {"function": "system", "args": ["x"]}, None),
+        ("base64", "python_call_eq", {"function": "b64encode", "args": [{"type": "bytes_ascii", "value": "hi"}], "expected": {"type": "bytes_ascii", "value": "aGk="}}, True), ("struct", "python_call_eq", {"function": "unpack", "args": ["<H", {"type": "bytes_hex", "value": "0100"}], "expected": [1]}, True),
+        ("json", "python_call_raises", {"function": "loads", "args": ["{"], "expected_exception": "json.JSONDecodeError"}, True), ("json", "python_call_raises", {"function": "loads", "args": ["{}"], "expected_exception": "ValueError"}, False), ("json", "python_call_raises", {"function": "loads", "args": ["{"], "expected_exception": "ValueError"}, True),
+        ("base64", "python_encode_decode_roundtrip", {"encode_fn": "b85encode", "decode_fn": "b85decode", "inputs_b64": ["", "aGk="]}, True), ("struct", "python_struct_roundtrip", {"format": ">I", "values": [7]}, True), ("struct", "python_struct_roundtrip", {"format": ">B", "values": [700]}, False),
+        ("hashlib", "python_set_contains", {"attribute": "algorithms_guaranteed", "must_contain": ["md5"]}, True), ("hashlib", "python_set_contains", {"attribute": "algorithms_guaranteed", "must_contain": ["q"]}, False), ("math", "call_eq", {}, None), (None, None, None, None),
+    ]
+    rows = [(m, k, json.dumps(b) if b is not None else None, w) for m, k, b, w in calls]
+    found = spark.createDataFrame(rows, "m string, k string, b string, want boolean").select("want", evaluate.python_holds(F.col("m"), F.col("k"), F.col("b")).alias("got")).collect()
+    assert [r.got.passed for r in found] == [r.want for r in found], found
+    sizes = [("sha256", "digest_size", "32"), ("sha512", "block_size", "128"), ("md5", "name", "md5"), ("x", "name", None)]
+    found = spark.createDataFrame(sizes, "a string, b string, want string").select("want", evaluate.hash_attribute(F.col("a"), F.col("b")).alias("got"), evaluate.digest_consistent(F.col("a"), F.lit(b"1")).alias("same")).collect()
+    assert [r.got for r in found] == [r.want for r in found] and [r.same for r in found] == [True, True, True, False]
+
+
+def test_further_functions_equal_pythons(spark):
+    import base64 as b64
+    import binascii
+    import calendar
+    import colorsys
+    import csv
+    import difflib
+    import html
+    import io
+    import itertools
+    import shlex
+    import struct
+    import unicodedata
+    import uuid
+
+    one = lambda *columns: list(spark.range(1).select(*columns).first())
+    text = "  The quick\tbrown fox\n jumps over extraordinarily lazy dogs "
+    got = one(texts.wrapped(F.lit(text), 12), texts.wrapped(F.lit(" \n"), 5), texts.template(F.lit("$a ${b} $$ $c $"), F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2"))), texts.ratio(F.lit("abcd"), F.lit("bcde")), texts.ratio(F.lit(""), F.lit("")))
+    assert got == [textwrap.wrap(text.strip(), 12, break_long_words=False), [], "1 2 $ $c $", 0.75, 1.0]
+    assert one(texts.close_matches(F.lit("appel"), ["ape", "apple", "peach", "puppy"]), texts.unified_diff(F.lit("a\nb\nc"), F.lit("a\nx\nc"))) == [difflib.get_close_matches("appel", ["ape", "apple", "peach", "puppy"]), ["@@ -1,3 +1,3 @@", " a", "-b", "+x", " c"]]
+    for raw in ("a,b", '"a, ""x""",b,', "", '"q"rest,z'):
+        want = ["q", "z"] if "rest" in raw else (next(csv.reader([raw])) if raw else [""])
+        assert one(texts.csv_fields(F.lit(raw))) == [want], raw
+    out = io.StringIO()
+    csv.writer(out, lineterminator="").writerow(["a,b", 'c"', "d", "e\nf"])
+    assert one(texts.csv_line(F.array(*map(F.lit, ["a,b", 'c"', "d", "e\nf"])))) == [out.getvalue()]
+    assert one(texts.matched(F.lit("xxabc"), "a(b)"), texts.fully_matches(F.lit("ab"), "a|ab"), texts.json_sorted(F.lit('{"b": 1, "a": [2]}')), texts.toml_json(F.lit("a = 1\n[b]\nc = 'x'")), texts.toml_json(F.lit("=")))[1:] == [True, '{"a":[2],"b":1}', '{"a": 1, "b": {"c": "x"}}', None]
+    assert tuple(one(texts.matched(F.lit("xxabc"), "a(b)"))[0]) == ("ab", 2, 4) and one(texts.xml_texts(F.lit("<a><b>1</b><b>2</b></a>"), "a/b/text()")) == [["1", "2"]]
+    query = "a=1&b=x+y&a=%20z&c=&d"
+    assert one(texts.query_values(F.lit(query))) == [urllib.parse.parse_qs(query)] and one(texts.urlencoded(F.create_map(F.lit("a b"), F.lit("c&d")))) == [urllib.parse.urlencode({"a b": "c&d"})]
+    assert one(texts.url_joined(F.lit("http://h/a/b?q"), F.lit("../c"))) == ["http://h/c"]
+    page = "<p>a &amp; b<br/><!-- <i> --><script>x < y</script><B>c</B>"
+    assert one(texts.html_tags(F.lit(page)), texts.html_text(F.lit(page)), texts.html_unescaped(F.lit("&eacute;&#39;"))) == [["p", "br", "script", "b"], "a & bc", html.unescape("&eacute;&#39;")]
+    for raw in (b"", b"hello", bytes(range(256))):
+        r = one(texts.base85(F.lit(raw)), texts.from_base85(texts.base85(F.lit(raw))), texts.crc_hqx(F.lit(raw)))
+        assert (r[0], bytes(r[1]), r[2]) == (b64.b85encode(raw).decode(), raw, binascii.crc_hqx(raw, 0))
+    assert bytes(one(texts.packed("<HI", F.array(F.lit(1), F.lit(2))))[0]) == struct.pack("<HI", 1, 2) and one(texts.unpacked("<H", F.lit(b"\x01\x00")), texts.unpacked("<H", F.lit(b"\x01"))) == [[1], None]
+    assert one(texts.uuid3(str(uuid.NAMESPACE_DNS), F.lit("x"))) == [str(uuid.uuid3(uuid.NAMESPACE_DNS, "x"))] and one(texts.shell_words(F.lit("a 'b c' \\d")), texts.shell_words(F.lit("a '"))) == [shlex.split("a 'b c' \\d"), None]
+    assert one(texts.mime_type(F.lit("http://x/a.html")), texts.mime_type(F.lit("a.tgz")), texts.mime_type(F.lit("a.nothing")), texts.category(F.lit("é")), texts.normalized(F.lit("é"))) == ["text/html", "application/x-tar", None, unicodedata.category("é"), "é"]
+    x = F.lit("-1.25").cast("decimal(10,2)")
+    assert [str(v) for v in one(*[texts.quantized(x, 1, m) for m in ("half_even", "half_up", "ceiling", "floor", "down")])] == ["-1.2", "-1.3", "-1.2", "-1.3", "-1.2"]
+    assert tuple(one(texts.fraction(F.lit(6), F.lit(-4)))[0]) == (-3, 2) and one(texts.fraction(F.lit(1), F.lit(0))) == [None]
+    assert one(texts.permutations_of(F.lit(5), F.lit(2)), texts.permutations_of(F.lit(2), F.lit(3)), texts.distance(F.array(F.lit(0), F.lit(3)), F.array(F.lit(4), F.lit(0))), texts.plain_number(F.lit(" 1,234.5 ")), texts.plain_number(F.lit("x"))) == [20, 0, 5.0, 1234.5, None]
+    assert math.isclose(one(texts.normal_share(F.lit(6.0), 5.0, 2.0))[0], statistics.NormalDist(5, 2).cdf(6))
+    for rgb in itertools.product((0.0, 0.25, 1.0), repeat=3):
+        hsv = colorsys.rgb_to_hsv(*rgb)
+        r = one(texts.rgb_to_hsv(*map(F.lit, rgb)), texts.hsv_to_rgb(*map(F.lit, hsv)))
+        assert all(math.isclose(a, b, abs_tol=1e-12) for a, b in zip([*r[0], *r[1]], [*hsv, *colorsys.hsv_to_rgb(*hsv)], strict=True)), rgb
+        if rgb[0] > 0:
+            break
+    assert tuple(one(texts.month_range(F.lit(2024), F.lit(2)))[0]) == calendar.monthrange(2024, 2)
+    assert one(texts.OPERATORS["floordiv"](F.lit(-7), F.lit(2)), texts.OPERATORS["indexOf"](F.array(F.lit(3), F.lit(4)), F.lit(4)), texts.OPERATORS["mod"](F.lit(7), F.lit(4))) == [-4, 1, 3]
+    nothing = F.lit(None).cast("string")
+    assert one(texts.ratio(nothing, F.lit("a")), texts.html_text(nothing), texts.wrapped(nothing), texts.shell_words(nothing)) == [None] * 4
+
+
+def test_sequences(spark):
+    rows = spark.createDataFrame([("k", 1), ("k", 2), ("k", 2), ("j", 3)], "k string, v long")
+    assert {tuple(r) for r in sequences.permutations(rows, ["k"], "v").collect()} == {("k", 1, 2), ("k", 2, 1)} and sequences.product(rows, rows.withColumnRenamed("v", "w"), ["k"]).count() == 10
+    merged = sequences.merged([spark.createDataFrame([(1, "a"), (3, "a")], "k long, t string"), spark.createDataFrame([(1, "b"), (2, "b")], "k long, t string")], "k")
+    assert [tuple(r) for r in merged.collect()] == [(1, "a"), (1, "b"), (2, "b"), (3, "a")]
+    assert spark.range(1).select(sequences.folded(F.array(F.lit(2), F.lit(3)), F.lit(10), lambda a, x: a * x)).first()[0] == 60
