@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from lodemill.functions import packages, scalars, sequences, texts
 from lodemill.operators import closure, evaluate, invariants, rank, validate
 from lodemill.plans import registry
-from lodemill.sources import imports, recipes, records, seeds, specs
+from lodemill.sources import generators, imports, recipes, records, seeds, specs
 from lodemill.streaming import incremental
 
 DATA = Path("/root/testdata/sf0.001")
@@ -538,3 +538,38 @@ def test_sequences(spark):
     merged = sequences.merged([spark.createDataFrame([(1, "a"), (3, "a")], "k long, t string"), spark.createDataFrame([(1, "b"), (2, "b")], "k long, t string")], "k")
     assert [tuple(r) for r in merged.collect()] == [(1, "a"), (1, "b"), (2, "b"), (3, "a")]
     assert spark.range(1).select(sequences.folded(F.array(F.lit(2), F.lit(3)), F.lit(10), lambda a, x: a * x)).first()[0] == 60
+
+
+GENERATED = "identity struct<canonical_name:string,version:string>, descriptive struct<summary:string,homepage:string,license:array<string>,categories:array<string>,maintainers:array<string>>, sources array<struct<url:string,sha256:string,filename:string,size:bigint>>, dependencies struct<build:array<string>,host:array<string>,runtime:array<string>>, build struct<system_kind:string,configure_args:array<string>,uses:array<string>>, platforms struct<include:array<string>>, conflicts array<string>, options array<string>, stub boolean"
+
+
+def test_generators(spark):
+    full = (("z", "1.2"), ('A "z" ${x}', "https://h", ["MIT", "X"], ["devel", "lang"], ["a@b"]), [("https://s/d/z-1.2.zip.sig", None, None, None), ("https://s/d/z-1.2.tar.gz?q", "", None, None), ("https://s/d/z-1.2.tgz", "00", None, 7)],
+            (["pkgconf"], ["zlib"], ["y", "zlib"]), ("meson", ["--a"], ["ssl", "ninja"]), (["linux"],), ["w"], ["OPT"], True)
+    bare = (("c", "2"), ("", "", [], [], []), [("https://s/c", "", "", 0)], ([], [], []), ("autotools", ["--b", "--c"], None), ([],), [], None, None)
+    records = spark.createDataFrame([full, bare, (("n", "3"), *[None] * 8)], GENERATED)
+    nix = {r["name"]: r.content for r in generators.nix_files(records).collect()}
+    assert nix["z"].split("\n")[:4] == [generators.BANNER, "", "{ lib, stdenv, fetchurl, meson, ninja, pkgconf, zlib, y }:", ""]
+    for line in ('  pname = "z";', '    url = "https://s/d/z-1.2.zip.sig";', "    sha256 = lib.fakeSha256;", "  nativeBuildInputs = [ meson ninja pkgconf ];", "  buildInputs = [ zlib ];", "  propagatedBuildInputs = [ y zlib ];", '    description = "A \\"z\\" \\${x}";', "    license = [ licenses.mit licenses.unfree ];", '    maintainers = [ "a@b" ];', '    platforms = [ "linux" ];'):
+        assert line in nix["z"].split("\n"), line
+    assert '  configureFlags = [ "--b" "--c" ];' in nix["c"] and "    platforms = platforms.all;" in nix["c"] and "  src = null; # STUB: no source URL found" in nix["n"] and nix["c"].endswith("  };\n}\n")
+    port = {(r["name"], r.filename): r.content for r in generators.port_files(records).collect()}
+    assert port["z", "Makefile"] == (
+        f'{generators.BANNER}\n\nPORTNAME=\tz\nDISTVERSION=\t1.2\nCATEGORIES=\tdevel lang\n\nMAINTAINER=\ta@b\nCOMMENT=\tA "z" ${{x}}\nWWW=\t\thttps://h\n\nLICENSE=\tMIT UNKNOWN\n\nMASTER_SITES=\thttps://s/d/\nDISTFILES=\tz-1.2.tgz\n\nUSES=\t\tmeson ninja ssl\n\n'
+        "# STUB: resolve port paths for: pkgconf\nBUILD_DEPENDS=\t# (fill in)\n\n# STUB: resolve port paths for: zlib\nLIB_DEPENDS=\t# (fill in)\n\n# STUB: resolve port paths for: y zlib\nRUN_DEPENDS=\t# (fill in)\n\nOPTIONS_DEFINE=\tOPT\n\nCONFLICTS=\tw\n\n.include <bsd.port.mk>\n"
+    )
+    assert port["z", "distinfo"] == "SHA256 (z-1.2.tgz) = 00\nSIZE (z-1.2.tgz) = 7\nTIMESTAMP = 0\n" and port["z", "pkg-descr"] == 'A "z" ${x}\n\nWWW: https://h\n'
+    assert "GNU_CONFIGURE=\tyes\nCONFIGURE_ARGS=\t--b \\\n\t\t--c\n" in port["c", "Makefile"] and f"SHA256 (c) = {generators.NO_CHECKSUM}" in port["c", "distinfo"] and "no source URL" in port["n", "distinfo"] and port["n", "pkg-descr"] == "No description available.\n"
+
+
+def test_annotations_answers_and_reports(spark):
+    result = "result struct<status:string,model:string,attempted_at:string,iterations:int,final_pass_count:int,final_fail_count:int,total_invariants:int,notes:string,infeasible_reason:string,failed:map<string,struct<status:string,reason:string>>>"
+    row = ("success", "m", "2026-01-01", 2, 3, 1, 4, "a: b", None, {"z.1": (None, 'no "x"')})
+    frame = spark.createDataFrame([("spec: z\n", row)], f"t string, {result}").select("t", generators.annotation().alias("b"))
+    once = frame.select(generators.annotated(F.col("t"), F.col("b")).alias("t"), "b")
+    twice = once.select("t", generators.annotated(F.col("t"), F.col("b")).alias("refused"), generators.annotated(F.col("t"), F.col("b"), overwrite=True).alias("again")).first()
+    assert twice.refused is None and twice.again == twice.t and twice.t.startswith("spec: z\n\n# ──") and '  notes: "a: b"\n  infeasible_reason: null\n  invariant_annotations:\n    z.1:\n      status: failed\n      reason: "no \\"x\\""\n' in twice.t
+    answers = ["x <file name=\"a.py\"><content>\n\nA\n</content></file> <file name='b'><content>B</content></file> ```py c.py\nC\n```", "```python d/e.py\nE\n```\n```\n# f.js\nF\n```\n```\nno name\n```", "nothing"]
+    assert [r[0] for r in spark.createDataFrame([(i, a) for i, a in enumerate(answers)], "i int, a string").orderBy("i").select(generators.answer_files(F.col("a"))).collect()] == [{"a.py": "A", "b": "B"}, {"d/e.py": "E", "f.js": "# f.js\nF"}, {}]
+    assert list(spark.range(1).select(generators.invariant_line(F.lit("i"), F.lit("k"), F.lit("x" * 70)), generators.invariant_line(F.lit("i"), F.lit(None).cast("string"), F.lit(""))).first()) == [f"i  →  '{'x' * 60}'  [k]", "i  [?]"]
+    assert [r.value for r in generators.markdown(spark.createDataFrame([("b|", 1), ("a", None)], "n string, v int")).collect()] == ["| n | v |", "|---|---|", "| a |  |", "| b\\| | 1 |"]
