@@ -789,3 +789,39 @@ def utc_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = lambda c: F.col(f"f.{c}")
     rows = table(spark, sf_dir, "events").select("event_id", texts.utc_fields(seconds).alias("f"))
     return rows.select("event_id", "f.year", "f.yearday", "f.hour", "f.second", "f.weekday", texts.from_utc_fields(*map(f, ("year", "month", "day", "hour", "minute", "second"))).cast("bigint").alias("back"))
+
+
+@query("license_expressions", """
+WITH v AS (SELECT * FROM (VALUES (0, TRUE), (1, FALSE), (2, TRUE), (3, NULL), (4, FALSE), (5, TRUE)) t(i, ok)),
+p AS (SELECT p_partkey, p_size % 3 AS op, a.ok AS a, b.ok AS b FROM part JOIN v a ON a.i = p_partkey % 6 JOIN v b ON b.i = (p_partkey // 6) % 6)
+SELECT p_partkey, CASE WHEN ok THEN 'yes' WHEN NOT ok THEN 'no' ELSE 'unknown' END AS permissive FROM (SELECT p_partkey, CASE op WHEN 0 THEN a WHEN 1 THEN a AND b ELSE CASE WHEN a OR b THEN TRUE WHEN NOT a OR NOT b THEN FALSE END END AS ok FROM p)""")
+def license_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two licences of six a part, alone, both asked for, or either one: a known good, a known bad or an unknown answer."""
+    names = F.array(*map(F.lit, ("MIT", "LGPL-2.1", "Apache-2.0", "Custom", "AGPL-3.0", "BSD-2-Clause")))
+    a, b = F.get(names, (F.col("p_partkey") % 6).cast("int")), F.get(names, F.pmod(F.floor(F.col("p_partkey") / 6), F.lit(6)).cast("int"))
+    op = F.col("p_size") % 3
+    verdict = packages.permissive(F.when(op == 0, a).when(op == 1, F.concat_ws(" AND ", a, b)).otherwise(F.concat_ws(" or ", a, b)))
+    return table(spark, sf_dir, "part").select("p_partkey", F.when(verdict, "yes").when(~verdict, "no").otherwise("unknown").alias("permissive"))
+
+
+@query("address_ranges", """
+WITH a AS (SELECT o_orderkey, (o_orderkey * 2654435761 + o_custkey * 40503) % 4294967296 AS n FROM orders)
+SELECT o_orderkey, n // 16777216 = 10 OR n // 1048576 = 172 * 16 + 1 OR n // 65536 = 192 * 256 + 168 OR n // 16777216 = 127 AS private, n // 2097152 = (n // 16777216) * 8 + 3 AS third_of_eight FROM a""")
+def address_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses spread over all of IPv4 by keys: whether they are private, and in the fourth eighth of their first part's network (96 to 127)."""
+    n = F.pmod(F.col("o_orderkey") * 2654435761 + F.col("o_custkey") * 40503, F.lit(4294967296))
+    part = lambda size: F.pmod(F.floor(n / size), F.lit(256)).cast("string")
+    address = F.concat_ws(".", part(16777216), part(65536), part(256), part(1))
+    second = F.floor(F.pmod(scalars.ipv4_number(address), F.lit(16777216)) / 2097152)
+    return table(spark, sf_dir, "orders").select("o_orderkey", scalars.is_private_ipv4(address).alias("private"), (second == 3).alias("third_of_eight"))
+
+
+@query("digests", "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN md5(c_name) WHEN 1 THEN sha1(c_name) WHEN 2 THEN sha256(c_name || c_mktsegment) END AS digest, c_custkey % 4 < 3 AND c_custkey % 5 <> 0 AS passed FROM customer")
+def digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names by three algorithms and one that is unknown, the third in two parts; every fifth customer expects another digest."""
+    k = F.col("c_custkey") % 4
+    algorithm = F.when(k == 0, "md5").when(k == 1, "sha1").when(k == 2, "sha256").otherwise("crc")
+    parts = F.when(k == 2, F.array("c_name", "c_mktsegment")).otherwise(F.array("c_name"))
+    found = evaluate.digest(algorithm, F.array_join(parts, "").cast("binary"))
+    wanted = F.when(F.col("c_custkey") % 5 == 0, F.reverse(found)).otherwise(found)
+    return table(spark, sf_dir, "customer").select("c_custkey", found.alias("digest"), evaluate.same_in_parts(algorithm, F.transform(parts, lambda p: p.cast("binary")), wanted).alias("passed"))

@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodemill.functions import packages, scalars, sequences, texts
-from lodemill.operators import closure, evaluate, invariants, rank, validate
+from lodemill.operators import audit, closure, evaluate, invariants, merge, rank, validate
 from lodemill.plans import registry
 from lodemill.sources import generators, imports, recipes, records, seeds, specs
 from lodemill.streaming import incremental
@@ -573,3 +573,44 @@ def test_annotations_answers_and_reports(spark):
     assert [r[0] for r in spark.createDataFrame([(i, a) for i, a in enumerate(answers)], "i int, a string").orderBy("i").select(generators.answer_files(F.col("a"))).collect()] == [{"a.py": "A", "b": "B"}, {"d/e.py": "E", "f.js": "# f.js\nF"}, {}]
     assert list(spark.range(1).select(generators.invariant_line(F.lit("i"), F.lit("k"), F.lit("x" * 70)), generators.invariant_line(F.lit("i"), F.lit(None).cast("string"), F.lit(""))).first()) == [f"i  →  '{'x' * 60}'  [k]", "i  [?]"]
     assert [r.value for r in generators.markdown(spark.createDataFrame([("b|", 1), ("a", None)], "n string, v int")).collect()] == ["| n | v |", "|---|---|", "| a |  |", "| b\\| | 1 |"]
+
+
+def test_extraction_of_candidates(spark):
+    schema = "identity struct<canonical_name:string,ecosystem:string,version:string>, descriptive struct<summary:string,homepage:string,license:array<string>,maintainers:array<string>,deprecated:boolean>, sources array<struct<url:string>>, dependencies struct<build:array<string>,host:array<string>,runtime:array<string>,test:array<string>>, conflicts array<string>, platforms struct<include:array<string>,exclude:array<string>>, provenance struct<confidence:double,warnings:array<string>>, stub boolean, schema_version string, _ord long"
+    a1 = (("a", "x", "1"), ("s1", None, ["MIT"], ["m", ""], None), [("u",)], (["d"], [], [], None), ["c"], (["p"], []), (0.5, None), None, "0.1", 1)
+    a2 = (("a", "y", "2"), ("s2", "h", ["ISC"], None, True), None, (["e", "d"], None, ["f"], []), None, None, (0.5, ["w"]), None, "0.1", 2)
+    rows = spark.createDataFrame([a1, a2, (("b", "x", "1"), *[None] * 8, 3), (("", "x", "1"), *[None] * 8, 4), ((None, "x", "1"), *[None] * 8, 5)], schema)
+    ranking = spark.createDataFrame([("b", 1.0), ("a", 2.0), ("none", 9.0)], "name string, score double")
+    got = {r["name"]: r for r in merge.extracted(rows, ranking, specs=spark.createDataFrame([("a", "p.json")], "name string, path string")).collect()}
+    a, b = got["a"], got["b"]
+    assert sorted(got) == ["a", "b"] and (a.summary, a.score, a.ecosystems, a.build_deps, a.maintainers, a.sources, a.deprecated_in, a.behavioral_spec, float(a.confidence_avg)) == ("s1", 2.0, ["x", "y"], ["d", "e"], ["m"], ["u"], ["y"], "p.json", 0.5)
+    assert a.notes == ["version skew: x=1, y=2", "y has 2 more dep(s) than x", "deprecated in: y"] and (b.summary, b.license, b.notes, b.behavioral_spec) == ("", [], ["version agreement: all ecosystems at '1'"], None)
+    assert [r["name"] for r in merge.extracted(rows, ranking, top=1).collect()] == [] and {r["name"] for r in merge.extracted(rows, ranking, top=2).collect()} == {"a"}
+    bulk, stub = ({r["name"]: r for r in f(rows).collect()} for f in (merge.bulk_merged, merge.stubs))
+    assert sorted(bulk) == ["a", "b"] and (bulk["a"]._ord, bulk["a"].dependencies.build, bulk["a"].dependencies.runtime, bulk["a"].descriptive.maintainers, bulk["a"].merged_from, [s.url for s in bulk["a"].sources]) == (1, ["d", "e"], ["f"], ["m", ""], ["x", "y"], ["u"])
+    assert (stub["a"].stub, stub["a"].schema_version, stub["a"].provenance.warnings, stub["b"].conflicts) == (True, merge.SCHEMA_VERSION, [merge.STUB_WARNING], []) and merge.extracted(rows.limit(0)).count() == 0
+
+
+def test_small_operators(spark, tmp_path):
+    names = spark.createDataFrame([("z_extra001_a",), ("z_extra001_b",), ("z_extra02",), ("z_extra010",)], "name string")
+    assert sorted(tuple(r) for r in audit.numbered_waves(names).collect()) == [(1, "z_extra001_a,z_extra001_b"), (10, "z_extra010")]
+    assert audit.next_wave(spark.createDataFrame([("a", "complete", 1), ("b", "partial", 2), ("c", "pending", 3)], "wave string, status string, ordinal int")).first().wave == "b"
+    assert [r["name"] for r in rank.ranked(spark.createDataFrame([("b", 1.0), ("a", 1.0), ("c", 2.0)], "name string, score double"), top=2).collect()] == ["c", "a"]
+    assert audit.allowed(spark.createDataFrame([("a", "verified"), ("b", "pending")], "name string, status string")).count() == 1
+    with pytest.raises(ValueError):
+        audit.in_waves(names, spark.range(audit.MOST_WAVES + 1), F.lit(True))
+    log = spark.createDataFrame([("a", "nix", True, None), ("b", "nix", False, "e")], "canonical_name string, driver string, success boolean, error string")
+    records.append_log(log, str(tmp_path / "log"))
+    records.append_log(log.limit(1), str(tmp_path / "log"))
+    assert records.read_log(spark, str(tmp_path / "log")).count() == 3 and tuple(audit.build_summary(log).first()) == (2, 1, 1, "b")
+    (tmp_path / "names.txt").write_text("# c\n a # x\n\nb\n")
+    assert sorted(r["name"] for r in records.names_file(spark, str(tmp_path / "names.txt")).collect()) == ["a", "b"]
+    snapshot = spark.createDataFrame([(("x",),), (("x",),), (("y",),)], "identity struct<ecosystem:string>")
+    records.write_manifest(snapshot, str(tmp_path / "manifest"))
+    assert {(r.ecosystem, r.n) for r in spark.read.json(str(tmp_path / "manifest")).collect()} == {("x", 2), ("y", 1)}
+    r = records.sniff_specs(spark.createDataFrame([("p", 'spec: z\nbackend: node(x)\ndocs: "https://d"\ntable t:\n  function: f\n  rows:\n    - [a]\n    - [b]\n')], "_path string, value string")).first()
+    assert (r.spec, r.backend, r.docs, r.n_invariants) == ("z", "node(x)", "https://d", 3)
+    assert [x.k for x in validate.missing_targets(spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "k int, f string"), "f", spark.createDataFrame([("a",)], "path string")).collect()] == [2]
+    roots = spark.createDataFrame([("p", "os"), ("p", "bad"), ("p", "new")], "package string, root string")
+    one = lambda v: spark.createDataFrame([(v,)], "root string")
+    assert {(x.root, x.reason) for x in validate.banned_imports(roots, one("os"), one("bad")).collect()} == {("bad", "banned"), ("new", "not verified")}
