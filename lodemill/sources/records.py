@@ -49,10 +49,11 @@ def flat_documents(spark: SparkSession, root: str, pattern: str = "*.json") -> D
     return rows.where(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")))
 
 
-def compiled_specs(spark: SparkSession, root: str) -> DataFrame:
-    """spec, _path, v of compiled specifications (*.zspec.json); the name is the document's canonical name, else the file's."""
-    rows = flat_documents(spark, root, "*.zspec.json")
-    file = F.regexp_replace(F.substring_index("_path", "/", -1), r"\.zspec\.json$", "")
+def compiled_specs(spark: SparkSession, root: str, ending: str = ".spec.json") -> DataFrame:
+    """spec, _path, v of compiled specifications by the ending of their files; the name is the document's canonical name, else the file's."""
+    rows = flat_documents(spark, root, f"*{ending}")
+    name = F.substring_index("_path", "/", -1)
+    file = F.substring(name, F.lit(1), F.length(name) - len(ending))
     return rows.select(F.coalesce(F.nullif(F.try_variant_get("v", "$.identity.canonical_name", "string"), F.lit("")), file).alias("spec"), "_path", "v")
 
 

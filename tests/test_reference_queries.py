@@ -372,8 +372,8 @@ def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"identity": {"canonical_name": ""}, "name": "a", "pname": "b"}')
     (tmp_path / "n.json").write_text('{"identity": {}}')
     (tmp_path / "list.json").write_text("[1]")
-    (tmp_path / "z.zspec.json").write_text('{"identity": {"canonical_name": "zed"}}')
-    (tmp_path / "y.zspec.json").write_text("{}")
+    (tmp_path / "z.spec.json").write_text('{"identity": {"canonical_name": "zed"}}')
+    (tmp_path / "y.spec.json").write_text("{}")
     every = records.snapshot(spark, [str(tmp_path)])
     assert sorted(r._name for r in every.collect()) == ["a", "deep", "unknown", "zed"]
     assert sorted(r._name for r in records.snapshot(spark, [str(tmp_path)], nameless=records.LEFT_OUT, names=("identity.canonical_name",)).collect()) == ["deep", "zed"]
