@@ -443,3 +443,14 @@ def test_token_counts_with_the_querys_vocabulary(spark, texts):
     rows = spark.createDataFrame([*enumerate(some)], "doc_id long, text string").select("doc_id", token_counts.counts("text").alias("c"))
     assert all(r.c.n_tokens == len(library.encode(some[r.doc_id] or "", add_special_tokens=False).ids) for r in rows.collect())
     assert empty(spark).select(token_counts.counts("text")).count() == 0
+
+
+def test_pipeline_of_empty_tables_and_nulls(spark, tmp_path):
+    import corpus_pipeline
+
+    for name, rows in (("empty", []), ("nulls", [(None, None, None, None, None), (1, None, None, "s", 0), (None, "Some words of a text that is long enough to stay, as it has more than twenty words in its only line of text.", None, None, None), (2, "", "en", "s", 0)])):
+        sf = str(tmp_path / name)
+        spark.createDataFrame(rows, SCHEMA).write.parquet(f"{sf}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+        out = corpus_pipeline.run(spark, sf).collect()
+        assert {r.doc_id for r in out} <= {None} and len(out) in (0, 1, 2, 3) and bool(out) == bool(rows)
