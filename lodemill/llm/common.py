@@ -78,6 +78,17 @@ def columns_of(docs: DataFrame) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """These names, each with as many _ before it as make it none of docs' columns."""
+    held = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in held:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def beside(docs: DataFrame, **more: Column) -> DataFrame:
     """docs' rows whole in one column `row`, and further columns beside it that no column of docs can clash with; whole() undoes it."""
     return docs.select(F.struct(*columns_of(docs)).alias("row"), *[c.alias(n) for n, c in more.items()])
@@ -97,11 +108,13 @@ def hot_keys(counts: DataFrame, key: str, total: int) -> DataFrame:
 
 
 def spread_join(rows: DataFrame, few: DataFrame, key: str, hot: DataFrame, how: str = "left") -> DataFrame:
-    """rows joined to few (one row a key) on the key; rows of hot keys are dealt to SALTS tasks by the partition they are in."""
+    """rows joined to few (one row a key) on the key; rows of hot keys are dealt to SALTS tasks by the partition they are in.
+
+    The join is by sorting at every size: few grows with the data, so its plan should not turn on how much there is."""
     hot = F.broadcast(hot)
     salted = rows.join(hot, key, "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.spark_partition_id(), F.lit(SALTS))).otherwise(0)).drop("hot")
     copies = few.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("hot"), SALTS - 1).otherwise(0)))).drop("hot")
-    return salted.join(copies, [key, "salt"], how).drop("salt")
+    return salted.join(copies.hint("merge"), [key, "salt"], how).drop("salt")
 
 
 def text_of(column: str | Column) -> Column:

@@ -108,12 +108,12 @@ def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: in
     sizes = measured(docs)
     chosen = written(sample(sizes, targets(sizes, weights, max_epochs), seed).where(F.col("size") > 0).select("doc_id", "source", "size", "copies", "whole", "extra"), "chosen")
     keys = ["doc_id", "source", "size"]
-    sized = beside(docs, doc_id=F.col("doc_id"), source=F.col("source").cast("string"), size=n_words("text"), text_hash=F.xxhash64(text_of("text")))
+    sized = beside(docs, doc_id=F.col("doc_id"), source=F.col("source").cast("string"), size=n_words("text"))
     same = [sized[k].eqNullSafe(chosen[k]) for k in keys]
-    joined = sized.join(chosen, same[0] & same[1] & same[2]).select("row", *[sized[k] for k in keys], "text_hash", "copies", "whole", "extra")
+    # both branches below read the same columns up to here, so the rows are dealt out once
+    joined = sized.join(chosen.hint("merge"), same[0] & same[1] & same[2]).select("row", *[sized[k] for k in keys], "copies", "whole", "extra")
     single = joined.where("copies = 1").select("row", "whole", "extra", F.lit(1).cast("long").alias("copy"))
-    part = F.pmod(F.col("text_hash"), F.lit(PARTS)).alias("part")
-    several = joined.where("copies > 1").select("*", part)
+    several = joined.where("copies > 1").withColumn("text_hash", F.xxhash64(text_of(F.col("row.text")))).withColumn("part", F.pmod("text_hash", F.lit(PARTS)))
     parts = several.groupBy(*keys, "part").agg(F.count("*").alias("n"))
     before = parts.select(*keys, "part", F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     numbered = several.withColumn("at", F.row_number().over(Window.partitionBy(*keys, "part").orderBy("text_hash")))
