@@ -221,23 +221,32 @@ def _slots(s: np.ndarray) -> np.ndarray:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(SLOTS, dtype=np.int64)
+    """slot, n, low, high of (label, shingles): how many shingles of a slot there are, and the least and greatest label that has one."""
     for batch in batches:
-        total += np.bincount(_slots(batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)), minlength=SLOTS)
-    held = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(total[held])], names=["slot", "n"])
+        for at in range(0, batch.num_rows, 2048):
+            held = batch.column(1).slice(at, 2048)
+            sizes = np.diff(held.offsets.to_numpy())
+            slots = _slots(held.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+            labels = np.repeat(batch.column(0).slice(at, 2048).to_numpy(), sizes)
+            order = np.lexsort((labels, slots))
+            slots, labels = slots[order], labels[order]
+            first = np.flatnonzero(np.concatenate(([True], slots[1:] != slots[:-1])))[: len(slots)]
+            last = np.concatenate((first[1:], [len(slots)])) - 1 if len(first) else first
+            yield pa.RecordBatch.from_arrays([pa.array(slots[first].astype(np.int32)), pa.array((last - first + 1).astype(np.int64)), pa.array(labels[first]), pa.array(labels[last])], names=["slot", "n", "low", "high"])
 
 
 def frequencies(sets: DataFrame) -> np.ndarray:
-    """How often shingles of each slot are in sets(shingles): one bounded array."""
-    found = sets.select("shingles").mapInArrow(_counted, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    """How often shingles of each slot are in sets(label, shingles), as a negative number where one label alone has them: one bounded array."""
+    found = sets.select("label", "shingles").mapInArrow(_counted, "slot int, n long, low long, high long").groupBy("slot").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    found = found.select("slot", F.when(F.col("low") == F.col("high"), -F.least("n", F.lit(2**31 - 1))).otherwise(F.least("n", F.lit(2**31 - 1))).cast("int").alias("n")).toArrow()
     counts = np.zeros(SLOTS, dtype=np.int32)
-    counts[found.column("slot").to_numpy()] = np.minimum(found.column("n").to_numpy(), 2**31 - 1)
+    counts[found.column("slot").to_numpy()] = found.column("n").to_numpy()
     return counts
 
 
 def prefixes(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
-    """shingle, node, label, n, at, short of sets(node, label, shingles): the rarest shingles by counts, `at` from 0.
+    """shingle, node, label, n, at, short of sets(node, label, shingles): the rarest shingles by counts, `at` from 0, without
+    those whose slot one label alone has, which link no components.
 
     A set of n with a partner at the threshold has at least percent n / 100 shingles in common with it, so one of
     the first n + 1 less that many; with a partner not smaller than itself, 2 percent n / (100 + percent): `short`."""
@@ -249,9 +258,11 @@ def prefixes(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
                 for node, label, held in zip(batch.column(0).slice(at, 512).to_pylist(), batch.column(1).slice(at, 512).to_pylist(), batch.column(2).slice(at, 512), strict=True):
                     s = held.values.to_numpy().view(np.uint64)
                     n = len(s)
-                    first = np.lexsort((s, counts[_slots(s)]))[: n + 1 - -(-percent * n // 100)]
-                    k, short = len(first), n + 1 - -(-2 * percent * n // (100 + percent))
-                    rows.append([s[first].view(np.int64), np.full(k, node), np.full(k, label), np.full(k, n, dtype=np.int32), np.arange(k, dtype=np.int32), np.arange(k) < short])
+                    own = counts[_slots(s)]
+                    first = np.lexsort((s, np.abs(own)))[: n + 1 - -(-percent * n // 100)]
+                    place = np.flatnonzero(own[first] > 0)
+                    first, k, short = first[place], len(place), n + 1 - -(-2 * percent * n // (100 + percent))
+                    rows.append([s[first].view(np.int64), np.full(k, node), np.full(k, label), np.full(k, n, dtype=np.int32), place.astype(np.int32), place < short])
                 columns = [np.concatenate(c) for c in zip(*rows, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shingle", "node", "label", "n", "at", "short"])
 
@@ -368,12 +379,17 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     total = texts.agg(F.sum("n")).first()[0] or 0
     hot = hot_keys(texts.select(F.col("doc_id").alias("content"), "n"), "content", total)
     rows = spread_join(docs.select(doc_id.alias("id"), content.alias("content")), found, "content", hot)
-    kept = rows.groupBy("component_id", F.when(F.col("bare"), F.col("id")).alias("alone")).agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "content")).alias("k"))
-    kept = kept.select(F.col("k.id").alias("kept_id"), F.col("k.content").alias("kept_content"))
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    packed = beside(docs, id=doc_id, content=content).withColumn("order", F.xxhash64(F.to_json(F.struct(*[F.col("row").getField(c).alias(f"c{i}") for i, c in enumerate(others)]))) if others else F.lit(0))
-    joined = packed.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("content") == F.col("kept_content")), "left_semi")
-    return whole(joined.groupBy("id", "content").agg(F.min_by("row", "order").alias("row")))
+    each = rows.groupBy("component_id", F.when(F.col("bare"), F.col("id")).alias("alone"), "id", "content").agg(F.count("*").alias("n"))
+    kept = each.groupBy("component_id", "alone").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "content", "n")).alias("k"))
+    kept = kept.select(F.col("k.id").alias("kept_id"), F.col("k.content").alias("kept_content"), F.col("k.n").alias("n")).hint("merge")
+    packed = beside(docs, id=doc_id, content=content)
+    # both branches below read the same columns up to here, so the rows are dealt out once; of equal id and content there are seldom several
+    joined = packed.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("content") == F.col("kept_content")))
+    single = joined.where("n = 1").select("row")
+    others = [F.col("row").getField(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")]
+    order = F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0)
+    several = joined.where("n > 1").groupBy("id", "content").agg(F.min_by("row", order).alias("row")).select("row")
+    return whole(single.unionByName(several))
 
 
 def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
