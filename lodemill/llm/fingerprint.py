@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodemill.llm.common import beside, text_of
+from lodemill.llm.common import text_of, unused
 
 #: Code points that a leaf has at least before its sentence's end, and from which on it is cut further; one word in so many ends such a cut; one paragraph in so many ends a section.
 SHORT_LEAF, LONG_LEAF, CUT_EVERY, SECTION_EVERY = 40, 160, 8, 4
@@ -207,15 +207,15 @@ def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id", tie: str
     bounds = F.lit(tops) if tops else F.array().cast("array<bigint>")
     steps = [2**i for i in reversed(range(max(1, len(tops).bit_length())))]
     # the number of tops below the key, by binary search
-    below = F.aggregate(F.lit(steps), F.lit(0), lambda acc, s: F.when(F.get(bounds, acc + s - 1) < F.col("key"), acc + s).otherwise(acc))
+    below = F.aggregate(F.lit(steps), F.lit(0), lambda acc, s: F.when(F.get(bounds, acc + s - 1) < F.col(key), acc + s).otherwise(acc))
     block = F.coalesce(below, F.lit(0))
-    places = F.when(F.get(bounds, block) == F.col("key"), F.array(F.struct(block.alias("block"), F.lit(False).alias("ghost")), F.struct(((block + 1) % max(1, len(tops))).alias("block"), F.lit(True).alias("ghost"))))
+    places = F.when(F.get(bounds, block) == F.col(key), F.array(F.struct(block.alias("block"), F.lit(False).alias("ghost")), F.struct(((block + 1) % max(1, len(tops))).alias("block"), F.lit(True).alias("ghost"))))
     places = F.coalesce(places, F.array(F.struct(block.alias("block"), F.lit(False).alias("ghost"))))
-    placed = beside(docs, key=F.col(key)).select("row", "key", F.explode(places).alias("place"))
-    order = Window.partitionBy("place.block").orderBy(F.col("place.ghost"), F.col("key").desc_nulls_last(), F.col("row").getField(tie))
-    near = placed.select("row", F.col("place.ghost").alias("ghost"), *[F.lead(F.col("row").getField(c)).over(order).alias(f"next_{c}") for c in columns]).where(~F.col("ghost"))
-    kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in {f"next_{x}" for x in columns}]
-    return near.select(*kept, *[f"next_{c}" for c in columns])
+    (place,) = unused(docs, "place")
+    placed = docs.withColumn(place, F.explode(places))
+    ghost = F.col(place)["ghost"]
+    order = Window.partitionBy(F.col(place)["block"]).orderBy(ghost, F.col(key).desc_nulls_last(), F.col(tie))
+    return placed.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns}).where(~ghost).drop(place)
 
 
 def op2_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
