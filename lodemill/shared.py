@@ -44,6 +44,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """written(), for the result of a scratch() block: it outlasts the block and goes with the one around it, if any."""
+    inner = _scratch.pop() if _scratch else None
+    try:
+        return written(df, name)
+    finally:
+        if inner is not None:
+            _scratch.append(inner)
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Deletes a table by Hadoop's file system, whatever store it is in."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
