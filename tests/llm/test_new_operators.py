@@ -1,12 +1,16 @@
 """Sharding, periodic runs and conversation tries against brute force, on small tables."""
 
+import hashlib
 import heapq
+import math
 import random
+import re
 import zlib
 
+import numpy as np
 import pytest
 
-from lodemill.llm import sharding
+from lodemill.llm import conversation_trie, periodic_runs, sharding
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -69,7 +73,7 @@ def test_sharding_query(spark, tmp_path):
 
 
 def test_sharding_with_bundles(spark):
-    docs = spark.createDataFrame([(i, "w" * (i % 37), i) for i in range(3000)] + [(9999, "x" * 30000, 0)], "doc_id long, text string, shard long")
+    docs = spark.createDataFrame([(i, f"{i} " + "w" * (i % 37), i) for i in range(3000)] + [(9999, "x" * 20000, 0)], "doc_id long, text string, shard long")
     rows = sharding.assigned(docs, 4, 500).collect()
     sums = [sum(r.size for r in rows if r.shard == s) for s in range(4)]
     assert len(rows) == 3001 and max(sums) - min(sums) < sum(sums) // 100
@@ -82,3 +86,143 @@ def test_shards_as_folders(spark, tmp_path):
     back = spark.read.parquet(f"{tmp_path}/out")
     assert back.columns == [*docs.columns, "_shard"] and sorted(back.drop("_shard").collect()) == sorted(docs.collect())
     assert {r[0] for r in back.select("_shard").distinct().collect()} == {0, 1, 2, 3}
+
+
+def runs_by_definition(w):
+    n, out = len(w), []
+    for q in range(1, n // 2 + 1):
+        i = 0
+        while i < n - q:
+            s = i
+            while i < n - q and w[i] == w[i + q]:
+                i += 1
+            length = i - s + q
+            if i > s and length >= max(12, 2 * q) and not any(w[s : s + length - r] == w[s + r : s + length] for r in range(1, q)):
+                out.append((s, length, q))
+            i += i == s
+    return sorted(out)
+
+
+def test_runs_equal_definition():
+    r = random.Random(1)
+    for _ in range(600):
+        n, kind = r.randint(0, 90), r.choice([1, 2, 3, 50])
+        w = [r.randrange(kind) for _ in range(n)]
+        if r.random() < 0.5 and n:
+            a = r.randrange(n)
+            p = r.randint(1, max(1, (n - a) // 3))
+            w = [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+        assert periodic_runs.runs_of(np.array(w, dtype=np.int64)) == runs_by_definition(w)
+
+
+def test_runs_where_hashes_clash(monkeypatch):
+    monkeypatch.setattr(periodic_runs, "mix", lambda x: np.zeros(len(x), dtype=np.uint64))  # everything agrees by hash
+    monkeypatch.setattr(periodic_runs, "GRID", 16)
+    r = random.Random(4)
+    for _ in range(60):
+        w = [r.randrange(2) for _ in range(r.randint(0, 60))]
+        assert periodic_runs.runs_of(np.array(w, dtype=np.int64)) == runs_by_definition(w)
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_periodic_runs_query(spark, tmp_path):
+    r = random.Random(9)
+    texts = [" ".join(f"w{r.randrange(k)}" for _ in range(n)) for k, n in [(2, 200), (3, 80), (500, 150)] * 20]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[0]), (3, texts[3]), (3, texts[3]), (70, None), (71, ""), (72, " \n\x0b"), (73, "é\u00a0é " * 30), (74, "a b " * 4000), (75, "x")]
+    got = periodic_runs.op12_periodic_runs(spark, folder(spark, tmp_path, documents=([(i, t, "en", "s", 1) for i, t in rows], DOCS))).collect()
+    want = []
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        n = len(w)
+        h = zlib.crc32(str(i).encode()) if i is not None else 1
+        g = h // 10
+        if h % 10 == 0 and n:
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            w = [x if j < a else w[a + (j - a) % p] for j, x in enumerate(w)]
+        runs = [(0, n, 2)] if i == 74 and h % 10 else runs_by_definition(w)
+        best = min(runs, key=lambda x: (-x[1], x[0], x[2])) if runs else (None, None, None)
+        gone = {j for s, e, q in runs for j in range(s + q, s + e)}
+        lines = "".join(f"{s},{e},{q}\n" for s, e, q in runs)
+        want.append((i, len(runs), *best, 1000 * best[1] // best[2] if runs else None, sha(lines), sha(" ".join(x for j, x in enumerate(w) if j not in gone))))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert sum(zlib.crc32(str(i).encode()) % 10 == 0 for i in range(60)) > 2 and sum(x[1] > 1 for x in want) > 10
+
+
+def test_periodic_runs_keep_other_columns(spark):
+    docs = spark.createDataFrame([(1, "a b " * 8, 7)], "doc_id long, text string, runs long")
+    row = docs.withColumn("x", periodic_runs.periodic("text")).first()
+    assert row.runs == 7 and [tuple(x) for x in row.x.runs] == [(0, 16, 2)] and row.x.collapsed == "a b" and row.x.n_words == 16
+    assert docs.limit(0).withColumn("x", periodic_runs.periodic("text")).count() == 0
+
+
+TALK = "conv_id long, turn long, role string, text string"
+
+
+def tries_by_definition(rows):
+    """Rows of the query from lists of rebuilt conversations."""
+    told = {}
+    for c, turn, role, text in rows:
+        if c is not None:
+            key = sha(f"{len((role or '').encode())}:{role or ''}{text or ''}")[:32]
+            told.setdefault(c, []).append(((turn is not None, turn or 0, key), (role or "", text or "")))
+    told = {c: [x for _, x in sorted(v)] for c, v in told.items()}
+    built = {}
+    for c, own in told.items():
+        h = zlib.crc32(str(c).encode()) % 4
+        built[c] = tuple(told.get(c - int(math.fmod(c, 20)), [])[:h] + own[h:])  # the remainder has the sign of c
+    members = {}
+    for c, path in built.items():
+        for d in range(len(path) + 1):
+            members.setdefault(path[:d], []).append(c)
+    kids, out = {}, []
+    for path in members:
+        if path:
+            kids.setdefault(path[:-1], []).append(path)
+
+    words = lambda path: len(re.findall(r"[^\x20\x09-\x0D]+", path[-1][1])) if path else 0
+    below = {}
+    for path in sorted(members, key=len, reverse=True):
+        own = (len(members[path]) - 1) * words(path)
+        under = [below[k] for k in kids.get(path, [])]
+        below[path] = (own + sum(x[0] for x in under), sum(x[1] for x in under) or 1)
+        ends = ",".join(str(c) for c in sorted(members[path]) if built[c] == path)
+        parent = min(members[path[:-1]]) if path else None
+        out.append((min(members[path]), len(path), parent, len(members[path]), len(kids.get(path, [])), below[path][1], below[path][0], sha(ends)))
+    return sorted(out, key=str)
+
+
+COLUMNS = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+
+
+def talks(r, n, most, kinds):
+    return [(c, t, r.choice(["user", "assistant", None]), " ".join(["w"] * r.randrange(kinds)) or None) for c in range(n) for t in range(r.randint(1, most))]
+
+
+def test_conversation_trie_query(spark, tmp_path):
+    r = random.Random(11)
+    rows = talks(r, 60, 6, 3) + [(c, t, "user", "same words") for c in range(100, 160) for t in range(4)] + [(300, t, "u", f"long {t % 5}") for t in range(400)]
+    rows += [(300 + k, t, "u", f"long {t % 5}") for k in range(1, 9) for t in range(k * 3)]  # each goes on from the one before: a deep tree of chains
+    rows += [(None, 1, "a", "b"), (7, None, "a", "b"), (7, 0, "a", "b"), (7, 0, "a", "b"), (7, 0, "b", "a"), (-3, 1, "a", "b"), (-23, 1, None, None), (405, 1, "", "one turn"), (406, 2, "", "two")]
+    got = conversation_trie.op11_conversation_trie(spark, folder(spark, tmp_path, conversations=(rows, TALK)))
+    assert sorted((tuple(x[c] for c in COLUMNS) for x in got.collect()), key=str) == tries_by_definition(rows)
+
+
+def test_conversation_trie_of_chains_that_hang_deep(spark, tmp_path):
+    rows = [(20 * k, t, "u", f"turn {t}") for k in range(40) for t in range(k + 4)]
+    got = conversation_trie.op11_conversation_trie(spark, folder(spark, tmp_path, conversations=(rows, TALK))).collect()
+    assert sorted((tuple(x[c] for c in COLUMNS) for x in got), key=str) == tries_by_definition(rows)
+
+
+def test_conversation_trie_of_nothing(spark, tmp_path):
+    got = conversation_trie.op11_conversation_trie(spark, folder(spark, tmp_path, conversations=([(None, 1, "a", "b")], TALK)))
+    assert got.count() == 0 and sorted(got.columns) == sorted(COLUMNS)
+
+
+def test_lists_hashed_in_pieces(spark):
+    ends = spark.range(5000).selectExpr("5L as conv_id", "2L as depth", "id * 3 as member").unionByName(spark.range(3).selectExpr("id as conv_id", "1L as depth", "id as member"))
+    got = {(x.conv_id, x.depth): x.ends_sha256 for x in conversation_trie.list_hashes(ends, 100).collect()}
+    assert got == {(5, 2): sha(",".join(str(i * 3) for i in range(5000)))} | {(i, 1): sha(str(i)) for i in range(3)}
