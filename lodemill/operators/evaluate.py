@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import importlib
 import json
+import math
 from typing import Any
 
 import pandas as pd
@@ -40,10 +41,21 @@ def known_digest(algorithm: Column, data: Column, expected: Column) -> Column:
 
 def same_in_parts(algorithm: Column, parts: Column, expected: Column) -> Column:
     """Whether the digest of byte parts put together is the expected one."""
-    whole = F.aggregate(parts, F.lit(b""), lambda acc, p: F.concat(acc, p))
+    whole = F.unhex(F.array_join(F.transform(parts, F.hex), ""))
     return known_digest(algorithm, whole, expected)
 
 
+def copy_independent(algorithm: Column, data: Column, more: Column, expected: Column, expected_more: Column) -> Column:
+    """Whether a digest is the expected one, and that of its copy, fed with more bytes, the other expected one: the first must not have changed by it."""
+    return known_digest(algorithm, data, expected) & known_digest(algorithm, F.concat(F.coalesce(data, F.lit(b"")), F.coalesce(more, F.lit(b""))), expected_more)
+
+
+def two_ways(algorithm: Column, other: Column, data: Column) -> Column:
+    """Whether two names of algorithms give one digest of the same bytes; an unknown one fails."""
+    whole = F.coalesce(data, F.lit(b""))
+    return F.coalesce(digest(F.lower(algorithm), whole) == digest(F.lower(other), whole), F.lit(False))
+
+
 def output_holds(kind: Column, exit_code: Column, stdout: Column, stderr: Column, expected: Column, multiline: Column | bool = False) -> Column:
     """Whether a command's captured output is as an invariant of a cli_* kind expects; null for other kinds.
 
@@ -95,8 +107,10 @@ CATALOGUE = {
     "posixpath": ("join", "basename", "dirname", "splitext", "normpath", "isabs", "commonprefix"), "unicodedata": ("name", "category", "normalize", "numeric"), "calendar": ("isleap", "leapdays", "monthrange", "weekday"),
     "colorsys": ("rgb_to_hsv", "hsv_to_rgb", "rgb_to_hls", "hls_to_rgb", "rgb_to_yiq", "yiq_to_rgb"), "ipaddress": ("ip_address", "ip_network"), "keyword": ("iskeyword",), "operator": ("add", "sub", "mul", "truediv", "floordiv", "mod", "eq", "ne", "lt", "le", "gt", "ge", "neg", "not_", "concat", "contains", "countOf", "indexOf"),
 }
-#: Attributes of modules whose members invariants may ask for, and the longest result of a number (in digits) or sequence that is made.
-SETS, MOST = {"hashlib": ("algorithms_guaranteed",), "keyword": ("kwlist",), "string": ("ascii_letters", "digits")}, 10_000
+#: Attributes of modules whose members invariants may ask for.
+SETS = {"hashlib": ("algorithms_guaranteed",), "keyword": ("kwlist",), "string": ("ascii_letters", "digits")}
+#: Calls whose result would have more decimal digits are not made: neither passed nor failed.
+DIGITS = 1_000_000
 
 
 def _resolved(v: Any) -> Any:
@@ -116,19 +130,27 @@ def _allowed(module: str, name: str) -> Any:
     return getattr(importlib.import_module(module), name)
 
 
-def _small(args: list) -> None:
-    """Keeps calls from growing without bound: no huge numbers or sequences as arguments."""
-    for a in args:
-        if isinstance(a, int) and abs(a) > MOST or isinstance(a, (str, bytes, list, tuple)) and len(a) > 100 * MOST:
-            raise ValueError("argument too large")
+def _digits(name: str, args: list) -> float:
+    """About how many decimal digits factorial, comb and perm of small numbers would make; 0 for all other calls, whose results are no longer than their arguments."""
+    if name not in ("factorial", "comb", "perm") or not args or not all(isinstance(a, int) and a >= 0 for a in args):
+        return 0.0
+    n, k = args[0], args[1] if len(args) > 1 else args[0]
+    if name == "comb":
+        k = min(k, n - k)
+    if k <= 0:
+        return 0.0
+    if n > 2**53:
+        return min(k, 2**53) * (n.bit_length() - 1) * math.log10(2) - (math.lgamma(k + 1) / math.log(10) if name == "comb" and k < 2**53 else 0)
+    made = math.lgamma(n + 1) - math.lgamma(max(n - k, 0) + 1) - (math.lgamma(k + 1) if name == "comb" else 0)
+    return made / math.log(10)
 
 
 def _evaluated(module: str, kind: str, body: dict) -> tuple[bool, str]:
     if kind in ("python_call_eq", "python_call_raises"):
         f = _allowed(module, body["function"])
         args, named = [_resolved(a) for a in body.get("args", [])], {k: _resolved(v) for k, v in body.get("kwargs", {}).items()}
-        if module == "math":
-            _small(args)
+        if module == "math" and _digits(body["function"], args) > DIGITS:
+            raise LookupError(f"not called: the result has more than {DIGITS} digits")
         try:
             result = f(*args, **named)
         except Exception as e:  # noqa: BLE001, whatever a function raises is its result
@@ -174,6 +196,6 @@ def _rows(modules: pd.Series, kinds: pd.Series, bodies: pd.Series) -> pd.DataFra
 def python_holds(module: Column, kind: Column, body: Column) -> Column:
     """struct<passed, message> of invariants that call Python: python_call_eq and _raises, encode-decode and struct round trips, python_set_contains.
 
-    body: the invariant's fields as JSON. Only functions of CATALOGUE are called; passed is null for others and for
-    other kinds. An error is a failure with its name."""
+    body: the invariant's fields as JSON. Only functions of CATALOGUE are called; passed is null, and message says why, for
+    others, for other kinds, and where the result would have more than DIGITS digits. An error is a failure with its name."""
     return F.pandas_udf(_rows, "passed boolean, message string")(module, kind, body)

@@ -294,33 +294,61 @@ def functions(docs: DataFrame) -> DataFrame:
 PYTHON_ERRORS = ("Python exceptions; raises on bad inputs; each call is stateless", "N/A — each call is stateless")
 
 
+def _json_at(path: str, *kinds: str) -> Column:
+    """What lies at a path of doc, as JSON text (keys sorted), if it is of one of these kinds; null elsewhere."""
+    found = F.try_variant_get(F.try_parse_json("doc"), path, "variant")
+    kind = F.regexp_extract(F.schema_of_variant(found), "^[A-Z]+", 0)
+    return F.when(kind.isin(*kinds), F.to_json(found)) if kinds else F.to_json(found)
+
+
 def error_models(docs: DataFrame) -> DataFrame:
-    """spec, return_code_semantics, stream_error_field, error_stickiness, error_codes (array of struct<name, of>) of documents, with defaults; short forms are spelled out."""
+    """spec, return_code_semantics, stream_error_field, error_stickiness, error_codes (array of struct<name, of>), codes (all of every code, a JSON list) of
+    documents, with defaults; short forms are spelled out. Codes by name get it as a field beside their own ones, which may replace it."""
     given = F.get_json_object("doc", "$.error_model")
     whole = F.coalesce(F.startswith(given, F.lit("{")), F.lit(False))
     short = given == "python_exceptions"
     get = lambda k, default: F.when(whole, F.coalesce(F.get_json_object(given, f"$.{k}"), F.lit(default))).otherwise(default)
     semantics = F.when(short, PYTHON_ERRORS[0]).when(whole | given.isNull(), get("semantics", "")).otherwise(given)
-    listed = F.transform(F.from_json(F.when(F.startswith(F.get_json_object(given, "$.codes"), F.lit("[")), F.get_json_object(given, "$.codes")), "array<string>"), lambda e: F.struct(F.get_json_object(e, "$.name").alias("name"), e.alias("of")))
-    named = F.transform(F.map_entries(_members(given, "$.codes")), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("of")))
-    return docs.where(F.col("doc").isNotNull()).select("spec", semantics.alias("return_code_semantics"), get("stderr", "null").alias("stream_error_field"), F.when(short, PYTHON_ERRORS[1]).otherwise(get("stickiness", "N/A")).alias("error_stickiness"), F.coalesce(listed, named).alias("error_codes"))
+    as_list, as_object = _json_at("$.error_model.codes", "ARRAY"), _json_at("$.error_model.codes", "OBJECT")
+    listed = F.transform(F.from_json(as_list, "array<string>"), lambda e: F.struct(F.get_json_object(e, "$.name").alias("name"), e.alias("of")))
+    members = F.map_entries(F.from_json(as_object, "map<string,string>"))
+    named = F.transform(members, lambda e: F.struct(e["key"].alias("name"), e["value"].alias("of")))
+    quoted = lambda x: F.regexp_extract(F.to_json(F.array(x)), r"(?s)^\[(.*)\]$", 1)
+    is_object = lambda e: F.coalesce(F.startswith(e["value"], F.lit("{")) & F.is_variant_null(F.try_parse_json(e["value"])).eqNullSafe(False), F.lit(False))
+    plain = lambda e: F.concat(F.lit('{"name":'), quoted(e["key"]), F.lit("}"))
+    has_name = lambda e: F.get_json_object(e["value"], "$.name").isNotNull()
+    full = F.transform(members, lambda e: F.when(is_object(e), F.when(has_name(e), e["value"]).otherwise(_merged(plain(e), e["value"]))).otherwise(plain(e)))
+    codes = F.when(whole, F.coalesce(as_list, F.concat(F.lit("["), F.array_join(full, ","), F.lit("]"))))
+    return docs.where(F.col("doc").isNotNull()).select(
+        "spec", semantics.alias("return_code_semantics"), get("stderr", "null").alias("stream_error_field"), F.when(short, PYTHON_ERRORS[1]).otherwise(get("stickiness", "N/A")).alias("error_stickiness"),
+        F.when(whole, F.coalesce(listed, named)).alias("error_codes"), F.coalesce(codes, F.lit("[]")).alias("codes"),
+    )
+
+
+def layouts(docs: DataFrame) -> DataFrame:
+    """spec, types, wire_formats of documents as JSON texts: types as they are written (empty or false ones are {}), wire formats if they are a mapping (else {})."""
+    types = _json_at("$.types")
+    nothing = types.isin("null", "false", "0", '""', "[]", "{}")
+    return docs.where(F.col("doc").isNotNull()).select("spec", F.coalesce(F.when(~nothing, types), F.lit("{}")).alias("types"), F.coalesce(_json_at("$.wire_formats", "OBJECT"), F.lit("{}")).alias("wire_formats"))
 
 
 def compiled(docs: DataFrame) -> DataFrame:
-    """spec, v (VARIANT) of each document as a compiled specification: header, constants, functions, error model and all usable invariants in one object.
+    """spec, v (VARIANT) of each document as a compiled specification: header, constants, types, wire formats, functions, error model and all usable invariants in one object.
 
     A specification's parts meet in one row, as the result does."""
     h = headers(docs).drop("_path")
     library = F.struct("backend", "command", "module_name", "soname_patterns", F.when(F.col("esm"), F.lit(True)).alias("esm"))
     identity = F.struct(F.col("spec").alias("canonical_name"), "spec_for_versions", "api_header", F.col("docs").alias("public_docs_url"), F.when(F.size("rfcs") > 0, F.col("rfcs")).alias("rfc_references"))
     heads = h.select("spec", identity.alias("identity"), library.alias("library"), F.struct("derived_from", "not_derived_from").alias("provenance"), "backend_lang", "cleanroom_path", F.when(F.size("blocks") > 0, F.col("blocks")).alias("blocks"))
-    errors = error_models(docs).select("spec", F.struct("return_code_semantics", "stream_error_field", "error_stickiness", F.transform("error_codes", lambda c: c["name"]).alias("error_codes")).alias("error_model"))
+    model = F.to_json(F.struct("return_code_semantics", "stream_error_field", "error_stickiness"))
+    errors = error_models(docs).select("spec", F.concat(F.regexp_replace(model, r"\}$", ""), F.lit(', "error_codes": '), "codes", F.lit("}")).alias("error_model")).join(layouts(docs), "spec")
     every = all_invariants(docs).where("problem IS NULL")
     one = F.struct("id", "description", "category", "kind", "rfc_reference", "skip_if", F.col("fields").alias("spec"))
     held = every.groupBy("spec").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", F.to_json(one).alias("j")))), lambda x: x["j"]).alias("invariants"))
     grouped = constants(docs).groupBy("spec", "group").agg(F.array_sort(F.collect_list(F.struct("name", "value", "description"))).alias("c")).groupBy("spec").agg(F.map_from_entries(F.collect_list(F.struct("group", "c"))).alias("constants"))
     called = functions(docs).groupBy("spec").agg(F.map_from_entries(F.collect_list(F.struct("name", F.struct("parameters", "return_type", "preconditions", "postconditions", "description")))).alias("functions"))
     both = heads.join(errors, "spec").join(held, "spec", "left").join(grouped, "spec", "left").join(called, "spec", "left")
-    rest = F.to_json(F.struct(F.lit("0.2").alias("schema_version"), "identity", "provenance", "library", F.coalesce("constants", F.expr("map()").cast(grouped.schema["constants"].dataType)).alias("constants"), F.coalesce("functions", F.expr("map()").cast(called.schema["functions"].dataType)).alias("functions"), "error_model", "backend_lang", "cleanroom_path", "blocks"))
-    lists = F.concat(F.lit(', "types": {}, "wire_formats": {}, "invariants": ['), F.coalesce(F.array_join("invariants", ", "), F.lit("")), F.lit("]}"))
+    rest = F.to_json(F.struct(F.lit("0.2").alias("schema_version"), "identity", "provenance", "library", F.coalesce("constants", F.expr("map()").cast(grouped.schema["constants"].dataType)).alias("constants"), F.coalesce("functions", F.expr("map()").cast(called.schema["functions"].dataType)).alias("functions"), "backend_lang", "cleanroom_path", "blocks"))
+    texts = [x for n in ("error_model", "types", "wire_formats") for x in (F.lit(f', "{n}": '), F.col(n))]
+    lists = F.concat(*texts, F.lit(', "invariants": ['), F.coalesce(F.array_join("invariants", ", "), F.lit("")), F.lit("]}"))
     return both.select("spec", F.parse_json(F.concat(F.regexp_replace(rest, r"\}$", ""), lists)).alias("v"))
