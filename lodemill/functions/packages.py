@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -113,53 +113,71 @@ def version_key(version: Column, parts: int | Column = 6) -> Column:
     return F.concat(F.array(_number(version, 1)), _padded(release(version), n), F.array(*_marks(version)))
 
 
-def _clause(version: Column, operator: str, wanted: str) -> Column | None:
-    """One comparison, or None if it can't be read."""
-    if wanted.endswith(".*"):
-        if operator not in ("==", "!=") or not re.fullmatch(r"v?[0-9]+(\.[0-9]+)*", wanted[:-2]):
-            return None
-        numbers = [int(x) for x in wanted[:-2].lstrip("v").split(".")]
-        same = F.slice(_padded(release(version), F.lit(len(numbers))), 1, len(numbers)) == F.array(*[F.lit(x).cast("bigint") for x in numbers])
-        same = same & (_number(version, 1) == 0)
-        return same if operator == "==" else ~same
-    m = re.match(_VERSION, wanted)
-    if m is None:
-        return None
-    n = m[2].count(".") + 1
-    longer = F.greatest(F.size(release(version)), F.lit(n))
-    own, other = version_key(version, longer), version_key(F.lit(wanted), longer)
-    same_release = F.slice(own, 1, longer + 1) == F.slice(other, 1, longer + 1)
-    marks = lambda k: F.get(own, longer + 1 + k)
-    if operator == "~=":
-        if n < 2:
-            return None
-        upper = F.lit(".".join(m[2].split(".")[:-1]))
-        return (own >= other) & (F.slice(_padded(release(version), F.lit(n)), 1, n - 1) == release(upper)) & (_number(version, 1) == _number(F.lit(wanted), 1))
-    if operator == "<":  # what precedes a release is no earlier version of it, unless the bound itself precedes one
-        return (own < other) & (F.lit(bool(m[3] or m[8])) | ~(same_release & is_prerelease(version)))
-    if operator == ">":  # nor what follows a release a later one, unless the bound does
-        local = F.contains(version, F.lit("+")) & same_release
-        return (own > other) & (F.lit(bool(m[5] or m[6])) | ~(same_release & (marks(2) >= 0))) & ~local
-    return {"<=": own <= other, ">=": own >= other, "==": own == other, "!=": own != other}[operator]
-
-
-def satisfies(version: Column, constraint: str) -> Column:
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), the value worked out once."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _facts(version: Column) -> Column:
+    """A version as struct<known, epoch, release, marks, early, late, local>: what comparisons ask of it."""
+    early = (_part(version, 3) != "") | (_part(version, 8) != "")
+    late = (_part(version, 5) != "") | (_part(version, 6) != "")
+    fields = {"known": is_version(version), "epoch": _number(version, 1), "release": release(version), "marks": F.array(*_marks(version)), "early": early, "late": late, "local": F.contains(version, F.lit("+"))}
+    return F.struct(*[c.alias(n) for n, c in fields.items()])
+
+
+#: A clause: an operator and what follows it, from its first character to its last.
+_CLAUSE = r"^(~=|<=|>=|==|!=|<|>)\s*(\S+)$"
+
+
+def clauses(constraint: str | Column) -> Column:
+    """A constraint's clauses (by comma or space) as array<struct<operator, prefix, size, to>>; one that can't be read has a null operator.
+
+    prefix: == or != with .* at the end; size: the release numbers that are written; to: facts of the version."""
+    text = F.trim(F.lit(constraint) if isinstance(constraint, str) else constraint)
+    parts = F.filter(F.split(text, r"[,\s]+(?=[<>=!~^])"), lambda x: x != "")
+
+    def read(part: Column) -> Column:
+        part = F.trim(F.regexp_replace(F.trim(part), r",+\s*$", ""))
+        operator, wanted = F.regexp_extract(part, _CLAUSE, 1), F.regexp_extract(part, _CLAUSE, 2)
+        prefix = F.endswith(wanted, F.lit(".*"))
+        bare = F.when(prefix, F.substring(wanted, F.lit(1), F.length(wanted) - 2)).otherwise(wanted)
+        size = F.size(release(bare))
+        good = F.when(prefix, operator.isin("==", "!=") & F.regexp_like(bare, F.lit(r"^v?[0-9]+(\.[0-9]+)*$"))).otherwise(is_version(bare) & ((operator != "~=") | (size >= 2)))
+        return F.struct(F.when(good & (operator != ""), operator).alias("operator"), prefix.alias("prefix"), size.alias("size"), _facts(bare).alias("to"))
+
+    return F.transform(parts, read)
+
+
+def _meets(own: Column, clause: Column) -> Column:
+    to, operator, size = clause["to"], clause["operator"], clause["size"]
+    longer = F.greatest(F.size(own["release"]), F.size(to["release"]))
+    same_epoch = own["epoch"] == to["epoch"]
+    mine, other = _padded(own["release"], longer), _padded(to["release"], longer)
+    key, bound = F.struct(own["epoch"], mine, own["marks"]), F.struct(to["epoch"], other, to["marks"])
+    same_release = same_epoch & (mine == other)
+    begins = lambda n: same_epoch & (F.slice(_padded(own["release"], n), 1, n) == F.slice(to["release"], 1, n))
+    # what precedes a release is no earlier version of it, and what follows it no later one, unless the bound itself does
+    return (
+        F.when(clause["prefix"], begins(size) == (operator == "==")).when(operator == "~=", (key >= bound) & begins(size - 1)).when(operator == "<", (key < bound) & (to["early"] | ~(same_release & own["early"])))
+        .when(operator == ">", (key > bound) & (to["late"] | ~(same_release & (own["marks"][2] >= 0))) & ~(own["local"] & same_release))
+        .when(operator == "<=", key <= bound).when(operator == ">=", key >= bound).when(operator == "==", key == bound).when(operator == "!=", key != bound)
+    )
+
+
+def satisfies(version: Column, constraint: str | Column) -> Column:
     """Whether a version meets all clauses (~=, <=, >=, ==, !=, <, >, by comma or space; == and != with .* too); null with an unreadable one.
 
-    An empty constraint or one that starts with N/A holds always, and so does any for a version that is null, empty or
+    The constraint is a text or a column: each row may have its own, and the expression is the same for any number of them.
+    A null or empty constraint or one that starts with N/A holds always, and so does any for a version that is null, empty or
     can't be read. Candidates and other versions before a release precede it and meet what their place in the order meets.
     """
-    text = constraint.strip()
-    if not text or text.upper().startswith("N/A"):
-        return F.lit(True)
-    out = F.lit(True)
-    for clause in filter(None, re.split(r"[,\s]+(?=[<>=!~^])", text)):
-        m = re.fullmatch(r"(~=|<=|>=|==|!=|<|>)\s*(\S+)", clause.strip().rstrip(",").strip())
-        one = _clause(version, m[1], m[2]) if m else None
-        if one is None:
-            return F.lit(None).cast("boolean")
-        out = out & one
-    return F.when(is_version(version), out).otherwise(True)
+    text = F.coalesce(F.lit(constraint) if isinstance(constraint, str) else constraint, F.lit(""))
+    free = F.regexp_like(text, F.lit(r"(?i)^\s*(N/A|$)"))
+    # both are bound once; the clauses are a constant where the constraint is
+    judged = _let(F.struct(_facts(version).alias("own"), clauses(text).alias("all")), lambda x: F.when(F.exists(x["all"], lambda c: c["operator"].isNull()), F.lit(None).cast("boolean"))
+                  .when(~x["own"]["known"], True).otherwise(F.forall(x["all"], lambda c: _meets(x["own"], c))))
+    return F.when(free, True).otherwise(judged)
 
 
 def confidence(n_found: Column, base: float, span: float, warned: Column, factor: float = 0.95, of: int = 6) -> Column:

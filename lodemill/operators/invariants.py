@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import ast
-import operator
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,46 +108,81 @@ def canonical(value: Column) -> Column:
 
 #: Types of typed values.
 TYPES = ("bytes_b64", "bytes_hex", "bytes_ascii", "tuple", "str", "int", "float", "bool", "null", "json")
-_COMPARE = {ast.Eq: operator.eq, ast.NotEq: operator.ne, ast.Lt: operator.lt, ast.LtE: operator.le, ast.Gt: operator.gt, ast.GtE: operator.ge}
+#: What conditions are made of.
+NAMES, FUNCTION = ("lib_version", "platform"), "semver_satisfies"
+COMPARISONS = {ast.Eq: "==", ast.NotEq: "!=", ast.Lt: "<", ast.LtE: "<=", ast.Gt: ">", ast.GtE: ">="}
+#: A condition as the steps that work it out: each takes truths from the end of what there is so far and puts its own there.
+STEPS = "array<struct<op:string,left:string,left_name:string,right:string,right_name:string>>"
 
 
-def _holds(node: ast.AST, names: dict[str, Column]) -> Column:
+def _operand(node: ast.AST) -> tuple[str | None, str | None]:
+    """(text, name) of a text or a name."""
     match node:
-        case ast.Constant(value=bool() | str() as v):
-            return F.lit(v)
-        case ast.Name(id=name) if name in names:
-            return names[name]
+        case ast.Constant(value=str() as v):
+            return v, None
+        case ast.Name(id=name) if name in NAMES:
+            return None, name
+    raise ValueError("no text")
+
+
+def _steps(node: ast.AST) -> list[tuple]:
+    nothing = (None, None, None, None)
+    match node:
+        case ast.Constant(value=bool() as v):
+            return [("true" if v else "false", *nothing)]
+        case ast.Constant(value=str()) | ast.Name():
+            return [("filled", *_operand(node), None, None)]
         case ast.UnaryOp(op=ast.Not(), operand=x):
-            return ~_holds(x, names)
+            return [*_steps(x), ("not", *nothing)]
         case ast.BoolOp(op=op, values=[first, *others]):
-            out = _holds(first, names)
-            for x in others:
-                out = out & _holds(x, names) if isinstance(op, ast.And) else out | _holds(x, names)
-            return out
-        case ast.Compare(left=a, ops=[op], comparators=[b]) if type(op) in _COMPARE:
-            return _COMPARE[type(op)](_holds(a, names), _holds(b, names))
-        case ast.Call(func=ast.Name(id="semver_satisfies"), args=[version, ast.Constant(value=str() as wanted)], keywords=[]):
-            found = _holds(version, names)
-            known = packages.is_version(found) & F.lit(bool(wanted.strip()))
-            return F.coalesce(known & packages.satisfies(found, wanted), F.lit(False))
-    raise ValueError(f"not allowed in a condition: {ast.dump(node)}")
-
-
-def condition(expression: str, version: Column, platform: Column) -> Column:
-    """A skip condition as a column: lib_version, platform, strings, comparisons, and/or/not, semver_satisfies(v, "constraint").
-
-    What can't be read never skips, nor does an unknown version. The text is never evaluated as code.
-    """
+            return [*_steps(first), *[s for x in others for s in [*_steps(x), ("and" if isinstance(op, ast.And) else "or", *nothing)]]]
+        case ast.Compare(left=a, ops=[op], comparators=[b]) if type(op) in COMPARISONS:
+            try:
+                return [(COMPARISONS[type(op)], *_operand(a), *_operand(b))]
+            except ValueError:
+                if type(op) in (ast.Eq, ast.NotEq):
+                    return [*_steps(a), *_steps(b), ("same" if isinstance(op, ast.Eq) else "differ", *nothing)]
+                raise
+        case ast.Call(func=ast.Name(id=name), args=[version, wanted], keywords=[]) if name == FUNCTION:
+            return [("fits", *_operand(version), *_operand(wanted))]
+    raise ValueError("not allowed in a condition")
+
+
+@lru_cache(maxsize=10_000)
+def condition_steps(expression: str) -> list[tuple] | None:
+    """A condition's steps; None if it can't be read. The text is parsed, never run."""
     try:
-        tree = ast.parse(expression.strip(), mode="eval").body
-        return F.coalesce(_holds(tree, {"lib_version": F.coalesce(version, F.lit("")), "platform": platform}), F.lit(False))
-    except (SyntaxError, ValueError, RecursionError):
-        return F.lit(False)
-
-
-def skipped(skip_if: Column, expressions: list[str], version: Column, platform: Column) -> Column:
-    """Whether each row's condition, one of a known list of distinct ones, holds; null or unlisted ones never do."""
-    out = F.lit(False)
-    for e in expressions:
-        out = F.when(skip_if == e, condition(e, version, platform)).otherwise(out)
-    return out
+        return _steps(ast.parse(expression.strip(), mode="eval").body)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return None
+
+
+def skipped(skip_if: Column, version: Column, platform: Column) -> Column:
+    """Whether each row's own condition holds: lib_version, platform, texts, comparisons, and/or/not, semver_satisfies(v, "constraint").
+
+    Every row may have a condition of its own: a small parser turns it into steps, which column expressions work out. What
+    is null or can't be read never skips, nor does an unknown version or a constraint that can't be read."""
+    names = ["op", "left", "left_name", "right", "right_name"]
+
+    def parsed(texts: pa.Array) -> pa.Array:
+        found = [None if t is None else condition_steps(t) for t in texts.to_pylist()]
+        return pa.array([None if f is None else [dict(zip(names, s, strict=True)) for s in f] for f in found], pa.list_(pa.struct([(n, pa.string()) for n in names])))
+
+    steps = F.arrow_udf(parsed, STEPS)(skip_if)
+    return F.coalesce(_worked_out(steps, F.coalesce(version, F.lit("")), F.coalesce(platform, F.lit(""))), F.lit(False))
+
+
+def _worked_out(steps: Column, version: Column, platform: Column) -> Column:
+    def step(truths: Column, s: Column) -> Column:
+        value = lambda side: F.when(s[f"{side}_name"] == "lib_version", version).when(s[f"{side}_name"] == "platform", platform).otherwise(s[side])
+        a, b, op, n = value("left"), value("right"), s["op"], F.size(truths)
+        one, two = F.get(truths, n - 1), F.get(truths, n - 2)
+        fits = packages.is_version(a) & (F.trim(b) != "") & packages.satisfies(a, b)
+        own = (
+            F.when(op == "fits", F.coalesce(fits, F.lit(False))).when(op == "==", a == b).when(op == "!=", a != b).when(op == "<", a < b).when(op == "<=", a <= b).when(op == ">", a > b).when(op == ">=", a >= b).when(op == "filled", a != "")
+            .when(op == "not", ~one).when(op == "and", two & one).when(op == "or", two | one).when(op == "same", two == one).when(op == "differ", two != one).otherwise(op == "true")
+        )
+        taken = F.when(op == "not", 1).when(op.isin("and", "or", "same", "differ"), 2).otherwise(0)
+        return F.concat(F.slice(truths, F.lit(1), n - taken), F.array(own))
+
+    return F.aggregate(steps, F.array().cast("array<boolean>"), step, lambda truths: F.get(truths, F.lit(0)))
