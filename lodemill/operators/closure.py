@@ -1,4 +1,4 @@
-"""Reaching along dependency edges: transitive taint with pruning, and order of layers with cycle detection.
+"""Reaching along dependency edges: what roots reach, how near a taint is, order of layers, components and cycles.
 
 Both advance a frontier table one step a round; every round's table is written to the shared folder, so plans
 stay short and a lost executor costs one round. Nothing is collected but whether a frontier is empty.
@@ -11,7 +11,7 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodemill.shared import new_path, written
+from lodemill.shared import kept, new_path, scratch, written
 
 
 def reach(edges: DataFrame, roots: DataFrame, depth: int = 10, stop: DataFrame | None = None) -> DataFrame:
@@ -43,11 +43,36 @@ def reach(edges: DataFrame, roots: DataFrame, depth: int = 10, stop: DataFrame |
     return spark.read.schema(kinds).parquet(folder).select("root", "node", "depth")
 
 
+def distances(edges: DataFrame, targets: DataFrame, depth: int = 10) -> DataFrame:
+    """node, steps: the least number of steps, 1 to `depth`, of edges(src, dst) from a node to any of targets(node); others are left out.
+
+    One search against the edges from all targets at once: a round joins the edges to the nodes that the last one found,
+    so a node is found once and an edge is looked at in one round. The rows are those of nodes, whatever they reach."""
+    spark = edges.sparkSession
+    steps = written(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct(), "steps")
+    front = targets.select(F.col("node").alias("dst")).distinct()
+    folder, kinds = new_path(spark, "distances"), None
+    for at in range(1, depth + 1):
+        new = steps.join(front, "dst").select(F.col("src").alias("node")).distinct()
+        if kinds is not None:
+            new = new.join(spark.read.schema(kinds).parquet(folder).select("node"), "node", "left_anti")
+        found = new.withColumn("steps", F.lit(at))
+        kinds = found.schema
+        found.write.parquet(f"{folder}/round={at}")
+        front = spark.read.schema(kinds).parquet(f"{folder}/round={at}").select(F.col("node").alias("dst"))
+        if front.isEmpty():
+            break
+    if kinds is None:
+        return steps.select(F.col("src").alias("node"), F.lit(0).alias("steps")).limit(0)
+    return spark.read.schema(kinds).parquet(folder).select("node", "steps")
+
+
 def tainted(edges: DataFrame, roots: DataFrame, copyleft: DataFrame, depth: int = 10) -> DataFrame:
-    """root, is_tainted, n_reached: whether a root reaches a node of copyleft(node) without passing through one."""
-    found = reach(edges, roots, depth, copyleft).join(copyleft.select("node").distinct().withColumn("bad", F.lit(True)), "node", "left")
-    per = found.groupBy("root").agg(F.coalesce(F.bool_or("bad"), F.lit(False)).alias("is_tainted"), F.count("*").alias("n_reached"))
-    return roots.select("root").distinct().join(per, "root", "left").select("root", F.coalesce("is_tainted", F.lit(False)).alias("is_tainted"), F.coalesce("n_reached", F.lit(0)).alias("n_reached"))
+    """root, is_tainted, steps: whether a root reaches a node of copyleft(node) in 1 to `depth` steps, and how near the nearest is (null: none).
+
+    The nearest one is reached without passing another, so a search from all of them at once, backwards, needs no pruning."""
+    near = distances(edges, copyleft, depth).withColumnRenamed("node", "root")
+    return roots.select("root").distinct().join(near, "root", "left").select("root", F.col("steps").isNotNull().alias("is_tainted"), "steps")
 
 
 def _chained(single: DataFrame) -> DataFrame:
@@ -99,3 +124,81 @@ def layers(edges: DataFrame, most: int | None = None) -> DataFrame:
     if most is not None and (out.agg(F.max("layer")).first()[0] or 0) >= most:
         raise ValueError(f"more than {most} layers")
     return out
+
+
+def _coloured(edges: DataFrame) -> DataFrame:
+    """node, colour: the greatest node that a node of edges(src, dst) can be reached from, itself included."""
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
+    state = written(nodes.select("node", F.col("node").alias("colour"), F.lit(True).alias("changed")), "colours")
+    while not (moved := state.where("changed")).isEmpty():
+        sent = edges.join(moved.select(F.col("node").alias("src"), "colour"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("new"))
+        joined = state.join(sent, "node", "left")
+        better = F.coalesce(F.col("new") > F.col("colour"), F.lit(False))
+        state = written(joined.select("node", F.greatest("colour", "new").alias("colour"), better.alias("changed")), "colours")
+    return state.select("node", "colour")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, component of the nodes that lie on a cycle of edges(src, dst): nodes that reach each other share the least of them.
+
+    Nodes before and behind all cycles go first: those that have a layer, along the edges or against them. Of the rest each
+    takes the greatest node that reaches it as its colour; what reaches that node within its colour is its component. Rounds
+    are as many as steps lead through the cyclic part, and again for parts that several colours are left of."""
+    spark = edges.sparkSession
+    held = written(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct(), "edges")
+    with scratch(spark):
+        onto = layers(held).where("layer IS NULL").select("node")
+        out_of = layers(held.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("layer IS NULL").select("node")
+        core = onto.join(out_of, "node")
+        inside = held.join(core.select(F.col("node").alias("src")), "src", "left_semi").join(core.select(F.col("node").alias("dst")), "dst", "left_semi")
+        rest = kept(inside.select("src", "dst"), "core")
+    core_edges, folder = rest, new_path(spark, "components")
+    spark.createDataFrame([], held.select(F.col("src").alias("node"), F.col("src").alias("of")).schema).write.parquet(f"{folder}/round=0/step=0")
+    for at in count(1):
+        if rest.isEmpty():
+            break
+        colours = written(_coloured(rest), "coloured")
+        both = rest.join(colours.select(F.col("node").alias("src"), F.col("colour").alias("a")), "src").join(colours.select(F.col("node").alias("dst"), F.col("colour").alias("b")), "dst")
+        same = written(both.where("a = b").select("src", "dst", F.col("a").alias("of")), "same")
+        found = colours.where("node = colour").select("node", F.col("colour").alias("of"))
+        front = found
+        for back in count():
+            front.write.parquet(f"{folder}/round={at}/step={back}")
+            front = spark.read.schema(found.schema).parquet(f"{folder}/round={at}/step={back}")
+            if front.isEmpty():
+                break
+            seen = spark.read.schema(found.schema).parquet(f"{folder}/round={at}").select("node")
+            front = same.join(front.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node"), "of").distinct().join(seen, "node", "left_anti")
+        done = spark.read.schema(found.schema).parquet(f"{folder}/round={at}").select("node")
+        left = same.join(done.select(F.col("node").alias("src")), "src", "left_anti").join(done.select(F.col("node").alias("dst")), "dst", "left_anti")
+        rest = written(left.select("src", "dst"), "rest")
+    every = spark.read.schema(held.select(F.col("src").alias("node"), F.col("src").alias("of")).schema).parquet(folder).select("node", "of")
+    least = every.groupBy("of").agg(F.min("node").alias("component"), F.count("*").alias("n"))
+    loops = core_edges.where("src = dst").select(F.col("src").alias("node"), F.lit(True).alias("loop"))
+    named = every.join(least, "of").join(loops, "node", "left")
+    return written(named.where("n > 1 OR loop").select("node", "component"), "cyclic")
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """node, component, place: the nodes of components(), and of one cycle of each component the place of its nodes, from 0 on at the least (null: on another one).
+
+    Of a component every node goes on to its least successor there; these steps run into circles, which are found by doubling
+    (after as many steps as there are nodes only circles are left). Of several circles the one of the least node is taken."""
+    spark = edges.sparkSession
+    of = components(edges)
+    with scratch(spark):
+        ends = edges.join(of.select(F.col("node").alias("src"), F.col("component").alias("a")), "src").join(of.select(F.col("node").alias("dst"), F.col("component").alias("b")), "dst")
+        steps = written(ends.where("a = b").groupBy(F.col("src").alias("node"), F.col("a").alias("component")).agg(F.min("dst").alias("next")), "next")
+        at = steps.select("node", F.col("next").alias("to"), F.least("node", "next").alias("least"))
+        for _ in range(steps.count().bit_length()):
+            at = written(at, "jumps")
+            far = at.select(F.col("node").alias("to"), F.col("to").alias("further"), F.col("least").alias("other"))
+            at = at.join(far, "to").select("node", F.col("further").alias("to"), F.least("least", "other").alias("least"))
+        at = written(at, "jumps")
+        circle = at.select(F.col("to").alias("node")).distinct().join(at.select("node", "least"), "node").join(steps, "node")
+        first = circle.groupBy("component").agg(F.min("least").alias("first"))
+        chosen = written(circle.join(first, "component").where("least = first").select("node", "component", "next", "first"), "circle")
+        length = chosen.groupBy("component").agg(F.count("*").alias("length"))
+        onward = _chained(chosen.where("node <> first").select("node", F.col("next").alias("up"))).select("node", "steps")
+        placed = chosen.join(length, "component").join(onward, "node", "left").select("node", F.when(F.col("node") == F.col("first"), 0).otherwise(F.col("length") - F.col("steps")).cast("long").alias("place"))
+        return kept(of.join(placed, "node", "left").select("node", "component", "place"), "cycles")
