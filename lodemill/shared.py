@@ -56,8 +56,24 @@ def kept(df: DataFrame, name: str) -> DataFrame:
 
 def drop(spark: SparkSession, path: str) -> None:
     """Deletes a table by Hadoop's file system, whatever store it is in."""
+    store, target = _at(spark, path)
+    store.delete(target, True)
+
+
+def _at(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, target = _at(spark, path)
+    return store.exists(target)
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What lies in a folder; nothing where there is none."""
+    store, target = _at(spark, path)
+    return [s.getPath().getName() for s in store.listStatus(target)] if store.exists(target) else []
 
 
 @contextmanager
