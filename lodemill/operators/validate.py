@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -65,10 +67,17 @@ class Document:
         return self.there(path) & (self.kind(path) != kind)
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), the value worked out once."""
+    return F.transform(F.array(value), then)[0]
+
+
 def kind_of(v: Column) -> Column:
-    t = F.schema_of_variant(v)
-    number = t.isin("BIGINT", "DOUBLE", "FLOAT") | t.startswith("DECIMAL")
-    return F.when(t == "STRING", "string").when(t == "BOOLEAN", "boolean").when(number, "number").when(t.startswith("ARRAY"), "array").when(t.startswith("OBJECT"), "object").when(v.isNotNull(), "null")
+    def named(t: Column) -> Column:
+        number = t.isin("BIGINT", "DOUBLE", "FLOAT") | t.startswith("DECIMAL")
+        return F.when(t == "STRING", "string").when(t.startswith("OBJECT"), "object").when(t.startswith("ARRAY"), "array").when(t == "BOOLEAN", "boolean").when(number, "number").otherwise("null")
+
+    return F.when(v.isNotNull(), _let(F.schema_of_variant(v), named))
 
 
 def _truthy(v: Column) -> Column:
@@ -89,69 +98,117 @@ def _type_name(v: Column) -> Column:
     return F.when(k == "null", "NoneType").when(k == "boolean", "bool").when(whole, "int").when(k == "number", "float").when(k == "array", "list").when(k == "object", "dict").otherwise("str")
 
 
-def _each(d: Document, path: str, kind: str, message: Column | str, *more: tuple[str, str]) -> Column:
-    """Issues of an array's elements that are of another kind, or objects without a field."""
+#: A rule about one field: what is wrong (check), under which conditions, and what is then said.
+RULE = "struct<section:string,field:string,check:string,kind:string,nullable:boolean,known:array<string>,level:string,message:string>"
+#: A rule about the elements of a list: their kind, a field that objects must have, and what is said of others.
+LIST_RULE = "struct<section:string,field:string,kind:string,lacking:string,message:string>"
 
-    def of(x: Column, i: Column) -> Column:
-        at = F.concat(F.lit(f"{path}["), i.cast("string"), F.lit("]"))
-        said = F.concat(F.lit("must be a string, got "), _type_name(x)) if message == "text" else message
-        wrong = F.when(F.coalesce(kind_of(x), F.lit("null")) != kind, _issue(at, "ERROR", said))
-        for field, lacking in more:
-            wrong = wrong.when(F.try_variant_get(x, f"$.{field}", "variant").isNull(), _issue(at, "ERROR", lacking))
-        return wrong
 
-    return F.array_compact(F.transform(d.items(path), of))
+def _rule(path: str, check: str, message: str, kind: str | None = None, nullable: bool = False, known: tuple[str, ...] = (), level: str = "ERROR") -> dict:
+    section, _, field = path.rpartition(".")
+    return {"section": section, "field": field, "check": check, "kind": kind, "nullable": nullable, "known": list(known), "level": level, "message": message}
 
 
-def record_issues(document: str | Column, strict: bool = False) -> Column:
-    """Issues of a record in a VARIANT column: missing fields, wrong types, bad elements by index, unknown values; strict: also what is poor.
-
-    An array<struct<field, level, message>> in one expression; a field that is missing is not of a wrong type besides."""
-    d = Document(document)
-    one: list[tuple[Column, Column]] = []
-    lists: list[Column] = []
-    error = lambda field, message, broken: one.append((broken, _issue(field, "ERROR", message)))
-    warn = lambda field, message, broken: one.append((broken, _issue(field, "WARN", message)))
-    is_object = lambda f: ~d.there(f) | (d.kind(f) == "object")
-    text = lambda path: F.coalesce(d.get(path, "string"), F.lit(""))
-    for f in REQUIRED:
-        error(f, "required field missing", ~d.there(f))
-    error("schema_version", "must be a non-empty string", F.coalesce((d.kind("schema_version") != "string") | (text("schema_version") == ""), F.lit(True)))
-    for f in ("identity", "descriptive", "dependencies", "build", "provenance", "platforms"):
-        error(f, "must be an object", d.is_no(f, "object"))
-    for f in ("features", "extensions", "tests"):
-        error(f, "must be an object", d.is_no(f, "object") & (d.kind(f) != "null"))
-    for f in IDENTITY:
-        error(f"identity.{f}", "required and must be non-empty", is_object("identity") & ~_truthy(d.get(f"identity.{f}")))
-    for path, known in (("identity.ecosystem", KNOWN_ECOSYSTEMS), ("build.system_kind", KNOWN_BUILD_SYSTEMS)):
-        warn(path, F.concat(F.lit("unknown value '"), text(path), F.lit("'")), _truthy(d.get(path)) & ~text(path).isin(*known))
-    for f in ("descriptive.license", "descriptive.categories", "descriptive.maintainers", "provenance.unmapped", "provenance.warnings", "platforms.include", "platforms.exclude", "conflicts", "sources", "patches"):
-        error(f, "must be an array", d.is_no(f, "array"))
-    error("descriptive.deprecated", "must be a boolean", d.is_no("descriptive.deprecated", "boolean"))
-    error("descriptive.expiration_date", "must be a string", d.is_no("descriptive.expiration_date", "string"))
-    for b in BUCKETS:
-        error(f"dependencies.{b}", "required field missing", is_object("dependencies") & ~d.there(f"dependencies.{b}"))
-        error(f"dependencies.{b}", "must be an array", d.is_no(f"dependencies.{b}", "array"))
-        lists.append(_each(d, f"dependencies.{b}", "string", "text"))
-    lists.append(_each(d, "conflicts", "string", "text"))
-    lists.append(_each(d, "sources", "object", "must be an object", ("type", "missing required field 'type'")))
-    lists.append(_each(d, "patches", "object", "must be an object", ("path", "missing required field 'path'")))
-    confidence, kind = d.get("provenance.confidence", "double"), d.kind("provenance.confidence")
-    numeric = kind.isin("number", "boolean")
-    error("provenance.confidence", "must be a number", ~numeric & (kind != "null"))
-    error("provenance.confidence", "out of range [0, 1]", numeric & ~confidence.between(0, 1))
-    error("behavioral_spec", "must be a string path", d.is_no("behavioral_spec", "string") & (d.kind("behavioral_spec") != "null"))
+def _record_rules(strict: bool) -> list[dict]:
+    rules = [_rule(f, "missing", "required field missing") for f in REQUIRED] + [_rule("schema_version", "no_text", "must be a non-empty string")]
+    rules += [_rule(f, "kind", "must be an object", "object") for f in ("identity", "descriptive", "dependencies", "build", "provenance", "platforms")]
+    rules += [_rule(f, "kind", "must be an object", "object", nullable=True) for f in ("features", "extensions", "tests")]
+    rules += [_rule(f"identity.{f}", "empty", "required and must be non-empty") for f in IDENTITY]
+    rules += [_rule(path, "unknown", "unknown value", known=known, level="WARN") for path, known in (("identity.ecosystem", KNOWN_ECOSYSTEMS), ("build.system_kind", KNOWN_BUILD_SYSTEMS))]
+    lists = ("descriptive.license", "descriptive.categories", "descriptive.maintainers", "provenance.unmapped", "provenance.warnings", "platforms.include", "platforms.exclude", "conflicts", "sources", "patches")
+    rules += [_rule(f, "kind", "must be an array", "array") for f in lists]
+    rules += [_rule("descriptive.deprecated", "kind", "must be a boolean", "boolean"), _rule("descriptive.expiration_date", "kind", "must be a string", "string"), _rule("behavioral_spec", "kind", "must be a string path", "string", nullable=True)]
+    rules += [_rule(f"dependencies.{b}", "missing", "required field missing") for b in BUCKETS] + [_rule(f"dependencies.{b}", "kind", "must be an array", "array") for b in BUCKETS]
+    rules += [_rule("provenance.confidence", "no_number", "must be a number"), _rule("provenance.confidence", "out_of_range", "out of range [0, 1]")]
     if strict:
-        for f, what in (("summary", "a description"), ("homepage", "a homepage URL")):
-            warn(f"descriptive.{f}", f"empty — consider adding {what}", is_object("descriptive") & ~_truthy(d.get(f"descriptive.{f}")))
-        for f, what in (("unmapped", "unmapped field(s)"), ("warnings", "warning(s)")):
-            n = F.size(d.items(f"provenance.{f}"))
-            warn(f"provenance.{f}", F.concat(n.cast("string"), F.lit(f" {what}")), n > 0)
-    found = F.array_compact(F.array(*[F.when(F.coalesce(broken, F.lit(False)), issue) for broken, issue in one]))
-    return F.concat(found, *lists)
+        rules += [_rule(f"descriptive.{f}", "empty", f"empty — consider adding {what}", level="WARN") for f, what in (("summary", "a description"), ("homepage", "a homepage URL"))]
+        rules += [_rule(f"provenance.{f}", "any", what, level="WARN") for f, what in (("unmapped", "unmapped field(s)"), ("warnings", "warning(s)"))]
+    return rules
+
+
+def _list_rules() -> list[dict]:
+    texts = [*(f"dependencies.{b}" for b in BUCKETS), "conflicts"]
+    made = [(path, "string", None, None) for path in texts] + [("sources", "object", "type", "must be an object"), ("patches", "object", "path", "must be an object")]
+    return [{"section": p.rpartition(".")[0], "field": p.rpartition(".")[2], "kind": kind, "lacking": lacking, "message": message} for p, kind, lacking, message in made]
+
+
+def _as_data(rules: list[dict], kind: str) -> Column:
+    """Rules as one constant array."""
+    return F.from_json(F.lit(json.dumps(rules)), f"array<{kind}>")
+
+
+#: Sections of a record, whose fields rules ask for.
+SECTIONS = ("identity", "descriptive", "dependencies", "build", "provenance", "platforms")
 
 
-#: Fixed values of compiled specifications: required fields by scope, and kinds of invariants.
+def _members(v: Column) -> Column:
+    """An object's members; empty for anything else."""
+    return F.coalesce(F.try_variant_get(v, "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+
+
+def _held(document: Column) -> Column:
+    """A record as struct<top, under>: its members, and those of its sections by the section's name."""
+    sections = F.transform(F.array(*map(F.lit, SECTIONS)), lambda s: F.struct(s.alias("key"), s.alias("value")))
+    return _let(_members(document), lambda top: F.struct(top.alias("top"), F.map_from_entries(F.transform(sections, lambda s: F.struct(s["key"], _members(F.try_element_at(top, s["key"]))))).alias("under")))
+
+
+def _value(held: Column, rule: Column) -> Column:
+    """What a rule asks about; null where the document has no such field."""
+    return F.when(rule["section"] == "", F.try_element_at(held["top"], rule["field"])).otherwise(F.try_element_at(F.try_element_at(held["under"], rule["section"]), rule["field"]))
+
+
+def _at(rule: Column) -> Column:
+    return F.when(rule["section"] == "", rule["field"]).otherwise(F.concat_ws(".", rule["section"], rule["field"]))
+
+
+def _list_of(v: Column) -> Column:
+    return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
+
+
+def record_issues(document: str | Column, strict: bool = False) -> Column:
+    """Issues of a record in a VARIANT column: missing fields, wrong types, bad elements by index, unknown values; strict: also what is poor.
+
+    An array<struct<field, level, message>> in one expression; a field that is missing is not of a wrong type besides. The rules
+    are data: the expression, and the time to compile it, is that of one rule, whatever their number."""
+    d = F.col(document) if isinstance(document, str) else document
+
+    def broken(held: Column, rule: Column) -> Column:
+        def judged(x: Column) -> Column:
+            v, kind = x["v"], x["kind"]
+            text = F.coalesce(F.try_variant_get(v, "$", "string"), F.lit(""))
+            there = v.isNotNull()
+            section = F.try_element_at(held["top"], rule["section"])
+            in_object = (rule["section"] == "") | section.isNull() | (kind_of(section) == "object")
+            other = there & (kind != rule["kind"]) & ~(rule["nullable"] & (kind == "null"))
+            number = kind.isin("number", "boolean")
+            n = F.size(_list_of(v))
+            check = rule["check"]
+            wrong = (
+                F.when(check == "missing", ~there & in_object).when(check == "kind", other).when(check == "empty", in_object & ~_truthy(v)).when(check == "unknown", _truthy(v) & ~F.array_contains(rule["known"], text))
+                .when(check == "no_text", ~there | (kind != "string") | (text == "")).when(check == "no_number", there & ~number & (kind != "null")).when(check == "out_of_range", there & number & ~F.try_variant_get(v, "$", "double").between(0, 1)).when(check == "any", n > 0)
+            )
+            said = F.when(check == "unknown", F.concat(rule["message"], F.lit(" '"), text, F.lit("'"))).when(check == "any", F.concat_ws(" ", n.cast("string"), rule["message"])).otherwise(rule["message"])
+            return F.when(F.coalesce(wrong, F.lit(False)), F.struct(_at(rule).alias("field"), rule["level"].alias("level"), said.alias("message")))
+
+        return _let(_value(held, rule), lambda v: _let(F.struct(v.alias("v"), kind_of(v).alias("kind")), judged))
+
+    def elements(held: Column, rule: Column) -> Column:
+        def of(x: Column, i: Column) -> Column:
+            lacks = F.when(rule["lacking"] == "type", F.try_variant_get(x, "$.type", "variant").isNull()).when(rule["lacking"] == "path", F.try_variant_get(x, "$.path", "variant").isNull())
+            message = F.when(F.coalesce(kind_of(x), F.lit("null")) != rule["kind"], F.coalesce(rule["message"], F.concat(F.lit("must be a string, got "), _type_name(x)))).when(lacks, F.concat(F.lit("missing required field '"), rule["lacking"], F.lit("'")))
+            return F.when(message.isNotNull(), F.struct(F.concat(_at(rule), F.lit("["), i.cast("string"), F.lit("]")).alias("field"), F.lit("ERROR").alias("level"), message.alias("message")))
+
+        return F.array_compact(F.transform(_list_of(_value(held, rule)), of))
+
+    def all_of(held: Column) -> Column:
+        one = F.array_compact(F.transform(_as_data(_record_rules(strict), RULE), lambda rule: broken(held, rule)))
+        return F.concat(one, F.flatten(F.transform(_as_data(_list_rules(), LIST_RULE), lambda rule: elements(held, rule))))
+
+    return _let(_held(d), all_of)
+
+
+#: Fixed values of compiled specifications: required fields by scope, and kinds of invariants. Missing fields are reported in
+#: the order of the alphabet, so those of an invariant stand in it.
 SPEC_FIELDS = {
     "": ("schema_version", "identity", "provenance", "library", "constants", "types", "functions", "invariants", "wire_formats", "error_model"), "identity": ("canonical_name", "spec_for_versions"),
     "provenance": ("derived_from", "not_derived_from"), "library": ("soname_patterns",), "error_model": ("error_codes", "return_code_semantics"),
