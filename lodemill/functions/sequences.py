@@ -4,33 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from lodemill.operators import scan
+from lodemill.shared import written
 
 
 def runs(rows: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
-    """by, run, value, n: consecutive rows of equal value, in order, numbered from 0 within `by`."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    changed = F.coalesce((~F.col(value).eqNullSafe(F.lag(value).over(w))) & (F.row_number().over(w) > 1), F.lit(False))
-    marked = rows.select(*by, *[c for c in order if c not in by], value, changed.alias("_new"))
-    placed = marked.withColumn("run", F.sum(F.col("_new").cast("long")).over(w))
+    """by, run, value, n: consecutive rows of equal value, in order, numbered from 0 within `by`. A key is as many tasks as its rows ask for."""
+    table = scan.blocks(rows.select(*dict.fromkeys([*by, *order, value])), by, order)
+    before = scan.neighbours(table, by, order, "_last", F.col(value), ahead=False)
+    changed = F.col("_last").isNotNull() & ~F.col(value).eqNullSafe(F.col("_last.v"))
+    marked = written(before.withColumn("_new", changed.cast("long")), "marked")
+    placed = scan.folded(marked, by, order, run=("sum", F.col("_new")))
     return placed.groupBy(*by, "run", value).agg(F.count("*").alias("n"))
 
 
 def pairs(rows: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
     """rows with next_value, without the last row of each `by`."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return rows.withColumn("next_value", F.lead(value).over(w)).withColumn("_n", F.lead(F.lit(1)).over(w)).where("_n = 1").drop("_n")
+    table = scan.blocks(rows, by, order)
+    followed = scan.neighbours(table, by, order, "_next", F.col(value), ahead=True)
+    return followed.where("_next IS NOT NULL").select(*rows.columns, F.col("_next.v").alias("next_value"))
 
 
 def batches(rows: DataFrame, by: list[str], order: list[str], size: int) -> DataFrame:
     """rows with batch: numbers from 0 that `size` consecutive rows share."""
-    return rows.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1) / size).cast("long"))
+    return scan.scanned(rows, by, order, at="_at").withColumn("batch", F.floor((F.col("_at") - 1) / size).cast("long")).drop("_at")
 
 
 def accumulated(rows: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
     """rows with running_sum, running_max and running_min of the value."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumns({f"running_{n}": f(value).over(w) for n, f in (("sum", F.sum), ("max", F.max), ("min", F.min))})
+    return scan.scanned(rows, by, order, **{f"running_{n}": (n, F.col(value)) for n in ("sum", "max", "min")})
 
 
 def most_common(rows: DataFrame, value: str, n: int) -> DataFrame:
@@ -59,6 +62,33 @@ def statistics(value: str) -> list[Column]:
     ]
 
 
+def spread_statistics(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by and statistics() of the value, also where one group has most rows: no task holds a group's values.
+
+    Rows are counted a (group, value) first; medians and modes follow from the counts. The values around the middle are
+    found by a scan over them in order, which splits a group into blocks."""
+    x = F.col(value).cast("double")
+    counts = written(rows.groupBy(*by, x.alias("x")).agg(F.count("*").alias("n")), "counts")
+    some = counts.where("x IS NOT NULL")
+    placed = scan.scanned(some, by, ["x"], totals={"all": ("sum", F.col("n"))}, upto=("sum", F.col("n")))
+    # with m values the middle ones are at places (m + 1) div 2 and (m + 2) div 2
+    holds = lambda place: (F.col("upto") >= place) & (F.col("upto") - F.col("n") < place)
+    middle = placed.select("*", holds(F.floor((F.col("all") + 1) / 2)).alias("_low"), holds(F.floor((F.col("all") + 2) / 2)).alias("_high")).where("_low OR _high")
+    median = middle.groupBy(*by).agg(((F.max(F.when(F.col("_low"), F.col("x"))) + F.max(F.when(F.col("_high"), F.col("x")))) / 2).alias("median"))
+    mode = some.groupBy(*by).agg(F.min(F.struct((-F.col("n")).alias("minus"), "x"))["x"].alias("mode"))
+    plain = {"mean": F.avg(x), "variance": F.var_samp(x), "stdev": F.stddev_samp(x), "pstdev": F.stddev_pop(x)}
+    above = F.min(x) > 0
+    plain |= {"geometric_mean": F.when(above, F.exp(F.avg(F.ln(F.when(x > 0, x))))), "harmonic_mean": F.when(above, F.count(x) / F.sum(F.try_divide(F.lit(1.0), x)))}
+    out = rows.groupBy(*by).agg(*[c.alias(n) for n, c in plain.items()])
+    for part in (median, mode):
+        part = part.select(*[F.col(b).alias(f"_{b}") for b in by], part.columns[-1])
+        same = F.lit(True)
+        for b in by:
+            same = same & F.col(b).eqNullSafe(F.col(f"_{b}"))
+        out = (out.join(part, same, "left") if by else out.join(F.broadcast(part))).drop(*[f"_{b}" for b in by])
+    return out.select(*by, "mean", "median", "variance", "stdev", "pstdev", "mode", "geometric_mean", "harmonic_mean")
+
+
 def combinations(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """by, a, b: all pairs a < b of the distinct values within `by` (an equi-join; meant for small groups such as a name's ecosystems)."""
     one = rows.select(*by, value).distinct()
@@ -78,7 +108,7 @@ def product(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
 
 def numbered(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """rows with at: their place, from 0, in order within `by`."""
-    return rows.withColumn("at", (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("long"))
+    return scan.scanned(rows, by, order, at="at").withColumn("at", F.col("at") - 1)
 
 
 def sliced(rows: DataFrame, by: list[str], order: list[str], start: int, stop: int | None = None, step: int = 1) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from lodemill.operators import scan
 
 
 def verify_summary(results: DataFrame, spec: str = "spec") -> DataFrame:
@@ -133,5 +134,5 @@ def last_attempt(attempts: DataFrame, key: str, order: str) -> DataFrame:
 
 def numbered_copies(rows: DataFrame, name: str, order: list[str]) -> DataFrame:
     """rows with file_name: the name, then name_1, name_2 for further rows of one name in order."""
-    at = F.row_number().over(Window.partitionBy(name).orderBy(*order)) - 1
-    return rows.withColumn("file_name", F.when(at == 0, F.col(name)).otherwise(F.concat_ws("_", F.col(name), at.cast("string"))))
+    at = F.col("_at") - 1
+    return scan.scanned(rows, [name], order, at="_at").withColumn("file_name", F.when(at == 0, F.col(name)).otherwise(F.concat_ws("_", F.col(name), at.cast("string")))).drop("_at")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodemill.functions import packages, scalars, sequences, texts
-from lodemill.operators import audit, closure, compare, coverage, evaluate, fill, invariants, merge, overlap, rank, validate
+from lodemill.operators import audit, closure, compare, coverage, evaluate, fill, invariants, merge, overlap, rank, scan, validate
 from lodemill.sources import recipes, seeds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -269,12 +269,38 @@ def closure_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("closure_taint", f"""
 WITH RECURSIVE e AS (SELECT DISTINCT * FROM ({TURNS_SQL})), r AS (SELECT src AS root, dst AS node, 1 AS depth FROM e UNION SELECT root, dst, depth + 1 FROM r JOIN e ON src = node WHERE depth < 10 AND node % 7 <> 3)
-SELECT root, bool_or(node % 7 = 3) AS is_tainted, count(DISTINCT node) AS n_reached FROM r GROUP BY root""")
+SELECT root, bool_or(node % 7 = 3) AS is_tainted, coalesce(min(depth) FILTER (node % 7 = 3), 0) AS steps FROM r GROUP BY root""")
 def closure_taint(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.col("conv_id") * 1000 + F.col("turn")
     edges = table(spark, sf_dir, "conversations").select(at.alias("src"), (at + 1).alias("dst"))
     bad = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).where("node % 7 = 3").distinct()
-    return closure.tainted(edges, edges.select(F.col("src").alias("root")), bad)
+    return closure.tainted(edges, edges.select(F.col("src").alias("root")), bad).withColumn("steps", F.coalesce("steps", F.lit(0)))
+
+
+#: Turns lead to the next one; in one conversation of three the last leads back to the first, in another turn 3 to turn 1 and turn 5 to turn 2, and every fifth first turn to itself.
+CIRCLES_SQL = """SELECT conv_id * 1000 + turn AS src, conv_id * 1000 + turn + 1 AS dst FROM conversations WHERE turn < 900
+  UNION SELECT max(conv_id * 1000 + turn), min(conv_id * 1000 + turn) FROM conversations WHERE conv_id % 3 = 0 GROUP BY conv_id
+  UNION SELECT conv_id * 1000 + turn, conv_id * 1000 + (CASE turn WHEN 3 THEN 1 ELSE 2 END) FROM conversations WHERE conv_id % 3 = 1 AND turn IN (3, 5)
+  UNION SELECT conv_id * 1000 + turn, conv_id * 1000 + turn FROM conversations WHERE conv_id % 5 = 0 AND turn = 0"""
+
+
+@query("dependency_cycles", f"""
+WITH RECURSIVE e AS ({CIRCLES_SQL}), r AS (SELECT src AS a, dst AS b FROM e UNION SELECT a, dst FROM r JOIN e ON src = b),
+c AS (SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON y.a = x.b AND y.b = x.a GROUP BY x.a),
+f AS (SELECT src AS node, min(dst) AS nxt FROM e JOIN c s ON s.node = src JOIN c d ON d.node = dst WHERE s.component = d.component GROUP BY src),
+w AS (SELECT node AS start, nxt AS onto, 1 AS n FROM f UNION SELECT start, nxt, n + 1 FROM w JOIN f ON f.node = onto WHERE onto <> start AND n < 1000),
+o AS (SELECT DISTINCT w.start FROM w WHERE onto = start), k AS (SELECT start, min(onto) AS least FROM w JOIN o USING (start) GROUP BY start),
+m AS (SELECT component, min(least) AS first FROM k JOIN c ON c.node = k.start GROUP BY component),
+p AS (SELECT first AS node, first, 0 AS place FROM m UNION SELECT nxt, first, place + 1 FROM p JOIN f USING (node) WHERE nxt <> first)
+SELECT c.node, c.component, coalesce(p.place, -1)::BIGINT AS place FROM c LEFT JOIN p USING (node)""")
+def dependency_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    at = F.col("conv_id") * 1000 + F.col("turn")
+    onward = turns.where("turn < 900").select(at.alias("src"), (at + 1).alias("dst"))
+    around = turns.where("conv_id % 3 = 0").groupBy("conv_id").agg(F.max(at).alias("src"), F.min(at).alias("dst")).select("src", "dst")
+    inner = turns.where("conv_id % 3 = 1 AND turn IN (3, 5)").select(at.alias("src"), (F.col("conv_id") * 1000 + F.when(F.col("turn") == 3, 1).otherwise(2)).alias("dst"))
+    loops = turns.where("conv_id % 5 = 0 AND turn = 0").select(at.alias("src"), at.alias("dst"))
+    return closure.cycles(onward.union(around).union(inner).union(loops)).withColumn("place", F.coalesce("place", F.lit(-1).cast("long")))
 
 
 @query("dependency_layers", "SELECT p_partkey AS node, p_partkey - (SELECT min(p_partkey) FROM part) AS layer FROM part")
@@ -299,6 +325,36 @@ def version_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", packages.satisfies(version, ">=10.5, <30").alias("fits"))
 
 
+@query("version_ranges", """
+WITH v AS (SELECT p_partkey, p_size AS a, p_partkey % 10 AS b, p_size % 20 + 1 AS x, p_partkey % 7 AS y FROM part)
+SELECT p_partkey, coalesce(fits, FALSE) AS fits, readable FROM (SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN (a, b) >= (x, y) AND (a, b) < (x + 15, 0) WHEN 1 THEN a = x AND b >= y WHEN 2 THEN a = x WHEN 3 THEN (a, b) <> (x, y) WHEN 4 THEN (a, b) <= (x, y) OR b = 9
+    WHEN 5 THEN TRUE WHEN 6 THEN (a, b) > (x, y) AND a <> x + 1 ELSE NULL END AS fits, p_partkey % 8 <> 7 AS readable FROM v)""")
+def version_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part has a version and a range of its own; one in eight ranges is free, one can't be read."""
+    size, key = F.col("p_size"), F.col("p_partkey")
+    x, y = (size % 20 + 1).cast("string"), (key % 7).cast("string")
+    own = F.concat_ws(".", size.cast("string"), (key % 10).cast("string"))
+    # one in ten of the fourth kind is a version that can't be read, which any range holds
+    version = F.when((key % 8 == 4) & (key % 10 == 9), "unknown").otherwise(own)
+    to = F.concat(x, F.lit("."), y)
+    kinds = [F.concat(F.lit(">="), to, F.lit(", <"), (size % 20 + 16).cast("string")), F.concat(F.lit("~="), to), F.concat(F.lit("=="), x, F.lit(".*")), F.concat(F.lit("!="), to), F.concat(F.lit("<="), to), F.lit("N/A"), F.concat(F.lit(">"), to, F.lit(" !="), (size % 20 + 2).cast("string"), F.lit(".*"))]
+    constraint = F.coalesce(F.get(F.array(*kinds), (key % 8).cast("int")), F.lit("about 3"))
+    found = table(spark, sf_dir, "part").select("p_partkey", packages.satisfies(version, constraint).alias("found"))
+    return found.select("p_partkey", F.coalesce("found", F.lit(False)).alias("fits"), F.col("found").isNotNull().alias("readable"))
+
+
+@query("skip_by_row", """
+SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_size >= p_partkey % 40 AND p_partkey % 5 <> 1 WHEN 1 THEN NOT (p_size < p_partkey % 40) OR p_partkey % 5 = 0 ELSE p_brand = 'Brand#' || (p_partkey % 60) END AS skipped FROM part""")
+def skip_by_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part has a condition of its own."""
+    key, bound = F.col("p_partkey"), (F.col("p_partkey") % 40).cast("string")
+    fits = lambda op: F.concat(F.lit(f'semver_satisfies(lib_version, "{op}'), bound, F.lit('")'))
+    two = (key % 5).cast("string")
+    texts = [F.concat(fits(">="), F.lit(' and "'), two, F.lit('" != "1"')), F.concat(F.lit("not "), fits("<"), F.lit(" or '0' == '"), two, F.lit("'")), F.concat(F.lit("platform == 'Brand#"), (key % 60).cast("string"), F.lit("'"))]
+    skip_if = F.get(F.array(*texts), (key % 3).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", invariants.skipped(skip_if, F.col("p_size").cast("string"), F.col("p_brand")).alias("skipped"))
+
+
 @query("invariant_expand", """
 SELECT r_name AS spec, n_nationkey % 2 = 0 AS even, r_name || '.n.' || n_nationkey AS id, 'nation ' || n_name || ' of {' || n_nationkey || '}' AS description,
   CASE WHEN n_nationkey % 2 = 0 THEN 'even' ELSE 'general' END AS category, n_name AS name, CASE WHEN n_nationkey % 3 = 0 THEN 'own' ELSE 'all' END AS scope
@@ -325,7 +381,7 @@ def skip_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = ['semver_satisfies(lib_version, ">=30")', 'platform == "darwin"', 'semver_satisfies(lib_version, "<10") and not platform == "darwin"', "no such(thing"]
     key, version = F.col("p_partkey"), F.concat(F.col("p_size").cast("string"), F.lit(".0"))
     skip_if = F.get(F.array(*map(F.lit, texts)), (key % 4).cast("int"))
-    return table(spark, sf_dir, "part").select("p_partkey", invariants.skipped(skip_if, texts, version, F.when(key % 3 == 0, "darwin").otherwise("linux")).alias("skipped"))
+    return table(spark, sf_dir, "part").select("p_partkey", invariants.skipped(skip_if, version, F.when(key % 3 == 0, "darwin").otherwise("linux")).alias("skipped"))
 
 
 @query("python_seeds", """
@@ -387,6 +443,38 @@ def most_common(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.most_common(table(spark, sf_dir, "part"), "p_name", 10)
 
 
+@query("accumulate_whole", """
+SELECT o_orderkey, sum(o_orderkey) OVER w::BIGINT AS running_sum, max(o_custkey) OVER w AS running_max, row_number() OVER w AS at FROM orders WINDOW w AS (ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING)""")
+def accumulate_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One key for all rows: blocks of the sorted table and their sums, in as many tasks."""
+    folds = {"running_sum": ("sum", F.col("o_orderkey")), "running_max": ("max", F.col("o_custkey"))}
+    return scan.scanned(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), [], ["o_orderdate", "o_orderkey"], at="at", **folds).select("o_orderkey", *folds, "at")
+
+
+@query("runs_whole", """
+WITH m AS (SELECT event_type, row_number() OVER w AS i, event_type IS DISTINCT FROM lag(event_type) OVER w AS new FROM events WINDOW w AS (ORDER BY ts, event_id)),
+r AS (SELECT event_type, sum(new::INT) OVER (ORDER BY i) - 1 AS run FROM m) SELECT run::BIGINT AS run, event_type, count(*) AS n FROM r GROUP BY ALL""")
+def runs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of equal events over the whole stream as one sequence."""
+    return sequences.runs(table(spark, sf_dir, "events"), [], ["ts", "event_id"], "event_type").select("run", "event_type", "n")
+
+
+@query("exact_median", """
+WITH c AS (SELECT l_extendedprice AS x, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT (SELECT median(l_extendedprice) FROM lineitem) AS median, (SELECT x FROM c ORDER BY n DESC, x LIMIT 1) AS mode""")
+def exact_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All prices as one group: the middle is found by a scan over counted values in order, no task holds the group."""
+    return sequences.spread_statistics(table(spark, sf_dir, "lineitem"), [], "l_extendedprice").select("median", "mode")
+
+
+@query("spread_median", """
+SELECT l_suppkey, median(l_quantity)::DOUBLE AS median, max(l_quantity) - min(l_quantity) AS span FROM lineitem GROUP BY 1""")
+def spread_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
+    span = lines.groupBy("l_suppkey").agg((F.max("l_quantity") - F.min("l_quantity")).alias("span"))
+    return sequences.spread_statistics(lines, ["l_suppkey"], "l_quantity").select("l_suppkey", "median").join(span, "l_suppkey")
+
+
 @query("stats_quantity", """
 SELECT l_returnflag, round(avg(l_quantity)::DECIMAL(18,6), 3)::VARCHAR AS mean, round(median(l_quantity)::DECIMAL(18,6), 3)::VARCHAR AS median, round(stddev_samp(l_quantity)::DECIMAL(18,6), 3)::VARCHAR AS stdev FROM lineitem GROUP BY 1""")
 def stats_quantity(spark: SparkSession, sf_dir: str) -> DataFrame:
