@@ -25,12 +25,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodemill.llm.common import WORD, beside, text_of, whole
+from lodemill.llm.common import WORD, beside, hot_keys, spread_join, text_of, whole
+from lodemill.operators.scan import scanned
 from lodemill.shared import written
 
 WEIGHTS, MAX_EPOCHS, SEED, CELL_ROWS = (5, 2, 1), 3, 17, 1000
-#: Parts, by a hash of the text, in which copies of one document are numbered.
-PARTS = 256
+#: Copies of one document that a row may make.
+COPIES = 10_000
 
 
 def n_words(text: str | Column) -> Column:
@@ -96,31 +97,40 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     """One row for each row of docs: doc_id, source, size, source_size, target, repeats."""
     sizes = measured(docs)
     chosen = sample(sizes, targets(sizes, weights, max_epochs), seed)
-    one = chosen.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return one.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + (F.col("copy") <= F.col("extra")).cast("long")).alias("repeats"))
+    return one_a_copy(written(chosen, "chosen")).select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + (F.col("copy") <= F.col("extra")).cast("long")).alias("repeats"))
+
+
+def one_a_copy(chosen: DataFrame, most: int = COPIES) -> DataFrame:
+    """chosen with a row for each of its `copies`, numbered by `copy` from 1.
+
+    More than `most` copies are first cut into stretches of so many, which are dealt out, so that no row or task makes them all."""
+    ranged = lambda low, high: F.explode(F.sequence(low, high)).alias("copy")
+    few = chosen.where(F.col("copies") <= most).select("*", ranged(F.lit(1).cast("long"), F.col("copies")))
+    cut = chosen.where(F.col("copies") > most).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / most))).alias("stretch"))
+    low = F.col("stretch") * most
+    many = cut.repartition("doc_id", "source", "size", "stretch").select("*", ranged(low + 1, F.least(low + most, F.col("copies")))).drop("stretch")
+    return few.unionByName(many)
 
 
 def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """docs with every row as often as the mix takes it (none: the row goes); columns as in docs, whatever their names.
 
-    Of rows that count as copies the first ones by their text's hash are taken once more; they are numbered in parts, and
-    the parts' sizes are summed up, so that no task holds all copies."""
+    Of rows that count as copies the first ones by their text's hash are taken once more. Keys with many copies are salted where
+    rows meet what is taken of them, and copies are numbered in blocks of their order, so that no task holds all of a key."""
     sizes = measured(docs)
-    chosen = written(sample(sizes, targets(sizes, weights, max_epochs), seed).where(F.col("size") > 0).select("doc_id", "source", "size", "copies", "whole", "extra"), "chosen")
-    keys = ["doc_id", "source", "size"]
-    sized = beside(docs, doc_id=F.col("doc_id"), source=F.col("source").cast("string"), size=n_words("text"))
-    same = [sized[k].eqNullSafe(chosen[k]) for k in keys]
-    # both branches below read the same columns up to here, so the rows are dealt out once
-    joined = sized.join(chosen.hint("merge"), same[0] & same[1] & same[2]).select("row", *[sized[k] for k in keys], "copies", "whole", "extra")
-    single = joined.where("copies = 1").select("row", "whole", "extra", F.lit(1).cast("long").alias("copy"))
-    several = joined.where("copies > 1").withColumn("text_hash", F.xxhash64(text_of(F.col("row.text")))).withColumn("part", F.pmod("text_hash", F.lit(PARTS)))
-    parts = several.groupBy(*keys, "part").agg(F.count("*").alias("n"))
-    before = parts.select(*keys, "part", F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    numbered = several.withColumn("at", F.row_number().over(Window.partitionBy(*keys, "part").orderBy("text_hash")))
-    match = [numbered[k].eqNullSafe(before[k]) for k in [*keys, "part"]]
-    copies = numbered.join(before, match[0] & match[1] & match[2] & match[3]).select("row", "whole", "extra", (F.col("at") + F.col("before")).alias("copy"))
+    key = lambda: F.struct(F.col("doc_id"), F.col("source"), F.col("size")).alias("key")
+    chosen = written(sample(sizes, targets(sizes, weights, max_epochs), seed).where(F.col("size") > 0).select(key(), "copies", "whole", "extra"), "chosen")
+    hot = hot_keys(chosen.select("key", F.col("copies").alias("n")), "key", chosen.agg(F.sum("copies")).first()[0] or 0)
+    sized = beside(docs, doc_id=F.col("doc_id"), source=F.col("source").cast("string"), size=n_words("text")).select("row", key())
+    # what has copies goes a way of its own, so that texts are dealt out once where nothing has
+    cold = sized.join(F.broadcast(hot.select("key")), "key", "left_anti")
+    numbered = cold.join(chosen.where("copies = 1").hint("merge"), "key").select("row", "whole", "extra", F.lit(1).cast("long").alias("copy"))
+    many = chosen.where("copies > 1")
+    if not many.isEmpty():
+        several = spread_join(sized, many, "key", hot, "inner").select("row", "key", "whole", "extra", F.xxhash64(text_of(F.col("row.text"))).alias("text_hash"))
+        numbered = numbered.unionByName(scanned(several, ["key"], ["text_hash"], at="copy").select("row", "whole", "extra", "copy"))
     times = (F.col("whole") + (F.col("copy") <= F.col("extra")).cast("long")).cast("int")
-    taken = single.unionByName(copies).where(times > 0).select("row", F.explode(F.array_repeat(F.lit(0), times)))
+    taken = numbered.where(times > 0).select("row", F.explode(F.array_repeat(F.lit(0), times)))
     return whole(taken.select("row"))
 
 

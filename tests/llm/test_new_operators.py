@@ -1,4 +1,4 @@
-"""Sharding, periodic runs and conversation tries against brute force, on small tables."""
+"""Sharding, periodic runs, conversation tries and the quality queries against brute force, on small tables."""
 
 import hashlib
 import heapq
@@ -9,8 +9,9 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lodemill.llm import conversation_trie, periodic_runs, sharding
+from lodemill.llm import conversation_trie, mixing, periodic_runs, quality_model, quality_rules, sharding
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -226,3 +227,93 @@ def test_lists_hashed_in_pieces(spark):
     ends = spark.range(5000).selectExpr("5L as conv_id", "2L as depth", "id * 3 as member").unionByName(spark.range(3).selectExpr("id as conv_id", "1L as depth", "id as member"))
     got = {(x.conv_id, x.depth): x.ends_sha256 for x in conversation_trie.list_hashes(ends, 100).collect()}
     assert got == {(5, 2): sha(",".join(str(i * 3) for i in range(5000)))} | {(i, 1): sha(str(i)) for i in range(3)}
+
+
+def test_mixing_of_many_equal_rows(spark, tmp_path):
+    """200,000 equal rows without an id: no task makes or numbers them all, and all are there."""
+    same = spark.range(200_000, numPartitions=4).selectExpr("CAST(NULL AS LONG) AS doc_id", "'one two three' AS text", "'en' AS lang", "'a' AS source", "13L AS n_chars")
+    rest = spark.range(3000, numPartitions=2).selectExpr("id AS doc_id", "repeat('w ', CAST(id % 50 AS INT)) AS text", "'en' AS lang", "'b' AS source", "1L AS n_chars")
+    docs = same.unionByName(rest)
+    rows = mixing.mix(docs)
+    assert rows.count() == 203_000
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    tasks = mixing.mix(docs).where("doc_id IS NULL").groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) >= 3 and max(r["count"] for r in tasks) < 150_000
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    taken = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("repeats")).alias("n"), F.first("target").alias("t")).collect()
+    assert all(abs(r.n - r.t) <= 60 for r in taken)
+    out = mixing.repeated(docs)
+    assert out.where("source = 'a'").count() * 3 == next(r.n for r in taken if r.source == "a") and out.columns == docs.columns
+    by_id = {r.doc_id: r["count"] for r in out.where("source = 'b'").groupBy("doc_id").count().collect()}
+    assert by_id == {r.doc_id: r.repeats for r in rows.where("source = 'b' AND repeats > 0 AND size > 0").collect()}
+
+
+def test_conversation_trie_equals_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW conversations AS SELECT * FROM '/root/testdata/sf0.001/conversations.parquet'")
+    got = conversation_trie.op11_conversation_trie(spark, "/root/testdata/sf0.001")
+    want = con.sql(conversation_trie.OP11_SQL)
+    assert sorted(want.columns) == sorted(got.columns)
+    assert sorted((tuple(x[c] for c in want.columns) for x in got.collect()), key=str) == sorted(want.fetchall(), key=str)
+
+
+LABELS = "doc_id long, quality int, toxic int"
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def rated_documents(r):
+    """Documents of three kinds with labels, and odd ones: null, empty, white, repeated rows and ids, one long line, many lines."""
+    good = lambda: "\n".join(" ".join(r.choice(["the", "river", "runs", "over", "stones", "and", "a", "house", "stands", "near"]) + ("." if r.random() < 0.1 else "") for _ in range(r.randint(8, 15))) for _ in range(r.randint(3, 6)))
+    junk = lambda: "\n".join(r.choice(["| Home | Login |", "$$$ >>> BUY", "# # #", "Home", "click <here> & win"]) for _ in range(r.randint(8, 20)))
+    bad = lambda: good() + "\n" + " ".join(r.choice(["vile", "nasty"]) for _ in range(6))
+    rows = [(i, (good, junk, bad)[i % 3]()) for i in range(120)]
+    labels = [(i, int(i % 3 != 1), int(i % 3 == 2)) for i in range(90)] + [(None, 1, 0), (5, None, None), (999, 1, 0)]
+    again = "one two three four five six seven eight nine ten " * 4
+    odd = [None, "", " \t\n\x0b", "few words", again, again.replace(" ", "\n"), "é\u00a0é * " * 20, "x " * 4000, "w\n" * 3000]
+    rows += [(200 + i, t) for i, t in enumerate(odd)] + [(None, rows[0][1]), (0, rows[0][1]), (0, rows[0][1]), (3, "another text under an id that is there")]
+    return rows, labels
+
+
+def test_quality_rules_query(spark, tmp_path):
+    rows, labels = rated_documents(random.Random(8))
+    at = folder(spark, tmp_path, documents=([(i, t, "en", "s", 1) for i, t in rows], DOCS), labels=(labels, LABELS))
+    got = quality_rules.op6_quality_rules(spark, at).collect()
+    crf = quality_rules.fit(spark.read.parquet(f"{at}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{at}/labels.parquet"))
+    want = []
+    for i, t in rows:
+        t = t or ""
+        w = re.findall(WORD, t)
+        grams = [tuple(w[j : j + 8]) for j in range(len(w) - 7)]
+        count = {}
+        for g in grams:
+            count[g] = count.get(g, 0) + 1
+        inside = {j + k for j, g in enumerate(grams) if count[g] > 1 for k in range(8)}
+        lines = [x for x in t.split("\n") if re.search(WORD, x)]
+        failed = len(w) < 20 or 100 * len(inside) > 30 * len(w)
+        verdict = quality_rules.judged([t], crf)[0][-1] >= quality_rules.MIN_CONTENT * len(w)
+        want.append((i, len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(inside), failed, not failed and verdict))
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    assert sorted((tuple(x[c] for c in columns) for x in got), key=str) == sorted(want, key=str)
+    kept = {x.doc_id: x.kept for x in got if x.doc_id is not None and 90 <= x.doc_id < 120 and not x.base_failed}
+    assert sum(v == (i % 3 != 1) for i, v in kept.items()) >= 0.9 * len(kept) > 5  # documents without labels
+
+
+def test_quality_grades_query(spark, tmp_path):
+    rows, labels = rated_documents(random.Random(9))
+    at = folder(spark, tmp_path, documents=([(i, t, "en", "s", 1) for i, t in rows], DOCS), labels=(labels, LABELS))
+    got = quality_model.op8_quality_grades(spark, at).collect()
+    docs = spark.read.parquet(f"{at}/documents.parquet").select("doc_id", "text")
+    model = quality_model.fit(docs, quality_model.grades_of_labels(spark.read.parquet(f"{at}/labels.parquet")), 3)
+    want = []
+    for i, t in rows:
+        buckets, n = quality_model.bucket_counts(t or "")
+        score = sum(float(model.weights[b]) * math.log1p(c) for b, c in zip(buckets, n))
+        tails = [1 / (1 + math.exp(float(cut) - score)) for cut in model.thresholds]
+        want.append((i, round(sum(tails), 9), round(tails[-1], 9), tails[-1] >= quality_model.SELECT))
+    assert sorted(((x.doc_id, round(x.expected_grade, 9), round(x.p_good, 9), x.kept) for x in got), key=str) == sorted(want, key=str)
+    assert all(0 <= x.p_good <= x.expected_grade / 2 + 1e-12 <= 1.1 for x in got)
+    grade = {x.doc_id: x.expected_grade for x in got if x.doc_id is not None and 90 <= x.doc_id < 120}
+    mean = [sum(v for i, v in grade.items() if i % 3 == k) / 10 for k in range(3)]
+    assert mean[0] > mean[2] > mean[1]  # good, toxic, junk
