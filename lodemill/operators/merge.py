@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodemill.shared import written
+
 
 def best_of(rows: DataFrame, name: str, trust: str, order: str, values: list[str]) -> DataFrame:
-    """The values of each name's row of highest trust; of equal ones the first by order. No window, no sort: a partial maximum."""
-    best = F.max_by(F.struct(*values), F.struct(F.coalesce(F.col(trust).cast("double"), F.lit(0.0)), -F.col(order)))
+    """The values of each name's row of highest trust; of equal ones the first by order. No window, no sort: a partial minimum."""
+    best = F.min_by(F.struct(*values), F.struct(-F.coalesce(F.col(trust).cast("double"), F.lit(0.0)), order))
     return rows.groupBy(name).agg(best.alias("best")).select(name, *[F.col(f"best.{v}").alias(v) for v in values])
 
 
@@ -29,6 +31,11 @@ def agreement(rows: DataFrame, name: str, ecosystem: str, value: str, order: str
     return last.groupBy(name).agg(F.countDistinct("value").alias("n_values")).withColumn("agree", F.col("n_values") <= 1)
 
 
+def _first() -> Column:
+    """Least for the most trusted record, of equal ones the first by _ord, whatever its type (a number, a path)."""
+    return F.struct((-F.col("trust")).alias("minus"), "_ord")
+
+
 BUCKETS = ("build", "host", "runtime", "test")
 _TEXTS = "array<string>"
 
@@ -89,9 +96,9 @@ def _with_lists(base: DataFrame, lists: DataFrame, sources: DataFrame | None = N
 def bulk_merged(records: DataFrame, name: Column | None = None) -> DataFrame:
     """One record a name in the records' own columns, and merged_from: the most trusted one (the first by _ord of equals), with what
     the others have in addition, in their order: sources (by url), dependencies, maintainers, conflicts."""
-    rows = keyed(records, name)
+    rows = written(keyed(records, name), "records")  # what follows reads them four times
     columns = records.columns
-    best = rows.groupBy("name").agg(F.max_by(F.struct(*columns), F.struct("trust", -F.col("_ord"))).alias("row"), F.array_sort(F.array_compact(F.collect_set(F.nullif("eco", F.lit(""))))).alias("merged_from"))
+    best = rows.groupBy("name").agg(F.min_by(F.struct(*columns), _first()).alias("row"), F.array_sort(F.array_compact(F.collect_set(F.nullif("eco", F.lit(""))))).alias("merged_from"))
     marked = rows.join(best.select("name", F.col("row._ord").alias("base")), "name").withColumn("later", F.col("_ord") != F.col("base"))
     rank = F.struct("later", "_ord")
     both, changed = _with_lists(best, unions(marked, rank), source_union(marked, rank))
@@ -107,8 +114,8 @@ def stubs(records: DataFrame, name: Column | None = None) -> DataFrame:
     """One stub a name: the most trusted record with maintainers, conflicts and platforms of all, the more trusted first."""
     rows = keyed(records, name)
     columns = records.columns
-    best = rows.groupBy("name").agg(F.max_by(F.struct(*columns), F.struct("trust", -F.col("_ord"))).alias("row"))
-    both, changed = _with_lists(best, unions(rows, F.struct((-F.col("trust")).alias("trust"), "_ord")))
+    best = rows.groupBy("name").agg(F.min_by(F.struct(*columns), _first()).alias("row"))
+    both, changed = _with_lists(best, unions(rows, _first()))
     warnings = F.coalesce("row.provenance.warnings", F.array().cast(_TEXTS))
     noted = F.when(F.array_contains(warnings, STUB_WARNING), warnings).otherwise(F.array_append(warnings, F.lit(STUB_WARNING)))
     changed |= {"dependencies": F.col("row.dependencies"), "stub": F.lit(True), "schema_version": F.lit(SCHEMA_VERSION), "provenance": F.col("row.provenance").withField("warnings", noted)}
@@ -147,18 +154,19 @@ def extracted(records: DataFrame, candidates: DataFrame | None = None, top: int
     if candidates is not None:
         wanted = candidates.orderBy(F.col("score").desc_nulls_last(), "name")
         rows = rows.join((wanted.limit(top) if top else wanted).select("name", "score"), "name")
+    rows = written(rows, "records")  # what follows reads them three times
     score = [] if candidates is None else ["score"]
     n_deps = sum((F.size(F.coalesce(F.col(f"dependencies.{b}"), F.array().cast(_TEXTS))) for b in BUCKETS), F.lit(0)).cast("long")
     licences = F.array_join(F.array_sort(F.coalesce("descriptive.license", F.array().cast(_TEXTS))), "\x1f")
     confidence = F.round(F.col("trust").cast("decimal(12,8)"), 3)
     last = F.struct(F.coalesce("identity.version", F.lit("")).alias("version"), licences.alias("licences"), confidence.alias("confidence"), n_deps.alias("deps"))
     deprecated = F.coalesce("descriptive.deprecated", F.lit(False))
-    best = F.struct("trust", -F.col("_ord"))
+    best = _first()
     scalars = F.struct(F.coalesce("descriptive.summary", F.lit("")).alias("summary"), F.coalesce("descriptive.homepage", F.lit("")).alias("homepage"))
-    by_eco = rows.groupBy("name", "eco", *score).agg(F.max_by(last, "_ord").alias("last"), F.max_by(F.struct(best.alias("rank"), scalars.alias("of")), best).alias("best"), F.bool_or(deprecated).alias("deprecated"))
+    by_eco = rows.groupBy("name", "eco", *score).agg(F.max_by(last, "_ord").alias("last"), F.min_by(F.struct(best.alias("rank"), scalars.alias("of")), best).alias("best"), F.bool_or(deprecated).alias("deprecated"))
     held = lambda c: F.array_sort(F.collect_list(F.struct("eco", F.col(f"last.{c}").alias("value"))))
     per = by_eco.groupBy("name", *score).agg(
-        F.max_by("best.of", "best.rank").alias("best"), held("version").alias("versions"), held("deps").alias("deps"), F.array_sort(F.collect_list(F.when(F.col("deprecated"), F.col("eco")))).alias("deprecated_in"),
+        F.min_by("best.of", "best.rank").alias("best"), held("version").alias("versions"), held("deps").alias("deps"), F.array_sort(F.collect_list(F.when(F.col("deprecated"), F.col("eco")))).alias("deprecated_in"),
         (F.count_distinct("last.licences") <= 1).alias("license_agreement"), (F.count_distinct("last.version") <= 1).alias("version_agreement"), F.round(F.avg("last.confidence"), 3).alias("confidence_avg"),
     )
     lists = unions(rows)

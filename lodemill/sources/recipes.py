@@ -101,9 +101,13 @@ def nix_recipes(texts: DataFrame) -> DataFrame:
 def make_variables(text: Column) -> Column:
     """map of a Makefile's assignments (=, ?=, +=, :=, !=): continued lines are joined, the last assignment of a name stays."""
     lines = F.split(F.regexp_replace(text, r"\\\n", " "), "\n")
-    pairs = F.filter(F.transform(lines, lambda x: F.struct(F.regexp_extract(x, r"^(\w+)\s*[?+:!]?=\s*(.*)", 1).alias("k"), F.trim(F.regexp_extract(x, r"^(\w+)\s*[?+:!]?=\s*(.*)", 2)).alias("v"))), lambda p: p["k"] != "")
-    last = F.aggregate(pairs, F.slice(pairs, 1, 0), lambda acc, p: F.concat(F.filter(acc, lambda x: x["k"] != p["k"]), F.array(p)))
-    return F.map_from_entries(last)
+    pattern = r"^(\w+)\s*[?+:!]?=\s*(.*)"
+    named = F.transform(lines, lambda x, i: F.struct(F.regexp_extract(x, pattern, 1).alias("k"), i.alias("at"), F.trim(F.regexp_extract(x, pattern, 2)).alias("v")))
+    # by name and place the last one of a name stands before another name
+    ordered = F.array_sort(F.filter(named, lambda p: p["k"] != ""))
+    after = F.slice(ordered, F.lit(2), F.greatest(F.size(ordered), F.lit(1)))
+    last = F.filter(F.arrays_zip(ordered.alias("own"), after.alias("next")), lambda z: ~F.coalesce(z["own"]["k"] == z["next"]["k"], F.lit(False)))
+    return F.map_from_entries(F.transform(last, lambda z: F.struct(z["own"]["k"], z["own"]["v"])))
 
 
 def master_folder(masterdir: Column, folder: Column) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodemill import shared
+
 _TEXTS = "ARRAY<STRING>"
 RECORD = (
     "schema_version STRING, identity STRUCT<canonical_name: STRING, canonical_id: STRING, version: STRING, ecosystem: STRING, ecosystem_id: STRING>, "
@@ -32,13 +33,13 @@ UNKNOWN, LEFT_OUT = "unknown", None
 
 
 def snapshot(spark: SparkSession, roots: list[str], require_identity: bool = True, reports: bool = False, nameless: str | None = UNKNOWN, names: tuple[str, ...] = ("identity.canonical_name", "name", "pname")) -> DataFrame:
-    """Records of snapshots in the RECORD schema, with _path, _name (the first of `names` that is given), _ord (place by path) and the document itself as v."""
+    """Records of snapshots in the RECORD schema, with _path, _name (the first of `names` that is given), _ord (by which merges order them: the path) and the document itself as v."""
     rows = documents(spark, roots, reports=reports)
     if require_identity:
         rows = rows.where(F.try_variant_get("v", "$.identity", "variant").isNotNull())
     get = lambda p: F.nullif(F.try_variant_get("v", f"$.{p}", "string"), F.lit(""))
     name = F.coalesce(*map(get, names), F.lit(nameless).cast("string"))
-    found = rows.select("_path", name.alias("_name"), "v", F.from_json(F.to_json("v"), RECORD).alias("r")).select("_path", "_name", "v", "r.*")
+    found = rows.select("_path", name.alias("_name"), "v", F.from_json(F.to_json("v"), RECORD).alias("r")).select("_path", "_name", F.col("_path").alias("_ord"), "v", "r.*")
     return found if nameless is not None else found.where(F.col("_name").isNotNull())
 
 
@@ -128,10 +129,8 @@ def stored(artifacts: DataFrame, folder: str) -> DataFrame:
     spark = artifacts.sparkSession
     keyed = artifacts.select("name", F.sha2("content", 256).alias("digest"), "content")
     new = keyed.groupBy("digest").agg(F.first("content").alias("content"))
-    try:
+    if any(not n.startswith(("_", ".")) for n in shared.names(spark, folder)):
         new = new.join(spark.read.parquet(folder).select("digest"), "digest", "left_anti")
-    except AnalysisException:  # nothing is stored yet
-        pass
     new.write.mode("append").parquet(folder)
     return keyed.select("name", F.concat(F.lit(folder.rstrip("/") + "#"), F.col("digest")).alias("url"))
 
