@@ -82,16 +82,27 @@ def with_target(rows: DataFrame, targets: DataFrame, order: str = "ord") -> Data
     return rows.join(targets.groupBy("driver").agg(F.min_by("target", order).alias("target")), "driver", "left")
 
 
-#: Rows of definitions of waves that may be sent to every task.
+#: Definitions of waves by pattern or language alone that may be sent to every task.
 MOST_WAVES = 10_000
 
 
 def in_waves(specs: DataFrame, waves: DataFrame, matches: Column) -> DataFrame:
-    """(wave, spec) wherever a wave's condition holds. waves: a table of definitions that a person wrote; its size is checked, then it is broadcast."""
-    n = waves.limit(MOST_WAVES + 1).count()
+    """(wave, spec) wherever a wave's condition holds.
+
+    Where waves(names, wave_backend) say names or else a backend, specs(spec, backend) meet them by these, whatever their number;
+    only definitions with neither are sent to every task, and no more than MOST_WAVES of them."""
+    says = lambda c: F.col(c).isNotNull() if c in waves.columns else F.lit(False)
+    rest = waves.where(~says("names") & ~says("wave_backend"))
+    n = rest.limit(MOST_WAVES + 1).count()
     if n > MOST_WAVES:
-        raise ValueError(f"more than {MOST_WAVES} waves")
-    return specs.join(F.broadcast(waves), matches)
+        raise ValueError(f"more than {MOST_WAVES} waves that name neither specifications nor a backend")
+    out = specs.join(F.broadcast(rest), matches)
+    if "names" in waves.columns:
+        named = waves.where(says("names")).withColumn("_spec", F.explode(F.array_distinct("names")))
+        out = out.unionByName(specs.join(named, (F.col("spec") == F.col("_spec")) & matches).drop("_spec"))
+    if "wave_backend" in waves.columns:
+        out = out.unionByName(specs.join(waves.where(~says("names") & says("wave_backend")), (F.col("backend") == F.col("wave_backend")) & matches))
+    return out
 
 
 def wave_match(names: str = "names", backend: str = "wave_backend", language: str = "wave_lang", exclude: str = "exclude", pattern: str = "pattern") -> Column:

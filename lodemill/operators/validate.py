@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -301,3 +301,37 @@ def banned_imports(imports: DataFrame, allowed: DataFrame, banned: DataFrame) ->
     bad = named.join(banned.select("root").distinct(), "root", "left_semi").withColumn("reason", F.lit("banned"))
     rest = named.join(banned.select("root").distinct(), "root", "left_anti").join(allowed.select("root").distinct(), "root", "left_anti").withColumn("reason", F.lit("not verified"))
     return bad.unionByName(rest).select("package", "root", "reason")
+
+
+#: Modules in which the standard library's own implementation of another one lies.
+BACKDOORS = {
+    "ast": ("_ast",), "bisect": ("_bisect",), "bz2": ("_bz2",), "collections": ("_collections", "_collections_abc"), "csv": ("_csv",), "ctypes": ("_ctypes",), "decimal": ("_decimal",), "elementtree": ("_elementtree",),
+    "hashlib": ("_hashlib", "_blake2", "_md5", "_sha1", "_sha2", "_sha3"), "heapq": ("_heapq",), "io": ("_io",), "lzma": ("_lzma",), "pickle": ("_pickle",), "socket": ("_socket",), "sqlite3": ("_sqlite3",), "ssl": ("_ssl",), "struct": ("_struct",), "zstd": ("_zstd",),
+}
+
+
+def backdoors(spark: SparkSession) -> DataFrame:
+    """blocks, root: the table of BACKDOORS."""
+    return spark.createDataFrame([(k, r) for k, roots in BACKDOORS.items() for r in roots], "blocks string, root string")
+
+
+def import_policy(imports: DataFrame, blocked: DataFrame, hidden: DataFrame, standard: DataFrame, verified: DataFrame, own: str) -> DataFrame:
+    """package, root, reason of imports(package, root) that a rewritten package may not make.
+
+    blocked(package, blocks): what the package stands in for, and may not import (blocked); hidden(blocks, root): nor may it what that
+    is made of (backdoor). Roots that begin with `own` must be among verified(root) (not verified), all others among standard(root)
+    (not standard). The first that holds is the reason; __future__ is always allowed. All by equi-joins."""
+    root = F.substring_index("blocks", ".", 1)
+    named = imports.select("package", "root").distinct().where("root <> '__future__'").join(blocked.select("package", "blocks").distinct(), "package", "left")
+    doors = hidden.select(F.col("blocks").alias("_door"), "root").distinct().withColumn("_hidden", F.lit(True))
+    by = lambda c, flag: named.join(doors, (F.col(c) == F.col("_door")) & (named["root"] == doors["root"])).select("package", named["root"], F.lit(True).alias(flag)).distinct()
+    named = named.withColumn("_top", root)
+    whole, top = by("blocks", "_whole"), by("_top", "_part")
+    flag = lambda df, n: df.select("root").distinct().withColumn(n, F.lit(True))
+    all_of = named.join(whole, ["package", "root"], "left").join(top, ["package", "root"], "left").join(flag(standard, "_standard"), "root", "left").join(flag(verified, "_verified"), "root", "left")
+    mine = F.startswith("root", F.lit(own))
+    reason = (
+        F.when((F.col("root") == F.col("blocks")) | (F.col("root") == F.col("_top")), "blocked").when(F.col("_whole") | F.col("_part"), "backdoor")
+        .when(mine & F.col("_verified").isNull(), "not verified").when(~mine & F.col("_standard").isNull(), "not standard")
+    )
+    return all_of.select("package", "root", reason.alias("reason")).where("reason IS NOT NULL").distinct()
