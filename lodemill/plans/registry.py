@@ -2,35 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodemill.functions import packages, scalars, sequences, texts
 from lodemill.operators import audit, closure, compare, coverage, evaluate, fill, invariants, merge, overlap, rank, scan, validate
+from lodemill.plans.base import ORACLES, QUERIES, query, table
 from lodemill.sources import recipes, seeds
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Registers a query of (spark, sf_dir)."""
-
-    def put(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return put
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def orders_as_records(spark: SparkSession, sf_dir: str, snapshot: str = "true") -> DataFrame:
     """Orders (all, or those of a snapshot's condition) in the roles of package records: name, ecosystem, version, ord."""
     o = table(spark, sf_dir, "orders").where(snapshot)
@@ -913,3 +892,6 @@ def digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = evaluate.digest(algorithm, F.array_join(parts, "").cast("binary"))
     wanted = F.when(F.col("c_custkey") % 5 == 0, F.reverse(found)).otherwise(found)
     return table(spark, sf_dir, "customer").select("c_custkey", found.alias("digest"), evaluate.same_in_parts(algorithm, F.transform(parts, lambda p: p.cast("binary")), wanted).alias("passed"))
+
+
+from lodemill.plans import source_queries  # noqa: E402, F401  it registers its own

@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodemill.functions import packages, scalars, sequences, texts
-from lodemill.operators import audit, closure, evaluate, invariants, merge, rank, scan, validate
+from lodemill.operators import audit, closure, evaluate, invariants, merge, rank, scan, sql_cases, validate
 from lodemill.plans import registry
 from lodemill.sources import files, generators, imports, recipes, records, seeds, specs
 from lodemill.streaming import incremental
@@ -872,3 +872,20 @@ def test_cycles_equal_definition(spark):
         got = closure.cycles(spark.createDataFrame([*edges, (None, 1), (1, None)], "src long, dst long")).collect()
         assert {x.node: (x.component, x.place) for x in got} == {n: (c, place.get(n)) for n, c in component.items()}
     assert closure.cycles(spark.createDataFrame([(1, 2)], "src long, dst long")).count() == 0 and closure.cycles(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_sql_cases(spark):
+    t = {"t": ("id int, name string, price double", [(1, "pear", 2.5), (2, "fig", None), (3, "fig", 0.5)])}
+    two = t | {"u": ("id int, n int", [(1, 4), (1, 5), (9, 6)])}
+    held = [
+        ("rows", "SELECT id, name FROM t", [(1, "pear"), (3, "fig"), (2, "fig")], t), ("null", "SELECT price FROM t WHERE id = 2", [(None,)], t), ("real", "SELECT price FROM t WHERE price > 1", [(2.5,)], t), ("count", "SELECT count(*) FROM t", [(3,)], t),
+        ("filter", "SELECT name FROM t WHERE id >= 2 AND name = 'fig'", [("fig",), ("fig",)], t), ("empty", "SELECT id FROM e", [], {"e": ("id int", [])}), ("group", "SELECT name, count(*) FROM t GROUP BY name", [("fig", 2), ("pear", 1)], t), ("sum", "SELECT sum(price) FROM t", [(3.0,)], t),
+        ("join", "SELECT t.name, u.n FROM t JOIN u USING (id)", [("pear", 5), ("pear", 4)], two), ("left", "SELECT t.id, u.n FROM t LEFT JOIN u USING (id) WHERE t.id > 1", [(2, None), (3, None)], two), ("distinct", "SELECT DISTINCT name FROM t", [("pear",), ("fig",)], t), ("nested", "SELECT name FROM t WHERE id = (SELECT max(id) FROM t)", [("fig",)], t),
+        ("like", "SELECT id FROM t WHERE name LIKE 'p%'", [(1,)], t), ("case", "SELECT CASE WHEN price IS NULL THEN 'none' ELSE 'some' END FROM t WHERE id < 3", [("some",), ("none",)], t),
+    ]
+    cases = [sql_cases.Case(i, q, e, tables) for i, q, e, tables in held]
+    bad = [sql_cases.Case("lacks", "SELECT id FROM t", [(1,)], t), sql_cases.Case("twice", "SELECT name FROM t WHERE name = 'fig'", [("fig",)], t), sql_cases.Case("broken", "SELEC", [], t), sql_cases.Case("no table", "SELECT * FROM u", [], t), sql_cases.Case("order", "SELECT id FROM t ORDER BY id DESC", [(1,), (2,), (3,)], t, True)]
+    cases += [sql_cases.Case("down", "SELECT id FROM t ORDER BY id DESC", [(3,), (2,), (1,)], t, True)]
+    got = {r.id: r.passed for r in sql_cases.sql_holds(spark, cases + bad).collect()}
+    assert got == {c.id: True for c in cases} | {c.id: False for c in bad} and len(cases) == 15
+    assert not spark.catalog.tableExists("t")
