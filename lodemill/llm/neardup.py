@@ -177,14 +177,22 @@ def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed, type=pa.list_(pa.int64())), sizes], names=["node", "fine", "n"])
 
 
+def beside_pairs(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """pairs(a, b), a written table, with what a(a, ...) and b(b, ...) have of their nodes; a node in very many pairs, as the star of a large
+    group is, is dealt to several tasks."""
+    total = pairs.count()
+    hot = {x: hot_keys(pairs.groupBy(x).agg(F.count("*").alias("n")), x, total) for x in "ab"}
+    return spread_join(spread_join(pairs, a, "a", hot["a"], "inner"), b, "b", hot["b"], "inner")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
+    """The pairs (a, b), a written table, whose full sets reach the threshold."""
     a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
     b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
     both = F.size(F.array_intersect("set_a", "set_b"))
     of = F.size("set_a") + F.size("set_b") - both
     percent = round(100 * threshold)
-    return pairs.join(a, "a").join(b, "b").where(both * 100 >= of * percent).select("a", "b")
+    return beside_pairs(pairs, a, b).where(both * 100 >= of * percent).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -337,8 +345,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     bits_a, bits_b = (bits.select(F.col("node").alias(x), F.col("bits").alias(f"bits_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
     likely = (estimate("bits_a", "bits_b") >= threshold - MARGIN) & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
     # first round: each node with the stars of its buckets
-    met = members.where("node != star").select(F.col("node").alias("a"), F.col("star").alias("b")).distinct()
-    first = written(met.join(bits_a, "a").join(bits_b, "b").where(likely).select("a", "b"), "pairs")
+    met = written(members.where("node != star").select(F.col("node").alias("a"), F.col("star").alias("b")).distinct(), "met")
+    first = written(beside_pairs(met, bits_a, bits_b).where(likely).select("a", "b"), "pairs")
     touched = members.select("node").distinct().join(named.select("node", "doc_id"), "node")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
     sets = written(texts.join(touched, "doc_id").select("node", "text", "doc_id").mapInArrow(_sets, "node long, shingles array<long>"), "sets")
