@@ -269,6 +269,33 @@ def invariant_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", generators.invariant_line(text("e", as_text("event_id")), F.col("event_type"), expected, 10).alias("line"))
 
 
+@query("audit_report", """
+WITH r AS (SELECT s_suppkey AS k, 's' || s_suppkey AS name, CASE s_suppkey % 4 WHEN 0 THEN 'success' WHEN 1 THEN 'partial' WHEN 2 THEN 'odd' ELSE 'infeasible' END AS status, s_suppkey % 7 AS p, s_suppkey % 3 AS f FROM supplier),
+a AS (SELECT count(*) AS n, count(*) FILTER (status = 'success') AS ok, count(*) FILTER (status = 'partial') AS part, count(*) FILTER (status = 'odd') AS bad, count(*) FILTER (status = 'infeasible') AS no, sum(p + f)::BIGINT AS t, sum(p)::BIGINT AS p, sum(f)::BIGINT AS f FROM r),
+h AS (SELECT unnest(range(24)) AS n, unnest([repeat('=', 70), 'AUDIT', 'Generated: today', 'Model:     m' || (SELECT min(name) FILTER (k % 2 = 1) FROM r), repeat('=', 70), '', 'SUMMARY', repeat('-', 40), '  Total specs:          ' || n, '  Succeeded:            ' || ok, '  Partial:              ' || part,
+  '  Failed:               ' || bad, '  Build failed:         0', '  Infeasible:           ' || no, '  Total invariants:     ' || t, '  Passing invariants:   ' || p, '  Failing invariants:   ' || f, '  Synthesizability:     ' || printf('%.1f%%', round(ok / n, 4) * 100), '', 'PER-SPEC RESULTS', repeat('-', 70),
+  'Spec                           Lang         Status          Pass  Fail Iters', repeat('-', 70), '']) AS value FROM a)
+SELECT 0 AS section, '' AS key, n::INT AS at, value FROM h WHERE n < 23
+UNION ALL SELECT 1, name, 0, rpad(name, 30, ' ') || ' python       ' || rpad(status, 14, ' ') || ' ' || lpad(p::VARCHAR, 5, ' ') || ' ' || lpad(f::VARCHAR, 5, ' ') || '     1' FROM r
+UNION ALL SELECT 2, '', 0, '' UNION ALL SELECT 2, '', 1, 'FAILED INVARIANT DETAILS' UNION ALL SELECT 2, '', 2, repeat('-', 70) UNION ALL SELECT 4, '', 0, ''
+UNION ALL SELECT 3, name, 0, '  ' || name || ':' FROM r WHERE f > 0 UNION ALL SELECT 3, name, i + 1, '    - i' || i || ': ' || repeat('x', 80) FROM r, unnest(range(3)) AS g(i) WHERE i < f""")
+def audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of an audit of suppliers as results, written as text and read again by their places."""
+    k = F.col("s_suppkey")
+    ids = F.filter(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda i: i < k % 3)
+    failed = F.map_from_entries(F.transform(ids, lambda i: F.struct(text("i", i.cast("string")), F.lit("x" * 90))))
+    results = table(spark, sf_dir, "supplier").select(
+        text("s", as_text(k)).alias("canonical_name"), F.lit("python").alias("backend_lang"), F.get(F.array(*map(F.lit, ("success", "partial", "odd", "infeasible"))), (k % 4).cast("int")).alias("status"), F.when(k % 2 == 1, text("ms", as_text(k))).otherwise("").alias("model"),
+        F.lit(1).alias("iterations"), (k % 7).alias("pass_count"), (k % 3).alias("fail_count"), (k % 7 + k % 3).alias("total_invariants"), failed.alias("failed"),
+    )
+    lines = shared.written(generators.audit_lines(results, "AUDIT", "today"), "lines")
+    path = shared.new_path(spark, "report")
+    generators.text_file(lines, path, ["section", "key", "at"])
+    if spark.read.text(path).count() != lines.count():
+        raise AssertionError("lines are lost")
+    return lines
+
+
 @query("build_logs", """
 SELECT count(DISTINCT o_custkey) AS specs, count(*) FILTER (o_orderstatus = 'F') AS ok, count(*) FILTER (o_orderstatus <> 'F') AS errors, min('c' || o_custkey) FILTER (o_orderstatus <> 'F') AS first_failed FROM orders""")
 def build_logs(spark: SparkSession, sf_dir: str) -> DataFrame:

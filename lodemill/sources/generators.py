@@ -194,3 +194,51 @@ def markdown(report: DataFrame, order: list[str] | None = None) -> DataFrame:
     body = report.orderBy(*(order or report.columns)).select(_line("| ", F.concat_ws(" | ", *cells), " |").alias("value"))
     head = ["| " + " | ".join(report.columns) + " |", "|" + "---|" * len(report.columns)]
     return report.sparkSession.createDataFrame([(h,) for h in head], "value string").coalesce(1).union(body)
+
+
+def _padded(x: Column, width: int, right: bool = False) -> Column:
+    """A text filled with blanks to a width, at its left for `right`; longer ones stay whole."""
+    return F.when(F.length(x) >= width, x).otherwise(F.lpad(x, width, " ") if right else F.rpad(x, width, " "))
+
+
+#: What the summary of an audit names, and the status that it counts (none: a sum).
+AUDIT_COUNTS = (
+    ("Total specs:", None, None), ("Succeeded:", "success", None), ("Partial:", "partial", None), ("Failed:", "failed", None), ("Build failed:", "build_failed", None), ("Infeasible:", "infeasible", None),
+    ("Total invariants:", None, "total_invariants"), ("Passing invariants:", None, "pass_count"), ("Failing invariants:", None, "fail_count"),
+)
+
+
+def audit_lines(results: DataFrame, title: str, generated: str) -> DataFrame:
+    """section, key, at, value: the lines of an audit as text, in the order of the first three; text_file() writes them.
+
+    results(canonical_name, backend_lang, status, model, iterations, pass_count, fail_count, total_invariants, failed: a map of an
+    invariant's id to the reason, whose first 80 characters stay): a head, sums, a line a result and, if any, what has failed, both by name."""
+    known = [status for _, status, _ in AUDIT_COUNTS if status]
+    status = F.when(F.col("status").isin(*known), F.col("status")).otherwise("failed")
+    value = lambda of, total: F.count_if(status == of) if of else F.coalesce(F.sum(total), F.lit(0)) if total else F.count("*")
+    sums = [_line("  ", F.rpad(F.lit(label), 22, " "), value(of, total).cast("string")) for label, of, total in AUDIT_COUNTS]
+    rate = F.round(F.coalesce(F.try_divide(F.count_if(F.col("status") == "success"), F.count("*")), F.lit(0.0)), 4)
+    model = F.coalesce(F.min_by("model", F.when(F.col("model") != "", F.col("canonical_name"))), F.lit("unknown"))
+    long, rule = "=" * 70, "-" * 70
+    columns = _line(*[_padded(F.lit(n), w) if i < 3 else _padded(F.lit(n), w, True) if i == 3 else _line(" ", _padded(F.lit(n), w, True)) for i, (n, w) in enumerate((("Spec", 31), ("Lang", 13), ("Status", 15), ("Pass", 5), ("Fail", 5), ("Iters", 5)))])
+    head = F.array(
+        F.lit(long), F.lit(title), _line("Generated: ", generated), _line("Model:     ", model), F.lit(long), F.lit(""), F.lit("SUMMARY"), F.lit("-" * 40), *sums,
+        _line("  ", F.rpad(F.lit("Synthesizability:"), 22, " "), F.format_string("%.1f%%", rate * 100)), F.lit(""), F.lit("PER-SPEC RESULTS"), F.lit(rule), columns, F.lit(rule),
+    )
+    at = lambda section, key: [F.lit(section).alias("section"), key.alias("key")]
+    first = results.agg(head.alias("lines")).select(*at(0, F.lit("")), F.posexplode("lines").alias("at", "value"))
+    number = lambda c: _line(" ", _padded(F.col(c).cast("string"), 5, True))
+    one = _line(_padded(F.col("canonical_name"), 30), " ", _padded(F.coalesce("backend_lang", F.lit("")), 12), " ", _padded(F.col("status"), 14), *map(number, ("pass_count", "fail_count", "iterations")))
+    each = results.select(*at(1, F.col("canonical_name")), F.lit(0).alias("at"), one.alias("value"))
+    entries = F.transform(F.array_sort(F.map_entries("failed")), lambda e: _line("    - ", e["key"], ": ", F.substring(F.coalesce(e["value"], F.lit("")), 1, 80)))
+    some = results.where(F.size("failed") > 0)
+    details = some.select(*at(3, F.col("canonical_name")), F.posexplode(F.concat(F.array(_line("  ", F.col("canonical_name"), ":")), entries)).alias("at", "value"))
+    bound = lambda section, at, value: F.struct(F.lit(section).alias("section"), F.lit(at).alias("at"), F.lit(value).alias("value"))
+    bounds = some.limit(1).select(F.explode(F.array(bound(2, 1, "FAILED INVARIANT DETAILS"), bound(2, 2, rule), bound(4, 0, ""))).alias("x"))
+    blank = results.sparkSession.createDataFrame([(2, "", 0, "")], "section int, key string, at int, value string")
+    return first.unionByName(each).unionByName(blank).unionByName(details).unionByName(bounds.select("x.section", F.lit("").alias("key"), "x.at", "x.value"))
+
+
+def text_file(lines: DataFrame, path: str, order: list[str]) -> None:
+    """value of each row as a line of text files whose names have the order of the rows; a report of any length is as many files as it asks for."""
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.mode("overwrite").text(path)
