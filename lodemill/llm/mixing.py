@@ -120,12 +120,12 @@ def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: in
     sizes = measured(docs)
     key = lambda: F.struct(F.col("doc_id"), F.col("source"), F.col("size")).alias("key")
     chosen = written(sample(sizes, targets(sizes, weights, max_epochs), seed).where(F.col("size") > 0).select(key(), "copies", "whole", "extra"), "chosen")
-    hot = hot_keys(chosen.select("key", F.col("copies").alias("n")), "key", chosen.agg(F.sum("copies")).first()[0] or 0)
+    many = chosen.where("copies > 1")
+    hot = hot_keys(many.select("key", F.col("copies").alias("n")), "key", chosen.agg(F.sum("copies")).first()[0] or 0)
     sized = beside(docs, doc_id=F.col("doc_id"), source=F.col("source").cast("string"), size=n_words("text")).select("row", key())
     # what has copies goes a way of its own, so that texts are dealt out once where nothing has
     cold = sized.join(F.broadcast(hot.select("key")), "key", "left_anti")
     numbered = cold.join(chosen.where("copies = 1").hint("merge"), "key").select("row", "whole", "extra", F.lit(1).cast("long").alias("copy"))
-    many = chosen.where("copies > 1")
     if not many.isEmpty():
         several = spread_join(sized, many, "key", hot, "inner").select("row", "key", "whole", "extra", F.xxhash64(text_of(F.col("row.text"))).alias("text_hash"))
         numbered = numbered.unionByName(scanned(several, ["key"], ["text_hash"], at="copy").select("row", "whole", "extra", "copy"))
