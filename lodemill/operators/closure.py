@@ -67,12 +67,18 @@ def distances(edges: DataFrame, targets: DataFrame, depth: int = 10) -> DataFram
     return spark.read.schema(kinds).parquet(folder).select("node", "steps")
 
 
-def tainted(edges: DataFrame, roots: DataFrame, copyleft: DataFrame, depth: int = 10) -> DataFrame:
+def tainted(edges: DataFrame, roots: DataFrame, copyleft: DataFrame, depth: int = 10, counted: bool = False) -> DataFrame:
     """root, is_tainted, steps: whether a root reaches a node of copyleft(node) in 1 to `depth` steps, and how near the nearest is (null: none).
 
-    The nearest one is reached without passing another, so a search from all of them at once, backwards, needs no pruning."""
+    The nearest one is reached without passing another, so a search from all of them at once, backwards, needs no pruning.
+    counted: also n_reached, how many nodes a root reaches in as many steps without passing one of copyleft; this is a search
+    from every root, with a row for each pair."""
     near = distances(edges, copyleft, depth).withColumnRenamed("node", "root")
-    return roots.select("root").distinct().join(near, "root", "left").select("root", F.col("steps").isNotNull().alias("is_tainted"), "steps")
+    found = roots.select("root").distinct().join(near, "root", "left").select("root", F.col("steps").isNotNull().alias("is_tainted"), "steps")
+    if not counted:
+        return found
+    numbers = reach(edges, roots, depth, copyleft).groupBy("root").agg(F.count("*").alias("n_reached"))
+    return found.join(numbers, "root", "left").withColumn("n_reached", F.coalesce("n_reached", F.lit(0).cast("long")))
 
 
 def _chained(single: DataFrame) -> DataFrame:

@@ -248,12 +248,12 @@ def closure_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("closure_taint", f"""
 WITH RECURSIVE e AS (SELECT DISTINCT * FROM ({TURNS_SQL})), r AS (SELECT src AS root, dst AS node, 1 AS depth FROM e UNION SELECT root, dst, depth + 1 FROM r JOIN e ON src = node WHERE depth < 10 AND node % 7 <> 3)
-SELECT root, bool_or(node % 7 = 3) AS is_tainted, coalesce(min(depth) FILTER (node % 7 = 3), 0) AS steps FROM r GROUP BY root""")
+SELECT root, bool_or(node % 7 = 3) AS is_tainted, coalesce(min(depth) FILTER (node % 7 = 3), 0) AS steps, count(DISTINCT node) AS n_reached FROM r GROUP BY root""")
 def closure_taint(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.col("conv_id") * 1000 + F.col("turn")
     edges = table(spark, sf_dir, "conversations").select(at.alias("src"), (at + 1).alias("dst"))
     bad = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).where("node % 7 = 3").distinct()
-    return closure.tainted(edges, edges.select(F.col("src").alias("root")), bad).withColumn("steps", F.coalesce("steps", F.lit(0)))
+    return closure.tainted(edges, edges.select(F.col("src").alias("root")), bad, counted=True).withColumn("steps", F.coalesce("steps", F.lit(0)))
 
 
 #: Turns lead to the next one; in one conversation of three the last leads back to the first, in another turn 3 to turn 1 and turn 5 to turn 2, and every fifth first turn to itself.

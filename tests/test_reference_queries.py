@@ -797,6 +797,13 @@ def test_taint_of_a_star_in_rows_of_its_nodes(spark):
     assert {r.root: r.steps for r in got.collect()} == {1: 2, 2: 1, 3: 1, 4: None, 5: 1, None: None}
 
 
+def test_taint_counts_what_is_reached(spark):
+    edges = spark.createDataFrame([(1, 2), (1, 3), (2, 4), (3, 4), (4, 5), (6, 5)], "src long, dst long")
+    roots = spark.createDataFrame([(1,), (4,), (5,)], "root long")
+    got = closure.tainted(edges, roots, spark.createDataFrame([(4,)], "node long"), counted=True)
+    assert {r.root: (r.is_tainted, r.steps, r.n_reached) for r in got.collect()} == {1: (True, 2, 3), 4: (False, None, 1), 5: (False, None, 0)}
+
+
 def test_scans_split_one_key(spark):
     """All rows in one key, many of them equal: places, sums, neighbours and runs as by a window, in blocks of a part of the rows."""
     rows = spark.range(20_000, numPartitions=4).select(F.lit("k").alias("k"), (F.col("id") * 7919 % 5000).alias("o"), (F.col("id") % 3).alias("v")).withColumn("v", F.when(F.col("v") > 0, F.col("v")))
