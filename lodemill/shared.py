@@ -44,6 +44,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Tasks a core that spread() deals rows to.
+SPREAD = 4
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt evenly to all cores, for work that costs much by the row: a table of few row groups is read by as few tasks, whatever the cluster."""
+    return df.repartition(SPREAD * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """written(), for the result of a scratch() block: it outlasts the block and goes with the one around it, if any."""
     inner = _scratch.pop() if _scratch else None

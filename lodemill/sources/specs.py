@@ -16,6 +16,7 @@ except ImportError:  # only reading YAML needs it
     yaml = None
 
 from lodemill.operators import invariants
+from lodemill.shared import spread, written
 
 #: Tags of the sources, and the types they stand for in documents.
 TAGS = {"!b64": "bytes_b64", "!hex": "bytes_hex", "!ascii": "bytes_ascii", "!tuple": "tuple"}
@@ -139,10 +140,11 @@ def parsed(texts: DataFrame) -> DataFrame:
     """_path, spec, doc (JSON text, keys in the source's order), problem of texts(_path, value).
 
     Tagged values are {"type", "value"}. problem says why a text is no specification (no YAML, no mapping, no
-    name under spec; null texts are no mapping); then spec and doc are null.
+    name under spec; null texts are no mapping); then spec and doc are null. Texts are dealt to all cores and read once, into
+    the shared folder: what is made of documents reads them up to seven times.
     """
-    read = texts.select("_path", F.pandas_udf(_parse, _PARSED)(F.col("value").cast("string")).alias("p"))
-    return read.select("_path", F.get_json_object("p.doc", "$.spec").alias("spec"), F.col("p.doc").alias("doc"), F.col("p.problem").alias("problem"))
+    read = spread(texts.select("_path", F.col("value").cast("string").alias("value"))).select("_path", F.pandas_udf(_parse, _PARSED)("value").alias("p"))
+    return written(read.select("_path", F.get_json_object("p.doc", "$.spec").alias("spec"), F.col("p.doc").alias("doc"), F.col("p.problem").alias("problem")), "specs")
 
 
 _BLOCKS = "array<struct<what:string,label:string,body:string,head:map<string,string>,call:string,shared:map<string,string>,columns:array<string>,rows:array<struct<cells:array<string>,overrides:map<string,string>>>>>"

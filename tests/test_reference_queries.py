@@ -804,6 +804,13 @@ def test_taint_counts_what_is_reached(spark):
     assert {r.root: (r.is_tainted, r.steps, r.n_reached) for r in got.collect()} == {1: (True, 2, 3), 4: (False, None, 1), 5: (False, None, 0)}
 
 
+def test_specifications_are_read_once_by_all_cores(spark):
+    one = spark.createDataFrame([(f"f{i}", f"spec: s{i}\nconstants: {{g: {{A: {i}}}}}\n") for i in range(40)], "_path string, value string").coalesce(1)
+    docs = specs.parsed(one)
+    assert "Python" not in docs._jdf.queryExecution().executedPlan().toString() and len(docs.inputFiles()) > 1
+    assert {(r.spec, r.value) for r in specs.constants(docs).collect()} == {(f"s{i}", str(i)) for i in range(40)}
+
+
 def test_scans_split_one_key(spark):
     """All rows in one key, many of them equal: places, sums, neighbours and runs as by a window, in blocks of a part of the rows."""
     rows = spark.range(20_000, numPartitions=4).select(F.lit("k").alias("k"), (F.col("id") * 7919 % 5000).alias("o"), (F.col("id") % 3).alias("v")).withColumn("v", F.when(F.col("v") > 0, F.col("v")))
