@@ -81,25 +81,58 @@ def tainted(edges: DataFrame, roots: DataFrame, copyleft: DataFrame, depth: int
     return found.join(numbers, "root", "left").withColumn("n_reached", F.coalesce("n_reached", F.lit(0).cast("long")))
 
 
+#: Rounds of nodes that are ready before layers() turns to chosen dependencies.
+READY_ROUNDS = 12
+
+
 def _chained(single: DataFrame) -> DataFrame:
-    """node, top, steps: of nodes with one dependency (node, up), the first node down their chain that has none or several,
-    by doubling; null where the chain runs in a circle."""
-    at = written(single.select("node", F.col("up").alias("top"), F.lit(1).cast("long").alias("steps"), F.lit(True).alias("moved")), "chains")
-    for _ in range(single.count().bit_length() + 1):
-        above = at.select(F.col("node").alias("top"), F.col("top").alias("higher"), F.col("steps").alias("more"))
-        further = F.col("higher").isNotNull()
-        at = written(at.join(above, "top", "left").select("node", F.coalesce("higher", "top").alias("top"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), further.alias("moved")), "chains")
+    """node, top, steps: of nodes with one dependency (node, up, and how many steps it stands for, or 1), the first node down
+    their chain that is none of them, by doubling; null where the chain runs in a circle or to null."""
+    own = F.col("steps") if "steps" in single.columns else F.lit(1).cast("long").alias("steps")
+    at = written(single.select("node", F.col("up").alias("top"), own, F.lit(True).alias("moved")), "chains")
+    for _ in range(at.count().bit_length() + 1):
+        above = at.select(F.col("node").alias("top"), F.col("top").alias("higher"), F.col("steps").alias("more"), F.lit(True).alias("met"))
+        further = F.col("met").isNotNull()
+        at = written(at.join(above, "top", "left").select("node", F.when(further, F.col("higher")).otherwise(F.col("top")).alias("top"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), further.alias("moved")), "chains")
         if at.where("moved").isEmpty():
             break
     return at.select("node", F.when(~F.col("moved"), F.col("top")).alias("top"), "steps")
 
 
+def _longest(edges: DataFrame, base: DataFrame) -> DataFrame:
+    """node, layer of base(node, layer: what it has in any case): the greatest sum of steps along edges(src, dst, steps) to a node
+    of base plus that one's layer; null on or behind a circle or a null dst.
+
+    Every node follows one dependency that it has chosen; all chains of choices are added up by doubling, then each node
+    chooses the dependency that came out highest, until none is better. Sums only grow, and after k choices those along at
+    most k edges are right, so there are never more choices than edges on a path, mostly a few however long paths are."""
+    value = base.select("node", "layer", F.lit(False).alias("endless"))
+    choice = base.select("node", F.lit(None).cast(edges.schema["dst"].dataType).alias("up"), F.lit(None).cast("long").alias("steps"))
+    while True:
+        there = value.select(F.col("node").alias("dst"), F.col("layer").alias("below"), "endless")
+        met = edges.join(there, "dst", "left").select("src", "dst", "steps", (F.col("below") + F.col("steps")).alias("sum"), F.coalesce("endless", F.lit(True)).alias("endless"))
+        best = met.groupBy(F.col("src").alias("node")).agg(F.max_by(F.struct("dst", "steps"), F.struct(F.coalesce("sum", F.lit(-1)), "dst")).alias("to"), F.max("sum").alias("sum"), F.bool_or("endless").alias("lost"))
+        state = value.join(choice, "node").join(best, "node", "left")
+        lost = F.col("endless") | F.coalesce("lost", F.lit(False))
+        better = ~lost & F.coalesce(F.col("sum") > F.col("layer"), F.lit(False))
+        state = written(state.select("node", lost.alias("endless"), (better | (lost & ~F.col("endless"))).alias("changed"), F.when(better, F.col("to.dst")).otherwise(F.col("up")).alias("up"), F.when(better, F.col("to.steps")).otherwise(F.col("steps")).alias("steps")), "choices")
+        if state.where("changed").isEmpty():
+            return value.select("node", F.when(~F.col("endless"), F.col("layer")).alias("layer"))
+        choice = state.select("node", "up", "steps")
+        # an endless node ends a chain without a layer
+        summed = _chained(state.where("NOT endless AND up IS NOT NULL").select("node", "up", "steps"))
+        stops = state.where("endless OR up IS NULL").join(base, "node").select(F.col("node").alias("top"), F.when(~F.col("endless"), F.col("layer")).alias("layer"))
+        run = summed.join(stops, "top", "left").select("node", (F.col("layer") + F.col("steps")).alias("layer"))
+        value = written(run.unionByName(stops.select(F.col("top").alias("node"), "layer")).select("node", "layer", F.col("layer").isNull().alias("endless")), "sums")
+
+
 def layers(edges: DataFrame, most: int | None = None) -> DataFrame:
     """node, layer of edges(src depends on dst): 0 without dependencies, else one more than the highest of them; null on or behind a cycle.
 
     Chains of nodes with one dependency are cut short by doubling, so the rounds that follow are as many as nodes with
     several dependencies lie on one path. A round writes its nodes beside the earlier rounds' and, of what still waits,
-    how many dependencies are open. Runs until nothing is ready; an error if `most` is given and there are more layers.
+    how many dependencies are open. Where nodes are still getting ready after READY_ROUNDS, paths are long: the rest is left
+    to _longest(), whose rounds do not grow with them. An error if `most` is given and there are more layers.
     """
     spark = edges.sparkSession
     steps = written(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct(), "steps")
@@ -117,16 +150,24 @@ def layers(edges: DataFrame, most: int | None = None) -> DataFrame:
         ready.write.parquet(f"{folder}/round={at}")
         front = spark.read.schema(kinds).parquet(f"{folder}/round={at}").select("node", "layer")
         if front.isEmpty() or (at and waiting.isEmpty()):
+            rest = waiting.select("node", F.lit(None).cast("long").alias("layer"))
             break
         met = several.join(front.select(F.col("node").alias("dst"), "layer"), "dst").groupBy(F.col("src").alias("node")).agg(F.count("*").alias("met"), F.max(F.col("layer") + F.col("steps")).alias("above"))
         left = waiting.join(met, "node", "left").select("node", (F.col("n") - F.coalesce("met", F.lit(0))).alias("n"), F.greatest("layer", "above").alias("layer"))
         left = written(left, "waiting")
         ready, waiting = left.where("n = 0").select("node", "layer"), left.where("n > 0")
-    done = spark.read.schema(kinds).parquet(folder).select("node", "layer")
+        if at == READY_ROUNDS:
+            ready.write.parquet(f"{folder}/round={at + 1}")
+            base = left.select("node", "layer")
+            among = several.join(waiting.select(F.col("node").alias("src")), "src", "left_semi").join(base.select(F.col("node").alias("dst"), F.lit(True).alias("open")), "dst", "left")
+            # what else they need is in their layer so far; a null dst leads into a circle
+            rest = _longest(written(among.where("open OR dst IS NULL").select("src", "dst", "steps"), "among"), written(base, "base"))
+            rest = rest.join(waiting.select("node"), "node", "left_semi")
+            break
+    done = spark.read.schema(kinds).parquet(folder).select("node", "layer").unionByName(rest)
     tops = done.select(F.col("node").alias("top"), "layer")
     chained = chains.join(tops, "top", "left").select("node", (F.col("layer") + F.col("steps")).alias("layer"))
-    cyclic = waiting.select("node", F.lit(None).cast("long").alias("layer"))
-    out = written(done.unionByName(chained).unionByName(cyclic), "layered")
+    out = written(done.unionByName(chained), "layered")
     if most is not None and (out.agg(F.max("layer")).first()[0] or 0) >= most:
         raise ValueError(f"more than {most} layers")
     return out

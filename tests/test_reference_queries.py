@@ -811,6 +811,23 @@ def test_specifications_are_read_once_by_all_cores(spark):
     assert {(r.spec, r.value) for r in specs.constants(docs).collect()} == {(f"s{i}", str(i)) for i in range(40)}
 
 
+def test_layers_of_long_paths_of_branches(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(closure, "READY_ROUNDS", 1)
+    r = random.Random(7)
+    edges = [e for i in range(2, 60) for e in ((i, i - 1), (i, r.randint(0, i - 2)))] + [(1, 0)]
+    edges += [e for i in range(101, 108) for e in ((i, 101 + (i - 100) % 7), (i, r.randint(0, 59)))] + [(120, 105), (120, 3), (121, 120), (122, 59), (122, 121), (123, 59), (123, 40), (130, 130), (131, 130), (131, 50), (132, 131), (132, 58)]
+    want, deps = {}, {}
+    for a, b in edges:
+        deps.setdefault(a, set()).add(b)
+        deps.setdefault(b, set())
+    for _ in deps:
+        want |= {k: 1 + max((want[d] for d in v), default=-1) for k, v in deps.items() if v <= want.keys()}
+    got = closure.layers(spark.createDataFrame(edges, "src long, dst long")).collect()
+    assert len(got) == len(deps) and {x.node: x.layer for x in got} == {k: want.get(k) for k in deps} and want[123] == 60 and 122 not in want
+
+
 def test_scans_split_one_key(spark):
     """All rows in one key, many of them equal: places, sums, neighbours and runs as by a window, in blocks of a part of the rows."""
     rows = spark.range(20_000, numPartitions=4).select(F.lit("k").alias("k"), (F.col("id") * 7919 % 5000).alias("o"), (F.col("id") % 3).alias("v")).withColumn("v", F.when(F.col("v") > 0, F.col("v")))
