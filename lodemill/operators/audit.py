@@ -90,7 +90,8 @@ def in_waves(specs: DataFrame, waves: DataFrame, matches: Column) -> DataFrame:
     """(wave, spec) wherever a wave's condition holds.
 
     Where waves(names, wave_backend) say names or else a backend, specs(spec, backend) meet them by these, whatever their number;
-    only definitions with neither are sent to every task, and no more than MOST_WAVES of them."""
+    only definitions with neither are sent to every task, and no more than MOST_WAVES of them. A name that a wave lists carries
+    itself alone as names, for the condition and in the result: the whole list beside each would grow with its square."""
     says = lambda c: F.col(c).isNotNull() if c in waves.columns else F.lit(False)
     rest = waves.where(~says("names") & ~says("wave_backend"))
     n = rest.limit(MOST_WAVES + 1).count()
@@ -98,7 +99,8 @@ def in_waves(specs: DataFrame, waves: DataFrame, matches: Column) -> DataFrame:
         raise ValueError(f"more than {MOST_WAVES} waves that name neither specifications nor a backend")
     out = specs.join(F.broadcast(rest), matches)
     if "names" in waves.columns:
-        named = waves.where(says("names")).withColumn("_spec", F.explode(F.array_distinct("names")))
+        every = waves.where(says("names")).select(*[c for c in waves.columns if c != "names"], F.explode(F.array_distinct("names")).alias("_spec"))
+        named = every.select(*[F.array("_spec").alias(c) if c == "names" else c for c in waves.columns], "_spec")
         out = out.unionByName(specs.join(named, (F.col("spec") == F.col("_spec")) & matches).drop("_spec"))
     if "wave_backend" in waves.columns:
         out = out.unionByName(specs.join(waves.where(~says("names") & says("wave_backend")), (F.col("backend") == F.col("wave_backend")) & matches))

@@ -828,6 +828,13 @@ def test_layers_of_long_paths_of_branches(spark, monkeypatch):
     assert len(got) == len(deps) and {x.node: x.layer for x in got} == {k: want.get(k) for k in deps} and want[123] == 60 and 122 not in want
 
 
+def test_names_of_a_wave_are_not_repeated_with_each(spark):
+    items = spark.range(300).select(F.concat(F.lit("p"), "id").alias("spec"), F.lit("b").alias("backend"), F.lit("l").alias("backend_lang"))
+    waves = spark.createDataFrame([("w", [f"p{i}" for i in range(200)] + ["p0", "none"], "b", None, ["p7"], None), ("x", ["p1"], "other", None, None, None)], "wave string, names array<string>, wave_backend string, wave_lang string, exclude array<string>, pattern string")
+    got = audit.in_waves(items, waves, audit.wave_match())
+    assert {(r.wave, r.spec) for r in got.collect()} == {("w", f"p{i}") for i in range(200) if i != 7} and got.count() == 199 and got.agg(F.max(F.size("names"))).first()[0] == 1
+
+
 def test_scans_split_one_key(spark):
     """All rows in one key, many of them equal: places, sums, neighbours and runs as by a window, in blocks of a part of the rows."""
     rows = spark.range(20_000, numPartitions=4).select(F.lit("k").alias("k"), (F.col("id") * 7919 % 5000).alias("o"), (F.col("id") % 3).alias("v")).withColumn("v", F.when(F.col("v") > 0, F.col("v")))
