@@ -9,6 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodemill.shared import spread
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -257,8 +259,8 @@ def spec_issues(document: str | Column) -> Column:
 
 
 def issue_rows(rows: DataFrame, key: list[str], found: Column) -> DataFrame:
-    """key, field, level, message of every issue."""
-    return rows.select(*key, F.inline(found))
+    """key, field, level, message of every issue; rows are dealt to all cores first."""
+    return spread(rows).select(*key, F.inline(found))
 
 
 def file_validity(texts: DataFrame, found: Column | None = None, strict: bool = False) -> DataFrame:

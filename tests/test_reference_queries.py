@@ -835,6 +835,12 @@ def test_names_of_a_wave_are_not_repeated_with_each(spark):
     assert {(r.wave, r.spec) for r in got.collect()} == {("w", f"p{i}") for i in range(200) if i != 7} and got.count() == 199 and got.agg(F.max(F.size("names"))).first()[0] == 1
 
 
+def test_issues_are_found_by_all_cores(spark):
+    one = spark.range(40).coalesce(1).select("id", F.parse_json(F.lit("{}")).alias("v"))
+    found = validate.issue_rows(one, ["id"], validate.record_issues("v"))
+    assert one.rdd.getNumPartitions() == 1 and found.rdd.getNumPartitions() > 1 and found.select("id").distinct().count() == 40
+
+
 def test_scans_split_one_key(spark):
     """All rows in one key, many of them equal: places, sums, neighbours and runs as by a window, in blocks of a part of the rows."""
     rows = spark.range(20_000, numPartitions=4).select(F.lit("k").alias("k"), (F.col("id") * 7919 % 5000).alias("o"), (F.col("id") % 3).alias("v")).withColumn("v", F.when(F.col("v") > 0, F.col("v")))
