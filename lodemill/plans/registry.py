@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodemill.functions import packages, scalars, sequences, texts
 from lodemill.operators import audit, closure, compare, coverage, evaluate, fill, invariants, merge, overlap, rank, scan, validate
 from lodemill.plans.base import ORACLES, QUERIES, query, table
+from lodemill.shared import spread
 from lodemill.sources import recipes, seeds
 
 def orders_as_records(spark: SparkSession, sf_dir: str, snapshot: str = "true") -> DataFrame:
@@ -301,7 +302,7 @@ def license_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("version_range", "SELECT p_partkey, (p_size, p_partkey % 10) >= (10, 5) AND (p_size, p_partkey % 10) < (30, 0) AS fits FROM part")
 def version_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     version = F.concat_ws(".", F.col("p_size").cast("string"), (F.col("p_partkey") % 10).cast("string"))
-    return table(spark, sf_dir, "part").select("p_partkey", packages.satisfies(version, ">=10.5, <30").alias("fits"))
+    return spread(table(spark, sf_dir, "part")).select("p_partkey", packages.satisfies(version, ">=10.5, <30").alias("fits"))
 
 
 @query("version_ranges", """
@@ -318,7 +319,7 @@ def version_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     to = F.concat(x, F.lit("."), y)
     kinds = [F.concat(F.lit(">="), to, F.lit(", <"), (size % 20 + 16).cast("string")), F.concat(F.lit("~="), to), F.concat(F.lit("=="), x, F.lit(".*")), F.concat(F.lit("!="), to), F.concat(F.lit("<="), to), F.lit("N/A"), F.concat(F.lit(">"), to, F.lit(" !="), (size % 20 + 2).cast("string"), F.lit(".*"))]
     constraint = F.coalesce(F.get(F.array(*kinds), (key % 8).cast("int")), F.lit("about 3"))
-    found = table(spark, sf_dir, "part").select("p_partkey", packages.satisfies(version, constraint).alias("found"))
+    found = spread(table(spark, sf_dir, "part")).select("p_partkey", packages.satisfies(version, constraint).alias("found"))
     return found.select("p_partkey", F.coalesce("found", F.lit(False)).alias("fits"), F.col("found").isNotNull().alias("readable"))
 
 
@@ -331,7 +332,7 @@ def skip_by_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     two = (key % 5).cast("string")
     texts = [F.concat(fits(">="), F.lit(' and "'), two, F.lit('" != "1"')), F.concat(F.lit("not "), fits("<"), F.lit(" or '0' == '"), two, F.lit("'")), F.concat(F.lit("platform == 'Brand#"), (key % 60).cast("string"), F.lit("'"))]
     skip_if = F.get(F.array(*texts), (key % 3).cast("int"))
-    return table(spark, sf_dir, "part").select("p_partkey", invariants.skipped(skip_if, F.col("p_size").cast("string"), F.col("p_brand")).alias("skipped"))
+    return spread(table(spark, sf_dir, "part")).select("p_partkey", invariants.skipped(skip_if, F.col("p_size").cast("string"), F.col("p_brand")).alias("skipped"))
 
 
 @query("invariant_expand", """

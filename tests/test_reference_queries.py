@@ -841,6 +841,11 @@ def test_issues_are_found_by_all_cores(spark):
     assert one.rdd.getNumPartitions() == 1 and found.rdd.getNumPartitions() > 1 and found.select("id").distinct().count() == 40
 
 
+def test_ranges_of_rows_are_read_by_all_cores(spark):
+    for name in ("version_ranges", "version_range", "skip_by_row"):
+        assert registry.QUERIES[name](spark, str(DATA)).rdd.getNumPartitions() > 1
+
+
 def test_scans_split_one_key(spark):
     """All rows in one key, many of them equal: places, sums, neighbours and runs as by a window, in blocks of a part of the rows."""
     rows = spark.range(20_000, numPartitions=4).select(F.lit("k").alias("k"), (F.col("id") * 7919 % 5000).alias("o"), (F.col("id") % 3).alias("v")).withColumn("v", F.when(F.col("v") > 0, F.col("v")))
