@@ -8,10 +8,20 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodemill.shared import kept, new_path, scratch, written
+from lodemill import shared
+from lodemill.shared import kept, new_path, scratch
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """shared.written(), to be met by sorting: of the many rounds' joins none sends a table by way of the driver."""
+    return shared.written(df, name).hint("merge")
+
+
+def _read(spark: SparkSession, kinds, path: str) -> DataFrame:
+    return spark.read.schema(kinds).parquet(path).hint("merge")
 
 
 def reach(edges: DataFrame, roots: DataFrame, depth: int = 10, stop: DataFrame | None = None) -> DataFrame:
@@ -31,16 +41,16 @@ def reach(edges: DataFrame, roots: DataFrame, depth: int = 10, stop: DataFrame |
         passing = front if stops is None or at == 1 else front.join(stops, "node", "left_anti")
         new = passing.join(steps, passing["node"] == steps["src"]).select("root", F.col("dst").alias("node")).distinct()
         if kinds is not None:
-            new = new.join(spark.read.schema(kinds).parquet(folder), ["root", "node"], "left_anti")
+            new = new.join(_read(spark, kinds, folder), ["root", "node"], "left_anti")
         found = new.withColumn("depth", F.lit(at))
         kinds = found.schema
         found.write.parquet(f"{folder}/round={at}")
-        front = spark.read.schema(kinds).parquet(f"{folder}/round={at}").select("root", "node")
+        front = _read(spark, kinds, f"{folder}/round={at}").select("root", "node")
         if front.isEmpty():
             break
     if kinds is None:
         return front.withColumn("depth", F.lit(0)).limit(0)
-    return spark.read.schema(kinds).parquet(folder).select("root", "node", "depth")
+    return _read(spark, kinds, folder).select("root", "node", "depth")
 
 
 def distances(edges: DataFrame, targets: DataFrame, depth: int = 10) -> DataFrame:
@@ -55,16 +65,16 @@ def distances(edges: DataFrame, targets: DataFrame, depth: int = 10) -> DataFram
     for at in range(1, depth + 1):
         new = steps.join(front, "dst").select(F.col("src").alias("node")).distinct()
         if kinds is not None:
-            new = new.join(spark.read.schema(kinds).parquet(folder).select("node"), "node", "left_anti")
+            new = new.join(_read(spark, kinds, folder).select("node"), "node", "left_anti")
         found = new.withColumn("steps", F.lit(at))
         kinds = found.schema
         found.write.parquet(f"{folder}/round={at}")
-        front = spark.read.schema(kinds).parquet(f"{folder}/round={at}").select(F.col("node").alias("dst"))
+        front = _read(spark, kinds, f"{folder}/round={at}").select(F.col("node").alias("dst"))
         if front.isEmpty():
             break
     if kinds is None:
         return steps.select(F.col("src").alias("node"), F.lit(0).alias("steps")).limit(0)
-    return spark.read.schema(kinds).parquet(folder).select("node", "steps")
+    return _read(spark, kinds, folder).select("node", "steps")
 
 
 def tainted(edges: DataFrame, roots: DataFrame, copyleft: DataFrame, depth: int = 10, counted: bool = False) -> DataFrame:
@@ -148,7 +158,7 @@ def layers(edges: DataFrame, most: int | None = None) -> DataFrame:
     kinds = ready.schema
     for at in count():
         ready.write.parquet(f"{folder}/round={at}")
-        front = spark.read.schema(kinds).parquet(f"{folder}/round={at}").select("node", "layer")
+        front = _read(spark, kinds, f"{folder}/round={at}").select("node", "layer")
         if front.isEmpty() or (at and waiting.isEmpty()):
             rest = waiting.select("node", F.lit(None).cast("long").alias("layer"))
             break
@@ -164,7 +174,7 @@ def layers(edges: DataFrame, most: int | None = None) -> DataFrame:
             rest = _longest(written(among.where("open OR dst IS NULL").select("src", "dst", "steps"), "among"), written(base, "base"))
             rest = rest.join(waiting.select("node"), "node", "left_semi")
             break
-    done = spark.read.schema(kinds).parquet(folder).select("node", "layer").unionByName(rest)
+    done = _read(spark, kinds, folder).select("node", "layer").unionByName(rest)
     tops = done.select(F.col("node").alias("top"), "layer")
     chained = chains.join(tops, "top", "left").select("node", (F.col("layer") + F.col("steps")).alias("layer"))
     out = written(done.unionByName(chained), "layered")
@@ -211,15 +221,15 @@ def components(edges: DataFrame) -> DataFrame:
         front = found
         for back in count():
             front.write.parquet(f"{folder}/round={at}/step={back}")
-            front = spark.read.schema(found.schema).parquet(f"{folder}/round={at}/step={back}")
+            front = _read(spark, found.schema, f"{folder}/round={at}/step={back}")
             if front.isEmpty():
                 break
-            seen = spark.read.schema(found.schema).parquet(f"{folder}/round={at}").select("node")
+            seen = _read(spark, found.schema, f"{folder}/round={at}").select("node")
             front = same.join(front.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node"), "of").distinct().join(seen, "node", "left_anti")
-        done = spark.read.schema(found.schema).parquet(f"{folder}/round={at}").select("node")
+        done = _read(spark, found.schema, f"{folder}/round={at}").select("node")
         left = same.join(done.select(F.col("node").alias("src")), "src", "left_anti").join(done.select(F.col("node").alias("dst")), "dst", "left_anti")
         rest = written(left.select("src", "dst"), "rest")
-    every = spark.read.schema(held.select(F.col("src").alias("node"), F.col("src").alias("of")).schema).parquet(folder).select("node", "of")
+    every = _read(spark, held.select(F.col("src").alias("node"), F.col("src").alias("of")).schema, folder).select("node", "of")
     least = every.groupBy("of").agg(F.min("node").alias("component"), F.count("*").alias("n"))
     loops = core_edges.where("src = dst").select(F.col("src").alias("node"), F.lit(True).alias("loop"))
     named = every.join(least, "of").join(loops, "node", "left")

@@ -846,6 +846,12 @@ def test_ranges_of_rows_are_read_by_all_cores(spark):
         assert registry.QUERIES[name](spark, str(DATA)).rdd.getNumPartitions() > 1
 
 
+def test_rounds_send_no_table_by_way_of_the_driver(spark):
+    at = closure.written(spark.range(5).select(F.col("id").alias("node")), "at")
+    plan = spark.range(5).join(at.where("node > 1").select(F.col("node").alias("id")), "id", "left")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_scans_split_one_key(spark):
     """All rows in one key, many of them equal: places, sums, neighbours and runs as by a window, in blocks of a part of the rows."""
     rows = spark.range(20_000, numPartitions=4).select(F.lit("k").alias("k"), (F.col("id") * 7919 % 5000).alias("o"), (F.col("id") % 3).alias("v")).withColumn("v", F.when(F.col("v") > 0, F.col("v")))
