@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodemill.shared import written
+from lodemill.shared import spread, written
 
 
 def best_of(rows: DataFrame, name: str, trust: str, order: str, values: list[str]) -> DataFrame:
@@ -40,6 +40,10 @@ BUCKETS = ("build", "host", "runtime", "test")
 _TEXTS = "array<string>"
 
 
+#: Names with more records than this are merged by element, the others by arrays of their records.
+MANY = 100
+
+
 def _lists() -> dict[str, Column]:
     """The list fields of nested records, none as empty."""
     paths = {"license": "descriptive.license", "maintainers": "descriptive.maintainers", "conflicts": "conflicts", "platforms_include": "platforms.include", "platforms_exclude": "platforms.exclude"}
@@ -47,18 +51,43 @@ def _lists() -> dict[str, Column]:
     return {k: F.coalesce(F.col(p), F.array().cast(_TEXTS)) for k, p in paths.items()}
 
 
+def _parted(records: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """A stored table's records of names with at most MANY records, and the others, if any."""
+    many = written(records.groupBy("name").count().where(F.col("count") > MANY).select("name"), "many")
+    if many.isEmpty():
+        return records, None
+    return records.join(many, "name", "left_anti"), records.join(many, "name", "left_semi")
+
+
+def _gathered(key: Column, value: Column) -> Column:
+    """The values of a group in the order of their keys (structs, so that all compare)."""
+    pairs = F.collect_list(F.struct(key.alias("key"), value.alias("value")))
+    return F.array_sort(pairs, lambda x, y: F.when(x["key"] < y["key"], -1).when(x["key"] > y["key"], 1).otherwise(0))
+
+
 def keyed(records: DataFrame, name: Column | None = None) -> DataFrame:
     """Nested records with name, eco, confidence (0 where there is none); those without a name go."""
     name = F.col("identity.canonical_name") if name is None else name
     return records.select("*", name.alias("name"), F.coalesce("identity.ecosystem", F.lit("")).alias("eco"), F.coalesce(F.col("provenance.confidence").cast("double"), F.lit(0.0)).alias("trust")).where("name <> ''")
 
 
-def unions(records: DataFrame, rank: Column | None = None) -> DataFrame:
-    """name and, of each list field, its distinct elements over all records of the name: by the least rank (then place in the
-    list) at which they are met, or sorted and without empty ones where no rank is given.
+def unions(records: DataFrame, rank: Column | None = None, **more: Column) -> DataFrame:
+    """name and, of each list field (and more lists), its distinct elements over all records of the name, a stored table: by the
+    least rank (then place in the list) at which they are met, or sorted and without empty ones where no rank is given."""
+    few, many = _parted(records)
+    kinds = _lists() | {k: F.coalesce(c, F.array().cast(_TEXTS)) for k, c in more.items()}
+    fields = F.struct(*[c.alias(k) for k, c in kinds.items()])
+    held = F.collect_list(fields) if rank is None else F.transform(_gathered(F.struct(rank), fields), lambda x: x["value"])
+    of = lambda k: encounter_union(F.col(f"held.{k}"))
+    kept = of if rank is not None else lambda k: F.array_sort(F.filter(of(k), lambda v: v != ""))
+    found = spread(few, "name").groupBy("name").agg(held.alias("held")).select("name", *[kept(k).alias(k) for k in kinds])
+    return found if many is None else found.unionByName(_element_unions(many, kinds, rank))
+
 
-    Elements are aggregated one by one, partially first, so a name with very many records costs what its result holds."""
-    kinds = _lists()
+def _element_unions(records: DataFrame, kinds: dict[str, Column], rank: Column | None = None) -> DataFrame:
+    """unions() of names with very many records.
+
+    Elements are aggregated one by one, partially first, so a name costs what its result holds."""
     place = F.struct(*([rank] if rank is not None else []))
     of = lambda k: lambda v, i: F.struct(F.lit(k).alias("kind"), v.alias("value"), i.alias("at"))
     entries = F.concat(*[F.transform(c, of(k)) for k, c in kinds.items()])
@@ -78,32 +107,60 @@ def source_union(records: DataFrame, rank: Column) -> DataFrame:
     return met.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "url", "source")), lambda x, y: F.when(x["first"] < y["first"], -1).otherwise(1)), lambda x: x["source"]).alias("sources"))
 
 
-def _with_lists(base: DataFrame, lists: DataFrame, sources: DataFrame | None = None) -> DataFrame:
-    """base(name, row: a nested record) with its list fields replaced by a union's."""
-    both = base.join(lists, "name", "left")
+def _with_lists() -> dict[str, Column]:
+    """The list fields of a nested record `row` replaced by a union's beside it."""
     get = lambda k: F.coalesce(F.col(k), F.array().cast(_TEXTS))
     row = lambda c: F.col(f"row.{c}")
-    changed = {
+    return {
         "conflicts": get("conflicts"), "descriptive": row("descriptive").withField("maintainers", get("maintainers")),
         "dependencies": F.struct(*[get(f"{b}_deps").alias(b) for b in BUCKETS]), "platforms": F.struct(get("platforms_include").alias("include"), get("platforms_exclude").alias("exclude")),
     }
-    if sources is not None:
-        both = both.join(sources.withColumnRenamed("sources", "_sources"), "name", "left")
-        changed["sources"] = F.coalesce("_sources", row("sources"))
-    return both, changed
 
 
 def bulk_merged(records: DataFrame, name: Column | None = None) -> DataFrame:
     """One record a name in the records' own columns, and merged_from: the most trusted one (the first by _ord of equals), with what
     the others have in addition, in their order: sources (by url), dependencies, maintainers, conflicts."""
-    rows = written(keyed(records, name), "records")  # what follows reads them four times
+    rows = written(keyed(records, name), "records")
     columns = records.columns
-    best = rows.groupBy("name").agg(F.min_by(F.struct(*columns), _first()).alias("row"), F.array_sort(F.array_compact(F.collect_set(F.nullif("eco", F.lit(""))))).alias("merged_from"))
+    few, many = _parted(rows)
+    both = _merged_by_arrays(few, columns)
+    if many is not None:
+        both = both.unionByName(_merged_by_elements(many, columns))
+    changed = _with_lists()
+    changed |= {"sources": F.coalesce("_sources", "row.sources"), "platforms": F.col("row.platforms")}
+    return both.select("name", "merged_from", *[changed.get(c, F.col(f"row.{c}")).alias(c) for c in columns])
+
+
+def _ecosystems() -> Column:
+    return F.array_sort(F.array_compact(F.collect_set(F.nullif("eco", F.lit(""))))).alias("merged_from")
+
+
+#: The list fields that a bulk merge fills.
+_FILLED = ("maintainers", "conflicts", *[f"{b}_deps" for b in BUCKETS])
+
+
+def _merged_by_arrays(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """name, merged_from, row (the most trusted record), the union's lists and _sources, of names with few records: one shuffle of them."""
+    fields = F.struct(F.struct(*columns).alias("row"), "sources", *[_lists()[k].alias(k) for k in _FILLED])
+    held = _gathered(F.struct("_ord", (-F.col("trust")).alias("minus")), fields)
+    per = spread(rows, "name").groupBy("name").agg(F.min(_first()).alias("first"), _ecosystems(), held.alias("pairs"))
+    is_base = lambda x: x["key"]["_ord"].eqNullSafe(F.col("first._ord"))
+    base_first = F.concat(F.filter("pairs", is_base), F.filter("pairs", lambda x: ~is_base(x)))
+    ordered = per.select("name", "merged_from", F.transform(base_first, lambda x: x["value"]).alias("held"))
+    sources = F.flatten(F.filter("held.sources", lambda x: x.isNotNull()))
+    ordered = ordered.select("*", sources.alias("every")).withColumn("urls", F.transform("every", lambda s: F.struct(s["url"].alias("url"))))
+    at = lambda u: F.element_at("every", F.array_position("urls", u).cast("int"))
+    met = F.when(F.size("urls") > 0, F.transform(F.array_distinct("urls"), at))
+    return ordered.select("name", "merged_from", F.get("held", F.lit(0))["row"].alias("row"), *[encounter_union(F.col(f"held.{k}")).alias(k) for k in _FILLED], met.alias("_sources"))
+
+
+def _merged_by_elements(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """_merged_by_arrays() of names with very many records."""
+    best = rows.groupBy("name").agg(F.min_by(F.struct(*columns), _first()).alias("row"), _ecosystems())
     marked = rows.join(best.select("name", F.col("row._ord").alias("base")), "name").withColumn("later", F.col("_ord") != F.col("base"))
     rank = F.struct("later", "_ord")
-    both, changed = _with_lists(best, unions(marked, rank), source_union(marked, rank))
-    changed["platforms"], changed["descriptive"] = F.col("row.platforms"), F.col("row.descriptive").withField("maintainers", F.coalesce("maintainers", F.array().cast(_TEXTS)))
-    return both.select("name", "merged_from", *[changed.get(c, F.col(f"row.{c}")).alias(c) for c in columns])
+    lists = _element_unions(marked, {k: _lists()[k] for k in _FILLED}, rank)
+    return best.join(lists, "name", "left").join(source_union(marked, rank).withColumnRenamed("sources", "_sources"), "name", "left")
 
 
 #: What a stub says of itself, and the version of the record format.
@@ -112,10 +169,10 @@ STUB_WARNING, SCHEMA_VERSION = "generated stub — verify sources, checksums, an
 
 def stubs(records: DataFrame, name: Column | None = None) -> DataFrame:
     """One stub a name: the most trusted record with maintainers, conflicts and platforms of all, the more trusted first."""
-    rows = keyed(records, name)
+    rows = written(keyed(records, name), "records")
     columns = records.columns
     best = rows.groupBy("name").agg(F.min_by(F.struct(*columns), _first()).alias("row"))
-    both, changed = _with_lists(best, unions(rows, _first()))
+    both, changed = best.join(unions(rows, _first()), "name", "left"), _with_lists()
     warnings = F.coalesce("row.provenance.warnings", F.array().cast(_TEXTS))
     noted = F.when(F.array_contains(warnings, STUB_WARNING), warnings).otherwise(F.array_append(warnings, F.lit(STUB_WARNING)))
     changed |= {"dependencies": F.col("row.dependencies"), "stub": F.lit(True), "schema_version": F.lit(SCHEMA_VERSION), "provenance": F.col("row.provenance").withField("warnings", noted)}

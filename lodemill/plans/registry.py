@@ -558,9 +558,11 @@ best AS (SELECT name, arg_max(ord, pct * 1000000000000 - ord) AS ord FROM r GROU
 
 def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
-    bucket = F.when(F.col("l_returnflag") == "A", "build").when(F.col("l_returnflag") == "N", "host").otherwise("runtime")
-    dep = lambda b: F.array_sort(F.collect_set(F.when(bucket == b, (F.col("l_partkey") % 40).cast("string")))).alias(b)
-    deps = lines.groupBy("l_orderkey").agg(*map(dep, ("build", "host", "runtime")))
+    bucket = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    # one set of numbers an order, bucket and part in one, is cheaper than a set of texts for each bucket
+    codes = lines.groupBy("l_orderkey").agg(F.collect_set((F.col("l_partkey") % 40).cast("int") * 3 + bucket).alias("codes"))
+    dep = lambda b: F.array_sort(F.transform(F.filter("codes", lambda x: F.pmod(x, F.lit(3)) == b), lambda x: F.floor(x / 3).cast("string")))
+    deps = codes.select("l_orderkey", *[dep(i).alias(b) for i, b in enumerate(("build", "host", "runtime"))])
     none = F.array().cast("array<string>")
     k = F.col("o_orderkey")
     text = lambda prefix, n: F.concat(F.lit(prefix), (k % n).cast("string"))

@@ -48,9 +48,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 SPREAD = 4
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df dealt evenly to all cores, for work that costs much by the row: a table of few row groups is read by as few tasks, whatever the cluster."""
-    return df.repartition(SPREAD * df.sparkSession.sparkContext.defaultParallelism)
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt evenly (or by keys) to all cores, for work that costs much by the row: a table of few row groups is read by as few tasks, whatever
+    the cluster. Dealt by keys there are as many tasks as shuffles are set to have, if those are more, and none are put together."""
+    n = SPREAD * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(n, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys) if keys else df.repartition(n)
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:

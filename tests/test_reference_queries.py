@@ -760,6 +760,22 @@ def test_extraction_of_candidates(spark):
     assert (stub["a"].stub, stub["a"].schema_version, stub["a"].provenance.warnings, stub["b"].conflicts) == (True, merge.SCHEMA_VERSION, [merge.STUB_WARNING], []) and merge.extracted(rows.limit(0)).count() == 0
 
 
+def test_names_of_few_and_of_many_records_merge_alike(spark, monkeypatch):
+    """By arrays where names have few records (no row an element, so the plan explodes nothing), by elements where they have many."""
+    schema = "identity struct<canonical_name:string,ecosystem:string,version:string>, descriptive struct<summary:string,homepage:string,license:array<string>,maintainers:array<string>,deprecated:boolean>, sources array<struct<url:string,sha:string>>, dependencies struct<build:array<string>,host:array<string>,runtime:array<string>,test:array<string>>, conflicts array<string>, platforms struct<include:array<string>,exclude:array<string>>, provenance struct<confidence:double,warnings:array<string>>, stub boolean, schema_version string, _ord long"
+    texts = lambda i, p: None if i % 7 == 0 else [f"{p}{i % 5}", "" if i % 3 else None, f"{p}{i % 4}", f"{p}{i % 5}"]
+    sources = lambda i: None if i % 6 == 5 else [(None, str(i)), (f"u{i % 3}", str(i)), (f"u{i % 4}", "x")][i % 2 :]
+    row = lambda i: ((f"n{i % 9 if i % 2 else 0}", ["x", "y", ""][i % 3], "1"), (f"s{i}", None, texts(i, "L"), texts(i + 1, "m"), i % 5 == 0), sources(i), (texts(i, "b"), texts(i + 2, "h"), None, []), texts(i + 3, "c"), (texts(i, "p"), None), (i * 7 % 10 / 10, None), None, "0.1", i * 37 % 101)
+    rows = spark.createDataFrame([*map(row, range(90)), (("alone", "x", "1"), *[None] * 8, 200)], schema)
+    found = []
+    for many in (100, 9):
+        monkeypatch.setattr(merge, "MANY", many)
+        frames = [f(rows) for f in (merge.bulk_merged, merge.stubs, merge.extracted)]
+        found.append([sorted((str(r.asDict(True)) for r in f.collect())) for f in frames])
+        assert ("Generate" in frames[0]._jdf.queryExecution().optimizedPlan().toString()) == (many < 100)
+    assert found[0] == found[1] and [len(f) for f in found[0]] == [10, 10, 10]
+
+
 def test_small_operators(spark, tmp_path):
     names = spark.createDataFrame([("z_extra001_a",), ("z_extra001_b",), ("z_extra02",), ("z_extra010",)], "name string")
     assert sorted(tuple(r) for r in audit.numbered_waves(names).collect()) == [(1, "z_extra001_a,z_extra001_b"), (10, "z_extra010")]
