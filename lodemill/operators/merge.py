@@ -226,9 +226,7 @@ def extracted(records: DataFrame, candidates: DataFrame | None = None, top: int
         F.min_by("best.of", "best.rank").alias("best"), held("version").alias("versions"), held("deps").alias("deps"), F.array_sort(F.collect_list(F.when(F.col("deprecated"), F.col("eco")))).alias("deprecated_in"),
         (F.count_distinct("last.licences") <= 1).alias("license_agreement"), (F.count_distinct("last.version") <= 1).alias("version_agreement"), F.round(F.avg("last.confidence"), 3).alias("confidence_avg"),
     )
-    lists = unions(rows)
-    urls = rows.select("name", F.explode("sources.url").alias("url")).where("url <> ''").groupBy("name").agg(F.array_sort(F.collect_set("url")).alias("sources"))
-    out = per.join(lists, "name", "left").join(urls, "name", "left")
+    out = per.join(unions(rows, sources=F.col("sources.url")), "name", "left")
     get = lambda c: F.coalesce(c, F.array().cast(_TEXTS)).alias(c)
     found = out.select(
         "name", *score, F.transform("versions", lambda x: x["eco"]).alias("ecosystems"), "best.summary", "best.homepage", *map(get, ["license", "maintainers", "conflicts", "platforms_include", *[f"{b}_deps" for b in BUCKETS], "sources"]),
