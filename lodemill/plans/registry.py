@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodemill.functions import packages, scalars, sequences, texts
 from lodemill.operators import audit, closure, compare, coverage, evaluate, fill, invariants, merge, overlap, rank, scan, validate
@@ -62,9 +63,10 @@ SELECT dep, sum(refs)::BIGINT AS ref_count, string_agg(eco, ',' ORDER BY eco) AS
   dep IN (SELECT p_partkey FROM part WHERE p_size > 25) AS in_snapshot FROM b GROUP BY dep HAVING sum(refs) >= 3""")
 def fanin_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order is a record, its ecosystem the least of its line states; its parts are its dependencies."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linestatus")
-    eco = lines.groupBy("l_orderkey").agg(F.min("l_linestatus").alias("ecosystem"))
-    edges = lines.join(eco, "l_orderkey").select(F.col("l_orderkey").alias("record"), "ecosystem", F.col("l_partkey").alias("dep"))
+    lines = table(spark, sf_dir, "lineitem").where("l_orderkey IS NOT NULL").select(F.col("l_orderkey").alias("record"), F.col("l_partkey").alias("dep"), "l_linestatus")
+    # one sort a task serves the window and, having the order of its keys, what drops an order's equal parts
+    order = Window.partitionBy("record").orderBy("dep").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    edges = spread(lines, "record").select("record", F.min("l_linestatus").over(order).alias("ecosystem"), "dep")
     known = table(spark, sf_dir, "part").where("p_size > 25").select(F.col("p_partkey").alias("name"))
     return rank.fan_in(edges, known, 3)
 

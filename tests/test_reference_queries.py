@@ -776,6 +776,17 @@ def test_names_of_few_and_of_many_records_merge_alike(spark, monkeypatch):
     assert found[0] == found[1] and [len(f) for f in found[0]] == [10, 10, 10]
 
 
+def test_fan_in_reads_and_sorts_lines_once(spark, tmp_path):
+    """Lines are neither joined to themselves nor put together in fewer tasks than there are shuffle partitions."""
+    lines = [(1, 1, "O"), (1, 1, "F"), (1, 2, "O"), (2, 1, "O"), (2, 1, "O"), (3, 1, "O"), (4, 2, "F"), (None, 1, "A")]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linestatus string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(1, 30), (2, 1)], "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    found = registry.QUERIES["fanin_rank"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ReadSchema: struct<l_orderkey") == 1 and "REPARTITION_BY_NUM" in plan
+    assert [tuple(r) for r in found.collect()] == [(1, 3, "F,O", "F=1,O=2", True)]
+
+
 def test_small_operators(spark, tmp_path):
     names = spark.createDataFrame([("z_extra001_a",), ("z_extra001_b",), ("z_extra02",), ("z_extra010",)], "name string")
     assert sorted(tuple(r) for r in audit.numbered_waves(names).collect()) == [(1, "z_extra001_a,z_extra001_b"), (10, "z_extra010")]
