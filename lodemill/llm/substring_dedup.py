@@ -37,27 +37,22 @@ RUN, WORDS = 2, 25
 LONG, CUT = 25, 12
 
 #: A run of stops, with the white space or the text's end that makes it a sentence's end; or a line's end. Runs are taken whole, so the search is linear.
-_STOP = re.compile(r"[.?!]++([\x20\x09-\x0D]++|\Z)?|\n[\x20\x09-\x0D]*+")
-_WORD = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
+_STOP = re.compile(rb"[.?!]++([\x20\x09-\x0D]++|\Z)?|\n[\x20\x09-\x0D]*+")
+#: White space of str.split() that does not part words here: what looks empty by it is no sentence, and it counts for LONG.
+_WIDE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _RNG = np.random.default_rng(11)
 _BASES = [int(x) for x in _RNG.integers(1, 2**62, 2) * 2 + 1]
 _BACK = [pow(b, -1, 2**64) for b in _BASES]
 
 
-def _folded(text: str) -> list[bytes]:
-    """The words of a text as they are hashed."""
-    return text.encode("utf-8", "surrogatepass").translate(FOLD).split()
-
-
-def _cuts(long: list[str]) -> list[np.ndarray]:
-    """For each sentence the numbers of words (from its start) after which it is cut, without its end."""
-    words = [_folded(s) for s in long]
-    n = np.array([len(w) for w in words], dtype=np.int64)
-    if n.sum() < CUT:
-        return [np.zeros(0, dtype=np.int64) for _ in long]
+def _cuts(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For sentences of n words with these hashes, one after the other: the numbers of words after which they are cut, without their ends."""
+    if len(hashes) < CUT:
+        return np.zeros(0, dtype=np.int64)
     low = np.uint64(0xFFFFFFFF)
     # the least of a window's hashes, the last one of equals, with its place in the low half
-    least = (word_hashes([x for w in words for x in w]) | low) - np.arange(n.sum(), dtype=np.uint64)
+    least = (hashes | low) - np.arange(len(hashes), dtype=np.uint64)
     width = 1
     while width < CUT:
         step = min(width, CUT - width)
@@ -65,40 +60,52 @@ def _cuts(long: list[str]) -> list[np.ndarray]:
         width += step
     of = np.repeat(np.arange(len(n)), n)
     place = np.unique(low - (least & low)[of[: len(least)] == of[CUT - 1 :]]).astype(np.int64)
-    ends = np.cumsum(n)
-    place = place[place + 1 < ends[of[place]]]
-    return np.split(place + 1 - (ends - n)[of[place]], np.searchsorted(of[place], np.arange(1, len(n))))
-
-
-def _sentences(text: str) -> list[str]:
-    ends = [m.end() for m in _STOP.finditer(text) if m[1] is not None or m[0][0] == "\n"]
-    if text and (not ends or ends[-1] < len(text)):
-        ends.append(len(text))
-    return [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+    return place[place + 1 < np.cumsum(n)[of[place]]] + 1
+
+
+def _parsed(text: str, whole: bool = False) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """A text in UTF-8, the ends of its sentences in bytes and in words, and, if whole, the hashes of its words (else none).
+
+    A sentence without words goes with the one before. Words are found once, by numpy; only those of long sentences need hashes."""
+    data = text.encode("utf-8", "surrogatepass")
+    ends = [m.end() for m in _STOP.finditer(data) if m[1] is not None or m[0][0] == 10]
+    if data and (not ends or ends[-1] < len(data)):
+        ends.append(len(data))
+    ends = np.array(ends, dtype=np.int64)
+    space = _SPACE[np.frombuffer(data, dtype=np.uint8)]
+    at = np.flatnonzero(~space & np.concatenate((np.ones(1, dtype=bool), space))[: len(space)])
+    n = np.diff(np.searchsorted(at, ends), prepend=0)
+    if _WIDE.search(text):
+        n = np.array([len(p.decode("utf-8", "surrogatepass").split()) for p in _pieces(data, ends)], dtype=np.int64)
+    held = np.flatnonzero(np.concatenate((n[1:] > 0, np.ones(1, dtype=bool)))) if len(n) else n
+    first = np.concatenate(([0], held[:-1] + 1)) if len(n) else n
+    ends, long = ends[held], n[first] > LONG
+    upto = np.searchsorted(at, ends)
+    if not whole and not long.any():
+        return data, ends, upto, np.zeros(0, dtype=np.uint64)
+    words = data.translate(FOLD).split()
+    hashes = word_hashes(words) if whole else np.zeros(0, dtype=np.uint64)
+    if long.any():
+        begins = np.concatenate(([0], upto[:-1]))[long]
+        n = upto[long] - begins
+        place = np.repeat(begins - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        inside = hashes[place] if whole else word_hashes([w for a, b in zip(begins.tolist(), upto[long].tolist(), strict=True) for w in words[a:b]])
+        cut = place[_cuts(inside, n)]
+        # a first or last sentence may be without words, so ends are told apart by bytes
+        ends = np.concatenate((ends, at[cut]))
+        order = np.argsort(ends, kind="stable")
+        ends, upto = ends[order], np.concatenate((upto, cut))[order]
+    return data, ends, upto, hashes
+
+
+def _pieces(data: bytes, ends: np.ndarray) -> list[bytes]:
+    return [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
 
 def sentences(text: str) -> list[str]:
     """The sentences of a text; joined they are the text. Without words they go with the one before."""
-    out: list[str] = []
-    long: list[int] = []
-    for s in _sentences(text):
-        n = len(s.split())
-        if not n and out:
-            out[-1] += s
-        else:
-            if n > LONG:
-                long.append(len(out))
-            out.append(s)
-    if not long:
-        return out
-    cut: list[str] = []
-    done = 0
-    for at, ends in zip(long, _cuts([out[i] for i in long]), strict=True):
-        pieces, ends = _WORD.findall(out[at]), [0, *ends.tolist(), None]
-        cut += out[done:at]
-        cut += ["".join(pieces[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
-        done = at + 1
-    return cut + out[done:]
+    data, ends, _, _ = _parsed(text)
+    return [p.decode("utf-8", "surrogatepass") for p in _pieces(data, ends)] if len(ends) else []
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -109,10 +116,9 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 def spans(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
     """(start, end, hash, hash) of the spans of a text, in sentences, and the number of sentences."""
-    parts = sentences(text)
-    split = [_folded(p) for p in parts]
-    n = np.concatenate(([0], np.cumsum([len(w) for w in split], dtype=np.int64)))
-    k = len(parts)
+    _, _, upto, words = _parsed(text, whole=True)
+    n = np.concatenate((np.zeros(1, dtype=np.int64), upto))
+    k = len(upto)
     start = np.arange(k)
     end = np.maximum(np.searchsorted(n, n[:-1] + WORDS), start + RUN)
     # ends of no such run: the last start whose run is over by then begins the shortest that ends there
@@ -122,7 +128,6 @@ def spans(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, in
     start, end = np.concatenate((start, np.searchsorted(end, late, side="right") - 1)), np.concatenate((end, late))
     on = end <= k
     start, end = start[on], end[on]
-    words = word_hashes([w for s in split for w in s])
     found = []
     for seed, (base, back) in enumerate(zip(_BASES, _BACK, strict=True)):
         h = mix(words + np.uint64(seed))
@@ -162,13 +167,16 @@ def removals(docs: DataFrame) -> DataFrame:
 
 def without(text: str, cut: list[tuple[int, int]]) -> tuple[str, int, int]:
     """(the text without the sentences under the spans, sentences, removed)."""
-    parts = sentences(text)
-    gone = np.zeros(len(parts) + 1, dtype=np.int64)
+    data, ends, _, _ = _parsed(text)
+    if not cut:
+        return text, len(ends), 0
+    gone = np.zeros(len(ends) + 1, dtype=np.int64)
     for a, b in cut:
         gone[a] += 1
         gone[b] -= 1
     out = np.cumsum(gone)[:-1] > 0
-    return "".join([p for p, g in zip(parts, out.tolist(), strict=True) if not g]), len(parts), int(out.sum())
+    left = b"".join([p for p, g in zip(_pieces(data, ends), out.tolist(), strict=True) if not g])
+    return left.decode("utf-8", "surrogatepass"), len(ends), int(out.sum())
 
 
 _CLEANED = pa.struct([("text", pa.string()), ("n_sentences", pa.int64()), ("n_removed", pa.int64())])
