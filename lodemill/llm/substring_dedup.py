@@ -13,7 +13,8 @@ other place are removed.
 Only hashes and places move in the global step, with a minimum and a maximum a hash as a partial
 aggregation, so a passage in very many documents is a row a task; the join back to places has only repeated
 hashes on its small side, a written table, so that its skewed partitions can be split. Then one shuffle
-brings each document with removals its positions.
+brings each document its number of sentences and the positions to remove. Only documents with removals, and those too short
+for a span, are parsed again; the other texts do not go through Python a second time.
 
 Defined cases: null and empty texts have no sentence and stay as they are; rows equal in doc_id and text are
 one place and get the same result; rows without an id come last in the order; an empty table gives an empty
@@ -36,11 +37,10 @@ from lodemill.shared import written
 RUN, WORDS = 2, 25
 LONG, CUT = 25, 12
 
-#: A run of stops, with the white space or the text's end that makes it a sentence's end; or a line's end. Runs are taken whole, so the search is linear.
-_STOP = re.compile(rb"[.?!]++([\x20\x09-\x0D]++|\Z)?|\n[\x20\x09-\x0D]*+")
+#: For bytes.translate(): 1 for a stop, 2 for white space, 3 for a line's end, 0 for all else.
+_KIND = bytes({**dict.fromkeys(b".?!", 1), **dict.fromkeys(b" \t\v\f\r", 2), 10: 3}.get(b, 0) for b in range(256))
 #: White space of str.split() that does not part words here: what looks empty by it is no sentence, and it counts for LONG.
 _WIDE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _RNG = np.random.default_rng(11)
 _BASES = [int(x) for x in _RNG.integers(1, 2**62, 2) * 2 + 1]
 _BACK = [pow(b, -1, 2**64) for b in _BASES]
@@ -68,19 +68,26 @@ def _parsed(text: str, whole: bool = False) -> tuple[bytes, np.ndarray, np.ndarr
 
     A sentence without words goes with the one before. Words are found once, by numpy; only those of long sentences need hashes."""
     data = text.encode("utf-8", "surrogatepass")
-    ends = [m.end() for m in _STOP.finditer(data) if m[1] is not None or m[0][0] == 10]
-    if data and (not ends or ends[-1] < len(data)):
-        ends.append(len(data))
-    ends = np.array(ends, dtype=np.int64)
-    space = _SPACE[np.frombuffer(data, dtype=np.uint8)]
-    at = np.flatnonzero(~space & np.concatenate((np.ones(1, dtype=bool), space))[: len(space)])
-    n = np.diff(np.searchsorted(at, ends), prepend=0)
+    if not data:
+        return data, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+    kind = np.frombuffer((b" " + data).translate(_KIND), dtype=np.uint8)
+    space = kind > 1
+    at = np.flatnonzero(space[:-1] > space[1:])
+    # a sentence ends where the first word after a line's end, or after a stop before white space, begins, and with the text
+    stop = kind[1:] == 3
+    stop[:-1] |= (kind[1:-1] == 1) & space[2:]
+    begins = np.zeros(len(at) + 1, dtype=bool)
+    begins[np.searchsorted(at, np.flatnonzero(stop), side="right")] = True
+    begins[-1] = True
+    upto = np.flatnonzero(begins)
+    ends = np.concatenate((at, [len(data)]))[upto]
     if _WIDE.search(text):
         n = np.array([len(p.decode("utf-8", "surrogatepass").split()) for p in _pieces(data, ends)], dtype=np.int64)
-    held = np.flatnonzero(np.concatenate((n[1:] > 0, np.ones(1, dtype=bool)))) if len(n) else n
-    first = np.concatenate(([0], held[:-1] + 1)) if len(n) else n
-    ends, long = ends[held], n[first] > LONG
-    upto = np.searchsorted(at, ends)
+        held = np.flatnonzero(np.concatenate((n[1:] > 0, np.ones(1, dtype=bool))))
+        ends, upto, n = ends[held], upto[held], n[np.concatenate(([0], held[:-1] + 1))]
+    else:
+        n = upto - np.concatenate(([0], upto[:-1]))
+    long = n > LONG
     if not whole and not long.any():
         return data, ends, upto, np.zeros(0, dtype=np.uint64)
     words = data.translate(FOLD).split()
@@ -109,11 +116,18 @@ def sentences(text: str) -> list[str]:
 
 
 def _powers(base: int, n: int) -> np.ndarray:
+    if n <= len(_FEW.get(base, ())):
+        return _FEW[base][:n]
     out = np.full(n, base, dtype=np.uint64)
     out[:1] = 1
     return np.multiply.accumulate(out)
 
 
+#: The powers that most texts need.
+_FEW: dict[int, np.ndarray] = {}
+_FEW |= {b: _powers(b, 4096) for b in (*_BASES, *_BACK)}
+
+
 def spans(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
     """(start, end, hash, hash) of the spans of a text, in sentences, and the number of sentences."""
     _, _, upto, words = _parsed(text, whole=True)
@@ -145,24 +159,28 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             offsets = np.concatenate(([0], np.cumsum([len(r[0]) for r in rows]))).astype(np.int32)
             flat = [np.concatenate([r[i] for r in rows]) for i in range(4)]
             held = pa.StructArray.from_arrays([pa.array(flat[0].astype(np.int32)), pa.array(flat[1].astype(np.int32)), pa.array(flat[2]), pa.array(flat[3])], fields=list(item.value_type))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(offsets), held, type=item)], names=["doc_id", "content", "spans"])
+            n = pa.array([r[4] for r in rows], type=pa.int32())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), n, pa.ListArray.from_arrays(pa.array(offsets), held, type=item)], names=["doc_id", "content", "n", "spans"])
 
 
 def places(docs: DataFrame) -> DataFrame:
-    """doc_id, content (hash of the text), pos, stop, h1, h2 of every span of every row."""
+    """doc_id, content (hash of the text), n (its sentences), pos, stop, h1, h2 of every span of every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of("text")).alias("content"), text_of("text").alias("text"))
-    kinds = "doc_id long, content long, spans array<struct<pos:int,stop:int,h1:long,h2:long>>"
-    return rows.mapInArrow(_spans, kinds).select("doc_id", "content", F.inline("spans"))
+    kinds = "doc_id long, content long, n int, spans array<struct<pos:int,stop:int,h1:long,h2:long>>"
+    return rows.mapInArrow(_spans, kinds).select("doc_id", "content", "n", F.inline("spans"))
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """doc_id, content, cut: for each row with a repeated span that is not its first place, the (pos, stop) of all such spans."""
+    """doc_id, content, n, cut: for each row with a span its number of sentences, and the (pos, stop) of its repeated spans that are not at their first place."""
     every = written(places(docs), "spans")
     place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("content").alias("content"), F.col("pos").alias("pos"))
     grouped = every.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("final"))
-    repeated = written(grouped.where(F.col("first") != F.col("final")).select("h1", "h2", "first"), "repeated")
-    again = every.join(repeated, ["h1", "h2"]).where(place != F.col("first"))
-    return written(again.groupBy("doc_id", "content").agg(F.array_sort(F.collect_set(F.struct("pos", "stop"))).alias("cut")), "cuts")
+    repeated = written(grouped.where(F.col("first") != F.col("final")).select("h1", "h2", "first"), "repeated", release=True)
+    again = every.join(repeated, ["h1", "h2"]).where(place != F.col("first")).select("doc_id", "content", F.lit(None).cast("int").alias("n"), F.struct("pos", "stop").alias("span"))
+    # a row with spans has one that starts at 0; max and collect_set leave nulls out
+    all_rows = every.where("pos = 0").select("doc_id", "content", "n", F.lit(None).cast("struct<pos:int,stop:int>").alias("span"))
+    found = again.union(all_rows).groupBy("doc_id", "content").agg(F.max("n").alias("n"), F.array_sort(F.collect_set("span")).alias("cut"))
+    return written(found, "cuts", release=True)
 
 
 def without(text: str, cut: list[tuple[int, int]]) -> tuple[str, int, int]:
@@ -183,8 +201,12 @@ _CLEANED = pa.struct([("text", pa.string()), ("n_sentences", pa.int64()), ("n_re
 
 
 def _cleaned(texts: pa.Array, cuts: pa.Array) -> pa.Array:
+    """without() of each row; a null text is one to leave alone, and gives nulls."""
     rows = []
     for t, c in zip(texts, cuts, strict=True):
+        if not t.is_valid:
+            rows.append((None, None, None))
+            continue
         cut = [(x["pos"], x["stop"]) for x in c.as_py() or ()]
         rows.append(without(t.as_py(), cut))
     columns = list(zip(*rows, strict=True)) or [()] * 3
@@ -193,11 +215,14 @@ def _cleaned(texts: pa.Array, cuts: pa.Array) -> pa.Array:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """doc_id, text (without removed sentences), n_sentences, n_removed of every row."""
-    cut = removals(docs).select(F.col("doc_id").alias("_id"), F.col("content").alias("_content"), "cut")
+    cut = removals(docs).select(F.col("doc_id").alias("_id"), F.col("content").alias("_content"), "n", "cut")
     rows = docs.select("doc_id", text_of("text").alias("text"))
     joined = rows.join(cut, rows["doc_id"].cast("long").eqNullSafe(cut["_id"]) & (F.xxhash64(rows["text"]) == cut["_content"]), "left")
     clean = F.arrow_udf(_cleaned, "struct<text:string,n_sentences:bigint,n_removed:bigint>")
-    return joined.select("doc_id", clean("text", "cut").alias("c")).select("doc_id", "c.text", "c.n_sentences", "c.n_removed")
+    parsed = F.when(F.col("n").isNull() | (F.size("cut") > 0), F.col("text"))
+    made = joined.select("doc_id", "text", "n", clean(parsed, "cut").alias("c"))
+    numbers = [F.coalesce("c.n_sentences", F.col("n").cast("long")).alias("n_sentences"), F.coalesce("c.n_removed", F.lit(0).cast("long")).alias("n_removed")]
+    return made.select("doc_id", F.coalesce("c.text", "text").alias("text"), *numbers)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,11 +37,24 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: its lineage is cut and an executor's loss costs one read."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Spark's setting (4.1) that drops an execution's shuffle files at its end; without it they stay until the driver happens to collect garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder: its lineage is cut and an executor's loss costs one read.
+
+    release: the shuffle files of the write go with its end; for large ones, that else lie on disk beside those of the next step."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    before = spark.conf.get(_CLEANUP, "false")
+    if release:
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if release:
+            spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 #: Tasks a core that spread() deals rows to.

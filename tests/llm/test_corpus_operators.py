@@ -6,10 +6,12 @@ import re
 import time
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from lodemill import shared
 from lodemill.llm import bpe, common, fingerprint, mixing, neardup, quality_model, quality_rules, secrets, substring_dedup, token_counts, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -362,6 +364,41 @@ def test_substring_dedup_hashes_each_word_once(monkeypatch):
     assert common.word_hashes([]).tolist() == [] and common.word_hashes([b"a", b"\xff"]).tolist() == [xxhash.xxh3_64_intdigest(w) for w in (b"a", b"\xff")]
 
 
+def test_substring_dedup_parses_texts_without_removals_once(spark, docs, texts):
+    """Their number of sentences comes from the search of spans; null texts are those that need no second parse."""
+    found = {(x.doc_id, x.cut is not None and len(x.cut) > 0): x.n for x in substring_dedup.removals(docs.where("doc_id IS NOT NULL")).collect()}
+    assert {k[1] for k in found} == {False, True} and all(n == len(substring_dedup.sentences(texts[i])) for (i, _), n in found.items())
+    assert {i for i, _ in found} == {i for i, t in enumerate(texts) if t and len(substring_dedup.spans(t)[0])} and len(found) < len(texts)
+    got = substring_dedup._cleaned(pa.array([None, "One. Two."]), pa.array([[], None], type=pa.list_(pa.struct([("pos", pa.int32()), ("stop", pa.int32())]))))
+    assert got.to_pylist() == [{"text": None, "n_sentences": None, "n_removed": None}, {"text": "One. Two.", "n_sentences": 2, "n_removed": 0}]
+    rows = substring_dedup.deduplicate(docs).collect()
+    assert len(rows) == docs.count() and all(x.n_sentences == len(substring_dedup.sentences(texts[2 if x.doc_id is None else x.doc_id] or "")) for x in rows)
+    assert all((x.n_removed == 0) == (x.text == (texts[2 if x.doc_id is None else x.doc_id] or "")) for x in rows)
+
+
+def test_a_written_table_leaves_no_shuffle_files_behind(spark):
+    """Where asked for; they would lie beside those of the next step until the driver collects garbage."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: set(re.findall(r"shuffle_[\w.]+", disk.getAllFiles().mkString(" ")))
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was = held(), spark.conf.get(key)
+    table = shared.written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "test", release=True)
+    until = time.monotonic() + 20
+    while held() - before and time.monotonic() < until:
+        time.sleep(0.1)
+    assert not held() - before and spark.conf.get(key) == was and table.count() == 7
+
+
+def test_sentences_equal_their_definition():
+    """Ends found by kinds of bytes are those of the pattern."""
+    stop = re.compile(r"[.?!]++([\x20\x09-\x0D]++|\Z)?|\n[\x20\x09-\x0D]*+")
+    r = random.Random(12)
+    for text in ["", " ", "\n", "\na", "a.", ".", " \n a. ", "\r\n.\v!\f", *["".join(r.choices("ab.?!\n \t\r\u00e9\x00", k=r.randint(1, 60))) for _ in range(3000)]]:
+        ends = [m.end() for m in stop.finditer(text) if m[1] is not None or m[0][0] == "\n"]
+        ends += [len(text)] if text and (not ends or ends[-1] < len(text)) else []
+        assert substring_dedup.sentences(text) == [text[a:b] for a, b in zip([0, *ends], ends, strict=False)], text
+
+
 def test_substring_dedup_equals_all_runs(spark):
     """Brute force: every run of sentences of enough words, at all its places."""
     r = random.Random(9)
