@@ -6,8 +6,9 @@ that is, no merge across the pair's border would have run before the two tokens
 new word of a batch gets a cheap proposal (greedy longest match), all adjacent pairs of all proposals
 are tested at once with numpy, and only words with an incompatible pair are merged rank by rank.
 
-Words are resolved once for a batch and kept in a bounded cache, so a text costs a pattern match and a
-look-up for each word. Nothing is shuffled; memory is bounded by a batch and the cache.
+The words of all texts of a batch are cut at once, by the kinds of their code points, and told apart by Arrow;
+only different ones are looked up in a bounded cache or resolved. Nothing is shuffled; memory is bounded by a
+batch and the cache.
 
 Nulls count as empty texts and give an empty list; texts of any length are encoded whole; equal texts
 give equal ids; an empty table gives an empty table; other columns pass through untouched.
@@ -31,11 +32,16 @@ from pyspark.sql import functions as F
 
 from lodemill.llm.common import text_of
 
-#: Words kept by a Python worker, and the longest word (in characters) that is kept.
-CACHE_WORDS, CACHE_CHARS = 500_000, 64
-#: Characters of text that are encoded at a time.
-CHUNK_CHARS = 1_000_000
+#: Words kept by a Python worker in each of two halves (the older one goes when the newer is full), and the longest word (in bytes) that is kept.
+CACHE_WORDS, CACHE_BYTES = 300_000, 64
+#: Characters of text that are encoded at a time; longer texts are cut before white space.
+CHUNK_CHARS = 2_000_000
 NEVER = np.int64(2**62)
+#: Words of at most so many bytes are merged side by side.
+SHORT = 64
+#: The pattern whose words are cut by kinds of code points; those of any other are found by the pattern itself.
+CLASSES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SPACE, LETTER, NUMBER, SYMBOL, LATER_CAPITAL = range(5)
 
 #: First and last code points of letters and of numbers that Unicode has since version 17. The tokenizer's
 #: pattern has the classes of version 16, in which these are neither; the pattern module here may have newer ones.
@@ -63,9 +69,24 @@ def _ranges(*pairs: tuple[int, int]) -> str:
 
 #: What needs the careful pattern: any of these in the basic plane, and everything above it.
 _LATER = re.compile("[" + _ranges(*[(a, b) for a, b, *_ in (*LATER_LETTERS, *LATER_NUMBERS, *LATER_CAPITALS) if b < 0x10000]) + "]")
+_BLANK = re.compile(r"[\x20\x09-\x0D]")
 _ABOVE = re.compile("[\U00010000-\U0010ffff]")
 
 
+@lru_cache(maxsize=1)
+def kinds() -> np.ndarray:
+    """The kind of each code point in the tokenizer's Unicode tables."""
+    points = "".join(map(chr, range(0x110000)))
+    out = np.full(len(points), SYMBOL, dtype=np.uint8)
+    for name, kind in ((r"\p{White_Space}+", SPACE), (r"\p{L}+", LETTER), (r"\p{N}+", NUMBER)):
+        for m in regex.finditer(name, points):
+            out[m.start() : m.end()] = kind
+    for first, last in (*LATER_LETTERS, *LATER_NUMBERS):
+        out[first : last + 1] = SYMBOL
+    out[list(_LOWER_LATER)] = LATER_CAPITAL
+    return out
+
+
 def byte_alphabet() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies: itself where it is
     printable Latin-1, else the next free code point from 256 on."""
@@ -100,6 +121,7 @@ class WordBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.by_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         # \s in the file's pattern is Unicode's White_Space
+        self.by_kinds = steps[0]["pattern"]["Regex"] == CLASSES
         pattern = steps[0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")
         self.words = regex.compile(pattern, regex.V0)
         letters, numbers = rf"[\p{{L}}--[{_ranges(*LATER_LETTERS)}]]", rf"[\p{{N}}--[{_ranges(*LATER_NUMBERS)}]]"
@@ -140,8 +162,13 @@ class WordBpe:
         order = np.argsort(keys)
         self.keys, self.key_ranks = keys[order], np.fromiter(self.pair_ranks.values(), dtype=np.int64)[order]
         self.sound = self._sound(twice)
-        self.plain = regex.compile("[!-~]*")
-        self.cache: dict[str | int, bytes] = {}
+        #: Tokens of single bytes, within a word and at its end; -1 where there is none
+        self.bytes_inner = np.array([self.inner.get(c, -1) for c in self.alphabet], dtype=np.int64)
+        self.bytes_ended = np.array([self.ended.get(c, -1) for c in self.alphabet], dtype=np.int64)
+        self.all_bytes = bool((self.bytes_inner >= 0).all() and (self.bytes_ended >= 0).all())
+        self.made_array = np.array(self.made, dtype=np.int64)
+        self.newer: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of the merge of each pair, NEVER where there is none."""
@@ -217,27 +244,69 @@ class WordBpe:
                 return []
         return out
 
-    def exact(self, chars: str) -> list[int]:
-        """Merging rank by rank, leftmost first: for words whose proposal has an incompatible pair."""
-        last = len(chars) - 1
-        ids = [t for i, c in enumerate(chars) if (t := (self.ended if i == last else self.inner).get(c)) is not None]
-        return self._exact_short(ids) if len(ids) <= 64 else self._exact_long(ids)
-
-    def _exact_short(self, ids: list[int]) -> list[int]:
-        size, ranks, none = self.size, self.pair_ranks, len(self.made)
-        pairs = [ranks.get(a * size + b, none) for a, b in zip(ids, ids[1:])]  # noqa: B905
-        while pairs and (low := min(pairs)) < none:
-            i = pairs.index(low)
-            ids[i : i + 2] = [self.made[low]]
-            del pairs[i]
-            if i:
-                pairs[i - 1] = ranks.get(ids[i - 1] * size + ids[i], none)
-            if i < len(pairs):
-                pairs[i] = ranks.get(ids[i] * size + ids[i + 1], none)
-        return ids
-
-    def _exact_long(self, ids: list[int]) -> list[int]:
-        """The same with a heap, for n log n steps."""
+    def exact(self, words: list[bytes]) -> list[bytes]:
+        """Merging rank by rank, leftmost first: for words whose proposal has an incompatible pair. Ids as bytes of 32-bit integers."""
+        out = [b""] * len(words)
+        short = []
+        for k, w in enumerate(words):
+            if self.all_bytes and len(w) <= SHORT:
+                short.append(k)
+            else:
+                out[k] = array("i", self._exact_one(w)).tobytes()
+        short.sort(key=lambda k: len(words[k]))
+        for at in range(0, len(short), 8192):
+            part = short[at : at + 8192]
+            for k, ids in zip(part, self._exact_many([words[k] for k in part]), strict=True):
+                out[k] = ids
+        return out
+
+    def _exact_many(self, words: list[bytes]) -> list[bytes]:
+        """All words step by step together: a column has a word's tokens, and beside them their pairs' ranks and places in one number."""
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        rows, n = int(sizes.max()), len(words)
+        text = np.frombuffer(b"".join([w.ljust(rows, b"\0") for w in words]), dtype=np.uint8).reshape(n, rows).T
+        ids = self.bytes_inner[text]
+        ids[sizes - 1, np.arange(n)] = self.bytes_ended[text[sizes - 1, np.arange(n)]]
+        place = np.arange(rows)[:, None]
+        none = np.int64(len(self.made) * SHORT)
+
+        def ranked(left: np.ndarray, right: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+            """Rank and place of the pairs whose left token is at this place of words of this size."""
+            rank = self._pair_rank(left, right)
+            return np.where((rank != NEVER) & (at >= 0) & (at + 1 < size), rank * SHORT + at, 2 * none)
+
+        low = ranked(ids[:-1].ravel(), ids[1:].ravel(), np.repeat(place[:-1, 0], n), np.tile(sizes, rows - 1)).reshape(rows - 1, n)
+        done, left = np.zeros((n, rows), dtype=np.int32), sizes.copy()
+        of = np.arange(n)
+        while rows > 1:
+            first = low.min(axis=0)
+            on = first < none
+            if not on.all():
+                done[of[~on], : len(ids)] = ids.T[~on]
+                left[of[~on]] = sizes[~on]
+                if not on.any():
+                    break
+                most = sizes[on].max()
+                of, ids, low, sizes, first = of[on], ids[:most, on], low[: most - 1, on], sizes[on], first[on]
+            at, column = first % SHORT, np.arange(len(of))
+            sizes -= 1
+            ids[:-1] = np.where(place[: len(ids) - 1] > at, ids[1:], ids[:-1])
+            ids[at, column] = self.made_array[first // SHORT]
+            low[:-1] = np.where(place[: len(low) - 1] >= at, low[1:] - 1, low[:-1])
+            low[-1] = 2 * none
+            for a in (at - 1, at):
+                inside = (a >= 0) & (a + 1 < sizes)
+                x, c = a[inside], column[inside]
+                low[x, c] = ranked(ids[x, c], ids[x + 1, c], x, sizes[inside])
+        if rows == 1:
+            done[:] = ids.T
+        raw = done.tobytes()
+        return [raw[4 * rows * k : 4 * (rows * k + m)] for k, m in enumerate(left.tolist())]
+
+    def _exact_one(self, word: bytes) -> list[int]:
+        """The same for one word with a heap, for n log n steps; bytes without a token are left out."""
+        chars = [self.alphabet[b] for b in word]
+        ids = [t for i, c in enumerate(chars, 1) if (t := (self.ended if i == len(chars) else self.inner).get(c)) is not None]
         size, ranks, n = self.size, self.pair_ranks, len(ids)
         before, after, alive = list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
         heap = [(m, i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := ranks.get(ids[i] * size + ids[i + 1])) is not None]
@@ -255,11 +324,13 @@ class WordBpe:
                 before[after[i]] = i
         return [t for t, on in zip(ids, alive, strict=True) if on]
 
-    def resolve(self, words: list[str]) -> dict[str, bytes]:
+    def resolve(self, words: list[bytes]) -> list[bytes]:
         """Ids of each of these distinct words, as bytes of 32-bit integers."""
         table = self.alphabet
-        chars = [w if self.plain.fullmatch(w) else "".join([table[b] for b in w.encode("utf-8", "surrogatepass")]) for w in words]
-        proposed = [self.propose(c) for c in chars]
+        proposed = []
+        for w in words:
+            c = w.decode("latin-1")
+            proposed.append(self.propose(c if c.isascii() and c.isprintable() else "".join([table[b] for b in w])))
         sizes = np.fromiter(map(len, proposed), dtype=np.int64, count=len(words))
         flat = np.fromiter(chain.from_iterable(proposed), dtype=np.int64, count=int(sizes.sum()))
         of = np.repeat(np.arange(len(words)), sizes)
@@ -269,22 +340,79 @@ class WordBpe:
         pairs, back = np.unique(flat[inner] * self.size + flat[inner + 1], return_inverse=True)
         good = self.compatible(pairs // self.size, pairs % self.size)
         failed[of[inner[~good[back]]]] = True
-        for k in np.flatnonzero(failed):
-            proposed[k] = self.exact(chars[k])
-        return {w: array("i", p).tobytes() for w, p in zip(words, proposed, strict=True)}
-
-    def pieces(self, text: str) -> list[str | int]:
-        """The words of a text, with the ids of special tokens that stand in it in their places."""
-        if self.by_special is None or "<" not in text:
-            return self._words(text)
-        out: list[str | int] = []
-        for part in self.by_special.split(text):
-            if part in self.special:
-                out.append(self.special[part])
-            elif part:
-                out += self._words(part)
+        raw, ends = flat.astype(np.int32).tobytes(), (4 * np.cumsum(sizes)).tolist()
+        out = [raw[a:b] for a, b in zip([0, *ends], ends)]  # noqa: B905
+        again = np.flatnonzero(failed).tolist()
+        for k, ids in zip(again, self.exact([words[k] for k in again]), strict=True):
+            out[k] = ids
+        return out
+
+    def known(self, words: list[bytes]) -> list[bytes]:
+        """The same from the cache, as far as it goes."""
+        out = list(map(self.newer.get, words))
+        missing = [k for k, ids in enumerate(out) if ids is None]
+        for k in missing:
+            out[k] = self.older.get(words[k])
+        new = [k for k in missing if out[k] is None]
+        for k, ids in zip(new, self.resolve([words[k] for k in new]), strict=True):
+            out[k] = ids
+        if len(self.newer) + len(missing) > CACHE_WORDS:
+            self.newer, self.older = {}, self.newer
+        self.newer.update((words[k], out[k]) for k in missing if len(words[k]) <= CACHE_BYTES)
         return out
 
+    def parts(self, text: str) -> list[str | int]:
+        """A text, cut at the special tokens that stand in it, these by their ids; no part is much longer than a chunk if white space allows."""
+        found = self.by_special is not None and "<" in text
+        cut = [self.special.get(p, p) for p in self.by_special.split(text)] if found else [text]
+        return cut if len(text) <= CHUNK_CHARS else [x for p in cut for x in ([p] if isinstance(p, int) else _stretches(p))]
+
+    @staticmethod
+    def normal(text: str) -> str:
+        return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # no final sigma
+
+    def split(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """The words of these texts, one text after the other, as UTF-8, and how many each has."""
+        if not self.by_kinds:
+            words = [self._words(t) for t in texts]
+            return pa.array([w.encode("utf-8", "surrogatepass") for w in chain.from_iterable(words)], pa.large_binary()), np.array([len(w) for w in words], dtype=np.int64)
+        low = [self.normal(t) for t in texts]
+        joined = " ".join([*low, "  "])
+        ends = np.cumsum(np.fromiter(map(len, low), dtype=np.int64, count=len(low)) + 1)
+        plain = joined.isascii()
+        if plain:
+            raw = codes = np.frombuffer(joined.encode(), dtype=np.uint8)
+            kind = kinds()[:128][codes]
+        else:
+            codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            kind = kinds()[codes]
+            if (kind == LATER_CAPITAL).any():
+                joined = joined.translate(_LOWER_LATER)
+                codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+                kind = kinds()[codes]
+            raw = np.frombuffer(joined.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+        starts = kind == NUMBER
+        starts[0] = True
+        starts[1:] |= kind[1:] != kind[:-1]
+        # an apostrophe that begins a run takes the letters of its contraction with it
+        quotes = np.flatnonzero(codes == ord("'"))
+        quotes = quotes[starts[quotes]]
+        a, b = codes[quotes + 1], codes[quotes + 2]
+        one = (a == ord("s")) | (a == ord("t")) | (a == ord("m")) | (a == ord("d"))
+        two = (((a == ord("r")) | (a == ord("v"))) & (b == ord("e"))) | ((a == ord("l")) & (b == ord("l")))
+        starts[quotes[one | two] + 1] = False
+        starts[quotes[one] + 2] = True
+        starts[quotes[two] + 3] = True
+        keep = kind != SPACE
+        first = np.flatnonzero(starts & keep)
+        held = keep.view(np.uint8)  # bytes that go to a word
+        if not plain:
+            size = 1 + (codes > 0x7F).astype(np.uint8) + (codes > 0x7FF) + (codes > 0xFFFF)
+            held, keep = held * size, np.repeat(keep, size)
+        offsets = np.cumsum(np.append(0, np.add.reduceat(held, first, dtype=np.int64) if len(first) else []), dtype=np.int64)
+        words = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(raw[keep])])
+        return words, np.diff(np.searchsorted(first, ends), prepend=0)
+
     def _words(self, text: str) -> list[str]:
         if text.isascii():
             return self.words.findall(text.lower())
@@ -293,19 +421,45 @@ class WordBpe:
             return self.careful.findall(text.translate(_LOWER_LATER))
         return self.words.findall(text)
 
+    def _encode_plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts without special tokens, one text after the other, and how many each has."""
+        words, n = self.split(texts)
+        coded = words.dictionary_encode()
+        _, offsets, data = coded.dictionary.buffers()
+        at = np.frombuffer(offsets, dtype=np.int64)[: len(coded.dictionary) + 1].tolist() if len(words) else []
+        raw = data.to_pybytes() if len(words) else b""
+        known, index = self.known([raw[a:b] for a, b in zip(at, at[1:])]), coded.indices.to_numpy()  # noqa: B905
+        sizes = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4
+        begin, size = (np.cumsum(sizes) - sizes)[index], sizes[index]
+        ends = np.cumsum(size)
+        ids = np.frombuffer(b"".join(known), dtype=np.int32)[np.repeat(begin - ends + size, size) + np.arange(size.sum())]
+        return ids, np.diff(np.append(0, ends)[np.cumsum(n)], prepend=0)
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of these texts, one text after the other, and how many each has."""
+        cut = [self.parts(t) for t in texts]
+        done = [self._encode_plain(chunk) for chunk in _chunks([p for parts in cut for p in parts if isinstance(p, str)])]
+        if not done:
+            return np.array([], dtype=np.int32), np.array([], dtype=np.int64)
+        ids, n = (np.concatenate(x) for x in zip(*done, strict=True))
+        if all(len(parts) == 1 for parts in cut):
+            return ids, n
+        until = np.append(0, np.cumsum(n))
+        at, places, special, counts = 0, [], [], []
+        for parts in cut:
+            began, held = at, len(special)
+            for p in parts:
+                if isinstance(p, str):
+                    at += 1
+                else:
+                    places.append(until[at])
+                    special.append(p)
+            counts.append(until[at] - until[began] + len(special) - held)
+        return np.insert(ids, places, special), np.array(counts, dtype=np.int64)
+
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        split = [self.pieces(t) for t in texts]
-        cache = self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        new = [w for w in set(chain.from_iterable(split)) if w not in cache]
-        cache.update(self.resolve([w for w in new if isinstance(w, str)]))
-        cache.update({i: array("i", [i]).tobytes() for i in new if isinstance(i, int)})
-        out = [np.frombuffer(b"".join([cache[w] for w in words]), dtype=np.int32) for words in split]
-        for w in new:
-            if isinstance(w, str) and len(w) > CACHE_CHARS:
-                del cache[w]
-        return out
+        ids, sizes = self.encode_all(texts)
+        return [ids[end - n : end] for n, end in zip(sizes, np.cumsum(sizes), strict=True)]
 
     def decode_batch(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
         """A file without a decoder joins its tokens with spaces; unknown ids are left out."""
@@ -330,6 +484,15 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _stretches(text: str):
+    """Stretches of a long text, all but the first begun by white space: neither words nor composed characters reach across."""
+    at = 0
+    while len(text) - at > CHUNK_CHARS and (m := _BLANK.search(text, at + CHUNK_CHARS)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
+
+
 def _chunks(texts: list[str]):
     at, held = 0, 0
     for i, t in enumerate(texts):
@@ -346,14 +509,8 @@ def encode(text: str | Column, path: str | None = None) -> Column:
     path = path or default_path()
 
     def ids(column: pa.Array) -> pa.Array:
-        bpe = loaded(path)
-        sizes, values = [0], []
-        for part in _chunks(column.to_pylist()):
-            rows = bpe.encode_batch(part)
-            sizes += [len(r) for r in rows]
-            values += rows
-        flat = np.concatenate(values) if values else np.array([], dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), type=pa.int32()), pa.array(flat, type=pa.int32()))
+        flat, n = loaded(path).encode_all(column.to_pylist())
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), type=pa.int32()), pa.array(flat, type=pa.int32()))
 
     return F.arrow_udf(ids, "array<int>")(text_of(text))
 

@@ -294,6 +294,47 @@ def test_bpe_splits_all_of_unicode_as_the_library():
         assert ["".join(own.alphabet[b] for b in w.encode()) for w in own._words(text)] == want, hex(points[at])
 
 
+def test_bpe_of_many_texts_at_once_equals_library(monkeypatch):
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(bpe.default_path()), bpe.WordBpe(bpe.default_path())
+    r = random.Random(5)
+    bits = [*"abcdefghij'stvremld'' .,!?<|>1239\n\t\u0130\u0301\u03a3\u03c3\u00c0\u00e9\u00a0\u2028\x1c\x85\u65e5\U0001f600\U00016ea0\u1c89", "'ll", "'VE", "the", "ING", "<|endoftext|>", "<|startoftext|>"]
+    odd = ["", " ", "'s's'S 'll''re've'd'm't", "!'s ''s x's! 'lx", "<|endoftext|>", "<|endoftext|>a<|startoftext|>", "ab" * 31, "ab" * 32, "ab" * 33, "\u65e5" * 30]
+    odd += ["".join(r.choices(bits, k=r.randint(1, 80))) for _ in range(3000)]
+    odd += ["".join(chr(r.choice([r.randrange(0x20, 0x250), r.randrange(0xE000, 0x110000)])) for _ in range(20)) for _ in range(2000)]
+    want = [x.ids for x in library.encode_batch(odd, add_special_tokens=False)]
+    assert [x.tolist() for x in own.encode_batch(odd)] == want and own.encode_batch([]) == []
+    monkeypatch.setattr(bpe, "CHUNK_CHARS", 40)  # texts are cut before white space
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 50)
+    assert [x.tolist() for x in bpe.WordBpe(bpe.default_path()).encode_batch(odd)] == want
+
+
+def test_bpe_costs_less_than_matching_the_pattern(monkeypatch):
+    """Words that are known cost less than it takes to find them one by one, and frequent ones outlast a full cache."""
+    own, r = bpe.WordBpe(bpe.default_path()), random.Random(6)
+    words = ["".join(r.choices("abcdeinost", k=r.randint(2, 9))) for _ in range(2000)]
+    texts = [" ".join(r.choices(words, k=500)) + "." for _ in range(400)]
+    own.encode_batch(texts)
+
+    def seconds(f):
+        times = []
+        for _ in range(3):
+            began = time.thread_time()
+            f()
+            times.append(time.thread_time() - began)
+        return min(times)
+
+    assert seconds(lambda: own.encode_batch(texts)) < seconds(lambda: [own._words(t) for t in texts])
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 1000)
+    own, asked = bpe.WordBpe(bpe.default_path()), []
+    resolve = own.resolve
+    monkeypatch.setattr(own, "resolve", lambda given: asked.extend(given) or resolve(given))
+    for k in range(20):
+        own.encode_batch([" ".join(["frequent", *[f"x{'abcdefghij'[i % 10]}{words[(100 * k + i) % 2000]}q" for i in range(100)]])])
+    assert sum(w in ("frequent", b"frequent") for w in asked) == 1
+
+
 def test_long_and_odd_texts_take_time_in_proportion(spark):
     began = time.perf_counter()
     dots = "." * 1_000_000 + "x"
